@@ -1,0 +1,123 @@
+"""Registry of named queries: a Spark builder ``(spark, sf_dir) -> DataFrame``
+and, where SQL can express it, the DuckDB oracle text over the same tables.
+
+Every query reads the driver's tables (or frames Spark derives from them)
+in full; column names and types are aligned with the oracle (bigint counts,
+double scores rounded where float summation order differs).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..operators import ingest as ing
+from ..operators.rca import classify
+from ..sources.logs import load_log_lines
+from . import oracle as O
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return deco
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _parsed(spark, sf_dir):
+    return ing.parse_lines(load_log_lines(spark, sf_dir))
+
+
+def _entries(spark, sf_dir):
+    return ing.ingest(load_log_lines(spark, sf_dir))
+
+
+# --- ingest ---------------------------------------------------------------
+
+@register("clean_lines", f"WITH {O.parsed_cte()} SELECT source, line_no, line FROM parsed WHERE line IS NOT NULL")
+def q_clean_lines(spark, sf_dir):
+    return ing.clean_lines(load_log_lines(spark, sf_dir)).select("source", "line_no", "line")
+
+
+@register("format_counts", f"""WITH {O.parsed_cte()}
+SELECT CASE WHEN starts_with(line, '{{') THEN 'json' ELSE 'plain' END AS format, count(*) AS n
+FROM parsed WHERE line IS NOT NULL GROUP BY 1""")
+def q_format_counts(spark, sf_dir):
+    df = ing.tag_format(ing.clean_lines(load_log_lines(spark, sf_dir)))
+    return df.groupBy("format").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FIELDS = "line_no, ts_text, level_text, service, message"
+
+
+@register("parse_plain_service", f"WITH {O.parsed_cte()} SELECT {_FIELDS} FROM parsed WHERE branch = 'service'")
+def q_parse_plain_service(spark, sf_dir):
+    return _parsed(spark, sf_dir).where(F.col("branch") == "service").select(*_FIELDS.split(", "))
+
+
+@register("parse_plain_noservice", f"WITH {O.parsed_cte()} SELECT {_FIELDS} FROM parsed WHERE branch = 'noservice'")
+def q_parse_plain_noservice(spark, sf_dir):
+    return _parsed(spark, sf_dir).where(F.col("branch") == "noservice").select(*_FIELDS.split(", "))
+
+
+@register("json_alias", f"WITH {O.parsed_cte()} SELECT {_FIELDS} FROM parsed WHERE branch = 'json'")
+def q_json_alias(spark, sf_dir):
+    return _parsed(spark, sf_dir).where(F.col("branch") == "json").select(*_FIELDS.split(", "))
+
+
+@register("rejected_lines", f"WITH {O.parsed_cte()} SELECT source, line_no, line FROM parsed WHERE line IS NOT NULL AND branch IS NULL")
+def q_rejected_lines(spark, sf_dir):
+    return ing.rejected_lines(load_log_lines(spark, sf_dir))
+
+
+@register("parse_ts", f"""WITH {O.parsed_cte()}
+SELECT line_no, ts_text, {O.ts_expr('ts_text')} AS ts FROM parsed WHERE branch IS NOT NULL""")
+def q_parse_ts(spark, sf_dir):
+    p = _parsed(spark, sf_dir).where(F.col("branch").isNotNull())
+    return p.select("line_no", "ts_text", ing.parse_ts("ts_text").alias("ts"))
+
+
+@register("level_counts", f"WITH {O.entries_cte()} SELECT level, count(*) AS n FROM log_entries GROUP BY level")
+def q_level_counts(spark, sf_dir):
+    return _entries(spark, sf_dir).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("log_entries", f"WITH {O.entries_cte()} SELECT * FROM log_entries")
+def q_log_entries(spark, sf_dir):
+    return _entries(spark, sf_dir)
+
+
+@register("ingest_stats", f"""WITH {O.parsed_cte()}
+SELECT count(*) AS total_lines,
+       count(*) FILTER (WHERE line IS NULL) AS blank_lines,
+       count(*) FILTER (WHERE branch IS NOT NULL) AS parsed_lines,
+       count(*) FILTER (WHERE line IS NOT NULL AND branch IS NULL) AS rejected_lines,
+       round(count(*) FILTER (WHERE branch IS NOT NULL) / count(*), 6) AS parse_rate
+FROM parsed""")
+def q_ingest_stats(spark, sf_dir):
+    from ..operators.stats import ingest_stats
+
+    return ingest_stats(load_log_lines(spark, sf_dir))
+
+
+@register("heuristic_rca_entries", f"""WITH {O.entries_cte()}
+SELECT {O.rule_case('message', fixed.RULES, fixed.DEFAULT_RULE, 1)} AS error_pattern,
+       {O.rule_case('message', fixed.RULES, fixed.DEFAULT_RULE, 4)} AS confidence_score,
+       count(*) AS n
+FROM log_entries GROUP BY 1, 2""")
+def q_heuristic_rca_entries(spark, sf_dir):
+    e = classify(_entries(spark, sf_dir))
+    return e.groupBy("error_pattern", "confidence_score").agg(F.count(F.lit(1)).alias("n"))
