@@ -155,3 +155,53 @@ def _rule_val(v, field):
     if field == 1:
         return q("[Heuristic] " + v)
     return q(v)
+
+
+def cells_sql(src: str, key: str, tcol: str) -> str:
+    """n-gram cells ``(key, k, w)`` of the templates in ``src`` (``tcol``)."""
+    return f"""(
+  SELECT {key}, (xor(ascii(cs[i]) * 31 + ascii(cs[i + 1]), 17)) % 128 AS k, 1.0 AS w, 'b' AS kind
+  FROM (SELECT {key}, cs, unnest(range(1, len(cs))) AS i
+        FROM (SELECT {key}, string_split({tcol}, '') AS cs FROM {src} WHERE length({tcol}) > 0))
+  UNION ALL
+  SELECT {key}, (ascii(cs[i]) * 13) % 128 AS k, 0.5 AS w, 'u' AS kind
+  FROM (SELECT {key}, cs, unnest(range(1, len(cs) + 1)) AS i
+        FROM (SELECT {key}, string_split({tcol}, '') AS cs FROM {src} WHERE length({tcol}) > 0)))"""
+
+
+def vectors_sql(src: str, key: str, tcol: str) -> str:
+    """Normalised sparse vectors ``(key, k, x FLOAT)``."""
+    return f"""(
+  SELECT c.{key}, c.k, (c.v / m.mag)::FLOAT AS x
+  FROM (SELECT {key}, k, sum(w)::FLOAT AS v FROM {cells_sql(src, key, tcol)} GROUP BY {key}, k) c
+  JOIN (SELECT {key}, sqrt(sum((v * v)::DOUBLE)) AS mag
+        FROM (SELECT {key}, k, sum(w)::FLOAT AS v FROM {cells_sql(src, key, tcol)} GROUP BY {key}, k)
+        GROUP BY {key}) m USING ({key}))"""
+
+
+def clusters_cte(threshold: float = 0.85) -> str:
+    """``log_entries`` ... ``clusters`` and ``members`` (needs WITH RECURSIVE)."""
+    return f"""{entries_cte()},
+et AS (SELECT *, {template_expr('message')} AS t FROM log_entries),
+tpl AS (SELECT t, count(*) AS n, min({{'s': source, 'l': line_no, 'id': id, 'm': message}}) AS first
+        FROM et WHERE length(t) > 0 GROUP BY t),
+vec AS {vectors_sql('tpl', 't', 't')},
+nrm AS (SELECT t, sum((x * x)::DOUBLE) AS ss FROM vec GROUP BY t),
+dots AS (SELECT a.t AS ta, b.t AS tb, sum((a.x * b.x)::DOUBLE) AS d
+         FROM vec a JOIN vec b ON a.k = b.k AND a.t < b.t GROUP BY 1, 2),
+tedges AS (SELECT ta, tb, d / (sqrt(na.ss) * sqrt(nb.ss)) AS cosine
+          FROM dots JOIN nrm na ON na.t = ta JOIN nrm nb ON nb.t = tb
+          WHERE d / (sqrt(na.ss) * sqrt(nb.ss)) >= {threshold}),
+eb AS (SELECT ta AS x, tb AS y FROM tedges UNION ALL SELECT tb, ta FROM tedges),
+reach AS (SELECT t AS v, t AS r FROM tpl
+          UNION SELECT reach.v, eb.y FROM reach JOIN eb ON reach.r = eb.x),
+comp AS (SELECT v AS t, min(r) AS c FROM reach GROUP BY v),
+cl0 AS (SELECT comp.c AS c, min(first) AS rep, sum(n)::BIGINT AS size FROM tpl JOIN comp USING (t) GROUP BY comp.c
+        UNION ALL
+        SELECT NULL, {{'s': source, 'l': line_no, 'id': id, 'm': message}}, 1
+        FROM et WHERE t IS NULL OR length(t) = 0),
+clusters AS (SELECT c, rep.s AS rep_source, rep.l AS rep_line_no, rep.id AS rep_id, rep.m AS rep_message, size,
+                    row_number() OVER (ORDER BY rep.s, rep.l) AS cluster_no FROM cl0),
+members AS (SELECT cl.cluster_no, e.id, e.source, e.line_no FROM et e JOIN comp ON comp.t = e.t
+            JOIN clusters cl ON cl.c = comp.c
+            UNION ALL SELECT cluster_no, rep_id, rep_source, rep_line_no FROM clusters WHERE c IS NULL)"""

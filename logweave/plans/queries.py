@@ -121,3 +121,209 @@ FROM log_entries GROUP BY 1, 2""")
 def q_heuristic_rca_entries(spark, sf_dir):
     e = classify(_entries(spark, sf_dir))
     return e.groupBy("error_pattern", "confidence_score").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- features ------------------------------------------------------------
+
+def _docs_templated(spark, sf_dir):
+    from ..operators.features import with_template
+
+    return with_template(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
+_DOC_T = f"(SELECT doc_id, {O.template_expr('text')} AS t FROM documents)"
+
+
+@register("doc_templates", f"SELECT doc_id, {O.template_expr('text')} AS template FROM documents")
+def q_doc_templates(spark, sf_dir):
+    return _docs_templated(spark, sf_dir).select("doc_id", "template")
+
+
+@register("template_counts", f"""WITH {O.entries_cte()}, et AS (SELECT {O.template_expr('message')} AS t, line_no FROM log_entries)
+SELECT t AS template, count(*) AS n, min(line_no) AS first_line_no FROM et WHERE t IS NOT NULL GROUP BY t""")
+def q_template_counts(spark, sf_dir):
+    from ..operators.features import template_counts, with_template
+
+    return template_counts(with_template(_entries(spark, sf_dir)))
+
+
+@register("bigram_features", f"""SELECT doc_id, k::BIGINT AS k, sum(w)::DOUBLE AS w
+FROM {O.cells_sql(_DOC_T, 'doc_id', 't')} WHERE kind = 'b' GROUP BY doc_id, k""")
+def q_bigram_features(spark, sf_dir):
+    from ..operators.features import ngram_features
+
+    f = ngram_features(_docs_templated(spark, sf_dir), "doc_id", kinds=("bigram",))
+    return f.select("doc_id", F.col("k").cast("long").alias("k"), F.col("w").cast("double").alias("w"))
+
+
+@register("unigram_features", f"""SELECT doc_id, k::BIGINT AS k, sum(w)::DOUBLE AS w
+FROM {O.cells_sql(_DOC_T, 'doc_id', 't')} WHERE kind = 'u' GROUP BY doc_id, k""")
+def q_unigram_features(spark, sf_dir):
+    from ..operators.features import ngram_features
+
+    f = ngram_features(_docs_templated(spark, sf_dir), "doc_id", kinds=("unigram",))
+    return f.select("doc_id", F.col("k").cast("long").alias("k"), F.col("w").cast("double").alias("w"))
+
+
+@register("l2_norm", """WITH c AS (SELECT vec_id, (i - 1)::BIGINT AS k, embedding[i] AS v
+  FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+m AS (SELECT vec_id, sum((v * v)::DOUBLE) AS ss FROM c GROUP BY vec_id)
+SELECT vec_id, k, round(CASE WHEN ss > 0 THEN (v / sqrt(ss))::FLOAT ELSE v END::DOUBLE, 6) AS value
+FROM c JOIN m USING (vec_id)""")
+def q_l2_norm(spark, sf_dir):
+    from ..operators.features import l2_normalize_long
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "w"))
+    out = l2_normalize_long(e, "vec_id")
+    return out.select("vec_id", F.col("k").cast("long").alias("k"), F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@register("embed_sparse", f"""SELECT doc_id, k::BIGINT AS k, round(x::DOUBLE, 6) AS value
+FROM {O.vectors_sql(_DOC_T, 'doc_id', 't')}""")
+def q_embed_sparse(spark, sf_dir):
+    from ..operators.features import embed, sparse_cells
+
+    v = sparse_cells(embed(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    return v.select("doc_id", F.col("k").cast("long").alias("k"), F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+# --- similarity and clusters -------------------------------------------------
+
+_EMB_COS = """(SELECT a.vec_id AS i, b.vec_id AS j,
+   list_sum([(a.embedding[x] * b.embedding[x])::DOUBLE FOR x IN range(1, len(a.embedding) + 1)]) /
+   (sqrt(list_sum([(a.embedding[x] * a.embedding[x])::DOUBLE FOR x IN range(1, len(a.embedding) + 1)])) *
+    sqrt(list_sum([(b.embedding[x] * b.embedding[x])::DOUBLE FOR x IN range(1, len(b.embedding) + 1)]))) AS cosine
+ FROM embeddings a JOIN embeddings b ON {cond})"""
+
+
+@register("cosine_pairs", f"SELECT i, j, round(cosine, 6) AS cosine FROM {_EMB_COS.format(cond='b.vec_id = a.vec_id + 1')}")
+def q_cosine_pairs(spark, sf_dir):
+    from ..operators.similarity import cosine
+
+    e = table(spark, sf_dir, "embeddings")
+    a, b = e.alias("a"), e.alias("b")
+    p = a.join(b, F.col("b.vec_id") == F.col("a.vec_id") + 1)
+    return p.select(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"),
+                    F.round(cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine"))
+
+
+EMB_THRESHOLD = 0.3
+
+
+@register("similar_pairs", f"SELECT i, j, round(cosine, 6) AS cosine FROM {_EMB_COS.format(cond='a.vec_id < b.vec_id')} WHERE cosine >= {EMB_THRESHOLD}")
+def q_similar_pairs(spark, sf_dir):
+    from ..operators.similarity import similar_pairs
+
+    e = table(spark, sf_dir, "embeddings")
+    p = similar_pairs(e, "vec_id", "embedding", EMB_THRESHOLD, block_size=256)
+    return p.select("i", "j", F.round("cosine", 6).alias("cosine"))
+
+
+_CLUSTERING: dict = {}
+
+
+def clustering(spark, sf_dir):
+    """One clustering per (session, directory) inside a process; the frames
+    are lazily re-read from checkpoints, so reuse is safe."""
+    from .analyze import cluster_entries
+
+    key = (id(spark), sf_dir)
+    if key not in _CLUSTERING:
+        _CLUSTERING[key] = cluster_entries(_entries(spark, sf_dir))
+    return _CLUSTERING[key]
+
+
+@register("template_pairs", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT ta AS template_a, tb AS template_b, round(cosine, 6) AS cosine FROM tedges""")
+def q_template_pairs(spark, sf_dir):
+    c = clustering(spark, sf_dir)
+    t = c.templates.select("vkey", "template")
+    e = c.edges.join(t.withColumnRenamed("vkey", "i").withColumnRenamed("template", "ti"), "i").join(
+        t.withColumnRenamed("vkey", "j").withColumnRenamed("template", "tj"), "j")
+    return e.select(F.least("ti", "tj").alias("template_a"), F.greatest("ti", "tj").alias("template_b"),
+                    F.round("cosine", 6).alias("cosine"))
+
+
+@register("log_clusters", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT comp.t AS template, cl.cluster_no::BIGINT AS cluster_no FROM comp JOIN clusters cl ON cl.c = comp.c""")
+def q_log_clusters(spark, sf_dir):
+    c = clustering(spark, sf_dir)
+    return c.templates.join(c.clusters.where(F.col("component").isNotNull()), "component").select(
+        "template", F.col("cluster_no").cast("long").alias("cluster_no"))
+
+
+@register("cluster_labels", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT cluster_no::BIGINT AS cluster_no, 'Cluster-' || cluster_no AS cluster_label, rep_source, rep_line_no, size
+FROM clusters""")
+def q_cluster_labels(spark, sf_dir):
+    c = clustering(spark, sf_dir).clusters
+    return c.select(F.col("cluster_no").cast("long").alias("cluster_no"), "cluster_label", "rep_source",
+                    "rep_line_no", "size")
+
+
+@register("cluster_members", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT cluster_no::BIGINT AS cluster_no, id, line_no FROM members""")
+def q_cluster_members(spark, sf_dir):
+    m = clustering(spark, sf_dir).members
+    return m.select(F.col("cluster_no").cast("long").alias("cluster_no"), "id", "line_no")
+
+
+@register("cluster_sizes", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT cluster_no::BIGINT AS cluster_no, count(*) AS size FROM members GROUP BY cluster_no""")
+def q_cluster_sizes(spark, sf_dir):
+    from ..operators.stats import cluster_sizes
+
+    m = clustering(spark, sf_dir).members
+    return cluster_sizes(m).select(F.col("cluster_no").cast("long").alias("cluster_no"), "size")
+
+
+@register("cluster_entries", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT m.cluster_no::BIGINT AS cluster_no, e.id, e.level, e.service, e.message
+FROM members m JOIN log_entries e ON e.id = m.id""")
+def q_cluster_entries(spark, sf_dir):
+    from ..operators.clusters import join_entries
+
+    m = clustering(spark, sf_dir).members
+    j = join_entries(m, _entries(spark, sf_dir))
+    return j.select(F.col("cluster_no").cast("long").alias("cluster_no"), "id", "level", "service", "message")
+
+
+@register("small_clusters", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT cluster_no::BIGINT AS cluster_no, size, size < {fixed.SMALL_CLUSTER_SIZE} AS low_confidence FROM clusters""")
+def q_small_clusters(spark, sf_dir):
+    from ..operators.clusters import flag_small
+
+    c = flag_small(clustering(spark, sf_dir).clusters)
+    return c.select(F.col("cluster_no").cast("long").alias("cluster_no"), "size", "low_confidence")
+
+
+@register("representatives", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT cluster_no::BIGINT AS cluster_no, rep_id, rep_line_no, rep_message FROM clusters""")
+def q_representatives(spark, sf_dir):
+    c = clustering(spark, sf_dir).clusters
+    return c.select(F.col("cluster_no").cast("long").alias("cluster_no"), "rep_id", "rep_line_no", "rep_message")
+
+
+_RES_SQL = f"""SELECT cluster_no::BIGINT AS cluster_no, 'Cluster-' || cluster_no || ':' || rep_id AS log_entry_id,
+  {O.rule_case('rep_message', fixed.RULES, fixed.DEFAULT_RULE, 1)} AS error_pattern,
+  {O.rule_case('rep_message', fixed.RULES, fixed.DEFAULT_RULE, 2)} AS root_cause,
+  {O.rule_case('rep_message', fixed.RULES, fixed.DEFAULT_RULE, 3)} AS fix_suggestion,
+  {O.rule_case('rep_message', fixed.RULES, fixed.DEFAULT_RULE, 4)} AS confidence_score, size
+FROM clusters"""
+
+
+@register("heuristic_rca", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT cluster_no, error_pattern, confidence_score FROM ({_RES_SQL})""")
+def q_heuristic_rca(spark, sf_dir):
+    from .analyze import heuristic_results
+
+    r = heuristic_results(clustering(spark, sf_dir).clusters)
+    return r.select(F.col("cluster_no").cast("long").alias("cluster_no"), "error_pattern", "confidence_score")
+
+
+@register("rca_results", f"WITH RECURSIVE {O.clusters_cte()} {_RES_SQL}")
+def q_rca_results(spark, sf_dir):
+    from .analyze import heuristic_results
+
+    r = heuristic_results(clustering(spark, sf_dir).clusters)
+    return r.withColumn("cluster_no", F.col("cluster_no").cast("long"))
