@@ -118,3 +118,29 @@ def json_string_array(c, field: str) -> Column:
     return F.transform(
         items, lambda s: F.replace(F.replace(s, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
     )
+
+
+def rows_to_json(df) -> Column:
+    """Each row as one JSON object text, hand-written like the original
+    writer: keys in column order, strings escaped (\\\\ \\" \\n \\r \\t),
+    numbers and booleans as text, NULL as ``null``; timestamps as
+    ``yyyy-MM-dd HH:mm:ss`` strings; nested values through ``to_json``."""
+    from pyspark.sql import types as T
+
+    from .text import json_escape_full
+
+    parts = []
+    for i, f in enumerate(df.schema.fields):
+        c = F.col(f.name)
+        t = f.dataType
+        if isinstance(t, T.StringType):
+            v = F.concat(F.lit('"'), json_escape_full(c), F.lit('"'))
+        elif isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            fmt = "yyyy-MM-dd" if isinstance(t, T.DateType) else "yyyy-MM-dd HH:mm:ss"
+            v = F.concat(F.lit('"'), F.date_format(c, fmt), F.lit('"'))
+        elif isinstance(t, (T.NumericType, T.BooleanType)):
+            v = c.cast("string")
+        else:
+            v = F.to_json(c)
+        parts += [F.lit(("," if i else "{") + '"' + f.name.replace('"', '\\"') + '":'), F.coalesce(v, F.lit("null"))]
+    return F.concat(*parts, F.lit("}"))

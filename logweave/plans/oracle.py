@@ -205,3 +205,50 @@ clusters AS (SELECT c, rep.s AS rep_source, rep.l AS rep_line_no, rep.id AS rep_
 members AS (SELECT cl.cluster_no, e.id, e.source, e.line_no FROM et e JOIN comp ON comp.t = e.t
             JOIN clusters cl ON cl.c = comp.c
             UNION ALL SELECT cluster_no, rep_id, rep_source, rep_line_no FROM clusters WHERE c IS NULL)"""
+
+
+def kv_val(qi: str, ri: str) -> str:
+    r = jtrim(ri)
+    return (
+        f"NULLIF(CASE WHEN {ri} IS NULL THEN {unesc_obj(jtrim(qi))} ELSE "
+        f"(CASE WHEN length({r}) >= 2 AND starts_with({r}, '\"') AND ends_with({r}, '\"') "
+        f"THEN substr({r}, 2, length({r}) - 2) ELSE {r} END) END, 'null')"
+    )
+
+
+def kv_cols(col: str) -> str:
+    """Select-list part: ``ks, qv, rv`` scanned from ``col``."""
+    return (f"regexp_extract_all({col}, {q(KV)}, 1) AS ks, regexp_extract_all({col}, {q(KV)}, 2) AS qv, "
+            f"regexp_extract_all({col}, {q(KV)}, 3) AS rv")
+
+
+def kv_list() -> str:
+    """``list<struct(k, v)>`` from columns ks, qv, rv."""
+    return f"list_transform(range(1, len(ks) + 1), lambda i: {{'k': ks[i], 'v': {kv_val('qv[i]', 'rv[i]')}}})"
+
+
+def lookup(keys, default) -> str:
+    return _lookup(keys, default)
+
+
+def field_pat(kind: str, field: str) -> str:
+    if kind == "string":
+        return f'"{field}"' + JS + "*:" + JS + '*"(' + QSTR + ')"'
+    if kind == "number":
+        return f'"{field}"' + JS + "*:" + JS + r"*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
+    if kind == "array":
+        return f'"{field}"' + JS + "*:" + JS + r"*\[([^\]]*)\]"
+    raise ValueError(kind)
+
+
+def esc_full(x: str) -> str:
+    return (f"replace(replace(replace(replace(replace({x}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), "
+            f"chr(13), '\\r'), chr(9), '\\t')")
+
+
+def esc(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r')"
+
+
+def is_blank(x: str) -> str:
+    return f"({x} IS NULL OR regexp_full_match({x}, {q(JWS + '*')}))"

@@ -327,3 +327,328 @@ def q_rca_results(spark, sf_dir):
 
     r = heuristic_results(clustering(spark, sf_dir).clusters)
     return r.withColumn("cluster_no", F.col("cluster_no").cast("long"))
+
+
+# --- JSON fields ---------------------------------------------------------------
+
+@register("json_kv", f"""SELECT event_id, i::BIGINT AS pos, ks[i] AS key, {O.kv_val('qv[i]', 'rv[i]')} AS value
+FROM (SELECT event_id, ks, qv, rv, unnest(range(1, len(ks) + 1)) AS i
+      FROM (SELECT event_id, {O.kv_cols('props')} FROM events))""")
+def q_json_kv(spark, sf_dir):
+    from ..functions.jsonfields import json_pairs
+
+    e = table(spark, sf_dir, "events").select("event_id", F.posexplode(json_pairs("props")).alias("p", "kv"))
+    return e.select("event_id", (F.col("p") + 1).cast("long").alias("pos"),
+                    F.col("kv.k").alias("key"), F.col("kv.v").alias("value"))
+
+
+@register("json_wide", f"""SELECT event_id, {O.lookup(('k',), None)} AS k
+FROM (SELECT event_id, {O.kv_list()} AS kv FROM (SELECT event_id, {O.kv_cols('props')} FROM events))""")
+def q_json_wide(spark, sf_dir):
+    from ..functions.jsonfields import json_aliased
+
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", json_aliased("props", {"k": (("k",), None)})["k"].alias("k"))
+
+
+_LL = O.log_lines_cte()
+
+
+@register("json_string", f"""WITH {_LL}
+SELECT line_no, CASE WHEN regexp_matches(raw_line, {O.q(O.field_pat('string', 'service'))})
+  THEN {O.unesc_str(f"regexp_extract(raw_line, {O.q(O.field_pat('string', 'service'))}, 1)")} END AS service
+FROM log_lines""")
+def q_json_string(spark, sf_dir):
+    from ..functions.jsonfields import json_string
+
+    return load_log_lines(spark, sf_dir).select("line_no", json_string("raw_line", "service").alias("service"))
+
+
+@register("json_number", f"""SELECT event_id, NULLIF(regexp_extract(props, {O.q(O.field_pat('number', 'k'))}, 1), '') AS k_text,
+  TRY_CAST(NULLIF(regexp_extract(props, {O.q(O.field_pat('number', 'k'))}, 1), '') AS DOUBLE) AS k_value
+FROM events""")
+def q_json_number(spark, sf_dir):
+    from ..functions.jsonfields import json_number_text
+
+    e = table(spark, sf_dir, "events").select("event_id", json_number_text("props", "k").alias("k_text"))
+    return e.select("event_id", "k_text", F.col("k_text").try_cast("double").alias("k_value"))
+
+
+_ARR_INNER = (f"CASE WHEN regexp_matches(raw_line, {O.q(O.field_pat('array', 'tags'))}) "
+              f"THEN regexp_extract(raw_line, {O.q(O.field_pat('array', 'tags'))}, 1) ELSE '' END")
+
+
+@register("json_string_array", f"""WITH {_LL}
+SELECT line_no, array_to_string(arr, '|') AS tags, len(arr)::BIGINT AS n_tags FROM (
+  SELECT line_no, list_transform(regexp_extract_all({_ARR_INNER}, {O.q('"(' + O.QSTR + ')"')}, 1),
+         lambda s: replace(replace(s, '\\"', '"'), '\\\\', '\\')) AS arr FROM log_lines)""")
+def q_json_string_array(spark, sf_dir):
+    from ..functions.jsonfields import json_string_array
+
+    ll = load_log_lines(spark, sf_dir).select("line_no", json_string_array("raw_line", "tags").alias("arr"))
+    return ll.select("line_no", F.array_join("arr", "|").alias("tags"), F.size("arr").cast("long").alias("n_tags"))
+
+
+@register("rows_to_json", f"""SELECT o_orderkey, '{{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey ||
+  ',"o_orderstatus":"' || {O.esc_full('o_orderstatus')} || '","o_totalprice":' || CAST(o_totalprice AS VARCHAR) ||
+  ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '","o_orderpriority":"' ||
+  {O.esc_full('o_orderpriority')} || '"}}' AS json FROM orders""")
+def q_rows_to_json(spark, sf_dir):
+    from ..functions.jsonfields import rows_to_json
+
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", rows_to_json(o).alias("json"))
+
+
+# --- payload sources ---------------------------------------------------------------
+
+@register("payload_split_lines", """SELECT doc_id, i::BIGINT AS line_no, parts[i] AS raw_line FROM (
+  SELECT doc_id, parts, unnest(range(1, last + 1)) AS i FROM (
+    SELECT doc_id, parts, coalesce(list_max(list_transform(range(1, len(parts) + 1),
+           lambda i: CASE WHEN length(parts[i]) > 0 THEN i ELSE 0 END)), 0) AS last
+    FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS parts FROM documents)))""")
+def q_payload_split_lines(spark, sf_dir):
+    from ..sources.logs import split_payload
+
+    d = table(spark, sf_dir, "documents")
+    return split_payload(d, "text", "doc_id").select("doc_id", "line_no", "raw_line")
+
+
+@register("payload_blank_reject", f"SELECT doc_id, NOT {O.is_blank('text')} AS accepted FROM documents")
+def q_payload_blank_reject(spark, sf_dir):
+    from ..functions.text import is_blank
+
+    return table(spark, sf_dir, "documents").select("doc_id", (~is_blank("text")).alias("accepted"))
+
+
+# --- prompts, requests, replies -------------------------------------------------------
+
+_TOP = """top AS (SELECT m.cluster_no, row_number() OVER (PARTITION BY m.cluster_no ORDER BY e.source, e.line_no) AS n,
+  e.line_no, e.raw_line FROM members m JOIN log_entries e ON e.id = m.id QUALIFY n <= 20),
+prompts AS (SELECT c.cluster_no, '{header}' || string_agg('[' || t.n || '] ' || t.raw_line || chr(10), '' ORDER BY t.n)
+  || CASE WHEN c.size > 20 THEN '... and ' || (c.size - 20) || ' more similar entries.' || chr(10) ELSE '' END
+  || '{footer}' AS prompt FROM clusters c JOIN top t ON t.cluster_no = c.cluster_no GROUP BY c.cluster_no, c.size)"""
+_TOP = _TOP.format(header=fixed.PROMPT_HEADER.replace("'", "''").replace("\n", "' || chr(10) || '"),
+                   footer=fixed.PROMPT_FOOTER.replace("'", "''").replace("\n", "' || chr(10) || '"))
+
+
+def _sample(spark, sf_dir):
+    from ..operators.prompts import sample_lines
+
+    c = clustering(spark, sf_dir)
+    return sample_lines(c.members, _entries(spark, sf_dir))
+
+
+@register("cluster_top20", f"""WITH RECURSIVE {O.clusters_cte()}, {_TOP}
+SELECT cluster_no::BIGINT AS cluster_no, n::BIGINT AS n, line_no, raw_line FROM top""")
+def q_cluster_top20(spark, sf_dir):
+    s = _sample(spark, sf_dir)
+    return s.select(F.col("cluster_no").cast("long").alias("cluster_no"), "n", "line_no", "raw_line")
+
+
+@register("prompt_table", f"""WITH RECURSIVE {O.clusters_cte()}, {_TOP}
+SELECT cluster_no::BIGINT AS cluster_no, prompt FROM prompts""")
+def q_prompt_table(spark, sf_dir):
+    from ..operators.prompts import build_prompts
+
+    p = build_prompts(_sample(spark, sf_dir), clustering(spark, sf_dir).clusters)
+    return p.select(F.col("cluster_no").cast("long").alias("cluster_no"), "prompt")
+
+
+@register("request_table", f"""WITH RECURSIVE {O.clusters_cte()}, {_TOP}
+SELECT cluster_no::BIGINT AS cluster_no,
+  '{{"model":"{fixed.DEFAULT_MODEL}","max_tokens":{fixed.MAX_TOKENS},"messages":[{{"role":"user","content":"' || {O.esc_full('prompt')} || '"}}]}}' AS request
+FROM prompts""")
+def q_request_table(spark, sf_dir):
+    from ..operators.prompts import build_prompts, build_requests
+
+    p = build_prompts(_sample(spark, sf_dir), clustering(spark, sf_dir).clusters)
+    r = build_requests(p)
+    return r.select(F.col("cluster_no").cast("long").alias("cluster_no"), "request")
+
+
+_TEXT_PAT = O.q('"text"' + O.JS + "*:" + O.JS + '*"(' + O.QSTR + ')"')
+_RESP = """'{"content":[{"type":"text","text":"' || """ + O.esc_full("text") + """ || '"}],"role":"' || role || '"}'"""
+_REPLY_TEXT = f"CASE WHEN regexp_matches(resp, {_TEXT_PAT}) THEN {O.unesc_reply(f'regexp_extract(resp, {_TEXT_PAT}, 1)')} END"
+
+
+def _reply_parse_sql(src: str, keys: str) -> str:
+    """Parse reply texts ``rt`` of ``src`` (columns ``keys``) into the four fields."""
+    cleaned = O.jtrim("replace(replace(rt, '```json', ''), '```', '')")
+    return f"""(
+SELECT {keys}, CASE WHEN {O.is_blank('rt')} THEN '[Heuristic] Empty reply'
+         WHEN NOT ok THEN '[Heuristic] Malformed LLM response' ELSE {O.lookup(('errorPattern',), 'Unknown pattern')} END AS error_pattern,
+       CASE WHEN {O.is_blank('rt')} THEN 'Unable to parse response.' WHEN NOT ok THEN rt
+         ELSE {O.lookup(('rootCause',), 'Could not determine root cause')} END AS root_cause,
+       CASE WHEN {O.is_blank('rt')} THEN '' WHEN NOT ok THEN ''
+         ELSE {O.lookup(('fixSuggestion',), 'Review logs manually')} END AS fix_suggestion,
+       CASE WHEN {O.is_blank('rt')} OR NOT ok THEN 0.0 ELSE
+         (CASE WHEN isnan(cf) THEN cf ELSE greatest(0.0, least(1.0, cf)) END) END AS confidence_score
+FROM (SELECT *, {O.kv_list()} AS kv,
+        coalesce(TRY_CAST({O.jtrim(O.lookup(('confidenceScore',), '1.0').replace('kv', O.kv_list()))} AS DOUBLE), 1.0) AS cf
+      FROM (SELECT *, {O.kv_cols('blk')} FROM (
+        SELECT *, CASE WHEN ok THEN substr(cl, st, en - st + 1) END AS blk FROM (
+          SELECT *, st > 0 AND has_close AND en >= st AS ok FROM (
+            SELECT *, strpos(cl, '{{') AS st, regexp_matches(cl, '[}}]') AS has_close,
+                   length(regexp_extract(cl, '(?s)^(.*)[}}]', 1)) + 1 AS en
+            FROM (SELECT *, {cleaned} AS cl FROM {src})))))))"""
+
+
+@register("reply_text", f"""SELECT conv_id, turn, {_REPLY_TEXT} AS reply_text
+FROM (SELECT conv_id, turn, {_RESP} AS resp FROM conversations)""")
+def q_reply_text(spark, sf_dir):
+    from ..functions.text import json_escape_full
+    from ..operators.prompts import reply_text
+
+    c = table(spark, sf_dir, "conversations")
+    resp = F.concat(F.lit('{"content":[{"type":"text","text":"'), json_escape_full("text"),
+                    F.lit('"}],"role":"'), F.col("role"), F.lit('"}'))
+    return c.select("conv_id", "turn", reply_text(resp).alias("reply_text"))
+
+
+@register("reply_parsed", f"""SELECT conv_id, turn, error_pattern, root_cause, fix_suggestion, round(confidence_score, 6) AS confidence_score
+FROM {_reply_parse_sql(f"(SELECT conv_id, turn, {_REPLY_TEXT} AS rt FROM (SELECT conv_id, turn, {_RESP} AS resp FROM conversations))", 'conv_id, turn')}""")
+def q_reply_parsed(spark, sf_dir):
+    from ..functions.text import json_escape_full
+    from ..operators.prompts import parse_reply, reply_text
+
+    c = table(spark, sf_dir, "conversations")
+    resp = F.concat(F.lit('{"content":[{"type":"text","text":"'), json_escape_full("text"),
+                    F.lit('"}],"role":"'), F.col("role"), F.lit('"}'))
+    p = c.select("conv_id", "turn", parse_reply(reply_text(resp)).alias("p"))
+    return p.select("conv_id", "turn", "p.error_pattern", "p.root_cause", "p.fix_suggestion",
+                    F.round("p.confidence_score", 6).alias("confidence_score"))
+
+
+_REPLIES = f"""replies AS (SELECT conv_id + 1 AS cluster_no,
+  '{{"content":[{{"type":"text","text":"' || {O.esc_full('text')} || '"}}],"role":"assistant"}}' AS resp
+  FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id))"""
+
+
+@register("rca_resolved", f"""WITH RECURSIVE {O.clusters_cte()}, {_REPLIES},
+res AS ({_RES_SQL}),
+got AS {_reply_parse_sql(f"(SELECT cluster_no, {_REPLY_TEXT} AS rt FROM replies)", 'cluster_no')}
+SELECT r.cluster_no, r.log_entry_id, CASE WHEN g.cluster_no IS NULL THEN 'rules' ELSE 'reply' END AS source,
+  CASE WHEN g.cluster_no IS NULL THEN r.error_pattern ELSE g.error_pattern END AS error_pattern,
+  CASE WHEN g.cluster_no IS NULL THEN r.root_cause ELSE g.root_cause END AS root_cause,
+  CASE WHEN g.cluster_no IS NULL THEN r.fix_suggestion ELSE g.fix_suggestion END AS fix_suggestion,
+  round(CASE WHEN g.cluster_no IS NULL THEN r.confidence_score ELSE g.confidence_score END, 6) AS confidence_score, r.size
+FROM res r LEFT JOIN got g ON g.cluster_no = r.cluster_no""")
+def q_rca_resolved(spark, sf_dir):
+    from ..operators.prompts import replies_from_conversations, resolve
+
+    c = clustering(spark, sf_dir).clusters
+    r = resolve(c, replies_from_conversations(table(spark, sf_dir, "conversations")))
+    return r.select(F.col("cluster_no").cast("long").alias("cluster_no"), "log_entry_id", "source", "error_pattern",
+                    "root_cause", "fix_suggestion", F.round("confidence_score", 6).alias("confidence_score"), "size")
+
+
+# --- sinks and reports --------------------------------------------------------------
+
+def _results(spark, sf_dir):
+    from .analyze import heuristic_results
+
+    return heuristic_results(clustering(spark, sf_dir).clusters)
+
+
+_JSON_OBJ = """'{"errorPattern":"' || """ + O.esc("coalesce(error_pattern, '')") + """ || '","rootCause":"' || """ + \
+    O.esc("coalesce(root_cause, '')") + """ || '","fixSuggestion":"' || """ + O.esc("coalesce(fix_suggestion, '')") + \
+    """ || '","confidenceScore":' || CAST(confidence_score AS VARCHAR) || '}'"""
+
+
+@register("results_json", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT cluster_no, {_JSON_OBJ} AS json FROM ({_RES_SQL})""")
+def q_results_json(spark, sf_dir):
+    from ..sources.sinks import results_to_json
+
+    return results_to_json(_results(spark, sf_dir))
+
+
+@register("results_json_pages", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT ((cluster_no - 1) // 1000)::BIGINT AS page_no, count(*) AS n_results,
+  '[' || string_agg({_JSON_OBJ}, ',' ORDER BY cluster_no) || ']' AS json
+FROM ({_RES_SQL}) GROUP BY 1""")
+def q_results_json_pages(spark, sf_dir):
+    from ..sources.sinks import results_json_pages
+
+    return results_json_pages(_results(spark, sf_dir), page_size=1000)
+
+
+@register("report_rows", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT cluster_no, 'Cluster ' || cluster_no || ' of ' || (SELECT count(*) FROM clusters) AS heading,
+  coalesce(error_pattern, 'N/A') AS pattern, coalesce(root_cause, 'N/A') AS root_cause,
+  coalesce(fix_suggestion, 'N/A') AS fix_suggestion, printf('%.0f%%', confidence_score * 100) AS confidence
+FROM ({_RES_SQL})""")
+def q_report_rows(spark, sf_dir):
+    from ..sources.sinks import report_rows
+
+    return report_rows(_results(spark, sf_dir))
+
+
+@register("stage_stats", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT (SELECT count(*) FROM log_lines) AS lines, (SELECT count(*) FROM log_entries) AS entries,
+  (SELECT count(*) FROM log_entries) AS vectors, (SELECT count(*) FROM tpl) AS templates,
+  (SELECT count(*) FROM tedges) AS edges, (SELECT count(*) FROM clusters) AS clusters,
+  (SELECT count(*) FROM clusters WHERE c IS NULL) AS singleton_clusters""")
+def q_stage_stats(spark, sf_dir):
+    from ..operators.stats import stage_stats
+
+    return stage_stats(load_log_lines(spark, sf_dir), _entries(spark, sf_dir), clustering(spark, sf_dir))
+
+
+@register("alerts", f"""WITH RECURSIVE {O.clusters_cte()},
+mx AS (SELECT m.cluster_no, max(e.level = 'FATAL')::INT AS f, max(e.level = 'ERROR')::INT AS er, max(e.level = 'WARN')::INT AS w,
+  string_agg(DISTINCT e.service, ',' ORDER BY e.service) AS svcs
+  FROM members m JOIN log_entries e ON e.id = m.id GROUP BY m.cluster_no)
+SELECT r.cluster_no, CASE WHEN f = 1 THEN 'CRITICAL' WHEN er = 1 THEN 'HIGH' WHEN w = 1 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  r.error_pattern AS summary, coalesce(svcs, '') AS affected_services, r.root_cause AS llm_summary
+FROM ({_RES_SQL}) r JOIN mx ON mx.cluster_no = r.cluster_no""")
+def q_alerts(spark, sf_dir):
+    from ..operators.alerts import build_alerts
+
+    c = clustering(spark, sf_dir)
+    a = build_alerts(_results(spark, sf_dir), c.members, _entries(spark, sf_dir))
+    return a.select(F.col("cluster_no").cast("long").alias("cluster_no"), "severity", "summary",
+                    F.array_join("affected_services", ",").alias("affected_services"), "llm_summary")
+
+
+# --- declared-only: dedupe, sliding windows, approximate pairs ----------------------
+
+@register("dedupe_entries", f"""WITH {O.entries_cte()},
+et AS (SELECT *, {O.template_expr('message')} AS template FROM log_entries)
+SELECT level, service, template, f.source AS source, f.line_no AS line_no, f.id AS id, dup_count FROM (
+  SELECT level, service, template, min({{'s': source, 'l': line_no, 'id': id}}) AS f0, count(*) AS dup_count
+  FROM et GROUP BY level, service, template) x, LATERAL (SELECT f0.s AS source, f0.l AS line_no, f0.id AS id) f""")
+def q_dedupe_entries(spark, sf_dir):
+    from ..functions.text import message_template
+    from ..operators.dedupe import dedupe
+
+    e = _entries(spark, sf_dir).withColumn("template", message_template("message"))
+    return dedupe(e, ["level", "service", "template"], keep=["id"])
+
+
+@register("sliding_template_counts", f"""WITH {O.entries_cte()},
+et AS (SELECT ts, {O.template_expr('message')} AS t FROM log_entries WHERE ts IS NOT NULL),
+w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS ws, ts, t
+      FROM et, range(0, 4) r(k) WHERE length(t) > 0)
+SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, t AS template, count(*) AS n
+FROM w WHERE ts < ws + INTERVAL 1 HOUR GROUP BY ws, t""")
+def q_sliding_template_counts(spark, sf_dir):
+    from ..streaming.stream import windowed_template_counts
+
+    return windowed_template_counts(_entries(spark, sf_dir), "1 hour", "15 minutes")
+
+
+@register("approx_template_pairs")
+def q_approx_template_pairs(spark, sf_dir):
+    from ..operators.features import embed_templates
+    from ..operators.similarity import similar_pairs_approx
+
+    c = clustering(spark, sf_dir)
+    v = c.templates.select("vkey", embed_templates("template").alias("vector"))
+    p = similar_pairs_approx(v, "vkey", "vector", fixed.SIMILARITY_THRESHOLD)
+    t = c.templates.select("vkey", "template")
+    e = p.join(t.withColumnRenamed("vkey", "i").withColumnRenamed("template", "ti"), "i").join(
+        t.withColumnRenamed("vkey", "j").withColumnRenamed("template", "tj"), "j")
+    return e.select(F.least("ti", "tj").alias("template_a"), F.greatest("ti", "tj").alias("template_b"),
+                    F.round("cosine", 6).alias("cosine"))
