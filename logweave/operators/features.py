@@ -109,11 +109,21 @@ def template_vector(t: str) -> np.ndarray:
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
-def embed_templates(t: pd.Series) -> pd.Series:
-    """Template -> 128 floats (zeros for NULL/empty)."""
+def _embed_udf(t: pd.Series) -> pd.Series:
     return pd.Series([template_vector(x if isinstance(x, str) else "") for x in t])
 
 
+def embed_templates(c) -> Column:
+    """Template column -> 128 floats (zeros for NULL/empty), one Arrow
+    batch at a time."""
+    from pyspark.sql import SparkSession
+
+    from ..session import ship_package
+
+    ship_package(SparkSession.getActiveSession())
+    return _embed_udf(c)
+
+
 def embed(df: DataFrame, id_col: str, msg: str = "message") -> DataFrame:
     """E6 for a table: ``(id, vector)``.  Each distinct template is embedded
     once (shuffle on template with partial aggregation) and joined back."""

@@ -92,6 +92,9 @@ def similar_pairs(vectors: DataFrame, id_col: str, vec_col: str, threshold: floa
     one group and each group holds at most ``2 * block_size`` vectors
     (plus hash noise).  Shuffle volume is ``n * B`` vectors.
     """
+    from ..session import ship_package
+
+    ship_package(vectors.sparkSession)
     n = n_vectors if n_vectors is not None else vectors.count()
     nb = max(1, math.ceil(n / block_size))
     v = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_v")).where(

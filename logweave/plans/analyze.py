@@ -67,8 +67,8 @@ def cluster_entries(entries: DataFrame, threshold: float = fixed.SIMILARITY_THRE
         .withColumn("vkey", F.xxhash64("template"))
         .checkpoint()
     )
-    n_t = templates.count()
-    if n_t and templates.select("vkey").distinct().count() != n_t:
+    n_t, n_keys = templates.agg(F.count(F.lit(1)), F.count_distinct("vkey")).first()
+    if n_t != n_keys:
         raise RuntimeError("64-bit template key collision; use a wider key")
 
     vectors = templates.select("vkey", embed_templates("template").alias("vector"))

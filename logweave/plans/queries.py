@@ -34,7 +34,9 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from ..sources.tables import read_parquet
+
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _parsed(spark, sf_dir):

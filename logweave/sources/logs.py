@@ -141,4 +141,6 @@ def log_lines_from_events(events: DataFrame) -> DataFrame:
 def load_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``log_lines`` for a test-data directory (reads ``events.parquet``;
     only the columns the view needs reach the scan)."""
-    return log_lines_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    from .tables import read_parquet
+
+    return log_lines_from_events(read_parquet(spark, f"{sf_dir}/events.parquet"))
