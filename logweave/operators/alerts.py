@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 
 
-def build_alerts(results: DataFrame, members: DataFrame, entries: DataFrame) -> DataFrame:
-    """One alert per result row.  Per-cluster flags are partial
+def build_alerts(results: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One alert per result row, from entries that carry their
+    ``cluster_no`` (``Clustering.assigned``).  Per-cluster flags are partial
     aggregates; the service list is first made distinct per ``(cluster,
     service)`` by a hash aggregate, so each collected list is bounded by
     the number of distinct services, not by the cluster's row count."""
-    m = members.select("cluster_no", "id").join(entries.select("id", "level", "service"), "id")
+    m = assigned.select("cluster_no", "level", "service")
     flags = m.groupBy("cluster_no").agg(
         *[F.max((F.col("level") == lv).cast("int")).alias(f"_{lv}") for lv, _ in fixed.SEVERITY_BY_LEVEL]
     )

@@ -124,13 +124,20 @@ def embed_templates(c) -> Column:
     return _embed_udf(c)
 
 
-def embed(df: DataFrame, id_col: str, msg: str = "message") -> DataFrame:
-    """E6 for a table: ``(id, vector)``.  Each distinct template is embedded
-    once (shuffle on template with partial aggregation) and joined back."""
+def embed(df: DataFrame, id_col: str, msg: str = "message", dedupe: bool = True) -> DataFrame:
+    """E6 for a table: ``(id, vector)``.
+
+    ``dedupe=True`` (log lines: few templates, many repeats) embeds each
+    distinct template once - a shuffle on the template with partial
+    aggregation - and joins the vectors back.  ``dedupe=False`` (mostly
+    unique texts such as documents) embeds row by row in place: no
+    shuffle of long strings."""
     t = df.where(F.col(id_col).isNotNull()).select(id_col, message_template(msg).alias("template"))
+    zero = F.array_repeat(F.lit(0.0).cast("float"), DIM)
+    if not dedupe:
+        return t.select(id_col, F.coalesce(embed_templates("template"), zero).alias("vector"))
     distinct = t.where(F.col("template").isNotNull()).select("template").distinct()
     vecs = distinct.select("template", embed_templates("template").alias("vector"))
-    zero = F.array_repeat(F.lit(0.0).cast("float"), DIM)
     return t.join(vecs, "template", "left").select(
         id_col, F.coalesce(F.col("vector"), zero).alias("vector")
     )

@@ -17,15 +17,17 @@ from ..functions.text import col_of, is_blank, java_trim, json_escape_full, unes
 from .rca import rule_columns
 
 
-def sample_lines(members: DataFrame, entries: DataFrame, k: int = fixed.MAX_LINES_PER_CLUSTER,
+def sample_lines(assigned: DataFrame, k: int = fixed.MAX_LINES_PER_CLUSTER,
                  order=("source", "line_no")) -> DataFrame:
-    """The first ``k`` raw lines of each cluster, numbered 1..k.
+    """The first ``k`` raw lines of each cluster, numbered 1..k, from
+    entries that carry their ``cluster_no`` (``Clustering.assigned``, or
+    members joined to entries).
 
     ``row_number() <= k`` over a cluster window: Catalyst plans a partial
     ``WindowGroupLimit`` before the shuffle, so a cluster holding a third
     of all rows ships at most ``k`` rows per task.
     """
-    m = members.select("cluster_no", "id").join(entries.select("id", *order, "raw_line"), "id")
+    m = assigned.select("cluster_no", *order, "raw_line")
     w = Window.partitionBy("cluster_no").orderBy(*order)
     return m.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select(
         "cluster_no", F.col("n").cast("long").alias("n"), *order, "raw_line"

@@ -35,7 +35,9 @@ from ..operators.similarity import similar_pairs
 from ..session import checkpoint_dir
 
 BROADCAST_MAX_TEMPLATES = 2_000_000
-REP = ["source", "line_no", "id", "message"]
+# Order key first: min(struct) picks the lowest (source, line_no) and
+# carries the whole entry along.
+REP = ["source", "line_no", "id", "ts", "level", "service", "message", "raw_line"]
 
 
 @dataclass
@@ -45,6 +47,7 @@ class Clustering:
     edges: DataFrame      # i, j, cosine over template vkeys
     clusters: DataFrame   # cluster_no, cluster_label, component, rep_*, size
     members: DataFrame    # cluster_no, cluster_label, id, source, line_no
+    assigned: DataFrame   # every entry column + template, cluster_no, cluster_label
 
 
 def templated(entries: DataFrame) -> DataFrame:
@@ -83,12 +86,7 @@ def cluster_entries(entries: DataFrame, threshold: float = fixed.SIMILARITY_THRE
         F.lit(None).cast("long").alias("component"), F.struct(*REP).alias("rep"), F.lit(1).cast("long").alias("size")
     )
     clusters = from_templates.unionByName(singles).select(
-        "component",
-        F.col("rep.source").alias("rep_source"),
-        F.col("rep.line_no").alias("rep_line_no"),
-        F.col("rep.id").alias("rep_id"),
-        F.col("rep.message").alias("rep_message"),
-        "size",
+        "component", *[F.col(f"rep.{c}").alias(f"rep_{c}") for c in REP], "size",
     )
     numbered = global_row_number(clusters, ["rep_source", "rep_line_no"], "cluster_no").withColumn(
         "cluster_label", F.concat(F.lit("Cluster-"), F.col("cluster_no").cast("string"))
@@ -100,18 +98,21 @@ def cluster_entries(entries: DataFrame, threshold: float = fixed.SIMILARITY_THRE
     )
     if n_t <= BROADCAST_MAX_TEMPLATES:
         t2c = F.broadcast(t2c)
-    members = (
+    # Entries keep all their columns: consumers (samples, alerts, entry
+    # lookups) read this frame instead of joining members back to entries.
+    assigned = (
         et.where(F.col("vkey").isNotNull())
         .join(t2c, "template")
-        .select("cluster_no", "cluster_label", "id", "source", "line_no")
+        .select(*REP, "template", "cluster_no", "cluster_label")
         .unionByName(
             numbered.where(F.col("component").isNull()).select(
-                "cluster_no", "cluster_label", F.col("rep_id").alias("id"),
-                F.col("rep_source").alias("source"), F.col("rep_line_no").alias("line_no"),
+                *[F.col(f"rep_{c}").alias(c) for c in REP],
+                F.lit(None).cast("string").alias("template"), "cluster_no", "cluster_label",
             )
         )
     )
-    return Clustering(et, tc, edges, numbered, members)
+    members = assigned.select("cluster_no", "cluster_label", "id", "source", "line_no")
+    return Clustering(et, tc, edges, numbered, members, assigned)
 
 
 def heuristic_results(clusters: DataFrame) -> DataFrame:

@@ -185,7 +185,7 @@ FROM {O.vectors_sql(_DOC_T, 'doc_id', 't')}""")
 def q_embed_sparse(spark, sf_dir):
     from ..operators.features import embed, sparse_cells
 
-    v = sparse_cells(embed(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    v = sparse_cells(embed(table(spark, sf_dir, "documents"), "doc_id", "text", dedupe=False), "doc_id")
     return v.select("doc_id", F.col("k").cast("long").alias("k"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
@@ -437,8 +437,7 @@ _TOP = _TOP.format(header=fixed.PROMPT_HEADER.replace("'", "''").replace("\n", "
 def _sample(spark, sf_dir):
     from ..operators.prompts import sample_lines
 
-    c = clustering(spark, sf_dir)
-    return sample_lines(c.members, _entries(spark, sf_dir))
+    return sample_lines(clustering(spark, sf_dir).assigned)
 
 
 @register("cluster_top20", f"""WITH RECURSIVE {O.clusters_cte()}, {_TOP}
@@ -609,7 +608,7 @@ def q_alerts(spark, sf_dir):
     from ..operators.alerts import build_alerts
 
     c = clustering(spark, sf_dir)
-    a = build_alerts(_results(spark, sf_dir), c.members, _entries(spark, sf_dir))
+    a = build_alerts(_results(spark, sf_dir), c.assigned)
     return a.select(F.col("cluster_no").cast("long").alias("cluster_no"), "severity", "summary",
                     F.array_join("affected_services", ",").alias("affected_services"), "llm_summary")
 

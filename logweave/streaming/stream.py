@@ -35,11 +35,19 @@ def stream_entries(lines_stream: DataFrame) -> DataFrame:
 def stream_template_counts(entries_stream: DataFrame, size: str = "1 hour", slide: str = "15 minutes",
                            watermark: str = "1 hour") -> DataFrame:
     """Watermarked sliding-window counts per template (append mode
-    emits a window once the watermark passes its end)."""
-    return windowed_template_counts(entries_stream.withWatermark("ts", watermark), size, slide)
+    emits a window once the watermark passes its end).
+
+    Watermarks need a ``timestamp`` (session time zone) event time; entry
+    times are ``timestamp_ntz``, so they are cast for the watermark and the
+    window bounds are cast back, matching the batch twin."""
+    e = entries_stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    out = windowed_template_counts(e, size, slide)
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "template", "n")
 
 
 def stream_dedupe(entries_stream: DataFrame, keys: list[str], watermark: str = "1 hour") -> DataFrame:
     """D2 on a stream: drop repeats of ``keys`` seen within the watermark."""
     t = entries_stream.withColumn("template", message_template("message"))
-    return t.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
+    t = t.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    return t.dropDuplicatesWithinWatermark(keys).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

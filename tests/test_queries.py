@@ -1,0 +1,44 @@
+"""Every registered query against its DuckDB oracle on the smallest tables,
+plus the driver's smoke entry."""
+
+import os
+import sys
+
+import pytest
+
+from conftest import ROOT, SF_SMALL
+
+sys.path.insert(0, os.path.join(ROOT, "tools"))
+import __spark_entry__ as E  # noqa: E402
+from oracle_check import duck, frame_digest  # noqa: E402
+
+NAMES = sorted(E.queries())
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF_SMALL)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_matches_oracle(spark, con, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    rows = [tuple(r) for r in df.collect()]
+    sql = E.oracle_sql().get(name)
+    if sql is None:
+        assert df.columns
+        return
+    cur = con.execute(sql)
+    dcols = [d[0] for d in cur.description]
+    a = frame_digest(df.columns, rows)
+    b = frame_digest(dcols, cur.fetchall())
+    assert a[0] == b[0]
+    assert a[1] == b[1]
+    assert a[2] == b[2], (set(a[3]) ^ set(b[3]))
+
+
+def test_entry(spark):
+    df = E.entry(spark)
+    assert df.count() > 0
+    assert df.columns == ["cluster_no", "log_entry_id", "error_pattern", "root_cause", "fix_suggestion",
+                          "confidence_score", "size"]
