@@ -44,30 +44,39 @@ def classify(df: DataFrame, msg: str = "message", rules=None, default=None) -> D
     return df.select("*", *[c.alias(n) for n, c in cols.items()])
 
 
-def classify_with_rule_table(df: DataFrame, rules: DataFrame, msg: str = "message",
-                             key: str = "id") -> DataFrame:
+MAX_RULE_ROWS = 10_000
+
+
+def classify_with_rule_table(df: DataFrame, rules: DataFrame, msg: str = "message") -> DataFrame:
     """R1 with a user rule table ``(priority int, keyword string, pattern,
-    root_cause, fix_suggestion, confidence)``.
+    root_cause, fix_suggestion, confidence)``; lower priority wins.
 
-    The rule table is small by nature (a hand-written list) and is
-    broadcast; rows that hit no rule get the default.  ``key`` must be
-    unique in ``df``.
+    A rule table is hand-written configuration, so it is read once on the
+    driver - after checking it holds at most ``MAX_RULE_ROWS`` rows - and
+    compiled into one CASE expression that runs inside whole-stage codegen
+    (no join, no per-row Python).
     """
-    lowered = df.select(key, F.lower(F.coalesce(F.col(msg), F.lit(""))).alias("_m"))
-    hits = (
-        lowered.join(F.broadcast(rules), F.col("_m").contains(F.col("keyword")))
-        .groupBy(key)
-        .agg(F.min_by(F.struct("pattern", "root_cause", "fix_suggestion", "confidence"),
-                      F.col("priority")).alias("_r"))
-    )
-    d = fixed.DEFAULT_RULE
-    return df.join(hits, key, "left").select(
-        *df.columns,
-        F.concat(F.lit(fixed.HEURISTIC_PREFIX), F.coalesce(F.col("_r.pattern"), F.lit(d[0]))).alias("error_pattern"),
-        F.coalesce(F.col("_r.root_cause"), F.lit(d[1])).alias("root_cause"),
-        F.coalesce(F.col("_r.fix_suggestion"), F.lit(d[2])).alias("fix_suggestion"),
-        F.coalesce(F.col("_r.confidence").cast("double"), F.lit(float(d[3]))).alias("confidence_score"),
-    )
+    n = rules.count()
+    if n > MAX_RULE_ROWS:
+        raise ValueError(f"rule table has {n} rows; at most {MAX_RULE_ROWS} are compiled into an expression")
+    grouped = {}
+    for r in rules.orderBy("priority", "keyword").collect():
+        key = (r.priority, r.pattern, r.root_cause, r.fix_suggestion, float(r.confidence))
+        grouped.setdefault(key, []).append(r.keyword.lower())
+    compiled = [(kws, *k[1:]) for k, kws in sorted(grouped.items(), key=lambda kv: kv[0][0])]
+    return classify(df, msg, rules=compiled)
+
+
+def empty_cluster_result() -> dict[str, Column]:
+    """The result of a cluster with no entries."""
+    eid, pat, cause, fix, conf = fixed.EMPTY_CLUSTER
+    return {
+        "rep_id": F.lit(eid),
+        "error_pattern": F.lit(fixed.HEURISTIC_PREFIX + pat),
+        "root_cause": F.lit(cause),
+        "fix_suggestion": F.lit(fix),
+        "confidence_score": F.lit(float(conf)),
+    }
 
 
 def rules_table(spark) -> DataFrame:

@@ -30,7 +30,7 @@ from ..functions import fixed
 from ..functions.text import message_template
 from ..operators.components import connected_components, global_row_number
 from ..operators.features import embed_templates
-from ..operators.rca import classify
+from ..operators.rca import classify, empty_cluster_result
 from ..operators.similarity import similar_pairs
 from ..session import checkpoint_dir
 
@@ -115,15 +115,42 @@ def cluster_entries(entries: DataFrame, threshold: float = fixed.SIMILARITY_THRE
     return Clustering(et, tc, edges, numbered, members, assigned)
 
 
-def heuristic_results(clusters: DataFrame) -> DataFrame:
-    """R1/R2/R11 per cluster: the rules on the representative's message."""
-    c = classify(clusters, msg="rep_message")
+def heuristic_results(clusters: DataFrame, classify_fn=None) -> DataFrame:
+    """R1/R2/R3/R11 per cluster: the rules on the representative's
+    message; a cluster without entries (``size`` 0 or no representative,
+    possible for caller-supplied cluster tables) gets the empty-cluster
+    result."""
+    c = (classify_fn or (lambda d: classify(d, msg="rep_message")))(clusters)
+    empty = (F.coalesce(F.col("size"), F.lit(0)) == 0) | F.col("rep_id").isNull()
+    e = empty_cluster_result()
+    pick = {k: F.when(empty, v).otherwise(F.col(k)) for k, v in e.items()}
     return c.select(
         "cluster_no",
-        F.concat_ws(":", "cluster_label", "rep_id").alias("log_entry_id"),
-        "error_pattern",
-        "root_cause",
-        "fix_suggestion",
-        "confidence_score",
+        F.concat_ws(":", "cluster_label", pick["rep_id"]).alias("log_entry_id"),
+        pick["error_pattern"].alias("error_pattern"),
+        pick["root_cause"].alias("root_cause"),
+        pick["fix_suggestion"].alias("fix_suggestion"),
+        pick["confidence_score"].alias("confidence_score"),
         "size",
     )
+
+
+def analyze(lines: DataFrame, replies: DataFrame | None = None, *, ingest_fn=None, cluster_fn=None,
+            classify_fn=None, threshold: float = fixed.SIMILARITY_THRESHOLD) -> DataFrame:
+    """Raw lines -> one result row per cluster.
+
+    ``replies=None`` is the offline mode (keyword rules only); otherwise
+    ``replies(cluster_no, response)`` are parsed and clusters without a reply
+    fall back to the rules.  ``ingest_fn`` (lines -> entries), ``cluster_fn``
+    (entries -> Clustering) and ``classify_fn`` (clusters -> clusters with
+    the four result columns, e.g. ``classify_with_rule_table``) replace the
+    built-in steps.
+    """
+    from ..operators.ingest import ingest
+    from ..operators.prompts import resolve
+
+    entries = (ingest_fn or ingest)(lines)
+    c = (cluster_fn or (lambda e: cluster_entries(e, threshold)))(entries)
+    if replies is None:
+        return heuristic_results(c.clusters, classify_fn)
+    return resolve(c.clusters, replies)

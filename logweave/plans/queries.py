@@ -653,3 +653,15 @@ def q_approx_template_pairs(spark, sf_dir):
         t.withColumnRenamed("vkey", "j").withColumnRenamed("template", "tj"), "j")
     return e.select(F.least("ti", "tj").alias("template_a"), F.greatest("ti", "tj").alias("template_b"),
                     F.round("cosine", 6).alias("cosine"))
+
+
+@register("heuristic_rca_rule_table", f"""WITH {O.entries_cte()}
+SELECT {O.rule_case('message', fixed.RULES, fixed.DEFAULT_RULE, 1)} AS error_pattern,
+       {O.rule_case('message', fixed.RULES, fixed.DEFAULT_RULE, 4)} AS confidence_score,
+       count(*) AS n
+FROM log_entries GROUP BY 1, 2""")
+def q_heuristic_rca_rule_table(spark, sf_dir):
+    from ..operators.rca import classify_with_rule_table, rules_table
+
+    e = classify_with_rule_table(_entries(spark, sf_dir), rules_table(spark))
+    return e.groupBy("error_pattern", "confidence_score").agg(F.count(F.lit(1)).alias("n"))

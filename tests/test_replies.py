@@ -50,3 +50,33 @@ def test_resolve_fallback(spark):
     assert (r[3].source, r[3].error_pattern) == ("reply", "[Heuristic] Malformed LLM response")
     off = {x.cluster_no: x for x in resolve(clusters, None).collect()}
     assert off[1].error_pattern == "[Heuristic] Network/Connection Error" and off[3].confidence_score == 0.3
+
+
+def test_empty_cluster_and_rule_table(spark):
+    from logweave.operators.rca import classify_with_rule_table, rules_table
+    from logweave.plans.analyze import heuristic_results
+
+    clusters = spark.createDataFrame([(1, "Cluster-1", None, None, 0), (2, "Cluster-2", "b", "Out of memory", 4)],
+                                     "cluster_no long, cluster_label string, rep_id string, rep_message string, size long")
+    r = {x.cluster_no: x for x in heuristic_results(clusters).collect()}
+    assert (r[1].log_entry_id, r[1].error_pattern, r[1].confidence_score) == (
+        "Cluster-1:empty-cluster", "[Heuristic] No entries to analyze.", 0.0)
+    assert r[2].error_pattern == "[Heuristic] Out-of-Memory Error"
+    df = spark.createDataFrame([("Authentication lost connection",), ("a cheap trick",), ("fine",)], "message string")
+    got = [x.error_pattern for x in classify_with_rule_table(df, rules_table(spark)).collect()]
+    assert got == ["[Heuristic] Network/Connection Error", "[Heuristic] Out-of-Memory Error", "[Heuristic] Unclassified Error"]
+
+
+def test_analyze_offline_and_with_replies(spark):
+    from conftest import lines_df
+
+    from logweave.plans.analyze import analyze
+
+    lines = lines_df(spark, ["2024-01-15 10:23:45 ERROR a - Connection refused", "2024-01-15 10:23:46 ERROR a - Connection refused",
+                             "2024-01-15 10:23:47 ERROR b - heap space exhausted"])
+    off = analyze(lines).orderBy("cluster_no").collect()
+    assert [x.size for x in off] == [2, 1] and off[0].error_pattern == "[Heuristic] Network/Connection Error"
+    replies = spark.createDataFrame([(2, '{"content":[{"type":"text","text":"{\\"errorPattern\\":\\"GC\\"}"}]}')],
+                                    "cluster_no long, response string")
+    on = {x.cluster_no: x for x in analyze(lines, replies).collect()}
+    assert on[2].error_pattern == "GC" and on[1].source == "rules"
