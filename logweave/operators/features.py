@@ -144,5 +144,9 @@ def embed(df: DataFrame, id_col: str, msg: str = "message", dedupe: bool = True)
 
 
 def sparse_cells(df: DataFrame, id_col: str, vec: str = "vector") -> DataFrame:
-    """Dense vector -> non-zero cells ``(id, k, value)``."""
-    return df.select(id_col, F.posexplode(vec).alias("k", "value")).where(F.col("value") != 0)
+    """Dense vector -> non-zero cells ``(id, k, value)``.
+
+    ``posexplode_outer``: for a plain column input, ``posexplode`` makes
+    Catalyst infer a ``size(vector) > 0`` filter and push it below the
+    projection, which would evaluate the embedding UDF a second time."""
+    return df.select(id_col, F.posexplode_outer(vec).alias("k", "value")).where(F.col("value") != 0)

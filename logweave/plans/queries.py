@@ -229,7 +229,7 @@ def clustering(spark, sf_dir):
     are lazily re-read from checkpoints, so reuse is safe."""
     from .analyze import cluster_entries
 
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CLUSTERING:
         _CLUSTERING[key] = cluster_entries(_entries(spark, sf_dir))
     return _CLUSTERING[key]
