@@ -46,8 +46,13 @@ def _java_cos_rows(A: np.ndarray, B: np.ndarray) -> np.ndarray:
         return np.where(den == 0.0, 0.0, dot / den)
 
 
+CHUNK_ROWS = 1024
+
+
 def _block_pairs(threshold: float):
     slack = 1e-6  # candidates by float64 matmul, then the exact re-check
+    empty = pd.DataFrame({"i": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int64"),
+                          "cosine": pd.Series([], dtype="float64")})
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf[pdf["_side"] == 0]
@@ -56,34 +61,52 @@ def _block_pairs(threshold: float):
         if diag:
             right = left
         if left.empty:
-            return pd.DataFrame({"i": [], "j": [], "cosine": []})
+            return empty
         A = np.stack(left["_v"].to_numpy()).astype(np.float32)
         B = np.stack(right["_v"].to_numpy()).astype(np.float32)
         ia = left["_id"].to_numpy(dtype=np.int64)
         ib = right["_id"].to_numpy(dtype=np.int64)
-        na = np.sqrt((A.astype(np.float64) ** 2).sum(axis=1))
-        nb = np.sqrt((B.astype(np.float64) ** 2).sum(axis=1))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            S = (A.astype(np.float64) @ B.astype(np.float64).T) / np.outer(na, nb)
-        S = np.nan_to_num(S, nan=0.0, posinf=0.0, neginf=0.0)
-        r, c = np.nonzero(S >= threshold - slack)
-        if diag:
-            keep = ia[r] < ib[c]
-            r, c = r[keep], c[keep]
-        if r.size == 0:
-            return pd.DataFrame({"i": [], "j": [], "cosine": []})
-        cos = _java_cos_rows(A[r], B[c])
-        keep = cos >= threshold
-        r, c, cos = r[keep], c[keep], cos[keep]
-        i = np.minimum(ia[r], ib[c])
-        j = np.maximum(ia[r], ib[c])
-        return pd.DataFrame({"i": i, "j": j, "cosine": cos})
+        A64, B64 = A.astype(np.float64), B.astype(np.float64)
+        na = np.sqrt((A64 ** 2).sum(axis=1))
+        nb = np.sqrt((B64 ** 2).sum(axis=1))
+        out = []
+        # Row chunks bound the similarity matrix to CHUNK_ROWS x len(B).
+        for lo in range(0, len(A), CHUNK_ROWS):
+            hi = min(lo + CHUNK_ROWS, len(A))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                S = (A64[lo:hi] @ B64.T) / np.outer(na[lo:hi], nb)
+            S = np.nan_to_num(S, nan=0.0, posinf=0.0, neginf=0.0)
+            r, c = np.nonzero(S >= threshold - slack)
+            r = r + lo
+            if diag:
+                keep = ia[r] < ib[c]
+                r, c = r[keep], c[keep]
+            if r.size == 0:
+                continue
+            cos = _java_cos_rows(A[r], B[c])
+            keep = cos >= threshold
+            r, c, cos = r[keep], c[keep], cos[keep]
+            out.append(pd.DataFrame({"i": np.minimum(ia[r], ib[c]), "j": np.maximum(ia[r], ib[c]), "cosine": cos}))
+        return pd.concat(out, ignore_index=True) if out else empty
 
     return fn
 
 
+def _pair_groups(v: DataFrame, nb, key: list[str]) -> DataFrame:
+    """Replicate vectors ``(_id, _v, _b)`` into block-pair groups: block
+    ``b`` goes left to ``(b, b..nb-1)`` and right to ``(0..b-1, b)``, within
+    each ``key`` group (``nb`` may be a column)."""
+    nb = F.lit(nb) if isinstance(nb, int) else nb
+    left = v.select(*key, "_id", "_v", F.lit(0).alias("_side"), F.col("_b").alias("_bi"),
+                    F.explode(F.sequence(F.col("_b"), nb - 1)).alias("_bj"))
+    right = v.where(F.col("_b") > 0).select(
+        *key, "_id", "_v", F.lit(1).alias("_side"),
+        F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_bi"), F.col("_b").alias("_bj"))
+    return left.unionByName(right)
+
+
 def similar_pairs(vectors: DataFrame, id_col: str, vec_col: str, threshold: float,
-                  block_size: int = 2048, n_vectors: int | None = None) -> DataFrame:
+                  block_size: int = 4096, n_vectors: int | None = None) -> DataFrame:
     """All pairs ``i < j`` with ``cosine >= threshold`` (exact).
 
     ``id_col`` must be a unique bigint key.  ``B = ceil(n / block_size)``
@@ -101,37 +124,45 @@ def similar_pairs(vectors: DataFrame, id_col: str, vec_col: str, threshold: floa
         F.col("_v").isNotNull()
     )
     v = v.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int"))
-    left = v.select("_id", "_v", F.lit(0).alias("_side"), F.col("_b").alias("_bi"),
-                    F.explode(F.sequence(F.col("_b"), F.lit(nb - 1))).alias("_bj"))
-    right = v.where(F.col("_b") > 0).select(
-        "_id", "_v", F.lit(1).alias("_side"),
-        F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_bi"), F.col("_b").alias("_bj"))
-    both = left.unionByName(right)
+    both = _pair_groups(v, nb, [])
     return both.groupBy("_bi", "_bj").applyInPandas(_block_pairs(float(threshold)), PAIR_SCHEMA)
 
 
 def similar_pairs_approx(vectors: DataFrame, id_col: str, vec_col: str, threshold: float,
-                         bucket_length: float = 0.5, num_hash_tables: int = 4, seed: int = 7) -> DataFrame:
-    """Approximate pairs by random-projection LSH on unit vectors
-    (Euclidean distance <= sqrt(2 - 2t) <=> cosine >= t), then the exact
-    cosine re-check.  Recall < 1 by design; no pair below the threshold is
-    ever returned."""
+                         bucket_length: float = 0.5, num_hash_tables: int = 4, seed: int = 7,
+                         block_size: int = 4096) -> DataFrame:
+    """Approximate pairs: only vectors sharing a random-projection LSH
+    bucket (MLlib ``BucketedRandomProjectionLSH`` on unit vectors, so a
+    Euclidean bucket is a cosine neighbourhood) are compared.
+
+    The bucket is used as a blocking key, not joined with itself: inside a
+    bucket the vectors are split into sub-blocks of at most ``block_size``
+    and paired exactly like ``similar_pairs``, so a bucket holding a third
+    of all vectors still yields bounded groups.  Pairs found in several
+    hash tables are de-duplicated.  Recall < 1 by design; every returned
+    pair is re-checked with the exact cosine, so none is below the
+    threshold.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    from ..session import ship_package
+
+    ship_package(vectors.sparkSession)
     norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     unit = vectors.select(
-        F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("raw"),
+        F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_v"),
         array_to_vector(F.transform(F.col(vec_col), lambda x: x / norm)).alias("features"),
     ).where(norm > 0)
     lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
                                       bucketLength=bucket_length, numHashTables=num_hash_tables, seed=seed)
-    model = lsh.fit(unit)
-    dist = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-6
-    joined = model.approxSimilarityJoin(unit, unit, dist, distCol="_d").where(
-        F.col("datasetA.id") < F.col("datasetB.id"))
-    out = joined.select(
-        F.col("datasetA.id").alias("i"), F.col("datasetB.id").alias("j"),
-        cosine(F.col("datasetA.raw"), F.col("datasetB.raw")).alias("cosine"),
-    )
-    return out.where(F.col("cosine") >= threshold)
+    hashed = lsh.fit(unit).transform(unit)
+    keyed = hashed.select(
+        "_id", "_v", F.posexplode(F.transform("hashes", lambda h: vector_to_array(h)[0])).alias("_t", "_h")
+    ).select("_id", "_v", F.xxhash64("_t", "_h").alias("_key"))
+    sizes = keyed.groupBy("_key").agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_size))).cast("int").alias("_nb"))
+    v = keyed.join(sizes, "_key").withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int"))
+    groups = _pair_groups(v, F.col("_nb"), ["_key"])
+    pairs = groups.groupBy("_key", "_bi", "_bj").applyInPandas(_block_pairs(float(threshold)), PAIR_SCHEMA)
+    return pairs.dropDuplicates(["i", "j"])

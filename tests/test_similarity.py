@@ -37,3 +37,21 @@ def test_lsh_has_no_false_pairs(spark):
                                                           num_hash_tables=8).collect()}
     assert approx <= exact
     assert len(approx) >= 0.5 * len(exact)
+
+
+def test_block_kernel_chunks(monkeypatch):
+    import pandas as pd
+
+    from logweave.operators import similarity as S
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(5, 16)).astype(np.float32)
+    vecs = np.concatenate([base[rng.integers(0, 5, 300)] + 0.05 * rng.normal(size=(300, 16)).astype(np.float32)])
+    ids = np.arange(300, dtype=np.int64) * 7 + 3
+    pdf = pd.DataFrame({"_id": ids, "_v": list(vecs.astype(np.float32)), "_side": 0})
+    want = {(a, b, round(c, 9)) for a, b, c in _brute(list(vecs.astype(np.float32)), list(ids), 0.9)}
+    for chunk in (7, 64, 1024):
+        monkeypatch.setattr(S, "CHUNK_ROWS", chunk)
+        got = S._block_pairs(0.9)(pdf)
+        assert {(int(r.i), int(r.j), round(r.cosine, 9)) for r in got.itertuples()} == want
+    assert len(want) > 100
