@@ -51,3 +51,63 @@ def stream_dedupe(entries_stream: DataFrame, keys: list[str], watermark: str = "
     t = entries_stream.withColumn("template", message_template("message"))
     t = t.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     return t.dropDuplicatesWithinWatermark(keys).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def read_log_stream(spark, path: str | None = None, kafka: dict | None = None, source_name: str = "stream") -> DataFrame:
+    """Streaming ``log_lines``.
+
+    * ``path``: new text files in a folder (one row per line; ``source`` is
+      the file path).  Streams cannot number rows, so ``line_no`` is NULL
+      and ``block_start`` (the split's byte offset) is kept;
+      ``number_lines`` gives each micro-batch the order key of
+      ``read_log_lines`` (``cluster_each_batch`` does this).
+    * ``kafka``: options for the Kafka source (``kafka.bootstrap.servers``,
+      ``subscribe``, ...; ``startingOffsets`` defaults to ``earliest``).
+      ``source`` is ``topic:partition`` and ``line_no`` the offset.  Needs
+      the Kafka connector on the classpath.
+    """
+    if (path is None) == (kafka is None):
+        raise ValueError("give exactly one of path or kafka")
+    if path is not None:
+        df = spark.readStream.format("text").load(path)
+        return df.select(
+            F.col("_metadata.file_path").alias("source"),
+            F.lit(None).cast("bigint").alias("line_no"),
+            F.col("value").alias("raw_line"),
+            F.col("_metadata.file_block_start").alias("block_start"),
+        )
+    opts = {"startingOffsets": "earliest", **kafka}
+    df = spark.readStream.format("kafka").options(**opts).load()
+    return df.select(
+        F.concat_ws(":", "topic", F.col("partition").cast("string")).alias("source"),
+        F.col("offset").alias("line_no"),
+        F.col("value").cast("string").alias("raw_line"),
+    )
+
+
+def number_lines(batch_df: DataFrame) -> DataFrame:
+    """Order key for a micro-batch of text-stream lines: split start plus
+    the row's position inside its task."""
+    if "block_start" not in batch_df.columns:
+        return batch_df
+    pos = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)
+    return batch_df.select("source", F.coalesce("line_no", F.col("block_start") + pos).alias("line_no"), "raw_line")
+
+
+def cluster_each_batch(lines_stream: DataFrame, write_results, checkpoint_location: str,
+                       trigger: dict | None = None, threshold: float | None = None):
+    """C2-C4 per micro-batch: clustering is not an append-only stateful
+    operator, so each micro-batch of lines is clustered as a batch (the
+    full ``analyze`` plan) inside ``foreachBatch`` and handed to
+    ``write_results(results_df, batch_id)``.  Returns the started query."""
+    from ..functions import fixed
+    from ..plans.analyze import analyze
+
+    t = fixed.SIMILARITY_THRESHOLD if threshold is None else threshold
+
+    def run(batch_df, batch_id):
+        write_results(analyze(number_lines(batch_df), threshold=t), batch_id)
+
+    w = lines_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
+    w = w.trigger(**(trigger or {"availableNow": True}))
+    return w.start()

@@ -35,3 +35,28 @@ def test_stream_dedupe_runs(spark):
                    .selectExpr("*", "lower(message) AS m"), ["level", "service"])
     assert 0 < n <= ingest(load_log_lines(spark, SF_SMALL)).count()
     assert batch.count() > 0
+
+
+def test_text_stream_clustered_per_batch(spark):
+    import shutil
+
+    from logweave.streaming.stream import cluster_each_batch, read_log_stream
+
+    src = tempfile.mkdtemp(prefix="logweave-in-")
+    shutil.copy(os.path.join(os.path.dirname(__file__), "data", "sample.log"), os.path.join(src, "a.log"))
+    got = []
+
+    def sink(df, batch_id):
+        got.extend(df.collect())
+
+    q = cluster_each_batch(read_log_stream(spark, path=src), sink, tempfile.mkdtemp(prefix="logweave-ck-"))
+    q.awaitTermination()
+    assert got and sum(r.size for r in got) == 21
+    assert sorted(r.cluster_no for r in got) == list(range(1, len(got) + 1))
+
+
+def test_every_parse_branch_occurs(spark):
+    from logweave.operators.ingest import parse_lines
+
+    b = {r.branch for r in parse_lines(load_log_lines(spark, SF_SMALL)).select("branch").distinct().collect()}
+    assert b == {"service", "noservice", "json", None}
