@@ -38,10 +38,6 @@ def template_counts(df: DataFrame, template: str = "template", order: str = "lin
     )
 
 
-def _codes(t: Column) -> Column:
-    return F.transform(F.split(t, ""), lambda ch: F.ascii(ch))
-
-
 def ngram_features(df: DataFrame, id_col: str, template: str = "template",
                    kinds=("bigram", "unigram")) -> DataFrame:
     """E3/E4 long form: ``(id, k, w)`` summed per cell.
@@ -50,26 +46,27 @@ def ngram_features(df: DataFrame, id_col: str, template: str = "template",
     unigram cell ``(c*13) % 128`` weight 0.5 per character.  Template
     characters are ``a-z``, ``<``, ``>`` and space, so cells are never
     negative.
+
+    No lambdas: a look-ahead ``regexp_extract_all`` returns every
+    overlapping character pair in one call, ``split(t, '')`` every
+    character; one explode over both lists, and the cell is a codegen'd
+    expression on the element (length 2 = bigram, 1 = unigram).
     """
     t = F.col(template)
-    n = F.length(t)
-    codes = _codes(t)
     parts = []
     if "bigram" in kinds:
-        pairs = F.when(
-            n >= 2,
-            F.zip_with(
-                F.slice(codes, 1, n - 1), F.slice(codes, 2, n - 1),
-                lambda a, b: F.pmod((a * fixed.BIGRAM_MULT + b).bitwiseXOR(F.lit(fixed.BIGRAM_XOR)), F.lit(DIM)),
-            ),
-        )
-        parts.append(F.transform(pairs, lambda k: F.struct(k.alias("k"), F.lit(fixed.BIGRAM_WEIGHT).alias("w"))))
+        parts.append(F.regexp_extract_all(t, F.lit("(?=(..))"), 1))
     if "unigram" in kinds:
-        uni = F.when(n >= 1, F.transform(codes, lambda c: F.pmod(c * fixed.UNIGRAM_MULT, F.lit(DIM))))
-        parts.append(F.transform(uni, lambda k: F.struct(k.alias("k"), F.lit(fixed.UNIGRAM_WEIGHT).alias("w"))))
-    cells = parts[0] if len(parts) == 1 else F.concat(*[F.coalesce(p, F.array()) for p in parts])
-    exploded = df.where(t.isNotNull() & (n > 0)).select(F.col(id_col), F.inline(cells))
-    return exploded.groupBy(id_col, "k").agg(F.sum("w").alias("w"))
+        parts.append(F.split(t, ""))
+    items = parts[0] if len(parts) == 1 else F.concat(*parts)
+    e = df.where(t.isNotNull() & (F.length(t) > 0)).select(F.col(id_col), F.explode(items).alias("g"))
+    c1 = F.ascii(F.substring("g", 1, 1))
+    c2 = F.ascii(F.substring("g", 2, 1))
+    big = F.length("g") == 2
+    k = F.when(big, F.pmod((c1 * fixed.BIGRAM_MULT + c2).bitwiseXOR(F.lit(fixed.BIGRAM_XOR)), F.lit(DIM))).otherwise(
+        F.pmod(c1 * fixed.UNIGRAM_MULT, F.lit(DIM)))
+    w = F.when(big, F.lit(fixed.BIGRAM_WEIGHT)).otherwise(F.lit(fixed.UNIGRAM_WEIGHT))
+    return e.select(id_col, k.alias("k"), w.alias("w")).groupBy(id_col, "k").agg(F.sum("w").alias("w"))
 
 
 def l2_normalize_long(df: DataFrame, id_col: str, k: str = "k", w: str = "w") -> DataFrame:
