@@ -66,13 +66,13 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
     spark = vertices.sparkSession
     checkpoint_dir(spark)
     e = _canonical(edges, src, dst).checkpoint()
-    if not e.isEmpty():
-        for _ in range(max_rounds):
-            e = _small_star(_large_star(e)).checkpoint()
-            if _is_star_forest(e):
-                break
-        else:
+    rounds = 0
+    # An empty edge set, or one that is already a star forest, needs no round.
+    while not _is_star_forest(e):
+        if rounds == max_rounds:
             raise RuntimeError("connected components did not converge")
+        e = _small_star(_large_star(e)).checkpoint()
+        rounds += 1
     label = e.select(F.col("b").alias("_v"), F.col("a").alias("component")).unionByName(
         e.select(F.col("a").alias("_v"), F.col("a").alias("component"))
     ).distinct()

@@ -22,6 +22,9 @@ def get_spark(master: str | None = None, app: str = "logweave", shuffle_partitio
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # AQE coalesces small shuffle partitions towards this size and splits
+        # skewed join partitions; start from many partitions on a cluster.
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
