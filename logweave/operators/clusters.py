@@ -20,11 +20,12 @@ def flag_small(clusters: DataFrame, size_col: str = "size", n: int = fixed.SMALL
     return clusters.withColumn("low_confidence", F.col(size_col) < n)
 
 
-def representatives(members_with_entries: DataFrame, order=("source", "line_no")) -> DataFrame:
-    """First member of each cluster by the order key (``min`` of a
-    struct: partial aggregation, a hot cluster costs one row per task)."""
-    first = F.min(F.struct(*order, "id", "message", "raw_line")).alias("rep")
-    return members_with_entries.groupBy("cluster_no").agg(first).select(
-        "cluster_no", F.col("rep.id").alias("rep_id"), F.col("rep.message").alias("rep_message"),
-        F.col("rep.raw_line").alias("rep_raw_line"),
-    )
+def representatives(members_with_entries: DataFrame) -> DataFrame:
+    """First member of each cluster by ``(source, line_no)`` with hash
+    aggregation (``first_per_group``: a hot cluster costs one partial row
+    per task, no task sorts its input)."""
+    from .firsts import first_per_group
+
+    r = first_per_group(members_with_entries, ["cluster_no"], ["id", "message", "raw_line"])
+    return r.select("cluster_no", F.col("id").alias("rep_id"), F.col("message").alias("rep_message"),
+                    F.col("raw_line").alias("rep_raw_line"), F.col("n").alias("size"))

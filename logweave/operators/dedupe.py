@@ -1,8 +1,9 @@
 """Deduplication (D2, declared only by the reference; rules are ours).
 
-Batch: keep the first entry (lowest order key) of each key group and
-count the copies.  ``min`` of a struct is a partial aggregate, so a key
-holding a third of all rows costs one partial row per task.
+Batch: keep the first entry (lowest ``(source, line_no)``) of each key
+group and count the copies.  Hash aggregation with map-side partial
+aggregates (``first_per_group``), so a key holding a third of all rows
+costs one partial row per task and no task sorts its input.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dedupe(df: DataFrame, keys: list[str], order=("source", "line_no"), keep: list[str] | None = None) -> DataFrame:
-    keep = keep or [c for c in df.columns if c not in keys and c not in order]
-    first = F.min(F.struct(*order, *keep)).alias("_f")
-    g = df.groupBy(*keys).agg(first, F.count(F.lit(1)).alias("dup_count"))
-    return g.select(*keys, *[F.col(f"_f.{c}").alias(c) for c in (*order, *keep)], "dup_count")
+def dedupe(df: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:
+    """``(keys..., source, line_no, keep..., dup_count)``."""
+    from .firsts import first_per_group
+
+    keep = keep or [c for c in df.columns if c not in keys and c not in ("source", "line_no")]
+    g = first_per_group(df, keys, ["source", "line_no", *keep])
+    return g.withColumnRenamed("n", "dup_count")

@@ -30,6 +30,7 @@ from ..functions import fixed
 from ..functions.text import message_template
 from ..operators.components import connected_components, global_row_number
 from ..operators.features import embed_templates
+from ..operators.firsts import fetch_rows, first_keys
 from ..operators.rca import classify, empty_cluster_result
 from ..operators.similarity import similar_pairs
 from ..session import checkpoint_dir
@@ -43,7 +44,7 @@ REP = ["source", "line_no", "id", "ts", "level", "service", "message", "raw_line
 @dataclass
 class Clustering:
     entries: DataFrame    # id, source, line_no, message, template, vkey
-    templates: DataFrame  # template, vkey, n, first (struct), component
+    templates: DataFrame  # template, vkey, n, first (struct source, line_no), component
     edges: DataFrame      # i, j, cosine over template vkeys
     clusters: DataFrame   # cluster_no, cluster_label, component, rep_*, size
     members: DataFrame    # cluster_no, cluster_label, id, source, line_no
@@ -63,10 +64,11 @@ def cluster_entries(entries: DataFrame, threshold: float = fixed.SIMILARITY_THRE
     checkpoint_dir(spark)
     et = templated(entries).persist(StorageLevel.MEMORY_AND_DISK)
 
+    # Template table by hash aggregation only (see operators/firsts.py):
+    # count and the first (source, line_no) of every template.
     templates = (
-        et.where(F.col("vkey").isNotNull())
-        .groupBy("template")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*REP)).alias("first"))
+        first_keys(et.where(F.col("vkey").isNotNull()), ["template"])
+        .select("template", "n", F.struct(F.col("_s").alias("source"), F.col("_l").alias("line_no")).alias("first"))
         .withColumn("vkey", F.xxhash64("template"))
         .checkpoint()
     )
@@ -79,9 +81,12 @@ def cluster_entries(entries: DataFrame, threshold: float = fixed.SIMILARITY_THRE
     comp = connected_components(templates.select(F.col("vkey").alias("id")), edges)
     tc = templates.join(comp.withColumnRenamed("id", "vkey"), "vkey")
 
-    from_templates = tc.groupBy("component").agg(
-        F.min("first").alias("rep"), F.sum("n").alias("size")
-    )
+    # One row per component: its first entry, fetched by a broadcast
+    # equi-join (at most one row per template).
+    comp_first = tc.groupBy("component").agg(F.min("first").alias("_k"), F.sum("n").alias("size")).select(
+        "component", "size", F.col("_k.source").alias("_s"), F.col("_k.line_no").alias("_l"))
+    from_templates = fetch_rows(et, comp_first, n_t).select(
+        "component", F.struct(*REP).alias("rep"), "size")
     singles = et.where(F.col("vkey").isNull()).select(
         F.lit(None).cast("long").alias("component"), F.struct(*REP).alias("rep"), F.lit(1).cast("long").alias("size")
     )
