@@ -16,6 +16,13 @@ def dedupe(df: DataFrame, keys: list[str], keep: list[str] | None = None) -> Dat
     """``(keys..., source, line_no, keep..., dup_count)``."""
     from .firsts import first_per_group
 
-    keep = keep or [c for c in df.columns if c not in keys and c not in ("source", "line_no")]
+    from .firsts import first_keys
+
+    keep = [c for c in df.columns if c not in keys and c not in ("source", "line_no")] if keep is None else keep
+    if not keep:
+        # Only the order key is kept: one pass of hash aggregates, no fetch.
+        f = first_keys(df, keys)
+        return f.select(*keys, F.col("_s").alias("source"), F.col("_l").alias("line_no"),
+                        F.col("n").alias("dup_count"))
     g = first_per_group(df, keys, ["source", "line_no", *keep])
     return g.withColumnRenamed("n", "dup_count")

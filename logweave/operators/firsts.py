@@ -39,7 +39,12 @@ def first_per_group(df: DataFrame, keys: list[str], cols: list[str], source: str
                     line: str = "line_no") -> DataFrame:
     """``(keys..., cols..., n)``: for each group the columns of its first row
     by ``(source, line)`` and the group's row count."""
-    firsts = first_keys(df, keys, source, line)
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    # One group row per key: small; written once so counting it and joining
+    # it do not read the input again.
+    firsts = first_keys(df, keys, source, line).checkpoint()
     data = df.select(*[F.col(c).alias(f"_d_{c}") for c in dict.fromkeys([source, line, *cols])])
-    j = fetch_rows(data, firsts, None, f"_d_{source}", f"_d_{line}")
+    j = fetch_rows(data, firsts, firsts.count(), f"_d_{source}", f"_d_{line}")
     return j.select(*keys, *[F.col(f"_d_{c}").alias(c) for c in cols], "n")

@@ -625,7 +625,9 @@ def q_dedupe_entries(spark, sf_dir):
     from ..operators.dedupe import dedupe
 
     e = _entries(spark, sf_dir).withColumn("template", message_template("message"))
-    return dedupe(e, ["level", "service", "template"], keep=["id"])
+    # The kept entry's id derives from its (source, line_no): nothing to fetch.
+    d = dedupe(e, ["level", "service", "template"], keep=[])
+    return d.select("level", "service", "template", "source", "line_no", ing.entry_id().alias("id"), "dup_count")
 
 
 @register("sliding_template_counts", f"""WITH {O.entries_cte()},
