@@ -64,15 +64,17 @@ def _lookup(keys, default) -> str:
     return out
 
 
-def parsed_cte() -> str:
-    """``parsed``: one row per log line with line, branch and raw fields."""
+def parsed_cte(lines_table: str | None = None) -> str:
+    """``parsed``: one row per log line with line, branch and raw fields
+    (``log_lines`` from ``events``, or from ``lines_table`` when given)."""
     val = (
         f"NULLIF(CASE WHEN rv[i] IS NULL THEN {unesc_obj(jtrim('qv[i]'))} ELSE "
         f"(CASE WHEN length({jtrim('rv[i]')}) >= 2 AND starts_with({jtrim('rv[i]')}, '\"') "
         f"AND ends_with({jtrim('rv[i]')}, '\"') THEN substr({jtrim('rv[i]')}, 2, length({jtrim('rv[i]')}) - 2) "
         f"ELSE {jtrim('rv[i]')} END) END, 'null')"
     )
-    return f"""{log_lines_cte()},
+    src = log_lines_cte() if lines_table is None else f"log_lines AS (SELECT * FROM {lines_table})"
+    return f"""{src},
 ll AS (
   SELECT source, line_no, raw_line,
          regexp_replace(raw_line, {q('^' + JWS + '+|' + JWS + '+$')}, '', 'g') AS s
@@ -119,9 +121,9 @@ def level_expr(x: str) -> str:
     )
 
 
-def entries_cte() -> str:
+def entries_cte(lines_table: str | None = None) -> str:
     """``parsed`` plus ``log_entries``."""
-    return f"""{parsed_cte()},
+    return f"""{parsed_cte(lines_table)},
 log_entries AS (
   SELECT sha256(source || ':' || CAST(line_no AS VARCHAR)) AS id, source, line_no,
          {ts_expr('ts_text')} AS ts, {level_expr('level_text')} AS level,
