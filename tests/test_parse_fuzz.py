@@ -99,3 +99,45 @@ def test_entries_match_oracle_on_random_lines(spark):
     bad = [(lines[i - 1], got[i], want[i]) for i in got if got[i] != want[i]]
     assert not bad, bad[:5]
     assert any(v[1] is None for v in got.values()) and any(v[1] is not None for v in got.values())
+
+
+def make_replies(seed, n):
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        fields = []
+        for k in r.sample(["errorPattern", "rootCause", "fixSuggestion", "confidenceScore", "other"], r.randrange(0, 5)):
+            if k == "confidenceScore":
+                v = r.choice(["0.92", "1.7", "-1", '"abc"', '"0.5"', "null", "1e-1", '" 0.3 "', "NaN"])
+            else:
+                v = r.choice(['"A"', '"B c"', "null", '"x\\\\"y"', '""', "12"])
+            fields.append(f'"{k}":{r.choice(["", " "])}{v}')
+        body = "{" + ",".join(fields) + "}"
+        wrap = r.choice(["{b}", "```json\n{b}\n```", "Sure: {b} ok", "{b} trailing }", "no braces", "   ", "", "} {b",
+                         "```{b}```", "pre { mid"])
+        out.append(None if r.random() < 0.05 else wrap.replace("{b}", body))
+    return out
+
+
+def test_reply_parse_matches_oracle(spark):
+    from pyspark.sql import functions as F
+
+    from logweave.operators.prompts import parse_reply
+    from logweave.plans.queries import _reply_parse_sql
+
+    texts = make_replies(5, 400)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, rt string")
+    got = {r.i: (r.p.error_pattern, r.p.root_cause, r.p.fix_suggestion, r.p.confidence_score)
+           for r in df.select("i", parse_reply(F.col("rt")).alias("p")).collect()}
+    con = duckdb.connect()
+    con.register("fz_replies", pd.DataFrame({"i": range(len(texts)), "rt": texts}))
+    rows = con.execute(f"SELECT i, error_pattern, root_cause, fix_suggestion, confidence_score FROM "
+                       f"{_reply_parse_sql('fz_replies', 'i')}").fetchall()
+    want = {row[0]: tuple(row[1:]) for row in rows}
+
+    def norm(t):
+        c = t[3]
+        return t[:3] + ("nan" if c != c else round(c, 9),)
+
+    bad = [(texts[i], got[i], want[i]) for i in got if norm(got[i]) != norm(want[i])]
+    assert not bad, bad[:5]
