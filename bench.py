@@ -5,7 +5,9 @@ Each query is executed in full through the ``noop`` sink (every row is
 produced, nothing is collected).  ``rca_results`` is timed cold, i.e. it
 includes parsing, templating, embedding, the similarity join, the
 component rounds and the cluster numbering; the queries after it reuse
-that clustering, as a caller of the library would.
+that clustering, as a caller of the library would.  Each query is run
+``BENCH_RUNS`` times (default 2) and the best time is reported;
+``rca_results`` is made cold before every run.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))  # best of N per query
+
 HEADLINE = [
     "log_entries",
     "ingest_stats",
@@ -57,9 +61,15 @@ def main() -> None:
 
     times = {}
     for name in HEADLINE:
-        t0 = time.perf_counter()
-        Q.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        best = None
+        for _ in range(RUNS):
+            if name == "rca_results":
+                Q._CLUSTERING.clear()  # always cold: includes the whole clustering
+            t0 = time.perf_counter()
+            Q.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            dt = time.perf_counter() - t0
+            best = dt if best is None else min(best, dt)
+        times[name] = round(best, 3)
     lines = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     total = round(sum(times.values()), 3)
     print(json.dumps({

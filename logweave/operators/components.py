@@ -60,12 +60,20 @@ def _is_star_forest(e: DataFrame) -> bool:
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
-                         src: str = "i", dst: str = "j", max_rounds: int = 200) -> DataFrame:
+                         src: str = "i", dst: str = "j", max_rounds: int = 200,
+                         canonical: bool = False) -> DataFrame:
     """``(vid, component)`` where ``component`` is the smallest vertex id
-    of the vertex's component (isolated vertices map to themselves)."""
+    of the vertex's component (isolated vertices map to themselves).
+
+    ``canonical=True`` declares that ``edges`` already hold each undirected
+    edge once as ``src < dst`` and are materialised (e.g. checkpointed
+    ``similar_pairs`` output), which skips one distinct and one write."""
     spark = vertices.sparkSession
     checkpoint_dir(spark)
-    e = _canonical(edges, src, dst).checkpoint()
+    if canonical:
+        e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
+    else:
+        e = _canonical(edges, src, dst).checkpoint()
     rounds = 0
     # An empty edge set, or one that is already a star forest, needs no round.
     while not _is_star_forest(e):

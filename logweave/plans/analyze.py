@@ -78,7 +78,7 @@ def cluster_entries(entries: DataFrame, threshold: float = fixed.SIMILARITY_THRE
 
     vectors = templates.select("vkey", embed_templates("template").alias("vector"))
     edges = similar_pairs(vectors, "vkey", "vector", threshold, block_size, n_vectors=n_t).checkpoint()
-    comp = connected_components(templates.select(F.col("vkey").alias("id")), edges)
+    comp = connected_components(templates.select(F.col("vkey").alias("id")), edges, canonical=True)
     tc = templates.join(comp.withColumnRenamed("id", "vkey"), "vkey")
 
     # One row per component: its first entry, fetched by a broadcast
