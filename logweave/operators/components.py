@@ -103,9 +103,11 @@ def global_row_number(df: DataFrame, order_cols: list[str], name: str = "row_no"
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without an explicit count AQE may coalesce adjacent ranges, which keeps
+    # the global order (a coalesced task reads whole, consecutive ranges).
+    by_range = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
     ranged = (
-        df.repartitionByRange(p, *order_cols)
+        by_range
         .sortWithinPartitions(*order_cols)
         .select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
         .checkpoint()

@@ -59,10 +59,14 @@ def templated(entries: DataFrame) -> DataFrame:
 
 
 def cluster_entries(entries: DataFrame, threshold: float = fixed.SIMILARITY_THRESHOLD,
-                    block_size: int = 2048) -> Clustering:
+                    block_size: int = 4096, storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Clustering:
+    """Cluster entries (C2-C5).  The templated entries are read by three
+    consumers (template table, singletons, member assignment) and kept at
+    ``storage_level``; lost blocks are recomputed from the scan, so executor
+    loss is survived."""
     spark = entries.sparkSession
     checkpoint_dir(spark)
-    et = templated(entries).persist(StorageLevel.MEMORY_AND_DISK)
+    et = templated(entries).persist(storage_level)
 
     # Template table by hash aggregation only (see operators/firsts.py):
     # count and the first (source, line_no) of every template.

@@ -151,5 +151,7 @@ def test_global_row_number(spark):
     rows = [(rnd.choice("abc"), rnd.randrange(10_000)) for _ in range(500)]
     rows = list({r: None for r in rows})
     df = spark.createDataFrame(rows, "s string, n long").repartition(5)
-    got = sorted((r.row_no, r.s, r.n) for r in global_row_number(df, ["s", "n"], partitions=6).collect())
-    assert got == [(i + 1, s, n) for i, (s, n) in enumerate(sorted(rows))]
+    want = [(i + 1, s, n) for i, (s, n) in enumerate(sorted(rows))]
+    for parts in (6, None):  # explicit ranges, and AQE-coalesced ranges
+        got = sorted((r.row_no, r.s, r.n) for r in global_row_number(df, ["s", "n"], partitions=parts).collect())
+        assert got == want
