@@ -29,8 +29,6 @@ def _cos(a, b):
 
 
 def test_whole_line_similarities():
-    from logweave.functions import fixed  # noqa: F401
-
     def t(s):
         import re
         s = s.lower()
