@@ -229,7 +229,11 @@ def clustering(spark, sf_dir):
     are lazily re-read from checkpoints, so reuse is safe."""
     from .analyze import cluster_entries
 
-    key = (spark.sparkContext.applicationId, sf_dir)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect session
+        app = id(spark)
+    key = (app, sf_dir)
     if key not in _CLUSTERING:
         _CLUSTERING[key] = cluster_entries(_entries(spark, sf_dir))
     return _CLUSTERING[key]

@@ -43,7 +43,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     session.  Only a local-mode session (tests) may fall back to a fresh
     temporary folder; a cluster must name a shared folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", None)
     d = sc.getCheckpointDir()
     if d:
         return d
@@ -69,8 +72,11 @@ def ship_package(spark: SparkSession) -> None:
     ``addPyFile``, which Spark distributes to every executor."""
     import zipfile
 
-    sc = spark.sparkContext
-    key = sc.applicationId
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: ship as a Python artifact
+        sc = None
+    key = sc.applicationId if sc is not None else id(spark)
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -83,5 +89,8 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(d, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
+    if sc is not None:
+        sc.addPyFile(path)
+    else:
+        spark.addArtifacts(path, pyfile=True)
     _SHIPPED.add(key)

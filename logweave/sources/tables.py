@@ -14,10 +14,12 @@ def spread(df: DataFrame) -> DataFrame:
     are left alone, so big scans never pay an extra shuffle.  Column
     pruning and filters still reach the scan through the repartition.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the scan as is
+        return df
+    return df.repartition(target) if parts < target else df
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
