@@ -35,14 +35,16 @@ def json_pairs(c) -> Column:
         F.regexp_extract_all(c, pat, 3).alias("r"),
     )
 
-    def one(x):
-        quoted = x["r"] == ""
-        v = F.when(quoted, unescape_object_value(java_trim(x["q"]))).otherwise(
-            _unquote(java_trim(x["r"]))
-        )
-        return F.struct(x["k"].alias("k"), F.when(v == "null", F.lit(None)).otherwise(v).alias("v"))
-
-    return F.transform(zipped, one)
+    # Three passes so each regex-based trim runs once per value (lambda
+    # bodies are evaluated without common-subexpression elimination).
+    trimmed = F.transform(zipped, lambda x: F.struct(
+        x["k"].alias("k"), (x["r"] == "").alias("quoted"),
+        java_trim(F.when(x["r"] == "", x["q"]).otherwise(x["r"])).alias("t")))
+    valued = F.transform(trimmed, lambda x: F.struct(
+        x["k"].alias("k"),
+        F.when(x["quoted"], unescape_object_value(x["t"])).otherwise(_unquote(x["t"])).alias("v")))
+    return F.transform(valued, lambda x: F.struct(
+        x["k"].alias("k"), F.when(x["v"] == "null", F.lit(None)).otherwise(x["v"]).alias("v")))
 
 
 def pair_present(pairs: Column, key: str) -> Column:

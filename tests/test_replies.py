@@ -80,3 +80,25 @@ def test_analyze_offline_and_with_replies(spark):
                                     "cluster_no long, response string")
     on = {x.cluster_no: x for x in analyze(lines, replies).collect()}
     assert on[2].error_pattern == "GC" and on[1].source == "rules"
+
+
+def test_json_sinks(spark, tmp_path):
+    import json
+
+    from logweave.sources.sinks import results_json_pages, write_results_json
+
+    res = spark.createDataFrame(
+        [(i, f"Cluster-{i}:x", f'p "{i}"', None if i == 2 else "c\nd", "f", 0.7, 1) for i in range(1, 8)],
+        "cluster_no long, log_entry_id string, error_pattern string, root_cause string, fix_suggestion string, "
+        "confidence_score double, size long")
+    out = str(tmp_path / "res")
+    write_results_json(res, out)
+    objs = [json.loads(l) for l in spark.read.text(out).collect() for l in [l.value]]
+    assert len(objs) == 7 and all(list(o) == ["errorPattern", "rootCause", "fixSuggestion", "confidenceScore",
+                                              "analyzedAt"] for o in objs)
+    by = {o["errorPattern"]: o for o in objs}
+    assert by['p "2"']["rootCause"] == "" and by['p "1"']["rootCause"] == "c\nd" and by['p "1"']["confidenceScore"] == 0.7
+    pages = {r.page_no: r for r in results_json_pages(res, page_size=3).collect()}
+    assert sorted(pages) == [0, 1, 2] and [pages[p].n_results for p in (0, 1, 2)] == [3, 3, 1]
+    arr = json.loads(pages[1].json)
+    assert [a["errorPattern"] for a in arr] == ['p "4"', 'p "5"', 'p "6"']
