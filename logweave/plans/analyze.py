@@ -50,6 +50,11 @@ class Clustering:
     members: DataFrame    # cluster_no, cluster_label, id, source, line_no
     assigned: DataFrame   # every entry column + template, cluster_no, cluster_label
 
+    def release(self) -> None:
+        """Drop the cached templated entries once the consumers are done
+        (checkpointed frames stay readable)."""
+        self.entries.unpersist()
+
 
 def templated(entries: DataFrame) -> DataFrame:
     """Entries with ``template`` and ``vkey`` (xxhash64 of a non-empty

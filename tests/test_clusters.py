@@ -154,3 +154,10 @@ def test_global_row_number(spark):
     for parts in (6, None):  # explicit ranges, and AQE-coalesced ranges
         got = sorted((r.row_no, r.s, r.n) for r in global_row_number(df, ["s", "n"], partitions=parts).collect())
         assert got == want
+
+
+def test_release_keeps_results_readable(spark):
+    c = cluster_entries(ingest(lines_df(spark, ["2024-01-15 10:23:45 ERROR a - x 1", "2024-01-15 10:23:46 ERROR a - x 2"])))
+    n = c.clusters.count()
+    c.release()
+    assert c.clusters.count() == n == 1 and c.members.count() == 2
