@@ -19,13 +19,14 @@ LOG_LINES_SCHEMA = "source string, line_no bigint, raw_line string"
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """UTF-8 text file(s) -> one row per line.
 
-    ``source`` is the file path; ``line_no`` is an order key, not a line
-    number: the byte offset where the row's file split starts plus the row's
-    position inside its task (``monotonically_increasing_id`` is consecutive
-    inside a task).  A split holds at most as many lines as bytes, so keys
-    of consecutive splits of one file do not overlap when each task reads
-    one split (the case for large files).  Files are read in parallel
-    splits; nothing passes through the driver.
+    ``source`` is the file path; ``line_no`` is an order key within the
+    file (not a count): the byte offset where the row's split starts plus
+    the row's position inside its task (``monotonically_increasing_id`` is
+    consecutive inside a task).  Spark gives every full-size split a task of
+    its own, and only small files or a file's last split share a task with
+    other files, so the key is unique and follows line order within every
+    file.  Files are read in parallel splits; nothing passes through the
+    driver.
     """
     df = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("source"),

@@ -161,3 +161,22 @@ def test_release_keeps_results_readable(spark):
     n = c.clusters.count()
     c.release()
     assert c.clusters.count() == n == 1 and c.members.count() == 2
+
+
+def test_text_order_key_with_many_splits(spark, tmp_path):
+    big = [f"line {i:05d} " + "x" * (i % 37) for i in range(400)]
+    files = {"big.log": big, "s1.log": ["a", "b", "c"], "s2.log": [f"t{i}" for i in range(30)]}
+    for name, rows in files.items():
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        df = read_log_lines(spark, str(tmp_path))
+        rows = df.collect()
+        assert df.rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name, want in files.items():
+        got = sorted((r.line_no, r.raw_line) for r in rows if r.source.endswith("/" + name))
+        assert [t for _, t in got] == want
+        assert len({k for k, _ in got}) == len(want)
