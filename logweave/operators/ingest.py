@@ -130,16 +130,29 @@ def entry_id(source="source", line_no="line_no") -> F.Column:
     return F.sha2(F.concat_ws(":", F.col(source), F.col(line_no).cast("string")), 256)
 
 
-def ingest(lines: DataFrame, on_bad: str = "null") -> DataFrame:
+def ingest(lines: DataFrame, on_bad: str = "null", observation=None) -> DataFrame:
     """``log_lines`` -> ``log_entries`` (unparsable and blank rows
     dropped).  Columns: id, source, line_no, ts, level, service, message,
     raw_line (the stripped line).
 
+    With ``observation`` (a ``pyspark.sql.Observation``) the parse counts of
+    A1 are gathered while the first action on the result runs.
+
     Parsed rows leave through a generator (0 or 1 row per line) rather
     than a filter: a filter on a parse result would be pushed below the
     projection and evaluate every regex a second time.
     """
     p = parse_lines(lines)
+    if observation is not None:
+        # A1 as a side effect of the ingest job itself: no extra pass.
+        parsed = F.col("branch").isNotNull()
+        p = p.observe(
+            observation,
+            F.count(F.lit(1)).alias("total_lines"),
+            F.count_if(F.col("line").isNull()).alias("blank_lines"),
+            F.count_if(parsed).alias("parsed_lines"),
+            F.count_if(F.col("line").isNotNull() & ~parsed).alias("rejected_lines"),
+        )
     entry = F.struct(
         entry_id().alias("id"),
         F.col("source"),

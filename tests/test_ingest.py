@@ -80,3 +80,19 @@ def test_long_json_value_does_not_overflow(spark):
     big = "x" * 200_000
     e = one(spark, '{"level":"ERROR","message":"' + big + '"}')
     assert e.level == "ERROR" and len(e.message) == 200_000
+
+
+def test_observed_parse_counts(spark):
+    from pyspark.sql import Observation
+
+    from conftest import SF_SMALL
+    from logweave.operators.stats import ingest_stats
+    from logweave.sources.logs import load_log_lines
+
+    obs = Observation("parse")
+    n = ingest(load_log_lines(spark, SF_SMALL), observation=obs).count()
+    got = obs.get
+    want = ingest_stats(load_log_lines(spark, SF_SMALL)).first()
+    assert got["parsed_lines"] == n == want.parsed_lines
+    assert (got["total_lines"], got["blank_lines"], got["rejected_lines"]) == (
+        want.total_lines, want.blank_lines, want.rejected_lines)
