@@ -31,7 +31,8 @@ def fetch_rows(df: DataFrame, firsts: DataFrame, n_groups: int | None = None,
     if n_groups is None:
         n_groups = firsts.count()
     f = F.broadcast(firsts) if n_groups <= BROADCAST_MAX_GROUPS else firsts
-    j = df.join(f, (df[source] == f["_s"]) & (df[line] == f["_l"]))
+    # Null-safe keys: a row with a NULL source or line is still fetched.
+    j = df.join(f, df[source].eqNullSafe(f["_s"]) & df[line].eqNullSafe(f["_l"]))
     return j
 
 

@@ -23,3 +23,10 @@ def test_first_per_group_matches_sorted_scan(spark):
     assert d == {k: (v[0], v[1], v[3]) for k, v in want.items()}
     d2 = {r.key: r.val for r in dedupe(df, ["key"], keep=["val"]).collect()}
     assert d2 == {k: v[2] for k, v in want.items()}
+
+
+def test_first_per_group_null_source(spark):
+    df = spark.createDataFrame([("k", None, 5, "a"), ("k", "s", 1, "b"), ("j", None, None, "c")],
+                               "key string, source string, line_no long, val string")
+    got = {r.key: (r.source, r.line_no, r.val, r.n) for r in first_per_group(df, ["key"], ["source", "line_no", "val"]).collect()}
+    assert got == {"k": (None, 5, "a", 2), "j": (None, None, "c", 1)}
