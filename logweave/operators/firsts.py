@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_GROUPS = 2_000_000
+# Rows hold a source name and three longs: 1M rows stay around 100 MB.
+BROADCAST_MAX_GROUPS = 1_000_000
 
 
 def first_keys(df: DataFrame, keys: list[str], source: str = "source", line: str = "line_no") -> DataFrame:

@@ -11,9 +11,10 @@ Scale notes
 * Empty templates (NULL, blank or symbol-only messages) have zero vectors,
   which are similar to nothing: each such entry is its own cluster and
   never enters the similarity join.
-* The template -> cluster map is broadcast only when its row count (known
-  from the block sizing count) is below ``BROADCAST_MAX_TEMPLATES``;
-  otherwise it is a shuffle join (AQE splits skewed partitions).
+* The template -> cluster map is keyed by the 64-bit template key (16 bytes
+  a row) and broadcast only when its row count (known from the block sizing
+  count) is below ``BROADCAST_MAX_TEMPLATES``; otherwise it is a shuffle
+  join (AQE splits skewed partitions).
 * Clusters are numbered by their representative (lowest ``(source,
   line_no)``) with a distributed row number, not a one-partition window.
 """
@@ -106,18 +107,22 @@ def cluster_entries(entries: DataFrame, threshold: float = fixed.SIMILARITY_THRE
         "cluster_label", F.concat(F.lit("Cluster-"), F.col("cluster_no").cast("string"))
     )
 
-    t2c = tc.select("template", "component").join(
-        numbered.where(F.col("component").isNotNull()).select("component", "cluster_no", "cluster_label"),
+    # Template key -> cluster number: two longs per row (16 bytes), so the
+    # row cap bounds the broadcast to about 32 MB; the label is derived after
+    # the join.
+    t2c = tc.select("vkey", "component").join(
+        numbered.where(F.col("component").isNotNull()).select("component", "cluster_no"),
         "component",
-    )
+    ).select("vkey", "cluster_no")
     if n_t <= BROADCAST_MAX_TEMPLATES:
         t2c = F.broadcast(t2c)
     # Entries keep all their columns: consumers (samples, alerts, entry
     # lookups) read this frame instead of joining members back to entries.
     assigned = (
         et.where(F.col("vkey").isNotNull())
-        .join(t2c, "template")
-        .select(*REP, "template", "cluster_no", "cluster_label")
+        .join(t2c, "vkey")
+        .select(*REP, "template", "cluster_no",
+                F.concat(F.lit("Cluster-"), F.col("cluster_no").cast("string")).alias("cluster_label"))
         .unionByName(
             numbered.where(F.col("component").isNull()).select(
                 *[F.col(f"rep_{c}").alias(c) for c in REP],
