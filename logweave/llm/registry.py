@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, url_filter
+from . import language_id, mixing, sentence_pieces, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op2_token_counts": token_counts.query,
+    "op3_sentence_pieces": sentence_pieces.query,
     "op4_mixing": mixing.query,
+    "op5_toxicity": toxicity.query,
     "op7_url_filter": url_filter.query,
+    "op9_language_id": language_id.query,
     "op10_sharding": sharding.query,
 }
 ORACLES: dict[str, str] = {}
