@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, sentence_pieces, sharding, token_counts, toxicity, url_filter
+from . import language_id, mixing, ngram_jaccard, sentence_pieces, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_jaccard.query,
     "op2_token_counts": token_counts.query,
     "op3_sentence_pieces": sentence_pieces.query,
     "op4_mixing": mixing.query,

@@ -4,14 +4,17 @@ A text has the features "contains this word" and "contains a word that begins
 so" (4, 5 and 6 letters).  The model has one weight for each feature, shared
 by all grades, and ordered thresholds: P(grade <= k) = 1 / (1 + exp(w.x - t_k)).
 Its output is the expected grade, the sum over k of P(grade > k); a text is
-toxic if grade 1 or more is at least as likely as grade 0.
+toxic if grade 1 or more has a probability of at least ``CUT``, below one half
+as clean texts lie near 0 and a single telling word is enough.
 
 Labels say toxic or not; the grades 1 to 3 of toxic texts are thirds by the
-share of their words that clean training texts never use and toxic ones do.
+number of different words in them that toxic training texts use at least
+``TELLING`` times as often as clean ones.
 Vocabulary, grades and weights come from a bounded sample of labelled
 texts (``max_sample``); the likelihood's gradient is summed by Spark tasks, each
-over its part of the sample, and Adam steps are taken on the driver, on as
-many numbers as the vocabulary has (``max_features``).  Sums are rounded to
+over its part of the sample (rows of equal grade and features count as one
+with a weight), and L-BFGS steps are taken on the driver, on as many numbers as
+the vocabulary has (``max_features``).  Sums are rounded to
 fixed point before they meet, so that reruns agree.
 
 Defined cases: null and empty texts have no features and get the severity of
@@ -35,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import WORD, Memo, read_table, save, unit_hash, with_workers
 
-PREFIXES, GRADES, STEPS, RATE, RIDGE, LEAST_DOCS, LEAST_CHI, WORDS = (4, 5, 6), 3, 40, 0.15, 1e-4, 5, 25.0, 300_000
+PREFIXES, GRADES, STEPS, MEMORY, RIDGE, LEAST_DOCS, LEAST_CHI, TELLING, CUT, WORDS = (4, 5, 6), 3, 60, 10, 1e-5, 5, 25.0, 10.0, 0.3, 300_000
 UNIT = float(1 << 32)
 
 
@@ -64,8 +67,9 @@ def _logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def gradient(features: list[list[int]], grades: np.ndarray, weights: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
-    """Gradient of the log likelihood: for the weights, then the thresholds."""
+def likelihood(features: list[list[int]], grades: np.ndarray, times: np.ndarray, weights: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """The log likelihood of rows that count ``times`` each, and its gradient
+    for the weights and the thresholds."""
     n = np.array([len(f) for f in features])
     flat = np.fromiter((x for f in features for x in f), np.int64, n.sum())
     rows = np.repeat(np.arange(len(n)), n)
@@ -73,12 +77,12 @@ def gradient(features: list[list[int]], grades: np.ndarray, weights: np.ndarray,
     edges = np.concatenate([[-np.inf], thresholds, [np.inf]])
     up, low = _logistic(edges[grades + 1] - eta), _logistic(edges[grades] - eta)
     up[grades == len(thresholds)], low[grades == 0] = 1.0, 0.0
-    by_eta = up + low - 1
-    p = np.maximum(up - low, 1e-12)
+    p = np.maximum(up - low, 1e-300)
+    by_eta = times * (up + low - 1)
     by_edge = np.zeros(len(thresholds) + 2)
-    np.add.at(by_edge, grades + 1, up * (1 - up) / p)
-    np.add.at(by_edge, grades, -low * (1 - low) / p)
-    return np.concatenate([np.bincount(flat, by_eta[rows], minlength=len(weights)), by_edge[1:-1]])
+    np.add.at(by_edge, grades + 1, times * up * (1 - up) / p)
+    np.add.at(by_edge, grades, -times * low * (1 - low) / p)
+    return np.concatenate([[(times * np.log(p)).sum()], np.bincount(flat, by_eta[rows], minlength=len(weights)), by_edge[1:-1]])
 
 
 def severity(features: list[list[int]], model: SeverityModel) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +94,7 @@ def severity(features: list[list[int]], model: SeverityModel) -> tuple[np.ndarra
 
 def _vocabulary(sample: DataFrame, max_features: int) -> tuple[dict[str, int], set[str]]:
     """The features that differ most, and beyond chance (chi squared),
-    between toxic and clean texts, and the words among them that no clean text has."""
+    between toxic and clean texts, and the telling ones among them."""
 
     def counts(batches):
         for batch in batches:
@@ -107,13 +111,13 @@ def _vocabulary(sample: DataFrame, max_features: int) -> tuple[dict[str, int], s
     chi = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n - a - b + 1) * n1 * n0)
     best = sums.where(F.col("a") + F.col("b") >= LEAST_DOCS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "feature").limit(max_features)
     rows = best.collect()  # at most max_features
-    return {r["feature"]: i for i, r in enumerate(rows)}, {r["feature"] for r in rows if r["b"] == 0}
+    return {r["feature"]: i for i, r in enumerate(rows)}, {r["feature"] for r in rows if r["a"] / n1 >= TELLING * r["b"] / n0}
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_sample: int = 20_000, max_features: int = 4096) -> SeverityModel | None:
     """Learn from at most about ``max_sample`` labelled texts, half of them
     toxic if there are so many, chosen by the hash of doc_id."""
-    spark = with_workers(docs.sparkSession)
+    with_workers(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(n) < 2:
@@ -125,51 +129,84 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     both = sample.agg(F.min("toxic"), F.max("toxic")).first()
     if both[0] != 0 or both[1] != 1:
         return None
-    vocabulary, only_toxic = _vocabulary(sample, max_features)
+    vocabulary, telling = _vocabulary(sample, max_features)
     model = SeverityModel(vocabulary, np.zeros(len(vocabulary)), np.zeros(GRADES))
 
     def read(batches):
         memo = model.reader()
-        told = Memo(lambda w: any(f in only_toxic for f in features_of(w)), WORDS)
+        told = Memo(lambda w: any(f in telling for f in features_of(w)), WORDS)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            words = [WORD.findall(t.lower()) for t in texts]
-            load = [sum(map(told.__getitem__, w)) / max(1, len(w)) for w in words]
+            load = [float(sum(map(told.__getitem__, set(WORD.findall(t.lower()))))) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(load), pa.array([_numbers(t, memo) for t in texts], pa.list_(pa.int32()))], ["toxic", "load", "features"])
 
     rows = sample.mapInArrow(read, "toxic int, load double, features array<int>")
     rows = save(rows)
     cuts = rows.where("toxic = 1").agg(F.percentile("load", F.array(*[F.lit(k / GRADES) for k in range(1, GRADES)]))).first()[0]
     grade = F.when(F.col("toxic") == 0, 0).otherwise(1 + sum(((F.col("load") > c).cast("int") for c in cuts), F.lit(0))).cast("int")
-    graded = save(rows.select(grade.alias("grade"), "features"))
-    count = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}
+    graded = save(rows.select(grade.alias("grade"), "features").groupBy("grade", "features").count())
+    count = {r["grade"]: r["n"] for r in graded.groupBy("grade").agg(F.sum("count").alias("n")).collect()}
     total = sum(count.values())
     share = np.cumsum([count.get(k, 0) + 1 for k in range(GRADES)]) / (total + GRADES + 1)
     model.thresholds = np.log(share / (1 - share))
-    _ascend(spark, graded, model, total)
+    _climb(graded, model, total)
     return model
 
 
-def _ascend(spark, graded: DataFrame, model: SeverityModel, n: int) -> None:
-    """Adam steps up the penalised likelihood; a step is one pass."""
-    x = np.concatenate([model.weights, model.thresholds])
-    k, m, v = len(model.weights), 0.0, 0.0
-    for step in range(1, STEPS + 1):
-        w, t = x[:k], x[k:]
+def _climb(graded: DataFrame, model: SeverityModel, n: int) -> None:
+    """Minimise the mean loss and a ridge by L-BFGS; each value and gradient
+    is one pass.  Thresholds stay ordered: all but the first are steps, kept
+    by their logarithms."""
+    k = len(model.weights)
 
-        def part(batches, w=w, t=t):
-            total = np.zeros(len(w) + len(t))
-            for batch in batches:
-                total += gradient(batch.column(1).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False), w, t)
+    def thresholds(x):
+        return x[k] + np.concatenate([[0.0], np.cumsum(np.exp(x[k + 1 :]))])
+
+    def loss(x):
+        w, t = x[:k], thresholds(x)
+
+        def part(batches):
+            total = np.zeros(1 + len(w) + len(t))
+            for b in batches:
+                total += likelihood(b.column(1).to_pylist(), b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False), w, t)
             yield pa.RecordBatch.from_arrays([pa.array([np.round(total * UNIT).astype(np.int64).tolist()], pa.list_(pa.int64()))], ["g"])
 
-        parts = graded.coalesce(8).mapInArrow(part, "g array<bigint>").collect()  # 8 rows
-        g = sum(np.array(r["g"], dtype=np.int64) for r in parts) / UNIT / n
-        g[:k] -= RIDGE * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        x = x + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) * min(1.0, 2 * (1 - step / (STEPS + 1)))
-        x[k:] = np.maximum.accumulate(x[k:] + np.arange(len(t)) * 1e-9)
-    model.weights, model.thresholds = x[:k], x[k:]
+        parts = graded.coalesce(4).mapInArrow(part, "g array<bigint>").collect()  # 4 rows
+        got = sum(np.array(r["g"], dtype=np.int64) for r in parts) / UNIT / n
+        by_t = got[1 + k :]
+        later = np.cumsum(by_t[::-1])[::-1]
+        g = -np.concatenate([got[1 : 1 + k], [later[0]], later[1:] * np.exp(x[k + 1 :])])
+        g[:k] += RIDGE * w
+        return -got[0] + RIDGE / 2 * (w @ w), g
+
+    t = model.thresholds
+    x = np.concatenate([model.weights, t[:1], np.log(np.maximum(np.diff(t), 1e-6))])
+    value, g = loss(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    tries, step = 1, min(1.0, 1 / np.abs(g).sum())
+    while tries < STEPS and np.abs(g).max() > 1e-7:
+        d, at = -g, []
+        for s, y in reversed(pairs):
+            at.append(s @ d / (s @ y))
+            d = d - at[-1] * y
+        if pairs:
+            d = d * (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])
+        for (s, y), a in zip(pairs, reversed(at), strict=True):
+            d = d + s * (a - y @ d / (s @ y))
+        while True:
+            new = x + step * d
+            new_value, new_g = loss(new)
+            tries += 1
+            if new_value <= value + 1e-4 * step * (g @ d) or tries >= STEPS:
+                break
+            step /= 3
+        if new_value > value:
+            break
+        s, y = new - x, new_g - g
+        if s @ y > 1e-14:
+            pairs = [*pairs, (s, y)][-MEMORY:]
+        x, value, g, step = new, new_value, new_g, 1.0
+    model.weights, model.thresholds = x[:k], thresholds(x)
 
 
 def scorer(model: SeverityModel | None):
@@ -190,10 +227,10 @@ def scorer(model: SeverityModel | None):
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **fit_options) -> DataFrame:
     """(doc_id, severity, grade, toxic) of every row: expected grade, the
-    same rounded, and whether grade 1 or more is likely."""
+    same rounded, and the verdict."""
     run = scorer(fit(docs, labels, doc_id, text, **fit_options))
     rows = docs.select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("p"))
-    return rows.select("doc_id", F.round("p.severity", 9).alias("severity"), F.round("p.severity").cast("int").alias("grade"), (F.col("p.p_toxic") >= 0.5).alias("toxic"))
+    return rows.select("doc_id", F.round("p.severity", 9).alias("severity"), F.round("p.severity").cast("int").alias("grade"), (F.col("p.p_toxic") >= CUT).alias("toxic"))
 
 
 def query(spark, sf_dir):
