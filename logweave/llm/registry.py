@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, ngram_jaccard, sentence_pieces, sharding, token_counts, toxicity, url_filter
+from . import graph_search, language_id, mixing, ngram_jaccard, sentence_pieces, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sentence_pieces": sentence_pieces.query,
     "op4_mixing": mixing.query,
     "op5_toxicity": toxicity.query,
+    "op6_graph_search": graph_search.query,
     "op7_url_filter": url_filter.query,
     "op9_language_id": language_id.query,
     "op10_sharding": sharding.query,
