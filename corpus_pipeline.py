@@ -1,21 +1,59 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and
-read again as the next one's input."""
+read again as the next one's input.
+
+1. Language: texts without a letter, and texts that resemble none of the
+   learned languages (cosine below ``LEAST_SCORE``, as random texts have), go.
+2. Toxicity: texts that the ordinal model calls toxic go.
+3. Near duplicates: of each class of texts linked by a five-word Jaccard
+   similarity of 0.8 or more, the first by doc_id stays.
+4. Mixing: rows are repeated or left out to meet the sources' targets.
+5. SentencePiece: every row's ids.
+
+All but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logweave.llm import mixing
+from logweave.llm import language_id, mixing, ngram_jaccard, sentence_pieces, toxicity
 from logweave.llm.common import read_table, save
 
+LEAST_SCORE = 0.02
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in a learned language."""
+    found = language_id.identifier(*language_id.fit(docs))(F.col("text"))
+    return docs.where((found["lang"] != language_id.UNKNOWN) & (found["score"] >= LEAST_SCORE))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that are not toxic."""
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.scorer(model)(F.col("text"))["p_toxic"] < toxicity.CUT)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One text of each class of near duplicates."""
+    return ngram_jaccard.one_of_each(docs)
+
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed_rows(docs)
 
 
-STAGES = [("mixing", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's pieces."""
+    ids = sentence_pieces.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    return ids.withColumn("n_tokens", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long"))
+
+
+STAGES = [("language_id", language), ("toxicity", clean), ("ngram_jaccard", distinct), ("mixing", mix), ("sentence_pieces", encode)]
 
+#: SQL can't express hyperdimensional profiles, fitted models and pieces.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_search, language_id, mixing, ngram_jaccard, sentence_pieces, sharding, token_counts, toxicity, url_filter
+from . import bm25_search, graph_search, language_id, mixing, ngram_jaccard, sentence_pieces, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.query,
@@ -12,7 +12,8 @@ QUERIES = {
     "op5_toxicity": toxicity.query,
     "op6_graph_search": graph_search.query,
     "op7_url_filter": url_filter.query,
+    "op8_bm25_search": bm25_search.query,
     "op9_language_id": language_id.query,
     "op10_sharding": sharding.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_bm25_search": bm25_search.ORACLE}
