@@ -1,0 +1,100 @@
+import random
+from collections import Counter
+
+import numpy as np
+
+from logweave.llm import ngram_jaccard as op
+from logweave.llm.common import WORD
+
+from .conftest import documents, prose
+
+
+def exact(rows):
+    """(doc_id, class_id, n_links) by comparing every pair of sets."""
+
+    def cut(text):
+        w = WORD.findall((text or "").lower())
+        k = min(5, len(w))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else {text.strip()} - {""} if text else set()
+
+    sets = [cut(r[1]) for r in rows]
+    parent, links = list(range(len(rows))), [0] * len(rows)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
+                parent[root(i)] = root(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[root(i)] = min(least.get(root(i), r[0]), r[0])
+    return Counter((r[0], r[0] if not sets[i] else least.get(root(i)), links[i]) for i, r in enumerate(rows))
+
+
+def result(df):
+    return Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in op.classes(df).collect())
+
+
+def test_equals_all_pairs(spark):
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(3000)]
+    rows = []
+    for c in range(25):
+        base = prose(rng, words, rng.randint(5, 300)).split()
+        for _ in range(rng.randint(1, 12)):
+            copy = base[:]
+            for _ in range(rng.randint(0, max(1, len(base) // 20))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows) * 3 % 997, " ".join(copy), "en", "a"))
+    assert result(documents(spark, rows)) == exact(rows)
+
+
+def test_blocks_of_a_large_component_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK", 16)
+    rng = random.Random(6)
+    words = [f"v{i}" for i in range(500)]
+    base = prose(rng, words, 200).split()
+    rows = []
+    for i in range(120):
+        copy = base[:]
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows.append((i, " ".join(copy), "en", "a"))
+    assert result(documents(spark, rows)) == exact(rows)
+
+
+def test_odd_rows(odd_docs, no_docs):
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    assert result(odd_docs) == exact(rows)
+    assert op.classes(no_docs).count() == 0
+    kept = op.one_of_each(odd_docs)
+    assert kept.columns == odd_docs.columns
+    ids = Counter(r["doc_id"] for r in kept.collect())
+    assert ids[8] == 1 and ids[6] == 1 and 7 not in ids and 11 not in ids and ids[4] == 1 and 5 not in ids
+    assert {0, 1, 2, 3, 9, 10} <= set(ids) and ids[None] == 2
+
+
+def test_pruning_keeps_pairs_at_the_threshold():
+    """A pair is dropped at a look only if that many matches or fewer are
+    all but impossible at the threshold."""
+    rng = np.random.default_rng(1)
+    seen = np.cumsum((rng.random((4000, op.HASHES)) < 0.8).reshape(4000, -1, op.ROUND).sum(axis=2), axis=1)
+    assert (seen >= op.least_matches()).all()
+    unlike = np.cumsum((rng.random((4000, op.HASHES)) < 0.3).reshape(4000, -1, op.ROUND).sum(axis=2), axis=1)
+    assert (unlike < op.least_matches()).any(axis=1).all()
+
+
+def test_dense_and_sparse_counts_agree():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, 700).astype(np.uint64)) for _ in range(20)]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(20), np.arange(20)))
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
+    assert op.common(i, j, sets, sets).tolist() == want
+    assert op.common(i[:9], j[:9], sets, sets).tolist() == want[:9]
