@@ -1,0 +1,97 @@
+import numpy as np
+import pytest
+
+from logweave.llm import language_id, toxicity
+
+from .conftest import documents
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 3 = 0")
+
+
+def slow_bundle(text):
+    """The definition, a trigram at a time."""
+    out, last = np.zeros(language_id.DIM, np.int64), None
+    codes = []
+    for c in f"\n{text.lower()}\n":
+        code = ord(c) if c.isalpha() else 0
+        if code or last != 0:
+            codes.append(code)
+        last = code
+    v = language_id.letter_vector
+    for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+        out += np.roll(v(a), 2).astype(int) * np.roll(v(b), 1) * v(c)
+    return out
+
+
+def test_bundles_equal_the_definition():
+    texts = ["Hello, World!", "", None, "é  ß 12 日本語 x", "a", "..", "ab cd" * 300, "".join(chr(0x4E00 + 7 * i) for i in range(900)), "İstanbul ǅ"]
+    got = language_id.bundles(texts)
+    for t, g in zip(texts, got, strict=True):
+        assert (g == (slow_bundle(t) if t else 0)).all(), t
+    assert (language_id.bundles(texts * 40) == np.tile(got, (40, 1))).all()
+
+
+def test_language_held_out_accuracy(docs):
+    rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(rows) > 500 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+
+
+def test_language_of_odd_rows(odd_docs, no_docs):
+    rows = language_id.identify(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    by_id = {r["doc_id"]: r for r in rows}
+    for i in (0, 1, 2, 3):
+        assert (by_id[i]["lang_pred"], by_id[i]["score"]) == ("und", 0.0)
+    assert all(r["lang_pred"] in ("en", "de", "und") and 0 <= r["score"] <= 1 for r in rows)
+    assert by_id[10]["lang_pred"] != "und"
+    assert language_id.identify(no_docs).count() == 0
+
+
+def test_nothing_to_learn_from(spark):
+    rows = language_id.identify(documents(spark, [(1, "text", None, "a"), (2, "text", None, "b")])).collect()
+    assert {(r["lang_pred"], r["score"]) for r in rows} == {("und", 0.0)}
+
+
+def test_likelihood_gradient():
+    rng = np.random.default_rng(3)
+    features = [sorted(set(rng.integers(0, 6, 3).tolist())) if i % 5 else [] for i in range(40)]
+    grades, times = rng.integers(0, 4, 40), rng.integers(1, 4, 40)
+    x = np.concatenate([rng.normal(size=6), [-1.0, 0.5, 2.0]])
+    value = lambda z: toxicity.likelihood(features, grades, times, z[:6], z[6:])
+    got = value(x)[1:]
+    for k in range(9):
+        e = np.eye(9)[k] * 1e-6
+        assert got[k] == pytest.approx((value(x + e)[0] - value(x - e)[0]) / 2e-6, rel=1e-4, abs=1e-4)
+    p = sum(np.exp(toxicity.likelihood([[1]], np.array([g]), np.ones(1), x[:6], x[6:])[0]) for g in range(4))
+    assert p == pytest.approx(1)
+
+
+def test_toxicity_held_out(spark, docs):
+    """Labels of even documents are learned, those of odd ones predicted."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels.where("doc_id % 2 = 0"))
+    out = toxicity.scorer(model)
+    rows = docs.join(labels.where("doc_id % 2 = 1"), "doc_id").select("toxic", out("text").alias("p")).collect()
+    caught = [r["p"]["p_toxic"] >= toxicity.CUT for r in rows if r["toxic"] == 1]
+    wrong = [r["p"]["p_toxic"] >= toxicity.CUT for r in rows if r["toxic"] == 0]
+    # Some labels of the made-up data are on texts without a toxic word.
+    assert sum(caught) >= 0.8 * len(caught) and sum(wrong) <= 0.01 * len(wrong)
+    assert (np.diff(model.thresholds) > 0).all()
+
+
+def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
+    rows = [(i, "bad awful words here" if i % 2 else f"kind good words {i % 7}", "en", "a") for i in range(200, 300)]
+    docs = odd_docs.unionByName(documents(spark, rows))
+    labels = spark.createDataFrame([(i, 1, i % 2, "x") for i in range(200, 300)] + [(None, 0, 1, "x"), (201, 0, None, "x")], "doc_id bigint, quality int, toxic int, text string")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    assert all(got[i]["toxic"] == bool(i % 2) for i in range(200, 300))
+    assert not any(got[i]["toxic"] for i in (0, 1, 2, 3, 4))
+    assert toxicity.score(docs, labels).count() == docs.count()
+    assert toxicity.score(no_docs, labels).count() == 0
+    assert {r["severity"] for r in toxicity.score(docs, labels.where("toxic = 0")).collect()} == {0.0}
+    assert not any(r["toxic"] for r in toxicity.score(docs, labels.limit(0)).collect())
