@@ -125,7 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     some = {k: min(1.0, max(max_sample / 2, max_sample - n[1 - k]) / n[k]) for k in n}
     chosen = known.where(unit_hash("doc_id", seed=5) < F.when(F.col("toxic") == 1, some[1]).otherwise(some[0])).distinct()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    sample = save(rows.join(chosen, "doc_id").select("text", "toxic"))
+    # Sent to the texts, as there are about max_sample of them at most.
+    sample = save(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
     both = sample.agg(F.min("toxic"), F.max("toxic")).first()
     if both[0] != 0 or both[1] != 1:
         return None
