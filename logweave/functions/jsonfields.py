@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed
-from .text import col_of, java_trim, quote_regex, unescape_object_value, unescape_string_field
+from .text import col_of, iso_local, java_trim, json_escape_full, quote_regex, unescape_object_value, unescape_string_field
 
 
 def _unquote(t: Column) -> Column:
@@ -19,6 +20,24 @@ def _unquote(t: Column) -> Column:
     return F.when(wrapped, t.substr(F.lit(2), F.length(t) - 2)).otherwise(t)
 
 
+def _scanned(c: Column) -> Column:
+    """The groups ``(k, q, r)`` of every match of the pair pattern, by one
+    run of it: matches are rewritten with marks around their groups, which
+    splits take apart.  A text that holds a mark itself is scanned group
+    by group."""
+    pat = F.lit(fixed.JSON_KV)
+    marked = F.regexp_replace(c, pat, F.lit("\x01$1\x02$2\x02$3\x03"))
+    parts = F.split(marked, "\x01")
+    once = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.split(F.substring_index(x, "\x03", 1), "\x02"))
+    once = F.transform(once, lambda g: F.struct(g[0].alias("k"), g[1].alias("q"), g[2].alias("r")))
+    thrice = F.arrays_zip(
+        F.regexp_extract_all(c, pat, 1).alias("k"),
+        F.regexp_extract_all(c, pat, 2).alias("q"),
+        F.regexp_extract_all(c, pat, 3).alias("r"),
+    )
+    return F.when(c.rlike("[\x01-\x03]"), thrice).otherwise(F.when(c.isNotNull(), once))
+
+
 def json_pairs(c) -> Column:
     """J1 as a column: ``array<struct<k string, v string>>`` in scan order.
 
@@ -27,13 +46,7 @@ def json_pairs(c) -> Column:
     Spark returns ``''`` for a group that did not take part in a match, and
     a bare token is never empty, so "quoted" is ``bare == ''``.
     """
-    c = col_of(c)
-    pat = F.lit(fixed.JSON_KV)
-    zipped = F.arrays_zip(
-        F.regexp_extract_all(c, pat, 1).alias("k"),
-        F.regexp_extract_all(c, pat, 2).alias("q"),
-        F.regexp_extract_all(c, pat, 3).alias("r"),
-    )
+    zipped = _scanned(col_of(c))
 
     # Three passes so each regex-based trim runs once per value (lambda
     # bodies are evaluated without common-subexpression elimination).
@@ -47,15 +60,6 @@ def json_pairs(c) -> Column:
         x["k"].alias("k"), F.when(x["v"] == "null", F.lit(None)).otherwise(x["v"]).alias("v")))
 
 
-def pair_present(pairs: Column, key: str) -> Column:
-    return F.exists(pairs, lambda x: x["k"] == key)
-
-
-def pair_value(pairs: Column, key: str) -> Column:
-    """Last value for ``key`` (last occurrence wins); NULL if absent."""
-    return F.try_element_at(F.filter(pairs, lambda x: x["k"] == key), F.lit(-1))["v"]
-
-
 def json_aliased(c, spec: dict) -> Column:
     """Several aliased lookups in one pass over the scanned pairs.
 
@@ -101,7 +105,7 @@ def json_string(c, field: str) -> Column:
     there is none."""
     c = col_of(c)
     pat = _field_pattern(fixed.JSON_STRING_FIELD, field)
-    return F.when(c.rlike(pat), unescape_string_field(F.regexp_extract(c, pat, 1)))
+    return unescape_string_field(F.try_element_at(F.regexp_extract_all(c, F.lit(pat), 1), F.lit(1)))
 
 
 def json_number_text(c, field: str) -> Column:
@@ -115,34 +119,45 @@ def json_string_array(c, field: str) -> Column:
     ``]``), unescaping ``\\"`` and ``\\\\``; an empty array when missing."""
     c = col_of(c)
     pat = _field_pattern(fixed.JSON_ARRAY_FIELD, field)
-    inner = F.when(c.rlike(pat), F.regexp_extract(c, pat, 1)).otherwise(F.lit(""))
+    inner = F.coalesce(F.try_element_at(F.regexp_extract_all(c, F.lit(pat), 1), F.lit(1)), F.lit(""))
     items = F.regexp_extract_all(inner, F.lit(fixed.JSON_QUOTED), 1)
     return F.transform(
         items, lambda s: F.replace(F.replace(s, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
     )
 
 
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), json_escape_full(c), F.lit('"'))
+
+
+def value_to_json(c: Column, t: T.DataType) -> Column:
+    """A value of type ``t`` as JSON text: strings escaped (\\\\ \\" \\n \\r
+    \\t), numbers and booleans as text, NULL as ``null`` at any depth, arrays,
+    structs and maps member by member; timestamps as LocalDateTime.toString()
+    writes them, dates in ISO form, binary in base 64."""
+    if isinstance(t, (T.NumericType, T.BooleanType)):
+        out = c.cast("string")
+    elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        out = F.concat(F.lit('"'), iso_local(c), F.lit('"'))
+    elif isinstance(t, T.BinaryType):
+        out = F.concat(F.lit('"'), F.base64(c), F.lit('"'))
+    elif isinstance(t, T.ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: value_to_json(x, t.elementType)), ","), F.lit("]"))
+    elif isinstance(t, T.MapType):
+        pair = lambda e: F.concat(_quoted(e["key"].cast("string")), F.lit(":"), value_to_json(e["value"], t.valueType))
+        out = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(c), pair), ","), F.lit("}"))
+    elif isinstance(t, T.StructType):
+        out = F.when(c.isNotNull(), _object([(f.name, c[f.name], f.dataType) for f in t.fields]))
+    else:
+        out = _quoted(c.cast("string"))
+    return F.coalesce(out, F.lit("null"))
+
+
+def _object(fields: list) -> Column:
+    parts = [F.concat(F.lit('"' + name.replace("\\", "\\\\").replace('"', '\\"') + '":'), value_to_json(c, t)) for name, c, t in fields]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
 def rows_to_json(df) -> Column:
-    """Each row as one JSON object text, hand-written like the original
-    writer: keys in column order, strings escaped (\\\\ \\" \\n \\r \\t),
-    numbers and booleans as text, NULL as ``null``; timestamps as
-    ``yyyy-MM-dd HH:mm:ss`` strings; nested values through ``to_json``."""
-    from pyspark.sql import types as T
-
-    from .text import json_escape_full
-
-    parts = []
-    for i, f in enumerate(df.schema.fields):
-        c = F.col(f.name)
-        t = f.dataType
-        if isinstance(t, T.StringType):
-            v = F.concat(F.lit('"'), json_escape_full(c), F.lit('"'))
-        elif isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            fmt = "yyyy-MM-dd" if isinstance(t, T.DateType) else "yyyy-MM-dd HH:mm:ss"
-            v = F.concat(F.lit('"'), F.date_format(c, fmt), F.lit('"'))
-        elif isinstance(t, (T.NumericType, T.BooleanType)):
-            v = c.cast("string")
-        else:
-            v = F.to_json(c)
-        parts += [F.lit(("," if i else "{") + '"' + f.name.replace('"', '\\"') + '":'), F.coalesce(v, F.lit("null"))]
-    return F.concat(*parts, F.lit("}"))
+    """Each row as one JSON object text, keys in column order."""
+    return _object([(f.name, df[f.name], f.dataType) for f in df.schema.fields])

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
-# Character.isWhitespace, as a Java regex class.
-_WS = r"\p{javaWhitespace}"
+# The characters of Character.isWhitespace, and those up to U+0020.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x1680, *range(0x2000, 0x2007),
+                          *range(0x2008, 0x200B), 0x2028, 0x2029, 0x205F, 0x3000]))
+CONTROL = "".join(map(chr, range(0x21)))
 
 
 def col_of(c) -> Column:
@@ -21,18 +23,30 @@ def col_of(c) -> Column:
 
 def java_strip(c) -> Column:
     """String.strip(): remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(col_of(c), rf"^{_WS}+|{_WS}+\z", "")
+    return F.btrim(col_of(c), F.lit(WHITE))
 
 
 def java_trim(c) -> Column:
     """String.trim(): remove leading/trailing characters <= U+0020."""
-    return F.regexp_replace(col_of(c), r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
+    return F.btrim(col_of(c), F.lit(CONTROL))
 
 
 def is_blank(c) -> Column:
     """Null, empty, or whitespace only (String.isBlank())."""
+    return F.coalesce(java_strip(c), F.lit("")) == ""
+
+
+def iso_local(c) -> Column:
+    """A timestamp as LocalDateTime.toString() writes it: ``T`` between date
+    and time, seconds and fraction only as far as they are not zero, the
+    fraction in thousandths or millionths."""
     c = col_of(c)
-    return c.isNull() | c.rlike(rf"^{_WS}*\z")
+    micros = F.date_format(c, "SSSSSS")
+    text = F.concat(F.date_format(c, "yyyy-MM-dd"), F.lit("T"), F.date_format(c, "HH:mm"))
+    some = (F.second(c) != 0) | (micros != "000000")
+    short = micros.endswith("000")
+    fraction = F.when(micros == "000000", "").when(short, F.concat(F.lit("."), F.substring(micros, 1, 3))).otherwise(F.concat(F.lit("."), micros))
+    return F.concat(text, F.when(some, F.concat(F.date_format(c, ":ss"), fraction)).otherwise(""))
 
 
 def unescape_object_value(c) -> Column:

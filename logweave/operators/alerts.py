@@ -14,30 +14,28 @@ from ..functions import fixed
 
 def build_alerts(results: DataFrame, assigned: DataFrame) -> DataFrame:
     """One alert per result row, from entries that carry their
-    ``cluster_no`` (``Clustering.assigned``).  Per-cluster flags are partial
-    aggregates; the service list is first made distinct per ``(cluster,
-    service)`` by a hash aggregate, so each collected list is bounded by
-    the number of distinct services, not by the cluster's row count."""
-    m = assigned.select("cluster_no", "level", "service")
-    flags = m.groupBy("cluster_no").agg(
+    ``cluster_no`` (``Clustering.assigned``).  One pass over the entries: a
+    hash aggregate by ``(cluster, service)`` keeps the level flags, a second
+    one by cluster joins them, so each collected list is bounded by the
+    number of distinct services, not by the cluster's row count."""
+    per_service = assigned.groupBy("cluster_no", "service").agg(
         *[F.max((F.col("level") == lv).cast("int")).alias(f"_{lv}") for lv, _ in fixed.SEVERITY_BY_LEVEL]
     )
+    flags = per_service.groupBy("cluster_no").agg(
+        *[F.max(f"_{lv}").alias(f"_{lv}") for lv, _ in fixed.SEVERITY_BY_LEVEL],
+        F.array_sort(F.collect_list("service")).alias("affected_services"),
+    )
     sev = F.lit("LOW")
     for lv, s in reversed(fixed.SEVERITY_BY_LEVEL):
         sev = F.when(F.col(f"_{lv}") == 1, F.lit(s)).otherwise(sev)
-    services = (
-        m.where(F.col("service").isNotNull()).select("cluster_no", "service").distinct()
-        .groupBy("cluster_no").agg(F.array_sort(F.collect_list("service")).alias("affected_services"))
-    )
     return (
         results.select("cluster_no", "error_pattern", "root_cause")
         .join(flags, "cluster_no")
-        .join(services, "cluster_no", "left")
         .select(
             "cluster_no",
             sev.alias("severity"),
             F.col("error_pattern").alias("summary"),
-            F.coalesce("affected_services", F.array().cast("array<string>")).alias("affected_services"),
+            "affected_services",
             F.col("root_cause").alias("llm_summary"),
             F.localtimestamp().alias("detected_at"),
         )

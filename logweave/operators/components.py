@@ -60,8 +60,7 @@ def _is_star_forest(e: DataFrame) -> bool:
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
-                         src: str = "i", dst: str = "j", max_rounds: int = 200,
-                         canonical: bool = False) -> DataFrame:
+                         src: str = "i", dst: str = "j", canonical: bool = False) -> DataFrame:
     """``(vid, component)`` where ``component`` is the smallest vertex id
     of the vertex's component (isolated vertices map to themselves).
 
@@ -74,13 +73,10 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
         e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     else:
         e = _canonical(edges, src, dst).checkpoint()
-    rounds = 0
     # An empty edge set, or one that is already a star forest, needs no round.
+    # Every other round shortens some path to a smallest vertex, so this ends.
     while not _is_star_forest(e):
-        if rounds == max_rounds:
-            raise RuntimeError("connected components did not converge")
         e = _small_star(_large_star(e)).checkpoint()
-        rounds += 1
     label = e.select(F.col("b").alias("_v"), F.col("a").alias("component")).unionByName(
         e.select(F.col("a").alias("_v"), F.col("a").alias("component"))
     ).distinct()

@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 def dedupe(df: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:
     """``(keys..., source, line_no, keep..., dup_count)``."""
-    from .firsts import first_per_group
-
-    from .firsts import first_keys
+    from .firsts import first_keys, first_per_group
 
     keep = [c for c in df.columns if c not in keys and c not in ("source", "line_no")] if keep is None else keep
     if not keep:
@@ -26,3 +24,13 @@ def dedupe(df: DataFrame, keys: list[str], keep: list[str] | None = None) -> Dat
                         F.col("n").alias("dup_count"))
     g = first_per_group(df, keys, ["source", "line_no", *keep])
     return g.withColumnRenamed("n", "dup_count")
+
+
+def dedupe_within(df: DataFrame, keys: list[str], within: str, time: str = "ts") -> DataFrame:
+    """``(keys..., first_ts, last_ts, dup_count)``: repeats of a key count as
+    one as long as each comes at most ``within`` after the one before it (a
+    session window).  Entries without a time are no part of it."""
+    t = df.where(F.col(time).isNotNull())
+    g = t.groupBy(*keys, F.session_window(time, within).alias("_w")).agg(
+        F.min(time).alias("first_ts"), F.max(time).alias("last_ts"), F.count(F.lit(1)).alias("dup_count"))
+    return g.select(*keys, "first_ts", "last_ts", "dup_count")

@@ -30,12 +30,14 @@ def with_template(df: DataFrame, msg: str = "message", out: str = "template") ->
     return df.withColumn(out, message_template(msg))
 
 
-def template_counts(df: DataFrame, template: str = "template", order: str = "line_no") -> DataFrame:
-    """Rows per template and the first order key (hash aggregate with
-    map-side partial aggregation: a hot template costs one row per task)."""
-    return df.where(F.col(template).isNotNull()).groupBy(template).agg(
-        F.count(F.lit(1)).alias("n"), F.min(order).alias("first_line_no")
-    )
+def template_counts(df: DataFrame, template: str = "template", source: str = "source", line: str = "line_no") -> DataFrame:
+    """Rows per template (a NULL template is a row of its own) and the
+    first ``(source, line_no)`` that has it (hash aggregates with map-side
+    partial aggregation: a hot template costs one row per task)."""
+    from .firsts import first_keys
+
+    return first_keys(df, [template], source, line).select(
+        template, "n", F.col("_s").alias("first_source"), F.col("_l").alias("first_line_no"))
 
 
 def ngram_features(df: DataFrame, id_col: str, template: str = "template",
@@ -88,26 +90,36 @@ def l2_normalize_long(df: DataFrame, id_col: str, k: str = "k", w: str = "w") ->
 
 # --- dense vectors (vectorised Python helper) --------------------------------
 
-def template_vector(t: str) -> np.ndarray:
-    """Dense float32 vector of one template (the per-row helper)."""
-    v = np.zeros(DIM, dtype=np.float64)
-    if t:
-        c = np.frombuffer(t.encode("latin-1", "replace"), dtype=np.uint8).astype(np.int64)
-        if c.size >= 2:
-            v += fixed.BIGRAM_WEIGHT * np.bincount(
-                ((c[:-1] * fixed.BIGRAM_MULT + c[1:]) ^ fixed.BIGRAM_XOR) % DIM, minlength=DIM)
-        v += fixed.UNIGRAM_WEIGHT * np.bincount((c * fixed.UNIGRAM_MULT) % DIM, minlength=DIM)
-    v32 = v.astype(np.float32)
-    # Sequential double sum of float products, in cell order.
-    mag = float(np.sqrt(np.cumsum((v32 * v32).astype(np.float64))[-1]))
-    if mag > 0.0:
-        v32 = (v32.astype(np.float64) / mag).astype(np.float32)
-    return v32
+# Templates embedded at a time.
+BATCH_ROWS = 1024
+
+
+def template_vectors(templates: list[str | None]) -> np.ndarray:
+    """Dense float32 vectors, a row for each template: one ``bincount`` over
+    the cells ``row * DIM + cell`` of all of them."""
+    raw = [t.encode("latin-1", "replace") if t else b"" for t in templates]
+    c = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
+    row = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+    pair = row[1:] == row[:-1]
+    big = ((c[:-1] * fixed.BIGRAM_MULT + c[1:]) ^ fixed.BIGRAM_XOR) % DIM
+    size = len(raw) * DIM
+    v = fixed.BIGRAM_WEIGHT * np.bincount((row[1:] * DIM + big)[pair], minlength=size)
+    v = v + fixed.UNIGRAM_WEIGHT * np.bincount(row * DIM + (c * fixed.UNIGRAM_MULT) % DIM, minlength=size)
+    v32 = v.reshape(len(raw), DIM).astype(np.float32)
+    # Sequential double sums of float products, in cell order.
+    length = np.sqrt(np.cumsum((v32 * v32).astype(np.float64), axis=1)[:, -1:])
+    return np.divide(v32, length, out=np.zeros((len(raw), DIM)), where=length > 0).astype(np.float32)
+
+
+def template_vector(t: str | None) -> np.ndarray:
+    """Dense float32 vector of one template."""
+    return template_vectors([t])[0]
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def _embed_udf(t: pd.Series) -> pd.Series:
-    return pd.Series([template_vector(x if isinstance(x, str) else "") for x in t])
+    texts = [x if isinstance(x, str) else "" for x in t]
+    return pd.Series([v for a in range(0, len(texts), BATCH_ROWS) for v in template_vectors(texts[a:a + BATCH_ROWS])])
 
 
 def embed_templates(c) -> Column:

@@ -5,9 +5,9 @@ Spark can only run as a sort aggregate: every task would sort all its rows.
 Instead: (1) a hash aggregate per ``(group, source)`` keeps ``count`` and
 ``min(line_no)`` (fixed-width buffers, map-side partial aggregation, so a
 hot group costs one partial row per task); (2) the smallest ``(source,
-line)`` per group is picked on that much smaller table; (3) the chosen rows
-are fetched with an equi-join on ``(source, line_no)``, broadcast when the
-number of groups is below a checked bound.
+line)`` per group is picked on that smaller table; (3) the chosen rows
+are fetched with an equi-join on ``(source, line_no)``.  Whether that join
+broadcasts is left to the optimizer, which knows the bytes.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows hold a source name and three longs: 1M rows stay around 100 MB.
-BROADCAST_MAX_GROUPS = 1_000_000
-
 
 def first_keys(df: DataFrame, keys: list[str], source: str = "source", line: str = "line_no") -> DataFrame:
     """``(keys..., n, _s, _l)``: group size and the lowest ``(source, line)``."""
@@ -26,15 +23,10 @@ def first_keys(df: DataFrame, keys: list[str], source: str = "source", line: str
     return g.select(*keys, "n", F.col("_k")[source].alias("_s"), F.col("_k._l").alias("_l"))
 
 
-def fetch_rows(df: DataFrame, firsts: DataFrame, n_groups: int | None = None,
-               source: str = "source", line: str = "line_no") -> DataFrame:
-    """Join the chosen ``(_s, _l)`` keys back to their rows (one row each)."""
-    if n_groups is None:
-        n_groups = firsts.count()
-    f = F.broadcast(firsts) if n_groups <= BROADCAST_MAX_GROUPS else firsts
-    # Null-safe keys: a row with a NULL source or line is still fetched.
-    j = df.join(f, df[source].eqNullSafe(f["_s"]) & df[line].eqNullSafe(f["_l"]))
-    return j
+def fetch_rows(df: DataFrame, firsts: DataFrame, source: str = "source", line: str = "line_no") -> DataFrame:
+    """Join the chosen ``(_s, _l)`` keys back to their rows (one row each).
+    Null-safe keys: a row with a NULL source or line is still fetched."""
+    return df.join(firsts, df[source].eqNullSafe(firsts["_s"]) & df[line].eqNullSafe(firsts["_l"]))
 
 
 def first_per_group(df: DataFrame, keys: list[str], cols: list[str], source: str = "source",
@@ -44,9 +36,8 @@ def first_per_group(df: DataFrame, keys: list[str], cols: list[str], source: str
     from ..session import checkpoint_dir
 
     checkpoint_dir(df.sparkSession)
-    # One group row per key: small; written once so counting it and joining
-    # it do not read the input again.
+    # One group row per key, written once: joining it does not read the input again.
     firsts = first_keys(df, keys, source, line).checkpoint()
     data = df.select(*[F.col(c).alias(f"_d_{c}") for c in dict.fromkeys([source, line, *cols])])
-    j = fetch_rows(data, firsts, firsts.count(), f"_d_{source}", f"_d_{line}")
+    j = fetch_rows(data, firsts, f"_d_{source}", f"_d_{line}")
     return j.select(*keys, *[F.col(f"_d_{c}").alias(c) for c in cols], "n")

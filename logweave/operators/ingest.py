@@ -15,9 +15,6 @@ from ..functions import fixed
 from ..functions.jsonfields import json_aliased
 from ..functions.text import is_blank, java_strip, java_trim
 
-ENTRY_COLUMNS = ["id", "source", "line_no", "ts", "level", "service", "message", "raw_line"]
-
-
 def clean_lines(lines: DataFrame) -> DataFrame:
     """Drop null/blank lines; ``line`` is the stripped text."""
     return lines.where(~is_blank("raw_line")).withColumn("line", java_strip("raw_line"))
@@ -44,11 +41,20 @@ def parse_ts(c, on_bad: str = "null") -> F.Column:
     """Trim, every 'T' -> ' ', then ``yyyy-MM-dd HH:mm:ss[.SSS]`` as a
     ``timestamp_ntz``.  A bad or missing text gives NULL (``on_bad='null'``,
     reproducible) or the current local time (``on_bad='now'``).
-    Calendar-invalid texts (Feb 30, hour 24) give the fallback: Spark does
-    not resolve them leniently."""
+
+    The calendar is lenient as LocalDateTime.parse is: a day up to 31 that the
+    month lacks is its last day, and 24:00:00 is the next day's start."""
     t = F.translate(java_trim(c), "T", " ")
     ok = t.rlike(fixed.TIMESTAMP_TEXT)
-    ts = F.when(ok, t.try_cast("timestamp_ntz"))
+    strict = t.try_cast("timestamp_ntz")
+    first = F.concat(F.substring(t, 1, 8), F.lit("01")).try_cast("date")
+    day, hour = F.substring(t, 9, 2).try_cast("int"), F.substring(t, 12, 2)
+    last = F.least(day, F.dayofmonth(F.last_day(first)))
+    midnight = (hour == "24") & F.substring(t, 15, 20).rlike(r"^00:00(\.0+)?$")
+    time = F.when(midnight, F.lit("00:00:00")).otherwise(F.substring(t, 12, 20))
+    date = F.when(day.between(1, 31), F.date_add(first, last - 1 + midnight.cast("int")))
+    lenient = F.concat_ws(" ", date.cast("string"), F.when(date.isNotNull(), time)).try_cast("timestamp_ntz")
+    ts = F.when(ok, F.coalesce(strict, F.when(date.isNotNull(), lenient)))
     if on_bad == "now":
         return F.coalesce(ts, F.localtimestamp())
     if on_bad != "null":

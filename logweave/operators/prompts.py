@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.jsonfields import json_aliased
 from ..functions.text import col_of, is_blank, java_trim, json_escape_full, unescape_reply_text
-from .rca import rule_columns
 
 
 def sample_lines(assigned: DataFrame, k: int = fixed.MAX_LINES_PER_CLUSTER,
@@ -72,8 +71,8 @@ TEXT_BLOCK = r'"text"\s*:\s*"([^\\"]*+(?:\\.[^\\"]*+)*+)"'
 def reply_text(c) -> Column:
     """First ``"text": "..."`` block of a reply body, unescaped; NULL
     when the body is NULL or has none."""
-    c = col_of(c)
-    return F.when(c.rlike(TEXT_BLOCK), unescape_reply_text(F.regexp_extract(c, TEXT_BLOCK, 1)))
+    got = F.try_element_at(F.regexp_extract_all(col_of(c), F.lit(TEXT_BLOCK), 1), F.lit(1))
+    return unescape_reply_text(got)
 
 
 _REPLY_SPEC = {
@@ -116,41 +115,46 @@ def parse_reply(text: str | Column) -> Column:
     return F.when(is_blank(t), empty).when(~ok, malformed).otherwise(good)
 
 
-def resolve(clusters: DataFrame, replies: DataFrame | None) -> DataFrame:
-    """One result per cluster.  With ``replies=None`` (offline)
-    every cluster gets the rules; otherwise a received reply is parsed
-    (even a bad one keeps its parse result) and a missing reply falls back
-    to the rules.  ``replies`` is ``(cluster_no, response)`` with unique
-    ``cluster_no``."""
-    rules = rule_columns("rep_message")
-    base = clusters.select("cluster_no", "cluster_label", "rep_id", "rep_message", "size")
-    if replies is None:
-        j = base.select("*", F.lit(None).cast("string").alias("response"), F.lit(False).alias("_got"))
-    else:
-        j = base.join(
-            replies.select("cluster_no", "response", F.lit(True).alias("_got")), "cluster_no", "left"
-        ).withColumn("_got", F.coalesce("_got", F.lit(False)))
-    parsed = j.select("*", parse_reply(reply_text("response")).alias("_p"))
-    got = F.col("_got")
-    return parsed.select(
-        "cluster_no",
-        F.concat_ws(":", "cluster_label", "rep_id").alias("log_entry_id"),
-        F.when(got, F.lit("reply")).otherwise(F.lit("rules")).alias("source"),
-        *[F.when(got, F.col("_p")[n]).otherwise(rules[n]).alias(n)
-          for n in ("error_pattern", "root_cause", "fix_suggestion", "confidence_score")],
-        "size",
-    )
-
-
 def replies_from_conversations(conversations: DataFrame) -> DataFrame:
-    """Reply bodies shaped like a messages-API response, one per
-    conversation (its first assistant turn), keyed ``cluster_no = conv_id + 1``.
-    Used to exercise R7-R9 on the given tables."""
-    first = conversations.where(F.col("role") == "assistant").groupBy("conv_id").agg(
-        F.min_by("text", "turn").alias("text")
-    )
-    return first.select(
-        (F.col("conv_id") + 1).alias("cluster_no"),
-        F.concat(F.lit('{"content":[{"type":"text","text":"'), json_escape_full("text"),
-                 F.lit('"}],"role":"assistant"}')).alias("response"),
-    )
+    """Reply bodies shaped like a messages-API response, one for each
+    assistant turn, keyed ``cluster_no`` by the turn's order ``(conv_id,
+    turn)`` from 1.  Used to exercise R7-R9 on the given tables.
+
+    The texts are turned into every form of reply that the parser tells
+    apart, by the turn's number: clean, fenced and embedded JSON, confidences
+    above 1, below 0, not a number, null and missing, repeated keys, blank
+    and brace-free texts (see ``REPLY_FORMS``)."""
+    from .components import global_row_number
+
+    said = conversations.where(F.col("role") == "assistant").select("conv_id", "turn", "text")
+    n = global_row_number(said, ["conv_id", "turn", "text"], "cluster_no")
+    return n.select("cluster_no", reply_body(reply_form("cluster_no", "text")).alias("response"))
+
+
+def reply_body(text) -> Column:
+    """A messages-API response around a reply text."""
+    return F.concat(F.lit('{"content":[{"type":"text","text":"'), json_escape_full(text), F.lit('"}],"role":"assistant"}'))
+
+
+#: Reply texts around ``{t}``, a JSON string's content.
+REPLY_FORMS = (
+    '{"errorPattern":"{t}","rootCause":"cause of {t}","fixSuggestion":"fix","confidenceScore":0.75}',
+    '```json\n{"errorPattern": "{t}", "rootCause": "c", "fixSuggestion": "f", "confidenceScore": 1.5}\n```',
+    'Here is what I found:\n{"errorPattern":"{t}","rootCause":"c","confidenceScore":-0.25} Regards',
+    '{"errorPattern":null,"rootCause":"{t}","fixSuggestion":"f","confidenceScore":"high"}',
+    '{"errorPattern":"first","errorPattern":"{t}","rootCause":"c","fixSuggestion":"a","fixSuggestion":"b","confidenceScore":0.1,"confidenceScore":0.9}',
+    '{"confidenceScore":null,"rootCause":"{t}"}',
+    '  \n ',
+    'no braces: {t}',
+    '} {t} {',
+    '```{"errorPattern":"{t}","confidenceScore": NaN }```',
+)
+
+
+def reply_form(no, text) -> Column:
+    """The form of ``REPLY_FORMS`` for a row's number, with the first words
+    of its text in place of ``{t}``."""
+    t = F.regexp_replace(F.substring(col_of(text), 1, 40), r'[\x00-\x1F"\\{}`]', " ")
+    forms = F.array(*[F.lit(f) for f in REPLY_FORMS])
+    form = F.element_at(forms, (F.pmod(col_of(no), F.lit(len(REPLY_FORMS))) + 1).cast("int"))
+    return F.replace(form, F.lit("{t}"), t)

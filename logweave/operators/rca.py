@@ -44,27 +44,40 @@ def classify(df: DataFrame, msg: str = "message", rules=None, default=None) -> D
     return df.select("*", *[c.alias(n) for n, c in cols.items()])
 
 
-MAX_RULE_ROWS = 10_000
+GRAM = 3
 
 
-def classify_with_rule_table(df: DataFrame, rules: DataFrame, msg: str = "message") -> DataFrame:
+def _grams(text: Column, n: int) -> Column:
+    """All different substrings of length ``n`` of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * n}))"), 1))
+
+
+def classify_with_rule_table(df: DataFrame, rules: DataFrame, msg: str = "message", default=None) -> DataFrame:
     """R1 with a user rule table ``(priority int, keyword string, pattern,
-    root_cause, fix_suggestion, confidence)``; lower priority wins.
+    root_cause, fix_suggestion, confidence)`` of any size; lower priority
+    wins, ties by pattern.  Rules with a NULL keyword fit nothing.
 
-    A rule table is hand-written configuration, so it is read once on the
-    driver - after checking it holds at most ``MAX_RULE_ROWS`` rows - and
-    compiled into one CASE expression that runs inside whole-stage codegen
-    (no join, no per-row Python).
+    Distinct lower-cased messages meet the rules that begin with one of
+    their substrings of up to three characters (an equi-join), ``contains``
+    decides, and the best rule of a message is an aggregate; so a message on
+    a third of all rows is one row here.
     """
-    n = rules.count()
-    if n > MAX_RULE_ROWS:
-        raise ValueError(f"rule table has {n} rows; at most {MAX_RULE_ROWS} are compiled into an expression")
-    grouped = {}
-    for r in rules.orderBy("priority", "keyword").collect():
-        key = (r.priority, r.pattern, r.root_cause, r.fix_suggestion, float(r.confidence))
-        grouped.setdefault(key, []).append(r.keyword.lower())
-    compiled = [(kws, *k[1:]) for k, kws in sorted(grouped.items(), key=lambda kv: kv[0][0])]
-    return classify(df, msg, rules=compiled)
+    default = fixed.DEFAULT_RULE if default is None else default
+    low = F.lower(F.coalesce(F.col(msg), F.lit("")))
+    r = rules.where(F.col("keyword").isNotNull()).select(
+        F.lower("keyword").alias("_kw"),
+        F.struct(F.col("priority"), F.concat(F.lit(fixed.HEURISTIC_PREFIX), F.col("pattern")).alias("error_pattern"), "root_cause",
+                 "fix_suggestion", F.col("confidence").cast("double").alias("confidence_score")).alias("_rule"),
+    ).withColumn("_g", F.substring("_kw", 1, GRAM))
+    texts = df.select(low.alias("_text")).distinct()
+    # The empty keyword's gram is the empty string, which every text has.
+    grams = F.concat(F.array(F.lit("")), *[_grams(F.col("_text"), n) for n in range(1, GRAM + 1)])
+    met = texts.withColumn("_g", F.explode(grams)).join(r, "_g").where(F.col("_text").contains(F.col("_kw")))
+    best = met.groupBy("_text").agg(F.min("_rule").alias("_rule"))
+    j = df.withColumn("_low", low).join(best, F.col("_low") == F.col("_text"), "left")
+    d = {"error_pattern": F.lit(fixed.HEURISTIC_PREFIX + default[0]), "root_cause": F.lit(default[1]),
+         "fix_suggestion": F.lit(default[2]), "confidence_score": F.lit(float(default[3]))}
+    return j.select(*df.columns, *[F.when(F.col("_rule").isNotNull(), F.col("_rule")[k]).otherwise(v).alias(k) for k, v in d.items()])
 
 
 def empty_cluster_result() -> dict[str, Column]:

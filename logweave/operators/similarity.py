@@ -1,11 +1,12 @@
 """Cosine similarity (C1), exact threshold self-join by blocks (C2) and an
 approximate LSH join (D4).
 
-The exact join never materialises all pairs: vectors are hashed into
-``B`` blocks of bounded size, every block pair ``(a <= b)`` becomes one
-group via an equi-key, and inside a group numpy computes the block's
-similarity matrix and emits only the pairs at or above the threshold.
-Each group holds at most two blocks, whatever the data skew.
+The exact join cuts vectors into blocks of bounded size by their angle to a
+pivot; blocks that can hold similar vectors become one group via an
+equi-key, and inside a group numpy computes the similarity matrix in bounded
+chunks, re-checks candidates in bounded batches and emits the pairs at or above
+the threshold, or only a spanning forest of them.  Each group holds at most
+two blocks, whatever the data skew.
 """
 
 from __future__ import annotations
@@ -46,10 +47,21 @@ def _java_cos_rows(A: np.ndarray, B: np.ndarray) -> np.ndarray:
         return np.where(den == 0.0, 0.0, dot / den)
 
 
-CHUNK_ROWS = 1024
+# Cells of a similarity matrix, and candidate pairs re-checked, at a time.
+CHUNK_CELLS, CHUNK_PAIRS = 1 << 21, 1 << 14
 
 
-def _block_pairs(threshold: float):
+def _roots(parent: np.ndarray) -> np.ndarray:
+    """Every node's root, all paths cut short."""
+    while not np.array_equal(up := parent[parent], parent):
+        parent = up
+    return parent
+
+
+def _block_pairs(threshold: float, forest: bool = False):
+    """Pairs at or above the threshold within one or two blocks; with
+    ``forest`` only pairs that join two trees so far, at most one for each
+    row, which have the same components."""
     slack = 1e-6  # candidates by float64 matmul, then the exact re-check
     empty = pd.DataFrame({"i": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int64"),
                           "cosine": pd.Series([], dtype="float64")})
@@ -63,30 +75,51 @@ def _block_pairs(threshold: float):
         if left.empty:
             return empty
         A = np.stack(left["_v"].to_numpy()).astype(np.float32)
-        B = np.stack(right["_v"].to_numpy()).astype(np.float32)
+        B = A if diag else np.stack(right["_v"].to_numpy()).astype(np.float32)
         ia = left["_id"].to_numpy(dtype=np.int64)
         ib = right["_id"].to_numpy(dtype=np.int64)
-        A64, B64 = A.astype(np.float64), B.astype(np.float64)
-        na = np.sqrt((A64 ** 2).sum(axis=1))
+        B64 = B.astype(np.float64)
         nb = np.sqrt((B64 ** 2).sum(axis=1))
+        # Trees over both blocks' rows; a row of B follows the rows of A.
+        parent = np.arange(len(A) + (0 if diag else len(B)))
+        shift = 0 if diag else len(A)
         out = []
-        # Row chunks bound the similarity matrix to CHUNK_ROWS x len(B).
-        for lo in range(0, len(A), CHUNK_ROWS):
-            hi = min(lo + CHUNK_ROWS, len(A))
+        step = max(1, CHUNK_CELLS // len(B))
+        for lo in range(0, len(A), step):
+            part = A[lo:lo + step].astype(np.float64)
             with np.errstate(invalid="ignore", divide="ignore"):
-                S = (A64[lo:hi] @ B64.T) / np.outer(na[lo:hi], nb)
-            S = np.nan_to_num(S, nan=0.0, posinf=0.0, neginf=0.0)
-            r, c = np.nonzero(S >= threshold - slack)
-            r = r + lo
+                S = (part @ B64.T) / np.outer(np.sqrt((part ** 2).sum(axis=1)), nb)
+            near = np.nan_to_num(S, nan=0.0, posinf=0.0, neginf=0.0) >= threshold - slack
+            del S
+            rows, cols = np.nonzero(near)
+            rows = (rows + lo).astype(np.int32)
+            cols = cols.astype(np.int32)
             if diag:
-                keep = ia[r] < ib[c]
-                r, c = r[keep], c[keep]
-            if r.size == 0:
-                continue
-            cos = _java_cos_rows(A[r], B[c])
-            keep = cos >= threshold
-            r, c, cos = r[keep], c[keep], cos[keep]
-            out.append(pd.DataFrame({"i": np.minimum(ia[r], ib[c]), "j": np.maximum(ia[r], ib[c]), "cosine": cos}))
+                keep = ia[rows] < ib[cols]
+                rows, cols = rows[keep], cols[keep]
+            for a in range(0, len(rows), CHUNK_PAIRS):
+                r, c = rows[a:a + CHUNK_PAIRS], cols[a:a + CHUNK_PAIRS]
+                if forest:
+                    parent = _roots(parent)
+                    apart = parent[r] != parent[c + shift]
+                    r, c = r[apart], c[apart]
+                if not r.size:
+                    continue
+                cos = _java_cos_rows(A[r], B[c])
+                keep = cos >= threshold
+                r, c, cos = r[keep], c[keep], cos[keep]
+                if forest:
+                    joins = []
+                    for k, (x, y) in enumerate(zip(r.tolist(), (c + shift).tolist(), strict=True)):
+                        while parent[x] != x:
+                            x = parent[x]
+                        while parent[y] != y:
+                            y = parent[y]
+                        if x != y:
+                            parent[max(x, y)] = min(x, y)
+                            joins.append(k)
+                    r, c, cos = r[joins], c[joins], cos[joins]
+                out.append(pd.DataFrame({"i": np.minimum(ia[r], ib[c]), "j": np.maximum(ia[r], ib[c]), "cosine": cos}))
         return pd.concat(out, ignore_index=True) if out else empty
 
     return fn
@@ -96,41 +129,76 @@ def _pair_groups(v: DataFrame, nb, key: list[str]) -> DataFrame:
     """Replicate vectors ``(_id, _v, _b)`` into block-pair groups: block
     ``b`` goes left to ``(b, b..nb-1)`` and right to ``(0..b-1, b)``, within
     each ``key`` group (``nb`` may be a column)."""
-    nb = F.lit(nb) if isinstance(nb, int) else nb
+    return _ranged_groups(v.withColumn("_to", nb - 1).withColumn("_from", F.lit(0)), key)
+
+
+def _ranged_groups(v: DataFrame, key: list[str]) -> DataFrame:
+    """As ``_pair_groups``, but block ``b`` only meets blocks ``_from`` to
+    ``_to``."""
     left = v.select(*key, "_id", "_v", F.lit(0).alias("_side"), F.col("_b").alias("_bi"),
-                    F.explode(F.sequence(F.col("_b"), nb - 1)).alias("_bj"))
-    right = v.where(F.col("_b") > 0).select(
+                    F.explode(F.sequence(F.col("_b"), F.col("_to"))).alias("_bj"))
+    right = v.where(F.col("_b") > F.col("_from")).select(
         *key, "_id", "_v", F.lit(1).alias("_side"),
-        F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_bi"), F.col("_b").alias("_bj"))
+        F.explode(F.sequence(F.col("_from"), F.col("_b") - 1)).alias("_bi"), F.col("_b").alias("_bj"))
     return left.unionByName(right)
 
 
+def _by_angle(v: DataFrame, threshold: float, block_size: int) -> DataFrame:
+    """Blocks of vectors in order of their angle to a pivot, with the range
+    of blocks each has to meet.
+
+    Two vectors whose angles to the pivot differ by more than
+    ``acos(threshold)`` are further apart than the threshold (triangle
+    inequality on the sphere), so blocks that lie wholly beyond are never
+    paired; nothing is lost.  Blocks are cut by a distributed row number, so
+    equal angles don't swell one."""
+    from .components import global_row_number
+
+    pivot = v.orderBy("_id").select("_v").first()["_v"]
+    p = F.array(*[F.lit(float(x)).cast("float") for x in pivot])
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("_v"), p))))
+    ranked = global_row_number(v.withColumn("_angle", angle), ["_angle", "_id"], "_n")
+    cut = ranked.withColumn("_b", F.floor((F.col("_n") - 1) / block_size).cast("int")).drop("_n")
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    blocks = cut.groupBy("_b").agg(F.min("_angle").alias("_low"), F.max("_angle").alias("_high"))
+    a, b = blocks.alias("a"), blocks.alias("b")
+    # One row for each block of thousands of vectors.
+    span = a.join(b, (F.col("b._low") <= F.col("a._high") + reach) & (F.col("b._high") >= F.col("a._low") - reach)).groupBy(
+        F.col("a._b").alias("_b")).agg(F.min("b._b").alias("_from"), F.max("b._b").alias("_to"))
+    return cut.drop("_angle").join(span, "_b")
+
+
 def similar_pairs(vectors: DataFrame, id_col: str, vec_col: str, threshold: float,
-                  block_size: int = 4096, n_vectors: int | None = None) -> DataFrame:
+                  block_size: int = 2048, n_vectors: int | None = None, forest: bool = False) -> DataFrame:
     """All pairs ``i < j`` with ``cosine >= threshold`` (exact).
 
-    ``id_col`` must be a unique bigint key.  ``B = ceil(n / block_size)``
-    blocks; vector in block ``b`` is sent to groups ``(b, b..B-1)`` as left
-    and ``(0..b-1, b)`` as right, so every unordered pair meets in exactly
-    one group and each group holds at most ``2 * block_size`` vectors
-    (plus hash noise).  Shuffle volume is ``n * B`` vectors.
+    ``id_col`` must be a unique bigint key.  Vectors are cut into blocks of
+    ``block_size`` by their angle to a pivot; block ``b`` meets, as left or
+    right, the blocks whose angles are within ``acos(threshold)``, so every
+    pair that can reach the threshold meets in exactly one group and each
+    group holds at most two blocks.
+
+    ``forest=True`` returns, of each group, a spanning forest of its
+    similar pairs instead of all of them (at most as many edges as rows):
+    the same connected components without a table of all pairs.
     """
     from ..session import ship_package
 
     ship_package(vectors.sparkSession)
     n = n_vectors if n_vectors is not None else vectors.count()
-    nb = max(1, math.ceil(n / block_size))
     v = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_v")).where(
         F.col("_v").isNotNull()
     )
-    v = v.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int"))
-    both = _pair_groups(v, nb, [])
-    return both.groupBy("_bi", "_bj").applyInPandas(_block_pairs(float(threshold)), PAIR_SCHEMA)
+    if n <= block_size:
+        groups = _pair_groups(v.withColumn("_b", F.lit(0)), F.lit(1), [])
+    else:
+        groups = _ranged_groups(_by_angle(v, threshold, block_size), [])
+    return groups.groupBy("_bi", "_bj").applyInPandas(_block_pairs(float(threshold), forest), PAIR_SCHEMA)
 
 
 def similar_pairs_approx(vectors: DataFrame, id_col: str, vec_col: str, threshold: float,
                          bucket_length: float = 0.5, num_hash_tables: int = 4, seed: int = 7,
-                         block_size: int = 4096) -> DataFrame:
+                         block_size: int = 2048, forest: bool = False) -> DataFrame:
     """Approximate pairs: only vectors sharing a random-projection LSH
     bucket (MLlib ``BucketedRandomProjectionLSH`` on unit vectors, so a
     Euclidean bucket is a cosine neighbourhood) are compared.
@@ -164,5 +232,5 @@ def similar_pairs_approx(vectors: DataFrame, id_col: str, vec_col: str, threshol
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_size))).cast("int").alias("_nb"))
     v = keyed.join(sizes, "_key").withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int"))
     groups = _pair_groups(v, F.col("_nb"), ["_key"])
-    pairs = groups.groupBy("_key", "_bi", "_bj").applyInPandas(_block_pairs(float(threshold)), PAIR_SCHEMA)
+    pairs = groups.groupBy("_key", "_bi", "_bj").applyInPandas(_block_pairs(float(threshold), forest), PAIR_SCHEMA)
     return pairs.dropDuplicates(["i", "j"])

@@ -30,17 +30,18 @@ def cluster_sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster_no").agg(F.count(F.lit(1)).alias("size"))
 
 
-def stage_stats(lines: DataFrame, entries: DataFrame, clustering) -> DataFrame:
-    """A2: one row of stage counts.  Each count is a scalar subquery over
-    its own frame (separate aggregate jobs, no join)."""
+def stage_stats(lines: DataFrame, clustering) -> DataFrame:
+    """A2: one row of stage counts.  ``entries`` are read as the clustering
+    wrote them, ``vectors`` are the embedded ones (one for each template).
+    Each count is a scalar subquery over its own frame (no join)."""
     def n(df):
         return df.select(F.count(F.lit(1))).scalar()
 
     c = clustering
     return lines.agg(F.count(F.lit(1)).alias("lines")).select(
         "lines",
-        n(entries).alias("entries"),
-        n(entries).alias("vectors"),
+        n(c.entries).alias("entries"),
+        n(c.vectors.where(F.col("vector").isNotNull())).alias("vectors"),
         n(c.templates).alias("templates"),
         n(c.edges).alias("edges"),
         n(c.clusters).alias("clusters"),

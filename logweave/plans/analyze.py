@@ -3,27 +3,32 @@ similar pairs -> components -> numbered clusters -> one result per cluster.
 
 Scale notes
 -----------
-* Parsing and templating are one narrow stage over the lines.
+* Parsing and templating are one narrow stage over the lines; its result is
+  written once as Parquet to the shared checkpoint folder, and the consumers
+  read only the columns they need.
 * Equal non-empty templates have equal vectors (cosine 1), so the quadratic
   step runs over *distinct templates*, never over lines.  The template table
   is a hash aggregate with partial aggregation: a template holding a third
   of all rows costs one partial row per task.
+* Components need no table of all similar pairs: every group of the
+  similarity join returns a spanning forest.
 * Empty templates (NULL, blank or symbol-only messages) have zero vectors,
   which are similar to nothing: each such entry is its own cluster and
   never enters the similarity join.
-* The template -> cluster map is keyed by the 64-bit template key (16 bytes
-  a row) and broadcast only when its row count (known from the block sizing
-  count) is below ``BROADCAST_MAX_TEMPLATES``; otherwise it is a shuffle
-  join (AQE splits skewed partitions).
+* Templates are vertices under a dense number; entries find their cluster by a
+  128-bit key of the template (two longs).  Whether that join broadcasts is
+  left to the optimizer.
 * Clusters are numbered by their representative (lowest ``(source,
   line_no)``) with a distributed row number, not a one-partition window.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +41,6 @@ from ..operators.rca import classify, empty_cluster_result
 from ..operators.similarity import similar_pairs
 from ..session import checkpoint_dir
 
-BROADCAST_MAX_TEMPLATES = 2_000_000
 # Order key first: min(struct) picks the lowest (source, line_no) and
 # carries the whole entry along.
 REP = ["source", "line_no", "id", "ts", "level", "service", "message", "raw_line"]
@@ -44,83 +48,93 @@ REP = ["source", "line_no", "id", "ts", "level", "service", "message", "raw_line
 
 @dataclass
 class Clustering:
-    entries: DataFrame    # id, source, line_no, message, template, vkey
-    templates: DataFrame  # template, vkey, n, first (struct source, line_no), component
-    edges: DataFrame      # i, j, cosine over template vkeys
+    entries: DataFrame    # REP columns, template, k1, k2
+    templates: DataFrame  # template, k1, k2, n, first (struct source, line_no), vkey, component
+    vectors: DataFrame    # vkey, vector
     clusters: DataFrame   # cluster_no, cluster_label, component, rep_*, size
     members: DataFrame    # cluster_no, cluster_label, id, source, line_no
     assigned: DataFrame   # every entry column + template, cluster_no, cluster_label
+    threshold: float
+    block_size: int
+    path: str             # where the entries are written
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """All similar template pairs (i, j, cosine), which clustering itself
+        does not need."""
+        checkpoint_dir(self.vectors.sparkSession)
+        return similar_pairs(self.vectors, "vkey", "vector", self.threshold, self.block_size).checkpoint()
 
     def release(self) -> None:
-        """Drop the cached templated entries once the consumers are done
-        (checkpointed frames stay readable)."""
-        self.entries.unpersist()
+        """Delete the written entries once ``entries``, ``members`` and
+        ``assigned`` are no longer read; ``clusters`` stays readable."""
+        spark = self.clusters.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def templated(entries: DataFrame) -> DataFrame:
-    """Entries with ``template`` and ``vkey`` (xxhash64 of a non-empty
-    template; NULL for zero-vector entries)."""
+    """Entries with ``template`` and its 128-bit key ``(k1, k2)`` (NULL for
+    the zero vectors of empty templates)."""
     t = entries.select(*REP, message_template("message").alias("template"))
-    return t.withColumn("vkey", F.when(F.length("template") > 0, F.xxhash64("template")))
+    some = F.length("template") > 0
+    return t.withColumns({"k1": F.when(some, F.xxhash64("template")), "k2": F.when(some, F.xxhash64(F.lit(1), "template"))})
+
 
+def cluster_entries(entries: DataFrame, threshold: float = fixed.SIMILARITY_THRESHOLD, block_size: int = 2048,
+                    embed=None, similar=None) -> Clustering:
+    """Cluster entries.
 
-def cluster_entries(entries: DataFrame, threshold: float = fixed.SIMILARITY_THRESHOLD,
-                    block_size: int = 4096, storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Clustering:
-    """Cluster entries (C2-C5).  The templated entries are read by three
-    consumers (template table, singletons, member assignment) and kept at
-    ``storage_level``; lost blocks are recomputed from the scan, so executor
-    loss is survived."""
+    ``embed`` (template column -> vector column) and ``similar`` (vectors
+    ``(vkey, vector)`` -> pairs ``(i, j, cosine)``, of which only the
+    components count) replace the built-in vectors and similarity, e.g.
+    ``similar=lambda v: similar_pairs_approx(v, "vkey", "vector", 0.85,
+    forest=True)``."""
     spark = entries.sparkSession
-    checkpoint_dir(spark)
-    et = templated(entries).persist(storage_level)
+    path = os.path.join(checkpoint_dir(spark), f"entries-{uuid.uuid4().hex}")
+    parsed = templated(entries)
+    parsed.write.parquet(path)
+    et = spark.read.schema(parsed.schema).parquet(path)
 
     # Template table by hash aggregation only (see operators/firsts.py):
     # count and the first (source, line_no) of every template.
-    templates = (
-        first_keys(et.where(F.col("vkey").isNotNull()), ["template"])
-        .select("template", "n", F.struct(F.col("_s").alias("source"), F.col("_l").alias("line_no")).alias("first"))
-        .withColumn("vkey", F.xxhash64("template"))
-        .checkpoint()
-    )
-    n_t, n_keys = templates.agg(F.count(F.lit(1)), F.count_distinct("vkey")).first()
-    if n_t != n_keys:
-        raise RuntimeError("64-bit template key collision; use a wider key")
-
-    vectors = templates.select("vkey", embed_templates("template").alias("vector"))
-    edges = similar_pairs(vectors, "vkey", "vector", threshold, block_size, n_vectors=n_t).checkpoint()
-    comp = connected_components(templates.select(F.col("vkey").alias("id")), edges, canonical=True)
+    counted = first_keys(et.where(F.col("k1").isNotNull()), ["template", "k1", "k2"]).select(
+        "template", "k1", "k2", "n", F.struct(F.col("_s").alias("source"), F.col("_l").alias("line_no")).alias("first"))
+    templates = global_row_number(counted, ["template"], "vkey").checkpoint()
+    vectors = templates.select("vkey", (embed or embed_templates)("template").alias("vector"))
+    if similar is None:
+        forest = similar_pairs(vectors, "vkey", "vector", threshold, block_size, forest=True).checkpoint()
+    else:
+        forest = similar(vectors).select("i", "j").distinct().checkpoint()
+    comp = connected_components(templates.select(F.col("vkey").alias("id")), forest, canonical=similar is None)
     tc = templates.join(comp.withColumnRenamed("id", "vkey"), "vkey")
 
-    # One row per component: its first entry, fetched by a broadcast
-    # equi-join (at most one row per template).
+    # One row per component: its first entry, fetched by an equi-join.
     comp_first = tc.groupBy("component").agg(F.min("first").alias("_k"), F.sum("n").alias("size")).select(
         "component", "size", F.col("_k.source").alias("_s"), F.col("_k.line_no").alias("_l"))
-    from_templates = fetch_rows(et, comp_first, n_t).select(
-        "component", F.struct(*REP).alias("rep"), "size")
-    singles = et.where(F.col("vkey").isNull()).select(
+    from_templates = fetch_rows(et, comp_first).select("component", F.struct(*REP).alias("rep"), "size")
+    singles = et.where(F.col("k1").isNull()).select(
         F.lit(None).cast("long").alias("component"), F.struct(*REP).alias("rep"), F.lit(1).cast("long").alias("size")
     )
     clusters = from_templates.unionByName(singles).select(
         "component", *[F.col(f"rep.{c}").alias(f"rep_{c}") for c in REP], "size",
     )
+    # Its rows are checkpointed by global_row_number, so results don't read the entries again.
     numbered = global_row_number(clusters, ["rep_source", "rep_line_no"], "cluster_no").withColumn(
         "cluster_label", F.concat(F.lit("Cluster-"), F.col("cluster_no").cast("string"))
     )
 
-    # Template key -> cluster number: two longs per row (16 bytes), so the
-    # row cap bounds the broadcast to about 32 MB; the label is derived after
-    # the join.
-    t2c = tc.select("vkey", "component").join(
+    # Template key -> cluster number: three longs per row.  A template on a
+    # third of all rows is one hot key of a shuffle join, which AQE splits.
+    t2c = tc.select("k1", "k2", "component").join(
         numbered.where(F.col("component").isNotNull()).select("component", "cluster_no"),
         "component",
-    ).select("vkey", "cluster_no")
-    if n_t <= BROADCAST_MAX_TEMPLATES:
-        t2c = F.broadcast(t2c)
+    ).select("k1", "k2", "cluster_no")
     # Entries keep all their columns: consumers (samples, alerts, entry
     # lookups) read this frame instead of joining members back to entries.
     assigned = (
-        et.where(F.col("vkey").isNotNull())
-        .join(t2c, "vkey")
+        et.where(F.col("k1").isNotNull())
+        .join(t2c, ["k1", "k2"])
         .select(*REP, "template", "cluster_no",
                 F.concat(F.lit("Cluster-"), F.col("cluster_no").cast("string")).alias("cluster_label"))
         .unionByName(
@@ -131,45 +145,66 @@ def cluster_entries(entries: DataFrame, threshold: float = fixed.SIMILARITY_THRE
         )
     )
     members = assigned.select("cluster_no", "cluster_label", "id", "source", "line_no")
-    return Clustering(et, tc, edges, numbered, members, assigned)
+    return Clustering(et, tc, vectors, numbered, members, assigned, threshold, block_size, path)
 
 
-def heuristic_results(clusters: DataFrame, classify_fn=None) -> DataFrame:
-    """R1/R2/R3/R11 per cluster: the rules on the representative's
-    message; a cluster without entries (``size`` 0 or no representative,
-    possible for caller-supplied cluster tables) gets the empty-cluster
-    result."""
+def resolve(clusters: DataFrame, replies: DataFrame | None = None, classify_fn=None) -> DataFrame:
+    """One result per cluster, in both modes.
+
+    A cluster without entries (``size`` 0 or no representative, possible for
+    caller-supplied cluster tables) gets the empty-cluster result, whatever
+    the mode.  Otherwise a received reply is parsed (even a bad one keeps its
+    parse result), and without one the rules decide: ``classify_fn``
+    (clusters -> clusters with the four result columns), by default the
+    built-in rules on the representative's message.  ``replies`` is
+    ``(cluster_no, response)`` with unique ``cluster_no``, or None (offline).
+    ``source`` says ``empty``, ``reply`` or ``rules``."""
+    from ..operators.prompts import parse_reply, reply_text
+
     c = (classify_fn or (lambda d: classify(d, msg="rep_message")))(clusters)
+    if replies is None:
+        c = c.withColumns({"_got": F.lit(False), "_response": F.lit(None).cast("string")})
+    else:
+        r = replies.select(F.col("cluster_no").alias("_no"), F.col("response").alias("_response"), F.lit(True).alias("_got"))
+        c = c.join(r, F.col("cluster_no") == F.col("_no"), "left").withColumn("_got", F.coalesce("_got", F.lit(False)))
+    c = c.withColumn("_p", parse_reply(reply_text("_response")))
     empty = (F.coalesce(F.col("size"), F.lit(0)) == 0) | F.col("rep_id").isNull()
     e = empty_cluster_result()
-    pick = {k: F.when(empty, v).otherwise(F.col(k)) for k, v in e.items()}
+
+    def pick(name):
+        return F.when(empty, e[name]).when(F.col("_got"), F.col("_p")[name]).otherwise(F.col(name)).alias(name)
+
     return c.select(
         "cluster_no",
-        F.concat_ws(":", "cluster_label", pick["rep_id"]).alias("log_entry_id"),
-        pick["error_pattern"].alias("error_pattern"),
-        pick["root_cause"].alias("root_cause"),
-        pick["fix_suggestion"].alias("fix_suggestion"),
-        pick["confidence_score"].alias("confidence_score"),
+        F.concat_ws(":", "cluster_label", F.when(empty, e["rep_id"]).otherwise(F.col("rep_id"))).alias("log_entry_id"),
+        F.when(empty, "empty").when(F.col("_got"), "reply").otherwise("rules").alias("source"),
+        pick("error_pattern"), pick("root_cause"), pick("fix_suggestion"), pick("confidence_score"),
         "size",
     )
 
 
+def heuristic_results(clusters: DataFrame, classify_fn=None) -> DataFrame:
+    """The results without replies."""
+    return resolve(clusters, None, classify_fn)
+
+
 def analyze(lines: DataFrame, replies: DataFrame | None = None, *, ingest_fn=None, cluster_fn=None,
-            classify_fn=None, threshold: float = fixed.SIMILARITY_THRESHOLD) -> DataFrame:
+            classify_fn=None, embed=None, similar=None, threshold: float = fixed.SIMILARITY_THRESHOLD) -> DataFrame:
     """Raw lines -> one result row per cluster.
 
     ``replies=None`` is the offline mode (keyword rules only); otherwise
     ``replies(cluster_no, response)`` are parsed and clusters without a reply
     fall back to the rules.  ``ingest_fn`` (lines -> entries), ``cluster_fn``
-    (entries -> Clustering) and ``classify_fn`` (clusters -> clusters with
-    the four result columns, e.g. ``classify_with_rule_table``) replace the
-    built-in steps.
+    (entries -> Clustering), ``embed`` and ``similar`` (see
+    ``cluster_entries``) and ``classify_fn`` (see ``resolve``) replace the
+    built-in steps.  The entries written on the way are deleted; the result
+    reads checkpointed clusters only.
     """
     from ..operators.ingest import ingest
-    from ..operators.prompts import resolve
 
     entries = (ingest_fn or ingest)(lines)
-    c = (cluster_fn or (lambda e: cluster_entries(e, threshold)))(entries)
-    if replies is None:
-        return heuristic_results(c.clusters, classify_fn)
-    return resolve(c.clusters, replies)
+    c = (cluster_fn or (lambda e: cluster_entries(e, threshold, embed=embed, similar=similar)))(entries)
+    result = resolve(c.clusters, replies, classify_fn)
+    if cluster_fn is None:
+        c.release()
+    return result

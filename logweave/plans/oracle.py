@@ -108,9 +108,23 @@ parsed AS (
 
 
 def ts_expr(x: str) -> str:
+    """Strict where the calendar allows it; else a day up to 31 is the
+    month's last day and 24:00:00 the next day's start."""
     t = f"replace({jtrim(x)}, 'T', ' ')"
     pat = q(r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{3})?")
-    return f"CASE WHEN regexp_full_match({t}, {pat}) THEN TRY_CAST({t} AS TIMESTAMP) END"
+    y, m, d, h = (f"CAST(substr({t}, {a}, {n}) AS INTEGER)" for a, n in ((1, 4), (6, 2), (9, 2), (12, 2)))
+    day = f"(make_date({y}, {m}, 1) + CAST(least({d}, day(last_day(make_date({y}, {m}, 1)))) - 1 AS INTEGER))"
+    late = f"({h} = 24 AND regexp_full_match(substr({t}, 14), ':00:00([.]0+)?'))"
+    lenient = (f"CASE WHEN {m} BETWEEN 1 AND 12 AND {d} BETWEEN 1 AND 31 THEN CASE WHEN {late} THEN CAST({day} + 1 AS TIMESTAMP) "
+               f"ELSE TRY_CAST(CAST({day} AS VARCHAR) || ' ' || substr({t}, 12) AS TIMESTAMP) END END")
+    return f"CASE WHEN regexp_full_match({t}, {pat}) THEN coalesce(TRY_CAST({t} AS TIMESTAMP), {lenient}) END"
+
+
+def iso_local(x: str) -> str:
+    """A timestamp with T, seconds and fraction as far as they are not zero."""
+    f = f"strftime({x}, '%f')"
+    return (f"(strftime({x}, '%Y-%m-%dT%H:%M') || CASE WHEN second({x}) = 0 AND {f} = '000000' THEN '' ELSE strftime({x}, ':%S') || "
+            f"CASE WHEN {f} = '000000' THEN '' WHEN ends_with({f}, '000') THEN '.' || substr({f}, 1, 3) ELSE '.' || {f} END END)")
 
 
 def level_expr(x: str) -> str:

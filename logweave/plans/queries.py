@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import ingest as ing
+from ..operators.prompts import REPLY_FORMS
 from ..operators.rca import classify
 from ..sources.logs import load_log_lines
 from . import oracle as O
@@ -141,8 +142,9 @@ def q_doc_templates(spark, sf_dir):
     return _docs_templated(spark, sf_dir).select("doc_id", "template")
 
 
-@register("template_counts", f"""WITH {O.entries_cte()}, et AS (SELECT {O.template_expr('message')} AS t, line_no FROM log_entries)
-SELECT t AS template, count(*) AS n, min(line_no) AS first_line_no FROM et WHERE t IS NOT NULL GROUP BY t""")
+@register("template_counts", f"""WITH {O.entries_cte()}, et AS (SELECT {O.template_expr('message')} AS t, source, line_no FROM log_entries)
+SELECT t AS template, n, f.s AS first_source, f.l AS first_line_no
+FROM (SELECT t, count(*) AS c, min({{'s': source, 'l': line_no}}) AS f FROM et GROUP BY t) x(t, n, f)""")
 def q_template_counts(spark, sf_dir):
     from ..operators.features import template_counts, with_template
 
@@ -239,6 +241,13 @@ def clustering(spark, sf_dir):
     return _CLUSTERING[key]
 
 
+def forget_clusterings() -> None:
+    """Delete what the clusterings of this process wrote and forget them."""
+    for c in _CLUSTERING.values():
+        c.release()
+    _CLUSTERING.clear()
+
+
 @register("template_pairs", f"""WITH RECURSIVE {O.clusters_cte()}
 SELECT ta AS template_a, tb AS template_b, round(cosine, 6) AS cosine FROM tedges""")
 def q_template_pairs(spark, sf_dir):
@@ -310,7 +319,7 @@ def q_representatives(spark, sf_dir):
     return c.select(F.col("cluster_no").cast("long").alias("cluster_no"), "rep_id", "rep_line_no", "rep_message")
 
 
-_RES_SQL = f"""SELECT cluster_no::BIGINT AS cluster_no, 'Cluster-' || cluster_no || ':' || rep_id AS log_entry_id,
+_RES_SQL = f"""SELECT cluster_no::BIGINT AS cluster_no, 'Cluster-' || cluster_no || ':' || rep_id AS log_entry_id, 'rules' AS source,
   {O.rule_case('rep_message', fixed.RULES, fixed.DEFAULT_RULE, 1)} AS error_pattern,
   {O.rule_case('rep_message', fixed.RULES, fixed.DEFAULT_RULE, 2)} AS root_cause,
   {O.rule_case('rep_message', fixed.RULES, fixed.DEFAULT_RULE, 3)} AS fix_suggestion,
@@ -397,7 +406,7 @@ def q_json_string_array(spark, sf_dir):
 
 @register("rows_to_json", f"""SELECT o_orderkey, '{{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey ||
   ',"o_orderstatus":"' || {O.esc_full('o_orderstatus')} || '","o_totalprice":' || CAST(o_totalprice AS VARCHAR) ||
-  ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '","o_orderpriority":"' ||
+  ',"o_orderdate":"' || {O.iso_local('o_orderdate')} || '","o_orderpriority":"' ||
   {O.esc_full('o_orderpriority')} || '"}}' AS json FROM orders""")
 def q_rows_to_json(spark, sf_dir):
     from ..functions.jsonfields import rows_to_json
@@ -406,6 +415,57 @@ def q_rows_to_json(spark, sf_dir):
     return o.select("o_orderkey", rows_to_json(o).alias("json"))
 
 
+_NESTED = f"""'{{"ts":' || coalesce('"' || {O.iso_local('ts')} || '"', 'null') || ',"who":{{"user":' || user_id || ',"name":' ||
+  CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '"' || {O.esc_full('event_type')} || '"' END || '}},"tags":[' ||
+  CASE WHEN event_id % 2 = 0 THEN 'null' ELSE '"' || {O.esc_full('props')} || '"' END || ',"x"],"by":{{"k\\"1":' || (value > 50) ||
+  '}},"raw":"' || to_base64(encode(event_type)) || '","none":null}}'"""
+
+
+@register("nested_to_json", f"SELECT event_id, {_NESTED} AS json FROM (SELECT * REPLACE (CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts + to_microseconds(CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 120000 WHEN 2 THEN 123456 ELSE 1 END) END AS ts) FROM events)")
+def q_nested_to_json(spark, sf_dir):
+    """Fractions of seconds, NULLs inside structs and arrays, maps, binary."""
+    from ..functions.jsonfields import rows_to_json
+
+    e = table(spark, sf_dir, "events")
+    micros = F.expr("CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 120000 WHEN 2 THEN 123456 ELSE 1 END")
+    ts = F.when(F.col("event_id") % 11 != 0, F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros / 1e6).cast("decimal(18,6)")))
+    rows = e.select(
+        "event_id", ts.alias("ts"),
+        F.struct(F.col("user_id").alias("user"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("name")).alias("who"),
+        F.array(F.when(F.col("event_id") % 2 != 0, F.col("props")), F.lit("x")).alias("tags"),
+        F.create_map(F.lit('k"1'), F.col("value") > 50).alias("by"),
+        F.encode("event_type", "UTF-8").alias("raw"), F.lit(None).cast("string").alias("none"))
+    return rows.select("event_id", rows_to_json(rows.drop("event_id")).alias("json"))
+
+
+_PAIRS = "'{\"k\":1,' || substr(props, 2, length(props) - 2) || ',\"a\":\" x\",\"k\":\"null\",\"a\":\"y' || event_id || '\"}'"
+
+
+@register("json_repeated_keys", f"""SELECT event_id, {O.lookup(('k',), 'none')} AS k, {O.lookup(('a',), None)} AS a, {O.lookup(('z', 'a'), None)} AS za
+FROM (SELECT event_id, {O.kv_list()} AS kv FROM (SELECT event_id, {O.kv_cols('p')} FROM (SELECT event_id, {_PAIRS} AS p FROM events)))""")
+def q_json_repeated_keys(spark, sf_dir):
+    """Several keys, repeated: the last value counts, also a null one."""
+    from ..functions.jsonfields import json_aliased
+
+    e = table(spark, sf_dir, "events").selectExpr("event_id", _PAIRS.replace('\\"', '"') + " AS p")
+    f = json_aliased("p", {"k": (("k",), "none"), "a": (("a",), None), "za": (("z", "a"), None)})
+    return e.select("event_id", f["k"].alias("k"), f["a"].alias("a"), f["za"].alias("za"))
+
+
+_LENIENT = ("concat(CAST(2020 + event_id % 5 AS {t}), '-', lpad(CAST(1 + event_id % 13 AS {t}), 2, '0'), '-', lpad(CAST(26 + event_id % 7 AS {t}), 2, '0'),"
+            " CASE WHEN event_id % 2 = 0 THEN 'T' ELSE ' ' END, lpad(CAST(22 + event_id % 4 AS {t}), 2, '0'), CASE event_id % 3 WHEN 0 THEN ':00:00' WHEN 1 THEN ':00:01' ELSE ':00:00.000' END)")
+
+
+@register("parse_ts_lenient", f"""SELECT event_id, txt, CASE WHEN m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 AND (h < 24 OR (h = 24 AND s LIKE ':00:00%')) THEN
+  CAST(make_date(y, m, 1) + CAST(least(d, day(last_day(make_date(y, m, 1)))) - 1 AS INTEGER) AS TIMESTAMP) + to_hours(h) + to_seconds(CAST(substr(s, 5, 2) AS INTEGER)) END AS ts
+FROM (SELECT event_id, txt, CAST(substr(txt, 1, 4) AS INTEGER) AS y, CAST(substr(txt, 6, 2) AS INTEGER) AS m, CAST(substr(txt, 9, 2) AS INTEGER) AS d,
+  CAST(substr(txt, 12, 2) AS INTEGER) AS h, substr(txt, 14) AS s FROM (SELECT event_id, {_LENIENT.format(t='VARCHAR')} AS txt FROM events))""")
+def q_parse_ts_lenient(spark, sf_dir):
+    """Days that a month lacks, hour 24 and months and days beyond the calendar."""
+    e = table(spark, sf_dir, "events").selectExpr("event_id", _LENIENT.format(t="STRING") + " AS txt")
+    return e.select("event_id", "txt", ing.parse_ts("txt").alias("ts"))
+
+
 # --- payload sources ---------------------------------------------------------------
 
 @register("payload_split_lines", """SELECT doc_id, i::BIGINT AS line_no, parts[i] AS raw_line FROM (
@@ -525,27 +585,88 @@ def q_reply_parsed(spark, sf_dir):
                     F.round("p.confidence_score", 6).alias("confidence_score"))
 
 
-_REPLIES = f"""replies AS (SELECT conv_id + 1 AS cluster_no,
-  '{{"content":[{{"type":"text","text":"' || {O.esc_full('text')} || '"}}],"role":"assistant"}}' AS resp
-  FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id))"""
+_FORMS = "[" + ", ".join(O.q(f) for f in REPLY_FORMS) + "]"
+
+
+def _form_text(no: str) -> str:
+    """The reply form of row ``no`` around the first words of ``text``."""
+    words = "regexp_replace(substr(text, 1, 40), '[\\x00-\\x1F\"\\\\{}`]', ' ', 'g')"
+    return f"replace({_FORMS}[({no} % {len(REPLY_FORMS)}) + 1], '{{t}}', {words})"
+
+
+_BODY = """'{{"content":[{{"type":"text","text":"' || {esc} || '"}}],"role":"assistant"}}'"""
+
+
+@register("reply_parsed_json", f"""SELECT conv_id, turn, error_pattern, root_cause, fix_suggestion, round(confidence_score, 6) AS confidence_score
+FROM {_reply_parse_sql(f"(SELECT conv_id, turn, {_REPLY_TEXT} AS rt FROM (SELECT conv_id, turn, {_BODY.format(esc=O.esc_full('f'))} AS resp FROM (SELECT conv_id, turn, {_form_text('(conv_id + turn)')} AS f FROM conversations)))", 'conv_id, turn')}""")
+def q_reply_parsed_json(spark, sf_dir):
+    """Every form of reply that the parser tells apart."""
+    from ..operators.prompts import parse_reply, reply_body, reply_form, reply_text
+
+    c = table(spark, sf_dir, "conversations")
+    body = reply_body(reply_form(F.col("conv_id") + F.col("turn"), "text"))
+    p = c.select("conv_id", "turn", parse_reply(reply_text(body)).alias("p"))
+    return p.select("conv_id", "turn", "p.error_pattern", "p.root_cause", "p.fix_suggestion",
+                    F.round("p.confidence_score", 6).alias("confidence_score"))
+
+
+_REPLIES = f"""replies AS (SELECT cluster_no, {_BODY.format(esc=O.esc_full('f'))} AS resp
+  FROM (SELECT cluster_no, {_form_text('cluster_no')} AS f
+        FROM (SELECT text, row_number() OVER (ORDER BY conv_id, turn, text) AS cluster_no FROM conversations WHERE role = 'assistant')))"""
+
 
+def _resolved_sql(results: str, empty: str = "false") -> str:
+    """Results ``results`` with replies ``got``; ``empty`` marks clusters without entries."""
+    pick = lambda c: f"CASE WHEN {empty} OR g.cluster_no IS NULL THEN r.{c} ELSE g.{c} END"
+    return f"""SELECT r.cluster_no, r.log_entry_id, CASE WHEN {empty} THEN 'empty' WHEN g.cluster_no IS NULL THEN 'rules' ELSE 'reply' END AS source,
+  {pick('error_pattern')} AS error_pattern, {pick('root_cause')} AS root_cause, {pick('fix_suggestion')} AS fix_suggestion,
+  round({pick('confidence_score')}, 6) AS confidence_score, r.size
+FROM {results} r LEFT JOIN got g ON g.cluster_no = r.cluster_no"""
 
-@register("rca_resolved", f"""WITH RECURSIVE {O.clusters_cte()}, {_REPLIES},
-res AS ({_RES_SQL}),
-got AS {_reply_parse_sql(f"(SELECT cluster_no, {_REPLY_TEXT} AS rt FROM replies)", 'cluster_no')}
-SELECT r.cluster_no, r.log_entry_id, CASE WHEN g.cluster_no IS NULL THEN 'rules' ELSE 'reply' END AS source,
-  CASE WHEN g.cluster_no IS NULL THEN r.error_pattern ELSE g.error_pattern END AS error_pattern,
-  CASE WHEN g.cluster_no IS NULL THEN r.root_cause ELSE g.root_cause END AS root_cause,
-  CASE WHEN g.cluster_no IS NULL THEN r.fix_suggestion ELSE g.fix_suggestion END AS fix_suggestion,
-  round(CASE WHEN g.cluster_no IS NULL THEN r.confidence_score ELSE g.confidence_score END, 6) AS confidence_score, r.size
-FROM res r LEFT JOIN got g ON g.cluster_no = r.cluster_no""")
+
+_GOT = f"got AS {_reply_parse_sql(f'(SELECT cluster_no, {_REPLY_TEXT} AS rt FROM replies)', 'cluster_no')}"
+
+
+def _resolved(df):
+    return df.select(F.col("cluster_no").cast("long").alias("cluster_no"), "log_entry_id", "source", "error_pattern",
+                     "root_cause", "fix_suggestion", F.round("confidence_score", 6).alias("confidence_score"), "size")
+
+
+@register("rca_resolved", f"""WITH RECURSIVE {O.clusters_cte()}, {_REPLIES}, res AS ({_RES_SQL}), {_GOT}
+{_resolved_sql('res')}""")
 def q_rca_resolved(spark, sf_dir):
-    from ..operators.prompts import replies_from_conversations, resolve
+    from ..operators.prompts import replies_from_conversations
+    from .analyze import resolve
 
     c = clustering(spark, sf_dir).clusters
-    r = resolve(c, replies_from_conversations(table(spark, sf_dir, "conversations")))
-    return r.select(F.col("cluster_no").cast("long").alias("cluster_no"), "log_entry_id", "source", "error_pattern",
-                    "root_cause", "fix_suggestion", F.round("confidence_score", 6).alias("confidence_score"), "size")
+    return _resolved(resolve(c, replies_from_conversations(table(spark, sf_dir, "conversations"))))
+
+
+_CALLER = """SELECT conv_id + 1 AS cluster_no, 'Cluster-' || (conv_id + 1) AS cluster_label,
+  CASE WHEN conv_id % 5 <> 3 THEN 'c' || conv_id END AS rep_id, text AS rep_message, CASE WHEN conv_id % 4 = 1 THEN 0 ELSE turn + 1 END AS size
+FROM conversations WHERE turn = 0"""
+_NONE = "(size = 0 OR rep_id IS NULL)"
+_CALLER_RES = ", ".join(
+    f"CASE WHEN {_NONE} THEN {empty} ELSE {O.rule_case('rep_message', fixed.RULES, fixed.DEFAULT_RULE, k)} END AS {name}"
+    for k, (name, empty) in enumerate([
+        ("error_pattern", O.q(fixed.HEURISTIC_PREFIX + fixed.EMPTY_CLUSTER[1])), ("root_cause", O.q(fixed.EMPTY_CLUSTER[2])),
+        ("fix_suggestion", O.q(fixed.EMPTY_CLUSTER[3])), ("confidence_score", f"CAST({fixed.EMPTY_CLUSTER[4]} AS DOUBLE)")], 1))
+
+
+@register("rca_caller_clusters", f"""WITH {_REPLIES}, own AS ({_CALLER}), res AS (SELECT cluster_no, {_NONE} AS none,
+  cluster_label || ':' || CASE WHEN {_NONE} THEN {O.q(fixed.EMPTY_CLUSTER[0])} ELSE rep_id END AS log_entry_id, {_CALLER_RES}, size FROM own), {_GOT}
+{_resolved_sql('res', 'r.none')}""")
+def q_rca_caller_clusters(spark, sf_dir):
+    """Clusters made by the caller, some of them without entries, with replies for some."""
+    from ..operators.prompts import replies_from_conversations
+    from .analyze import resolve
+
+    conv = table(spark, sf_dir, "conversations")
+    own = conv.where("turn = 0").selectExpr(
+        "conv_id + 1 AS cluster_no", "concat('Cluster-', conv_id + 1) AS cluster_label",
+        "CASE WHEN conv_id % 5 <> 3 THEN concat('c', conv_id) END AS rep_id", "text AS rep_message",
+        "CAST(CASE WHEN conv_id % 4 = 1 THEN 0 ELSE turn + 1 END AS BIGINT) AS size")
+    return _resolved(resolve(own, replies_from_conversations(conv)))
 
 
 # --- sinks and reports --------------------------------------------------------------
@@ -579,26 +700,43 @@ def q_results_json_pages(spark, sf_dir):
     return results_json_pages(_results(spark, sf_dir), page_size=1000)
 
 
+@register("results_json_small_pages", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT size % 2 AS parity, ((cluster_no - 1) // 50)::BIGINT AS page_no, count(*) AS n_results,
+  '[' || string_agg({_JSON_OBJ}, ',' ORDER BY cluster_no) || ']' AS json
+FROM ({_RES_SQL}) GROUP BY ALL""")
+def q_results_json_small_pages(spark, sf_dir):
+    """Several pages, for each of two groups."""
+    from ..sources.sinks import results_json_pages
+
+    r = _results(spark, sf_dir).withColumn("parity", F.col("size") % 2)
+    return results_json_pages(r, page_size=50, group_cols=("parity",))
+
+
+#: A given time of analysis, so that reports can be compared.
+_AT = "timestamp_ntz'2024-05-06 07:08:09.25'"
+
+
 @register("report_rows", f"""WITH RECURSIVE {O.clusters_cte()}
 SELECT cluster_no, 'Cluster ' || cluster_no || ' of ' || (SELECT count(*) FROM clusters) AS heading,
   coalesce(error_pattern, 'N/A') AS pattern, coalesce(root_cause, 'N/A') AS root_cause,
-  coalesce(fix_suggestion, 'N/A') AS fix_suggestion, printf('%.0f%%', confidence_score * 100) AS confidence
+  coalesce(fix_suggestion, 'N/A') AS fix_suggestion, printf('%.0f%%', confidence_score * 100) AS confidence,
+  '2024-05-06T07:08:09.250' AS analyzed_at
 FROM ({_RES_SQL})""")
 def q_report_rows(spark, sf_dir):
     from ..sources.sinks import report_rows
 
-    return report_rows(_results(spark, sf_dir))
+    return report_rows(_results(spark, sf_dir).withColumn("analyzed_at", F.expr(_AT)))
 
 
 @register("stage_stats", f"""WITH RECURSIVE {O.clusters_cte()}
 SELECT (SELECT count(*) FROM log_lines) AS lines, (SELECT count(*) FROM log_entries) AS entries,
-  (SELECT count(*) FROM log_entries) AS vectors, (SELECT count(*) FROM tpl) AS templates,
+  (SELECT count(DISTINCT t) FROM vec) AS vectors, (SELECT count(*) FROM tpl) AS templates,
   (SELECT count(*) FROM tedges) AS edges, (SELECT count(*) FROM clusters) AS clusters,
   (SELECT count(*) FROM clusters WHERE c IS NULL) AS singleton_clusters""")
 def q_stage_stats(spark, sf_dir):
     from ..operators.stats import stage_stats
 
-    return stage_stats(load_log_lines(spark, sf_dir), _entries(spark, sf_dir), clustering(spark, sf_dir))
+    return stage_stats(load_log_lines(spark, sf_dir), clustering(spark, sf_dir))
 
 
 @register("alerts", f"""WITH RECURSIVE {O.clusters_cte()},
@@ -635,15 +773,28 @@ def q_dedupe_entries(spark, sf_dir):
 
 
 @register("sliding_template_counts", f"""WITH {O.entries_cte()},
-et AS (SELECT ts, {O.template_expr('message')} AS t FROM log_entries WHERE ts IS NOT NULL),
+et AS (SELECT ts, {O.template_expr('message')} AS t FROM log_entries),
 w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS ws, ts, t
-      FROM et, range(0, 4) r(k) WHERE length(t) > 0)
+      FROM et, range(0, 4) r(k) WHERE ts IS NOT NULL)
 SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, t AS template, count(*) AS n
-FROM w WHERE ts < ws + INTERVAL 1 HOUR GROUP BY ws, t""")
+FROM w WHERE ts < ws + INTERVAL 1 HOUR GROUP BY ws, t
+UNION ALL SELECT NULL, NULL, t, count(*) FROM et WHERE ts IS NULL GROUP BY t""")
 def q_sliding_template_counts(spark, sf_dir):
-    from ..streaming.stream import windowed_template_counts
+    from ..streaming.stream import untimed_template_counts, windowed_template_counts
+
+    e = _entries(spark, sf_dir)
+    return windowed_template_counts(e, "1 hour", "15 minutes").unionByName(untimed_template_counts(e))
+
+
+@register("dedupe_within", f"""WITH {O.entries_cte()},
+g AS (SELECT level, service, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new
+      FROM log_entries WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY level, service ORDER BY ts)),
+b AS (SELECT level, service, ts, sum(new) OVER (PARTITION BY level, service ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
+SELECT level, service, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS dup_count FROM b GROUP BY level, service, no""")
+def q_dedupe_within(spark, sf_dir):
+    from ..operators.dedupe import dedupe_within
 
-    return windowed_template_counts(_entries(spark, sf_dir), "1 hour", "15 minutes")
+    return dedupe_within(_entries(spark, sf_dir), ["level", "service"], "30 minutes")
 
 
 @register("approx_template_pairs")
@@ -671,3 +822,35 @@ def q_heuristic_rca_rule_table(spark, sf_dir):
 
     e = classify_with_rule_table(_entries(spark, sf_dir), rules_table(spark))
     return e.groupBy("error_pattern", "confidence_score").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("approx_pairs_quality", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT count(*) AS n_exact, 0::BIGINT AS n_false, true AS half_found FROM tedges""")
+def q_approx_pairs_quality(spark, sf_dir):
+    """The approximate pairs against the exact ones: none may be false, and
+    at least half must be found."""
+    from ..operators.similarity import similar_pairs_approx
+
+    c = clustering(spark, sf_dir)
+    found = similar_pairs_approx(c.vectors, "vkey", "vector", fixed.SIMILARITY_THRESHOLD).select("i", "j", F.lit(1).alias("f"))
+    both = c.edges.select("i", "j", F.lit(1).alias("e")).join(found, ["i", "j"], "full")
+    n = both.agg(F.count("e").alias("n_exact"), F.count_if(F.col("e").isNull()).alias("n_false"),
+                 F.count_if(F.col("e").isNotNull() & F.col("f").isNotNull()).alias("n"))
+    return n.select("n_exact", "n_false", (F.col("n") * 2 >= F.col("n_exact")).alias("half_found"))
+
+
+_OWN_RULES = ((5, "disk"), (5, "volume"), (3, "policy"), (4, "of"), (4, "job"), (9, ""), (2, "ñ"), (1, "no such word"), (4, "ok"))
+
+
+@register("rca_own_rules", f"""WITH {O.entries_cte()},
+rules(priority, keyword) AS (VALUES {', '.join(f"({p}, {O.q(k)})" for p, k in _OWN_RULES)}),
+best AS (SELECT e.id, min(r.priority) AS p FROM log_entries e LEFT JOIN rules r ON contains(lower(coalesce(e.message, '')), r.keyword) GROUP BY e.id)
+SELECT '[Heuristic] P' || p AS error_pattern, p / 10 AS confidence_score, count(*) AS n FROM best GROUP BY ALL""")
+def q_rca_own_rules(spark, sf_dir):
+    """A rule table of the caller's, with short, missing and empty keywords."""
+    from ..operators.rca import classify_with_rule_table
+
+    rules = spark.createDataFrame([(p, k, f"P{p}", "c", "f", p / 10) for p, k in _OWN_RULES],
+                                  "priority int, keyword string, pattern string, root_cause string, fix_suggestion string, confidence double")
+    e = classify_with_rule_table(_entries(spark, sf_dir), rules)
+    return e.groupBy("error_pattern", "confidence_score").agg(F.count(F.lit(1)).alias("n"))

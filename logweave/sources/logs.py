@@ -8,7 +8,7 @@ downstream (cluster numbering, representatives, "first 20 lines").
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
@@ -16,32 +16,37 @@ from ..functions.text import is_blank
 LOG_LINES_SCHEMA = "source string, line_no bigint, raw_line string"
 
 
+def number_lines(rows: DataFrame) -> DataFrame:
+    """``(source, raw_line, block_start)`` of a text scan -> ``log_lines``
+    with each line's true number in its file, from 1.
+
+    A line's number is its position inside its split plus the lines of the
+    file's earlier splits, so it does not depend on how files were split,
+    packed into tasks or on the number of cores.  The position is taken from
+    ``monotonically_increasing_id``, which counts a task's rows in order; the
+    table of splits has four longs for each and is sent to the lines
+    (32 bytes for 128 MB of input)."""
+    at = rows.select(
+        "source", "raw_line", F.xxhash64("source").alias("_file"), F.col("block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    splits = at.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_file", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_add"))
+    return at.join(F.broadcast(splits), ["_file", "_block"]).select("source", (F.col("_at") + F.col("_add")).alias("line_no"), "raw_line")
+
+
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """UTF-8 text file(s) -> one row per line.
-
-    ``source`` is the file path; ``line_no`` is an order key within the
-    file (not a count): the byte offset where the row's split starts plus
-    the row's position inside its task (``monotonically_increasing_id`` is
-    consecutive inside a task).  Spark gives every full-size split a task of
-    its own, and only small files or a file's last split share a task with
-    other files, so the key is unique and follows line order within every
-    file.  Files are read in parallel splits; nothing passes through the
-    driver.
+    """UTF-8 text file(s) -> one row per line, with ``source`` (the file
+    path) and ``line_no`` (the line's number in the file, see
+    ``number_lines``).  Files are read in parallel splits; nothing passes
+    through the driver.
     """
-    df = spark.read.text(path).select(
+    return number_lines(spark.read.text(path).select(
         F.col("_metadata.file_path").alias("source"),
-        F.col("_metadata.file_block_start").alias("_blk"),
         F.col("value").alias("raw_line"),
-        F.monotonically_increasing_id().alias("_mid"),
-        F.spark_partition_id().alias("_pid"),
-    )
-    # Position inside the task: mid minus the task's first id (pid << 33).
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return df.select(
-        "source",
-        (F.col("_blk") + pos).alias("line_no"),
-        "raw_line",
-    )
+        F.col("_metadata.file_block_start").alias("block_start"),
+    ))
 
 
 def split_payload(df: DataFrame, text_col: str, key_col: str, source: str | None = None) -> DataFrame:
@@ -73,21 +78,21 @@ def filter_payloads(df: DataFrame, text_col: str) -> DataFrame:
 # One expression per output column; the same text (with the two marked
 # differences) is the DuckDB oracle's ``log_lines``.
 _MSG_CASE = """CASE event_id % 16
-   WHEN 0 THEN 'Connection refused: jdbc:mysql://prod-db:3306/orders (attempt ' || CAST(event_id % 3 AS STRING) || '/3)'
-   WHEN 1 THEN 'Connection timeout after ' || CAST(event_id AS STRING) || 'ms to pay-api.internal'
-   WHEN 2 THEN 'NullPointerException at shop.user.UserService.handleUser(UserService.java:' || CAST(event_id AS STRING) || ')'
-   WHEN 3 THEN 'OutOfMemoryError: Java heap space'
-   WHEN 4 THEN 'Authentication failed for user: u' || CAST(user_id AS STRING) || '@example.com (invalid token)'
-   WHEN 5 THEN 'Fallback response served (stale cache). Age: ' || CAST(event_id AS STRING) || 's'
-   WHEN 6 THEN 'GC overhead limit exceeded at 0x' || {hex}
-   WHEN 7 THEN 'Health check passed. Services: OrderService, PaymentService, UserService'
-   WHEN 8 THEN 'Error rate: OrderService=' || CAST(event_id % 100 AS STRING) || '%, PaymentService=45%, UserService=12%'
-   WHEN 9 THEN 'Connection refused: jdbc:mysql://prod-db-01:3306/orders'
-   WHEN 10 THEN 'Fallback response served (stale cache) to user, age: ' || CAST(event_id AS STRING) || 's'
-   WHEN 11 THEN 'Authentication failed for user: guest@example.com (expired token)'
+   WHEN 0 THEN 'Link to store node ' || CAST(event_id % 3 AS STRING) || ' gone: connection reset while flushing'
+   WHEN 1 THEN 'Billing call gave up, timeout at ' || CAST(event_id AS STRING) || ' ms'
+   WHEN 2 THEN 'NullPointerException in CartView.render line ' || CAST(event_id AS STRING)
+   WHEN 3 THEN 'OutOfMemoryError while merging a sort batch'
+   WHEN 4 THEN 'Login rejected, authentication token of account u' || CAST(user_id AS STRING) || ' has lapsed'
+   WHEN 5 THEN 'Old copy of the page sent from shelf, made ' || CAST(event_id AS STRING) || ' s ago'
+   WHEN 6 THEN 'Heap close to full, long pause near 0x' || {hex}
+   WHEN 7 THEN 'Probe fine: queue, mailer and store answered'
+   WHEN 8 THEN 'Share of failures: queue ' || CAST(event_id % 100 AS STRING) || '%, mailer 45%, store 12%'
+   WHEN 9 THEN 'Link to store node 7:3306 gone: connection reset while flushing'
+   WHEN 10 THEN 'Old copy of the page sent from shelf to guest, made ' || CAST(event_id AS STRING) || ' s ago'
+   WHEN 11 THEN 'Login rejected, authentication token of account guest has lapsed'
    WHEN 12 THEN 'Disk usage at ' || CAST(event_id % 100 AS STRING) || '% on volume /var/lib'
    WHEN 13 THEN 'Request forbidden by policy ' || CAST(event_id AS STRING)
-   WHEN 14 THEN 'Circuit breaker opened for database'
+   WHEN 14 THEN 'Breaker of the database pool is open'
    ELSE 'Scheduled job finished in ' || CAST(event_id AS STRING) || 'ms' END"""
 
 _LVL_CASE = """CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'CRITICAL'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import json_escape
+from ..functions.text import iso_local, json_escape
 
 
 def _s(c):
@@ -22,7 +22,7 @@ def result_json(with_time: bool = False):
         F.lit(',"confidenceScore":'), F.col("confidence_score").cast("string"),
     ]
     if with_time:
-        parts += [F.lit(',"analyzedAt":"'), F.col("analyzed_at").cast("string"), F.lit('"')]
+        parts += [F.lit(',"analyzedAt":"'), iso_local("analyzed_at"), F.lit('"')]
     return F.concat(*parts, F.lit("}"))
 
 
@@ -36,14 +36,16 @@ def write_results_json(results: DataFrame, path: str, mode: str = "overwrite") -
     results_to_json(out, with_time=True).select("json").write.mode(mode).text(path)
 
 
-def results_json_pages(results: DataFrame, page_size: int = 1000) -> DataFrame:
+def results_json_pages(results: DataFrame, page_size: int = 1000, group_cols: tuple[str, ...] = ()) -> DataFrame:
     """The result list as JSON arrays in ``cluster_no`` order, one row
-    per page of at most ``page_size`` results (never one global array)."""
+    per page of at most ``page_size`` results (never one global array), for
+    each group of ``group_cols``."""
+    timed = "analyzed_at" in results.columns
     j = results.select(
-        ((F.col("cluster_no") - 1) / page_size).cast("long").alias("page_no"),
-        "cluster_no", result_json().alias("_j"),
+        *group_cols, ((F.col("cluster_no") - 1) / page_size).cast("long").alias("page_no"),
+        "cluster_no", result_json(timed).alias("_j"),
     )
-    return j.groupBy("page_no").agg(
+    return j.groupBy(*group_cols, "page_no").agg(
         F.count(F.lit(1)).alias("n_results"),
         F.concat(
             F.lit("["),
@@ -55,7 +57,9 @@ def results_json_pages(results: DataFrame, page_size: int = 1000) -> DataFrame:
 
 def report_rows(results: DataFrame) -> DataFrame:
     """``Cluster n of N``, texts with ``N/A`` for NULL, confidence as a
-    whole percent.  ``N`` is a scalar subquery (one aggregate, no join)."""
+    whole percent, and when it was analysed (the ``analyzed_at`` column, else
+    now).  ``N`` is a scalar subquery (one aggregate, no join)."""
+    at = F.col("analyzed_at") if "analyzed_at" in results.columns else F.localtimestamp()
     total = results.select(F.count(F.lit(1))).scalar()
     return results.select(
         "cluster_no",
@@ -64,4 +68,5 @@ def report_rows(results: DataFrame) -> DataFrame:
         F.coalesce("root_cause", F.lit("N/A")).alias("root_cause"),
         F.coalesce("fix_suggestion", F.lit("N/A")).alias("fix_suggestion"),
         F.format_string("%.0f%%", F.col("confidence_score") * 100).alias("confidence"),
+        iso_local(at).alias("analyzed_at"),
     )

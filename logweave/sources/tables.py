@@ -5,22 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small scan enough tasks for CPU-heavy work downstream.
-
-    A scan with fewer partitions than the cluster has task slots (one small
-    file, one row group) is spread round-robin over ``defaultParallelism``
-    partitions.  Large inputs already have at least that many splits and
-    are left alone, so big scans never pay an extra shuffle.  Column
-    pruning and filters still reach the scan through the repartition.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the scan as is
-        return df
-    return df.repartition(target) if parts < target else df
-
-
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.parquet(path))
+    """A Parquet table.  How many tasks scan it is up to the split settings
+    (``spark.sql.files.maxPartitionBytes`` and ``openCostInBytes``)."""
+    return spark.read.parquet(path)

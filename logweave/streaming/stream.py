@@ -2,7 +2,7 @@
 streaming deduplication (D2).  Declared only by the reference; the window
 and watermark rules are ours.
 
-The batch twins (``windowed_template_counts``, ``dedupe``) share the same
+The batch twins (``windowed_template_counts``, ``dedupe_within``) share the same
 column logic, so a stream and a batch over the same rows agree.
 """
 
@@ -12,24 +12,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import message_template
+from ..operators.dedupe import dedupe_within
 from ..operators.ingest import ingest
+from ..sources.logs import number_lines
 
 
 def windowed_template_counts(entries: DataFrame, size: str = "1 hour", slide: str = "15 minutes") -> DataFrame:
     """Entries -> ``(window_start, window_end, template, n)`` over sliding
-    windows of event time ``ts``.  Rows without a timestamp or with an
-    empty template are left out."""
-    t = entries.select("ts", message_template("message").alias("template")).where(
-        F.col("ts").isNotNull() & (F.length("template") > 0)
-    )
+    windows of event time ``ts``.  Templates may be empty or NULL.  Entries
+    without a time are in no window; ``untimed_template_counts`` has them."""
+    t = entries.select("ts", message_template("message").alias("template")).where(F.col("ts").isNotNull())
     g = t.groupBy(F.window("ts", size, slide).alias("w"), "template").agg(F.count(F.lit(1)).alias("n"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "template", "n")
 
 
+def untimed_template_counts(entries: DataFrame) -> DataFrame:
+    """The counts of entries without a time, in the same columns with NULL
+    window bounds.  On a stream this is an aggregate of its own, in update
+    or complete mode, as no watermark can ever close it."""
+    t = entries.where(F.col("ts").isNull()).select(message_template("message").alias("template"))
+    g = t.groupBy("template").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("timestamp_ntz")
+    return g.select(none.alias("window_start"), none.alias("window_end"), "template", "n")
+
+
 def stream_entries(lines_stream: DataFrame) -> DataFrame:
     """A streaming ``log_lines`` frame -> streaming ``log_entries`` (the
-    batch ingest is a narrow transformation, so it runs unchanged)."""
-    return ingest(lines_stream)
+    batch ingest is a narrow transformation, so it runs unchanged).  Lines
+    of a file stream have no number yet; their entries get a random UUID, so
+    that ids stay unique."""
+    e = ingest(lines_stream)
+    return e.withColumn("id", F.when(F.col("line_no").isNull(), F.expr("uuid()")).otherwise(F.col("id")))
 
 
 def stream_template_counts(entries_stream: DataFrame, size: str = "1 hour", slide: str = "15 minutes",
@@ -47,20 +60,31 @@ def stream_template_counts(entries_stream: DataFrame, size: str = "1 hour", slid
 
 
 def stream_dedupe(entries_stream: DataFrame, keys: list[str], watermark: str = "1 hour") -> DataFrame:
-    """D2 on a stream: drop repeats of ``keys`` seen within the watermark."""
-    t = entries_stream.withColumn("template", message_template("message"))
+    """D2 on a stream: drop repeats of ``keys`` seen within the watermark.
+    Entries without a time never repeat one another and never expire, so
+    they are left out; ``dedupe`` has them."""
+    t = entries_stream.where(F.col("ts").isNotNull()).withColumn("template", message_template("message"))
     t = t.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     return t.dropDuplicatesWithinWatermark(keys).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def stream_dedupe_within(entries_stream: DataFrame, keys: list[str], within: str, watermark: str = "1 hour") -> DataFrame:
+    """The streaming twin of ``dedupe_within``: one row for each burst of a
+    key, in append mode once the watermark has passed its end."""
+    t = entries_stream.withColumn("template", message_template("message"))
+    t = t.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    d = dedupe_within(t, keys, within)
+    return d.select(*keys, *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_ts", "last_ts")], "dup_count")
+
+
 def read_log_stream(spark, path: str | None = None, kafka: dict | None = None, source_name: str = "stream") -> DataFrame:
     """Streaming ``log_lines``.
 
     * ``path``: new text files in a folder (one row per line; ``source`` is
       the file path).  Streams cannot number rows, so ``line_no`` is NULL
-      and ``block_start`` (the split's byte offset) is kept;
-      ``number_lines`` gives each micro-batch the order key of
-      ``read_log_lines`` (``cluster_each_batch`` does this).
+      and ``block_start`` (the split's byte offset) is kept; ``number_lines``
+      gives each micro-batch the line numbers of ``read_log_lines``
+      (``cluster_each_batch`` does this).
     * ``kafka``: options for the Kafka source (``kafka.bootstrap.servers``,
       ``subscribe``, ...; ``startingOffsets`` defaults to ``earliest``).
       ``source`` is ``topic:partition`` and ``line_no`` the offset.  Needs
@@ -85,15 +109,6 @@ def read_log_stream(spark, path: str | None = None, kafka: dict | None = None, s
     )
 
 
-def number_lines(batch_df: DataFrame) -> DataFrame:
-    """Order key for a micro-batch of text-stream lines: split start plus
-    the row's position inside its task."""
-    if "block_start" not in batch_df.columns:
-        return batch_df
-    pos = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)
-    return batch_df.select("source", F.coalesce("line_no", F.col("block_start") + pos).alias("line_no"), "raw_line")
-
-
 def cluster_each_batch(lines_stream: DataFrame, write_results, checkpoint_location: str,
                        trigger: dict | None = None, threshold: float | None = None):
     """C2-C4 per micro-batch: clustering is not an append-only stateful
@@ -106,7 +121,8 @@ def cluster_each_batch(lines_stream: DataFrame, write_results, checkpoint_locati
     t = fixed.SIMILARITY_THRESHOLD if threshold is None else threshold
 
     def run(batch_df, batch_id):
-        write_results(analyze(number_lines(batch_df), threshold=t), batch_id)
+        lines = number_lines(batch_df) if "block_start" in batch_df.columns else batch_df
+        write_results(analyze(lines, threshold=t), batch_id)
 
     w = lines_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
     w = w.trigger(**(trigger or {"availableNow": True}))

@@ -36,11 +36,11 @@ def test_whole_line_similarities():
         s = re.sub(r"[0-9]+", "<NUM>", s)
         return re.sub(r"[^a-z<>]+", " ", s).strip()
 
-    a = template_vector(t("2024-01-15 10:23:45 ERROR Svc - Connection refused to database"))
-    b = template_vector(t("2024-01-15 10:23:46 ERROR Svc - Connection refused to database"))
-    c = template_vector(t("2024-01-15 10:25:04 INFO Svc - Application started successfully"))
+    a = template_vector(t("2025-03-02 04:10:05 ERROR Led - Cannot reach store"))
+    b = template_vector(t("2025-03-02 04:10:06 ERROR Led - Cannot reach store"))
+    c = template_vector(t("2025-03-02 04:12:01 INFO Led - Probe fine, nothing to do"))
     assert _cos(a, b) >= 0.99
-    assert abs(_cos(a, c) - 0.8795) < 1e-4
+    assert 0.7 < _cos(a, c) < 0.99
 
 
 def test_long_form_equals_dense(spark):
@@ -63,3 +63,18 @@ def test_embed_dedupes_templates(spark):
     df = lines_df(spark, ["a 1", "a 2", None, "b"]).select("line_no", F.col("raw_line").alias("m"))
     v = {r.line_no: r.vector for r in embed(df, "line_no", "m").collect()}
     assert v[1] == v[2] and all(x == 0 for x in v[3]) and v[1] != v[4]
+
+
+def test_batch_vectors_equal_single_ones():
+    from logweave.operators.features import template_vectors
+
+    some = ["a", "", None, "connection refused to database", "<num> x", "ab" * 500]
+    assert (template_vectors(some) == np.stack([template_vector(x) for x in some])).all()
+
+
+def test_null_templates_are_counted(spark):
+    from logweave.operators.features import template_counts
+
+    df = spark.createDataFrame([("b", 1, "t"), ("a", 9, "t"), ("a", 3, None), ("c", 1, None)], "source string, line_no bigint, template string")
+    got = {r.template: (r.n, r.first_source, r.first_line_no) for r in template_counts(df).collect()}
+    assert got == {"t": (2, "a", 9), None: (2, "a", 3)}

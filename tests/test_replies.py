@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from logweave.operators.prompts import build_requests, parse_reply, reply_text, resolve
+from logweave.operators.prompts import build_requests, parse_reply, reply_text
+from logweave.plans.analyze import resolve
 
 
 def _parse(spark, texts):
@@ -63,8 +64,42 @@ def test_empty_cluster_and_rule_table(spark):
         "Cluster-1:empty-cluster", "[Heuristic] No entries to analyze.", 0.0)
     assert r[2].error_pattern == "[Heuristic] Out-of-Memory Error"
     df = spark.createDataFrame([("Authentication lost connection",), ("a cheap trick",), ("fine",)], "message string")
-    got = [x.error_pattern for x in classify_with_rule_table(df, rules_table(spark)).collect()]
-    assert got == ["[Heuristic] Network/Connection Error", "[Heuristic] Out-of-Memory Error", "[Heuristic] Unclassified Error"]
+    got = {x.message: x.error_pattern for x in classify_with_rule_table(df, rules_table(spark)).collect()}
+    assert got == {"Authentication lost connection": "[Heuristic] Network/Connection Error",
+                   "a cheap trick": "[Heuristic] Out-of-Memory Error", "fine": "[Heuristic] Unclassified Error"}
+
+
+def test_one_result_builder_for_both_modes(spark):
+    from pyspark.sql import functions as F
+
+    clusters = spark.createDataFrame([(1, "Cluster-1", None, None, 0), (2, "Cluster-2", "b", "Out of memory", 4), (3, "Cluster-3", "c", "x", 1)],
+                                     "cluster_no long, cluster_label string, rep_id string, rep_message string, size long")
+    replies = spark.createDataFrame([(1, '{"text":"{\\"errorPattern\\":\\"Q\\"}"}'), (3, '{"text":"{\\"errorPattern\\":\\"Q\\"}"}')],
+                                    "cluster_no long, response string")
+
+    def own(df):
+        return df.select("*", F.lit("CUSTOM").alias("error_pattern"), F.lit("c").alias("root_cause"), F.lit("f").alias("fix_suggestion"),
+                         F.lit(0.25).alias("confidence_score"))
+
+    off, on = resolve(clusters, None, own), resolve(clusters, replies, own)
+    assert off.schema == on.schema
+    a, b = ({r.cluster_no: r for r in d.collect()} for d in (off, on))
+    for r in (a, b):
+        assert (r[1].log_entry_id, r[1].source, r[1].error_pattern, r[1].confidence_score) == (
+            "Cluster-1:empty-cluster", "empty", "[Heuristic] No entries to analyze.", 0.0)
+        assert (r[2].source, r[2].error_pattern, r[2].confidence_score) == ("rules", "CUSTOM", 0.25)
+    assert (a[3].error_pattern, b[3].error_pattern, b[3].source) == ("CUSTOM", "Q", "reply")
+
+
+def test_rule_table_of_any_size(spark):
+    from logweave.operators.rca import classify_with_rule_table
+
+    rules = [(i % 50, f"key{i:05d}x", f"P{i}", "c", "f", 0.5) for i in range(12_000)] + [(0, "", "all", "c", "f", 0.1), (-1, "é", "short", "c", "f", 0.2), (0, None, "none", "c", "f", 0.3)]
+    rules = spark.createDataFrame([(p + 10 if k == "" else p, k, *r) for p, k, *r in rules],
+                                  "priority int, keyword string, pattern string, root_cause string, fix_suggestion string, confidence double")
+    df = spark.createDataFrame([(1, "see KEY00007X and key00003x"), (2, "caf\u00c9"), (3, "nothing"), (4, None), (5, "key11999x"), (6, "nothing")], "i int, message string")
+    got = {r.i: r.error_pattern for r in classify_with_rule_table(df, rules).collect()}
+    assert got == {1: "[Heuristic] P3", 2: "[Heuristic] short", 3: "[Heuristic] all", 4: "[Heuristic] all", 5: "[Heuristic] all", 6: "[Heuristic] all"}
 
 
 def test_analyze_offline_and_with_replies(spark):

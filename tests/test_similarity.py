@@ -50,8 +50,73 @@ def test_block_kernel_chunks(monkeypatch):
     ids = np.arange(300, dtype=np.int64) * 7 + 3
     pdf = pd.DataFrame({"_id": ids, "_v": list(vecs.astype(np.float32)), "_side": 0})
     want = {(a, b, round(c, 9)) for a, b, c in _brute(list(vecs.astype(np.float32)), list(ids), 0.9)}
-    for chunk in (7, 64, 1024):
-        monkeypatch.setattr(S, "CHUNK_ROWS", chunk)
+    for cells, pairs in ((2100, 7), (300 * 64, 100), (1 << 20, 1 << 14)):
+        monkeypatch.setattr(S, "CHUNK_CELLS", cells)
+        monkeypatch.setattr(S, "CHUNK_PAIRS", pairs)
         got = S._block_pairs(0.9)(pdf)
         assert {(int(r.i), int(r.j), round(r.cosine, 9)) for r in got.itertuples()} == want
     assert len(want) > 100
+
+
+def _parts(n, pairs):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    return [root(x) for x in range(n)]
+
+
+def _same(a, b):
+    return len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+
+def test_forest_has_the_same_components(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(40, 16))
+    vecs = (base[rng.integers(0, 40, 500)] + 0.25 * rng.normal(size=(500, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "id long, v array<float>")
+    all_pairs = [(r.i, r.j) for r in similar_pairs(df, "id", "v", 0.9).collect()]
+    for size in (50, 10_000):
+        forest = [(r.i, r.j) for r in similar_pairs(df, "id", "v", 0.9, block_size=size, forest=True).collect()]
+        assert set(forest) <= set(all_pairs) and len(forest) < len(all_pairs) / 2
+        assert _same(_parts(500, forest), _parts(500, all_pairs))
+
+
+def test_far_blocks_are_not_paired(spark):
+    """Vectors in two distant directions: blocks of one never meet those of the other."""
+    from logweave.operators.similarity import _by_angle
+
+    rng = np.random.default_rng(3)
+    vecs = np.concatenate([[1, 0, 0, 0] + 0.05 * rng.normal(size=(100, 4)), [0, 1, 0, 0] + 0.05 * rng.normal(size=(100, 4))])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "_id long, _v array<float>")
+    spans = {(r["_b"], r["_from"], r["_to"]) for r in _by_angle(df, 0.85, 20).collect()}
+    assert spans == {(b, 0, 4) for b in range(5)} | {(b, 5, 9) for b in range(5, 10)}
+    want = _brute([np.array(r["_v"], np.float32) for r in df.collect()], list(range(200)), 0.85)
+    got = {(r.i, r.j, round(r.cosine, 9)) for r in similar_pairs(df, "_id", "_v", 0.85, block_size=20).collect()}
+    assert got == want
+
+
+def test_block_of_near_equal_vectors_stays_small():
+    """4,096 vectors that are all alike: memory of a block is bounded."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np, pandas as pd
+from logweave.operators.similarity import _block_pairs
+rng = np.random.default_rng(1)
+v = (rng.random(128) + 0.01 * rng.random((4096, 128))).astype(np.float32)
+pdf = pd.DataFrame({"_id": np.arange(4096), "_v": list(v), "_side": 0})
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+out = _block_pairs(0.85, forest=True)(pdf)
+assert len(out) == 4095 and len(set(out["i"]) | set(out["j"])) == 4096
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert float(done.stdout) < 700

@@ -22,19 +22,67 @@ def test_stream_equals_batch(spark):
     assert got == want and len(want) > 100
 
 
-def test_stream_dedupe_runs(spark):
+def _run(df, name, mode="append"):
+    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="logweave-stream-")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return df.sparkSession.table(name).collect()
+
+
+def test_stream_dedupe_keeps_one_entry_of_each_key(spark):
     events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     src = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(SF_SMALL)
-    d = stream_dedupe(stream_entries(log_lines_from_events(src)).where("ts IS NOT NULL"), ["level", "service", "template"])
-    q = (d.writeStream.format("memory").queryName("dd").outputMode("append")
-         .option("checkpointLocation", tempfile.mkdtemp(prefix="logweave-stream-"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    n = spark.sql("SELECT count(*) AS n FROM dd").first().n
-    batch = dedupe(ingest(load_log_lines(spark, SF_SMALL)).where("ts IS NOT NULL")
-                   .selectExpr("*", "lower(message) AS m"), ["level", "service"])
-    assert 0 < n <= ingest(load_log_lines(spark, SF_SMALL)).count()
-    assert batch.count() > 0
+    keys = ["level", "service", "template"]
+    got = _run(stream_dedupe(stream_entries(log_lines_from_events(src)), keys, "100000 days"), "dd")
+    from logweave.operators.features import with_template
+
+    batch = dedupe(with_template(ingest(load_log_lines(spark, SF_SMALL)).where("ts IS NOT NULL")), keys, keep=[]).collect()
+    assert sorted((r.level, r.service, r.template or "") for r in got) == sorted((r.level, r.service, r.template or "") for r in batch)
+
+
+def _write_lines(folder, name, lines):
+    with open(os.path.join(folder, name), "w") as f:
+        f.writelines(f"{x}\n" for x in lines)
+
+
+def test_file_stream_gives_every_entry_its_own_id(spark):
+    from logweave.streaming.stream import read_log_stream
+
+    src = tempfile.mkdtemp(prefix="logweave-in-")
+    _write_lines(src, "a.log", ["2024-01-15 10:00:00 INFO s - same line"] * 5 + ["2024-01-15 10:00:01 INFO s - other"])
+    got = _run(stream_entries(read_log_stream(spark, path=src)), "ids")
+    assert len(got) == 6 and len({r.id for r in got}) == 6
+
+
+def test_append_mode_with_late_rows_and_rows_without_a_time(spark):
+    """Files arrive one by one: windows come out once the watermark has
+    passed, a row later than that is dropped, rows without a time are
+    counted apart."""
+    from logweave.streaming.stream import read_log_stream, stream_dedupe_within, untimed_template_counts
+
+    src = tempfile.mkdtemp(prefix="logweave-in-")
+    at = lambda h, m: f"2024-01-15 {h:02d}:{m:02d}:00 INFO s - tick"
+    files = [[at(10, 0), at(10, 20), '{"level":"INFO","service":"s","message":"tick"}'], [at(14, 0)], [at(14, 5)], [at(10, 5), at(14, 10)], [at(20, 0)], [at(20, 1)]]
+    for i, lines in enumerate(files):
+        _write_lines(src, f"{i}.log", lines)
+        os.utime(os.path.join(src, f"{i}.log"), (1_700_000_000 + i, 1_700_000_000 + i))
+
+    def entries():
+        lines = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(src).selectExpr(
+            "_metadata.file_path AS source", "CAST(NULL AS BIGINT) AS line_no", "value AS raw_line")
+        return stream_entries(lines)
+
+    got = _run(stream_template_counts(entries(), "1 hour", "1 hour", "1 hour"), "late")
+    assert {(r.window_start.hour, r.n) for r in got} == {(10, 2), (14, 3)}  # 10:05 came too late; 20:00 is still open
+    untimed = _run(untimed_template_counts(entries()), "untimed", "complete")
+    assert [(r.window_start, r.template, r.n) for r in untimed] == [(None, "tick", 1)]
+    bursts = _run(stream_dedupe_within(entries(), ["service"], "30 minutes", "1 hour"), "bursts")
+    assert {(r.first_ts.hour, r.last_ts.minute, r.dup_count) for r in bursts} == {(10, 20, 2), (14, 10, 3)}
+    from logweave.operators.dedupe import dedupe_within
+
+    batch = ingest(spark.createDataFrame([("f", i, x) for i, x in enumerate(x for f in files for x in f if "10:05" not in x)], "source string, line_no bigint, raw_line string"))
+    twin = dedupe_within(batch, ["service"], "30 minutes").where("first_ts < timestamp_ntz'2024-01-15 19:00:00'")
+    assert {(r.service, r.first_ts, r.last_ts, r.dup_count) for r in twin.collect()} == {(r.service, r.first_ts, r.last_ts, r.dup_count) for r in bursts}
 
 
 def test_text_stream_clustered_per_batch(spark):
@@ -51,7 +99,7 @@ def test_text_stream_clustered_per_batch(spark):
 
     q = cluster_each_batch(read_log_stream(spark, path=src), sink, tempfile.mkdtemp(prefix="logweave-ck-"))
     q.awaitTermination()
-    assert got and sum(r.size for r in got) == 21
+    assert got and sum(r.size for r in got) == 18
     assert sorted(r.cluster_no for r in got) == list(range(1, len(got) + 1))
 
 
