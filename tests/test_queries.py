@@ -40,5 +40,5 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0
-    assert df.columns == ["cluster_no", "log_entry_id", "error_pattern", "root_cause", "fix_suggestion",
+    assert df.columns == ["cluster_no", "log_entry_id", "source", "error_pattern", "root_cause", "fix_suggestion",
                           "confidence_score", "size"]

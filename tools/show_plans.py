@@ -34,8 +34,9 @@ def main(argv):
     spark.sparkContext.setLogLevel("ERROR")
     for n in names:
         df = Q.QUERIES[n](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()  # final adaptive plan
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        execution = df._jdf.queryExecution()
+        execution.toRdd().count()  # runs this very plan, so that AQE's last version is shown
+        plan = execution.executedPlan().toString().split("+- == Initial Plan ==")[0]
         print(f"### {n}\n\n```\n{trimmed(plan)}\n```\n")
 
 
