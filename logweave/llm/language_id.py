@@ -129,8 +129,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     out and whose language is known."""
     with_workers(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.groupBy("lang").count()  # one row for each language
-    chosen = rows.join(n, "lang").where(unit_hash("doc_id", seed=9) < F.lit(float(max_per_lang)) / F.col("count")).select("lang", "text")
+    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
+    if not n:
+        return [], np.zeros((0, DIM))
+    share = F.create_map(*[F.lit(x) for lang, count in sorted(n.items()) for x in (lang, max_per_lang / count)])
+    chosen = rows.where(unit_hash("doc_id", seed=9) < F.element_at(share, F.col("lang"))).select("lang", "text")
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}
