@@ -38,7 +38,15 @@ from pyspark.sql import types as T
 
 from .common import WORD, Memo, read_table, save, unit_hash, with_workers
 
-PREFIXES, GRADES, STEPS, MEMORY, RIDGE, LEAST_DOCS, LEAST_CHI, TELLING, CUT, WORDS = (4, 5, 6), 3, 60, 10, 1e-5, 5, 25.0, 10.0, 0.3, 300_000
+#: Lengths of word beginnings, grades of toxic texts, and the probability from which a text is toxic.
+PREFIXES, GRADES, CUT = (4, 5, 6), 3, 0.3
+#: A feature needs so many texts and this chi squared; a telling one is so much more frequent in toxic texts.
+LEAST_DOCS, LEAST_CHI, TELLING = 5, 25.0, 10.0
+#: Passes and remembered steps of L-BFGS, and its ridge.
+STEPS, MEMORY, RIDGE = 60, 10, 1e-5
+#: Words that a worker remembers.
+WORDS = 300_000
+#: Sums are rounded to 2**-32.
 UNIT = float(1 << 32)
 
 
