@@ -29,6 +29,14 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
+    """``df`` by keys over ``spark.sql.shuffle.partitions`` tasks, and at least
+    ``least``.  A stated number: AQE would put groups that are small in bytes
+    but long in CPU time into a few tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, least), *keys)
+
+
 def with_workers(spark: SparkSession) -> SparkSession:
     """Make this package importable in Python workers."""
     ship_package(spark)

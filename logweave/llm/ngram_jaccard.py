@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import WORD, Memo, read_table, save, text_key, with_workers
+from .common import WORD, Memo, read_table, save, spread, text_key, with_workers
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 BANDS, ROWS, ROUND = 64, 8, 32
@@ -285,6 +285,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     met = met.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(packs))).otherwise(F.xxhash64("comp", "one", "two"))
     met = met.select(pack.alias("pack"), "comp", "one", "two", "block", "set", "n", "shingles")
+    met = spread(met, "pack", "one", "two")
     found = save(met.groupBy("pack", "one", "two").applyInPandas(_verify(least_matches(threshold, tolerance), threshold), "`set` string, root string, links bigint"))
     count = found.groupBy("set").agg(F.sum("links").alias("links"))
     edges = save(found.where("`set` <> root").select("root", "set").distinct())
