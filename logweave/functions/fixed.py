@@ -113,7 +113,6 @@ PROMPT_HEADER = (
     "similar log entries and identify the root cause.\n\n"
     "### LOG ENTRIES:\n"
 )
-PROMPT_LINE = "[{n}] {raw}\n"
 PROMPT_MORE = "... and {n} more similar entries.\n"
 PROMPT_FOOTER = (
     "\nRespond ONLY with a valid JSON object in this exact format (no markdown, no explanation):\n"
@@ -124,7 +123,6 @@ PROMPT_FOOTER = (
     '  "confidenceScore": <number between 0.0 and 1.0>\n'
     "}\n"
 )
-REPLY_TEXT_FIELD = "text"
 REPLY_DEFAULTS = {
     "errorPattern": "Unknown pattern",
     "rootCause": "Could not determine root cause",
@@ -136,5 +134,4 @@ MALFORMED_REPLY = ("Malformed LLM response", "", 0.0)  # root cause = the reply
 CODE_FENCES = ("```json", "```")
 
 # --- fixed values: alert severities (ours: worst level in the cluster) ------
-SEVERITIES = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 SEVERITY_BY_LEVEL = [("FATAL", "CRITICAL"), ("ERROR", "HIGH"), ("WARN", "MEDIUM")]

@@ -1,5 +1,5 @@
-"""Cluster-level operators (C6-C8): entry lookup, small-cluster flag,
-representatives."""
+"""Cluster-level operators (C6, C7): entry lookup, small-cluster flag.
+Representatives (C8) are columns of the cluster table."""
 
 from __future__ import annotations
 
@@ -18,14 +18,3 @@ def join_entries(members: DataFrame, entries: DataFrame) -> DataFrame:
 def flag_small(clusters: DataFrame, size_col: str = "size", n: int = fixed.SMALL_CLUSTER_SIZE) -> DataFrame:
     """``low_confidence`` when a cluster has fewer than ``n`` entries."""
     return clusters.withColumn("low_confidence", F.col(size_col) < n)
-
-
-def representatives(members_with_entries: DataFrame) -> DataFrame:
-    """First member of each cluster by ``(source, line_no)`` with hash
-    aggregation (``first_per_group``: a hot cluster costs one partial row
-    per task, no task sorts its input)."""
-    from .firsts import first_per_group
-
-    r = first_per_group(members_with_entries, ["cluster_no"], ["id", "message", "raw_line"])
-    return r.select("cluster_no", F.col("id").alias("rep_id"), F.col("message").alias("rep_message"),
-                    F.col("raw_line").alias("rep_raw_line"), F.col("n").alias("size"))

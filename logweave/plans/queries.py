@@ -487,14 +487,22 @@ def q_payload_blank_reject(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (~is_blank("text")).alias("accepted"))
 
 
+@register("payload_accepted", f"SELECT doc_id FROM documents WHERE NOT {O.is_blank('text')}")
+def q_payload_accepted(spark, sf_dir):
+    from ..sources.logs import filter_payloads
+
+    return filter_payloads(table(spark, sf_dir, "documents"), "text").select("doc_id")
+
+
 # --- prompts, requests, replies -------------------------------------------------------
 
 _TOP = """top AS (SELECT m.cluster_no, row_number() OVER (PARTITION BY m.cluster_no ORDER BY e.source, e.line_no) AS n,
-  e.line_no, e.raw_line FROM members m JOIN log_entries e ON e.id = m.id QUALIFY n <= 20),
+  e.line_no, e.raw_line FROM members m JOIN log_entries e ON e.id = m.id QUALIFY n <= {fixed_k}),
 prompts AS (SELECT c.cluster_no, '{header}' || string_agg('[' || t.n || '] ' || t.raw_line || chr(10), '' ORDER BY t.n)
-  || CASE WHEN c.size > 20 THEN '... and ' || (c.size - 20) || ' more similar entries.' || chr(10) ELSE '' END
+  || CASE WHEN c.size > {fixed_k} THEN '{more}' ELSE '' END
   || '{footer}' AS prompt FROM clusters c JOIN top t ON t.cluster_no = c.cluster_no GROUP BY c.cluster_no, c.size)"""
-_TOP = _TOP.format(header=fixed.PROMPT_HEADER.replace("'", "''").replace("\n", "' || chr(10) || '"),
+_MORE = fixed.PROMPT_MORE.replace("'", "''").replace("\n", "' || chr(10) || '").replace("{n}", f"' || (c.size - {fixed.MAX_LINES_PER_CLUSTER}) || '")
+_TOP = _TOP.format(more=_MORE, fixed_k=fixed.MAX_LINES_PER_CLUSTER, header=fixed.PROMPT_HEADER.replace("'", "''").replace("\n", "' || chr(10) || '"),
                    footer=fixed.PROMPT_FOOTER.replace("'", "''").replace("\n", "' || chr(10) || '"))
 
 
@@ -539,18 +547,19 @@ _REPLY_TEXT = f"CASE WHEN regexp_matches(resp, {_TEXT_PAT}) THEN {O.unesc_reply(
 
 def _reply_parse_sql(src: str, keys: str) -> str:
     """Parse reply texts ``rt`` of ``src`` (columns ``keys``) into the four fields."""
-    cleaned = O.jtrim("replace(replace(rt, '```json', ''), '```', '')")
+    cleaned = O.jtrim(f"replace(replace(rt, {O.q(fixed.CODE_FENCES[0])}, ''), {O.q(fixed.CODE_FENCES[1])}, '')")
+    pre, er, mr, d = fixed.HEURISTIC_PREFIX, fixed.EMPTY_REPLY, fixed.MALFORMED_REPLY, fixed.REPLY_DEFAULTS
     return f"""(
-SELECT {keys}, CASE WHEN {O.is_blank('rt')} THEN '[Heuristic] Empty reply'
-         WHEN NOT ok THEN '[Heuristic] Malformed LLM response' ELSE {O.lookup(('errorPattern',), 'Unknown pattern')} END AS error_pattern,
-       CASE WHEN {O.is_blank('rt')} THEN 'Unable to parse response.' WHEN NOT ok THEN rt
-         ELSE {O.lookup(('rootCause',), 'Could not determine root cause')} END AS root_cause,
-       CASE WHEN {O.is_blank('rt')} THEN '' WHEN NOT ok THEN ''
-         ELSE {O.lookup(('fixSuggestion',), 'Review logs manually')} END AS fix_suggestion,
+SELECT {keys}, CASE WHEN {O.is_blank('rt')} THEN {O.q(pre + er[0])}
+         WHEN NOT ok THEN {O.q(pre + mr[0])} ELSE {O.lookup(('errorPattern',), d['errorPattern'])} END AS error_pattern,
+       CASE WHEN {O.is_blank('rt')} THEN {O.q(er[1])} WHEN NOT ok THEN rt
+         ELSE {O.lookup(('rootCause',), d['rootCause'])} END AS root_cause,
+       CASE WHEN {O.is_blank('rt')} THEN {O.q(er[2])} WHEN NOT ok THEN {O.q(mr[1])}
+         ELSE {O.lookup(('fixSuggestion',), d['fixSuggestion'])} END AS fix_suggestion,
        CASE WHEN {O.is_blank('rt')} OR NOT ok THEN 0.0 ELSE
          (CASE WHEN isnan(cf) THEN cf ELSE greatest(0.0, least(1.0, cf)) END) END AS confidence_score
 FROM (SELECT *, {O.kv_list()} AS kv,
-        coalesce(TRY_CAST({O.jtrim(O.lookup(('confidenceScore',), '1.0').replace('kv', O.kv_list()))} AS DOUBLE), 1.0) AS cf
+        coalesce(TRY_CAST({O.jtrim(O.lookup(('confidenceScore',), str(d['confidenceScore'])).replace('kv', O.kv_list()))} AS DOUBLE), 1.0) AS cf
       FROM (SELECT *, {O.kv_cols('blk')} FROM (
         SELECT *, CASE WHEN ok THEN substr(cl, st, en - st + 1) END AS blk FROM (
           SELECT *, st > 0 AND has_close AND en >= st AS ok FROM (
