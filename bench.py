@@ -60,8 +60,8 @@ def main() -> None:
         shuffle_partitions=int(cpus) * 2,
         extra={
             "spark.driver.memory": "16g", "spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
-            # One small file for each table: cut it into a split for each core.
-            "spark.sql.files.maxPartitionBytes": "1m", "spark.sql.files.openCostInBytes": "64k",
+            # Each table is one row group of a few MB, which splits can't cut.
+            "spark.logweave.scanTasks": cpus,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
