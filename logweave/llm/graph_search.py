@@ -27,9 +27,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, save, with_workers
+from .common import read_table, save, spread, with_workers
 
-SHARD, DEGREE, BEAM, SEARCH_BEAM, BATCH, QUERIES = 4096, 24, 48, 72, 256, 1024
+SHARD, DEGREE, BEAM, SEARCH_BEAM, BATCH, QUERIES = 4096, 24, 48, 128, 256, 1024
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -200,7 +200,9 @@ def build_index(df: DataFrame, vec_id: str = "vec_id", vec: str = "embedding", s
     rows = save(_rows(df, vec_id, vec))
     shards = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
     placed = rows.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", "vec"), F.col("shards")).cast("int"))
-    return save(placed.select("dim", "shard", "vec_id", "vec").groupBy("dim", "shard").applyInPandas(_build, INDEX))
+    n = shards.agg(F.sum("shards")).first()[0] or 1
+    dealt = spread(placed.select("dim", "shard", "vec_id", "vec"), "dim", "shard", least=n)
+    return save(dealt.groupBy("dim", "shard").applyInPandas(_build, INDEX))
 
 
 def _search(k: int):
@@ -241,6 +243,7 @@ def search(index: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vec: st
     sent = sent.select("dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"), "block", "vec_id", "vec")
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["dim", "shard", "block"]
+    sent, held = spread(sent, *keys), spread(held, *keys)
     found = sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_search(k), "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
