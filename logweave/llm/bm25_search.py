@@ -1,7 +1,7 @@
 """Exact BM25 top-k by an inverted index with block-max WAND.
 
-Every task turns its documents into an inverted index (a shard); small
-remainders are merged to shards of bounded size before the search.  A shard
+Every task turns its documents into inverted indexes of bounded size; those of
+one or several tasks make a shard of about ``POSTINGS`` postings.  A shard
 holds, for each term, the documents and term frequencies, and answers a query
 with the greatest impact of each term (list bound) and of each term in each
 block of ``BLOCK`` documents (block-max).
@@ -30,6 +30,7 @@ all their words.  An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -39,9 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Memo, read_table, save, with_workers
+from .common import WORD, Memo, read_table, save, spread, with_workers
 
-K1, B, BLOCK, POSTINGS, QUERIES, WORDS = 1.2, 0.75, 64, 2_000_000, 4096, 400_000
+K1, B, BLOCK, POSTINGS, QUERIES, WORDS = 1.2, 0.75, 64, 4_000_000, 4096, 400_000
+#: Lists of at least this share of a shard's documents are kept as full rows; lists opened between two looks at the k-th score.
+DENSE, STEP = 1 / 4, 16
 SHARD = "part bigint, n_docs bigint, n_words bigint, n_postings bigint, ids binary, lengths binary, terms binary, first binary, docs binary, tfs binary"
 
 
@@ -56,7 +59,7 @@ def small(x: np.ndarray) -> bytes:
 
 
 def large(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32).astype(np.int64)
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32).astype(np.int32)
 
 
 class Shard:
@@ -64,9 +67,10 @@ class Shard:
     ``first[t]`` to ``first[t + 1]`` of ``docs`` (rising) and ``tfs``."""
 
     def __init__(self, ids, lengths, terms, docs, tfs):
-        """Of one entry for each document and term, in any order."""
-        order = np.lexsort((docs, terms))
-        terms, self.docs, self.tfs = terms[order], docs[order], tfs[order]
+        """Of one entry for each document and term, documents rising."""
+        order = np.argsort(terms, kind="stable")
+        terms = terms[order]
+        self.docs, self.tfs = docs.astype(np.int32)[order], tfs.astype(np.int32)[order]
         new = np.concatenate([[True], terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, bool)
         self.ids, self.lengths, self.terms = ids, lengths, terms[new]
         self.first = np.append(np.flatnonzero(new), len(terms))
@@ -77,7 +81,7 @@ class Shard:
     @classmethod
     def merged(cls, rows: pd.DataFrame) -> Shard:
         ids, lengths, terms, docs, tfs, at = [], [], [], [], [], 0
-        for r in rows.sort_values("part").itertuples():
+        for r in rows.itertuples():
             n, first = r.n_docs, np.frombuffer(r.first, np.int64)
             ids.append(np.frombuffer(r.ids, np.int64))
             lengths.append(large(r.lengths, n))
@@ -92,6 +96,14 @@ class Shard:
         norm = K1 * (1 - B + B * self.lengths / (average or 1.0))
         self.impacts = self.tfs * (K1 + 1) / (self.tfs + norm[self.docs])
         self.bounds = np.maximum.reduceat(self.impacts, self.first[:-1]) if len(self.terms) else np.zeros(0)
+        # A row of impacts, 0 where the term is missing, for each frequent list.
+        count = np.diff(self.first)
+        often = np.flatnonzero(count >= max(DENSE * len(self.ids), 64))
+        self.row_of = dict(zip(often.tolist(), range(len(often)), strict=True))
+        self.rows = np.zeros((len(often), len(self.ids)))
+        for t, r in self.row_of.items():
+            a, b = self.first[t], self.first[t + 1]
+            self.rows[r, self.docs[a:b]] = self.impacts[a:b]
         block = self.docs // BLOCK
         new = np.zeros(len(block), bool)
         new[1:] = block[1:] != block[:-1]
@@ -114,17 +126,20 @@ class Shard:
         at, idf, bound = at[order], idf[order], bound[order]
         closed = np.append(np.cumsum(bound[::-1])[::-1], 0.0)
         score = np.zeros(len(self.ids))
-        first, docs, impacts = self.first, self.docs, self.impacts
+        first, docs, impacts, rows, row_of = self.first, self.docs, self.impacts, self.rows, self.row_of
         opened, kth, eps = 0, 0.0, 1e-9
         while opened < len(at):
-            for t, w in zip(at[opened : opened + 16].tolist(), idf[opened : opened + 16].tolist(), strict=True):
-                a, b = first[t], first[t + 1]
-                score[docs[a:b]] += w * impacts[a:b]
-            opened = min(opened + 16, len(at))
-            if len(score) > k:
+            for t, w in zip(at[opened : opened + STEP].tolist(), idf[opened : opened + STEP].tolist(), strict=True):
+                if t in row_of:
+                    score += w * rows[row_of[t]]
+                else:
+                    a, b = first[t], first[t + 1]
+                    score[docs[a:b]] += w * impacts[a:b]
+            opened = min(opened + STEP, len(at))
+            if len(score) > k and closed[opened] < score.max():  # else the k-th can't be enough
                 kth = np.partition(score, len(score) - k)[len(score) - k]
-            if closed[opened] < kth - eps:
-                break
+                if closed[opened] < kth - eps:
+                    break
         if opened < len(at):
             rest = np.zeros(self.n_blocks)
             for t, w in zip(at[opened:].tolist(), idf[opened:].tolist(), strict=True):
@@ -133,6 +148,9 @@ class Shard:
             pivots = np.flatnonzero(score + rest[np.arange(len(score)) // BLOCK] >= kth - eps)
             pivots = pivots[score[pivots] > 0]
             for t, w in zip(at[opened:].tolist(), idf[opened:].tolist(), strict=True):
+                if t in row_of:
+                    score[pivots] += w * rows[row_of[t]][pivots]
+                    continue
                 a, b = first[t], first[t + 1]
                 where = np.minimum(np.searchsorted(docs[a:b], pivots), b - a - 1) + a
                 score[pivots] += np.where(docs[where] == pivots, w * impacts[where], 0.0)
@@ -155,7 +173,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         def shard():
             docs = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
             made = Shard(np.array(ids, np.int64), np.array(lengths, np.int64), np.concatenate(terms), docs, np.concatenate(tfs))
-            row = made.row(int(made.ids[0]))
+            row = made.row(uuid.uuid4().int >> 65)
             for x in (ids, lengths, terms, tfs):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 4 else pa.binary()) for i, v in enumerate(row)], [c.split()[0] for c in SHARD.split(", ")])
@@ -170,18 +188,17 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 terms.append(np.fromiter(map(memo.__getitem__, count), np.int64, len(count)))
                 tfs.append(np.fromiter(count.values(), np.int64, len(count)))
                 held += len(count)
-                if held >= POSTINGS:
+                if held >= POSTINGS // 2:
                     yield shard()
                     held = 0
         if ids:
             yield shard()
 
     parts = save(rows.mapInArrow(run, SHARD))
-    # Remainders of tasks are gathered to shards of about the same size.
-    short = F.col("n_postings") < POSTINGS // 2
-    few = max(1, -(-(parts.where(short).agg(F.sum("n_postings")).first()[0] or 0) // POSTINGS))
-    group = F.when(short, F.pmod(F.xxhash64("part", "n_postings", "n_words"), F.lit(few))).otherwise(F.lit(few) + F.pmod(F.xxhash64("part", "n_postings", "n_words"), F.lit(1 << 40)))
-    return parts.withColumn("shard", group)
+    # Parts are strung together to shards; one row of numbers for each part.
+    upto = F.sum("n_postings").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shards = parts.select("part", "n_postings").withColumn("shard", F.floor((upto - 1) / POSTINGS)).select("part", "shard")
+    return parts.join(shards, "part")
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
@@ -195,8 +212,23 @@ def document_frequencies(index: DataFrame) -> DataFrame:
     return index.select("terms", "first").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
+BLOCKS = "block int, query_ids binary, sizes binary, places binary, terms binary, idfs binary"
+
+
+def _block(group: pd.DataFrame) -> pd.DataFrame:
+    """A block of queries as one row: their different terms once, and for
+    each query the places of its terms among them."""
+    terms, at, places = np.unique(np.concatenate(group["terms"].to_numpy()), return_index=True, return_inverse=True)
+    idfs = np.concatenate(group["idfs"].to_numpy())[at]
+    sizes = group["terms"].map(len).to_numpy()
+    return pd.DataFrame({
+        "block": [group["block"].iloc[0]], "query_ids": [group["query_id"].to_numpy().astype(np.int64).tobytes()], "sizes": [sizes.astype(np.int32).tobytes()],
+        "places": [places.astype(np.int32).tobytes()], "terms": [terms.tobytes()], "idfs": [idfs.tobytes()],
+    })
+
+
 def _weighted(queries: DataFrame, index: DataFrame, n_docs: int, query_id: str, text: str) -> DataFrame:
-    """(query_id, terms, idfs), written once."""
+    """Blocks of about QUERIES queries with their terms' weights, written once."""
     rows = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(text).alias("text")).where("query_id IS NOT NULL AND text IS NOT NULL")
 
     def run(batches):
@@ -208,7 +240,10 @@ def _weighted(queries: DataFrame, index: DataFrame, n_docs: int, query_id: str,
     terms = rows.mapInArrow(run, "query_id bigint, terms array<bigint>").select("query_id", F.explode("terms").alias("term")).distinct()
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(document_frequencies(index), "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t"))
-    return save(weighted.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs")))
+    asked = save(weighted.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs")))
+    blocks = max(1, -(-asked.count() // QUERIES))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    return save(dealt.groupBy("block").applyInPandas(_block, BLOCKS))
 
 
 def _search(average: float, k: int):
@@ -217,8 +252,11 @@ def _search(average: float, k: int):
         if len(queries) and len(index):
             shard = Shard.merged(index)
             shard.weigh(average)
-            for q, terms, idfs in zip(queries["query_id"], queries["terms"], queries["idfs"], strict=True):
-                out += [(q, i, s) for i, s in shard.top(np.asarray(terms), np.asarray(idfs), k)]
+            for b in queries.itertuples():
+                terms, idfs, places = np.frombuffer(b.terms, np.int64), np.frombuffer(b.idfs), np.frombuffer(b.places, np.int32)
+                ends = np.cumsum(np.frombuffer(b.sizes, np.int32))
+                for q, part in zip(np.frombuffer(b.query_ids, np.int64).tolist(), np.split(places, ends[:-1]), strict=True):
+                    out += [(q, i, s) for i, s in shard.top(terms[part], idfs[part], k)]
         return pd.DataFrame(out, columns=["query_id", "doc_id", "score"]).astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
 
     return run
@@ -228,12 +266,13 @@ def search(index: DataFrame, queries: DataFrame, query_id: str = "doc_id", text:
     """(query_id, rank, doc_id, score): the k best documents of each query."""
     n_docs, n_words = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
     asked = _weighted(queries, index, n_docs or 0, query_id, text)
-    blocks = max(1, -(-asked.count() // QUERIES))
+    blocks = asked.agg(F.max("block")).first()[0] or 0
     # Every block of queries is sent to every shard: a stated query set against all rows.
-    shards = index.select("shard").distinct().select(F.col("shard").alias("to"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    sent = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).join(shards, "block").select(F.col("to").alias("shard"), "block", "query_id", "terms", "idfs")
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = sent.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInPandas(_search((n_words or 0) / max(n_docs or 0, 1), k), "query_id bigint, doc_id bigint, score double")
+    shards = index.agg(F.max("shard")).first()[0]
+    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards or 0).cast("long"))))
+    held = index.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks))))
+    sent, held = spread(sent, "shard", "block"), spread(held, "shard", "to")
+    found = sent.groupBy("shard", "block").cogroup(held.groupBy("shard", "to")).applyInPandas(_search((n_words or 0) / max(n_docs or 0, 1), k), "query_id bigint, doc_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
