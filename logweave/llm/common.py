@@ -59,6 +59,14 @@ def unit_hash(*cols, seed: int = 0) -> Column:
     return (h.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches cut to so many rows, so that a worker holds few texts as
+    Python strings at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 class Memo(dict):
     """A dictionary of computed values that starts anew at ``limit``
     entries, so that a worker's memory stays bounded; results don't depend

@@ -38,14 +38,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import WORD, Memo, read_table, save, spread, text_key, with_workers
+from .common import WORD, Memo, read_table, save, slices, spread, text_key, with_workers
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 BANDS, ROWS, ROUND = 64, 8, 32
 HASHES = BANDS * ROWS
 #: Sets of a block, counting one for each UNIT shingles more; sets of a pack of small components.
 BLOCK, UNIT, PACK = 256, 2000, 1000
-WORDS, SEEN = 400_000, 200_000
+WORDS, SEEN = 150_000, 100_000
 
 _random = np.random.Generator(np.random.Philox(key=1))
 _TIMES = _random.integers(0, 1 << 63, 2 * N + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -217,7 +217,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def run(batches):
         memo, seen = word_hashes(), Memo(lambda k: None, SEEN)
-        for batch in batches:
+        for batch in slices(batches):
             keys, units, folded = [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingles(text, memo)
@@ -257,7 +257,7 @@ def _fetched(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, comps: Da
 
     def run(batches):
         memo, seen = word_hashes(), Memo(lambda k: None, SEEN)
-        for batch in batches:
+        for batch in slices(batches):
             keep, sets = [], []
             for k, (name, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 if name not in seen:  # repeated rows

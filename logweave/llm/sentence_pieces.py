@@ -35,7 +35,7 @@ from .token_counts import tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-SEGMENTS, PAIRS, BATCH_CHARS = 500_000, 500_000, 2_000_000
+SEGMENTS, PAIRS, BATCH_CHARS = 300_000, 300_000, 2_000_000
 #: Numbers above all pieces: characters outside the vocabulary, and nothing.
 OUTSIDE, NOTHING = 1 << 21, (1 << 22) - 1
 

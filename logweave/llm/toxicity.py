@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, Memo, read_table, save, unit_hash, with_workers
+from .common import WORD, Memo, read_table, save, slices, unit_hash, with_workers
 
 #: Lengths of word beginnings, grades of toxic texts, and the probability from which a text is toxic.
 PREFIXES, GRADES, CUT = (4, 5, 6), 3, 0.3
@@ -45,7 +45,7 @@ LEAST_DOCS, LEAST_CHI, TELLING = 5, 25.0, 10.0
 #: Passes and remembered steps of L-BFGS, and its ridge.
 STEPS, MEMORY, RIDGE = 60, 10, 1e-5
 #: Words that a worker remembers.
-WORDS = 300_000
+WORDS = 150_000
 #: Sums are rounded to 2**-32.
 UNIT = float(1 << 32)
 
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def read(batches):
         memo = model.reader()
         told = Memo(lambda w: any(f in telling for f in features_of(w)), WORDS)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(0).to_pylist()
             load = [float(sum(map(told.__getitem__, set(WORD.findall(t.lower()))))) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(load), pa.array([_numbers(t, memo) for t in texts], pa.list_(pa.int32()))], ["toxic", "load", "features"])
