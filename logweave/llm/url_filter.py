@@ -21,7 +21,7 @@ from itertools import chain
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save, unit_hash
@@ -86,10 +86,9 @@ def lexical(df: DataFrame, url: str) -> DataFrame:
 
 
 def _rates(sample: DataFrame, key: str, rate: str, prior: float) -> DataFrame:
-    """Smoothed block rate of each key; a URL without a label counts as the
-    prior.  At most as many rows as the sample has."""
-    known = F.coalesce(F.col("blocked"), F.lit(prior))
-    return sample.groupBy(key).agg(((F.sum(known) + prior * SMOOTH) / (F.count(F.lit(1)) + SMOOTH)).alias(rate))
+    """Smoothed block rate of each key.  At most as many rows as the sample
+    has."""
+    return sample.groupBy(key).agg(((F.sum("blocked") + prior * SMOOTH) / (F.count(F.lit(1)) + SMOOTH)).alias(rate))
 
 
 @dataclass
@@ -106,24 +105,43 @@ def _featured(df: DataFrame, rates: dict[str, DataFrame], prior: float) -> DataF
     return VectorAssembler(inputCols=NUMBERS + RATES, outputCol="features").transform(df)
 
 
-def fit(df: DataFrame, url: str, rules: list[tuple[str, str]], max_sample: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 7) -> UrlModel:
-    """Learn from the URLs that a rule decides.  At most about
-    ``max_sample`` URLs, chosen by the hash of the URL, are used."""
+def labelled(df: DataFrame, url: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """``url`` and ``blocked`` (1 or 0) of every row that a rule decides."""
     block = [r for a, r in rules if a == "block"]
     rows = df.select(F.col(url).alias("url"))
-    n = rows.count()
-    chosen = lexical(rows.where(unit_hash("url", seed=seed) < max_sample / max(n, 1)), "url")
-    rule = matched_rule(F.col("host"), F.col("path"), rules)
-    chosen = chosen.withColumn("_rule", rule).withColumn("blocked", F.when(F.col("_rule").isNotNull(), F.col("_rule").isin(block).cast("double")))
-    sample = save(chosen.drop("_rule", "url"))
-    k, prior = sample.agg(F.count_distinct("blocked"), F.avg("blocked")).first()
-    prior = 0.0 if prior is None else float(prior)
+    rows = rows.withColumn("_rule", matched_rule(host_of(F.col("url")), path_of(F.col("url")), rules)).where(F.col("_rule").isNotNull())
+    return rows.select("url", F.col("_rule").isin(block).cast("double").alias("blocked"))
+
+
+def sample_of(known: DataFrame, urls: dict[float, int], max_sample: int, seed: int) -> DataFrame:
+    """At most ``max_sample`` distinct rows of ``known``, the lowest by the
+    hash of the URL: as many of each kind, and more of one where the other has
+    no more.  ``urls``: about how many distinct URLs each kind has."""
+    place = unit_hash("url", seed=seed)
+    # The estimate bounds what is ranked; a fifth more is ten times its error.
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in urls.items() for x in (k, 1.2 * max_sample / n)]), F.col("blocked"))
+    some = known.where(place < share).distinct()
+    nth = F.row_number().over(Window.partitionBy("blocked").orderBy(place, "url"))
+    return some.withColumn("_nth", nth).orderBy("_nth", "blocked").limit(max_sample).drop("_nth")
+
+
+def fit(df: DataFrame, url: str, rules: list[tuple[str, str]], max_sample: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 7) -> UrlModel:
+    """Learn from the URLs that a rule decides.  Every row is labelled; the
+    trees are fitted on at most ``max_sample`` distinct labelled URLs, weighted
+    so that both kinds count as in the whole table."""
+    known = labelled(df, url, rules)
+    kinds = known.groupBy("blocked").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("url", 0.02).alias("urls")).collect()  # two rows at most
+    n, urls = {r["blocked"]: r["n"] for r in kinds}, {r["blocked"]: max(r["urls"], 1) for r in kinds}
+    prior = n.get(1.0, 0) / max(sum(n.values()), 1)
+    sample = save(lexical(sample_of(known, urls, max_sample, seed) if urls else known, "url").drop("url"))
     rates = {key: save(_rates(sample, key, rate, prior).coalesce(1)) for key, rate in zip(("tld", "domain", "segment"), RATES, strict=True)}
-    if k < 2:
+    if len(n) < 2:
         return UrlModel(rates, prior, None)
-    labelled = _featured(sample.where(F.col("blocked").isNotNull()), rates, prior)
-    gbt = GBTClassifier(featuresCol="features", labelCol="blocked", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, cacheNodeIds=False)
-    return UrlModel(rates, prior, gbt.fit(labelled.select("features", "blocked")))
+    taken = {r["blocked"]: r["count"] for r in sample.groupBy("blocked").count().collect()}
+    weight = F.when(F.col("blocked") == 1, urls[1.0] / taken[1.0]).otherwise(urls[0.0] / taken[0.0])
+    rows = _featured(sample, rates, prior).select("features", "blocked", weight.alias("weight"))
+    gbt = GBTClassifier(featuresCol="features", labelCol="blocked", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, cacheNodeIds=False)
+    return UrlModel(rates, prior, gbt.fit(rows))
 
 
 def predict(df: DataFrame, url: str, model: UrlModel) -> DataFrame:

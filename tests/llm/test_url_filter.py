@@ -76,3 +76,21 @@ def test_plan_has_no_python(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     plan = op.filter_urls(pages, "url", op.RULES)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_few_labels_among_many_pages(spark):
+    """All labels are found however few they are, and a URL on most of the
+    labelled rows is one of the sample."""
+    bare = spark.range(20_000).selectExpr("concat('http://a.example.org/en/', id) AS url")
+    some = spark.range(60).selectExpr("concat('http://a.example.', if(id % 3 = 0, 'net/x/', 'com/de/'), id) AS url")
+    some = some.union(spark.range(30).selectExpr("concat('http://a.example.net/en/', id) AS url"))
+    hot = spark.range(5_000).selectExpr("'http://hot.net/' AS url")
+    pages = bare.union(some).union(hot)
+    known = op.labelled(pages, "url", op.RULES)
+    assert known.count() == 5_090
+    for limit, want in ((1_000, (61, 30)), (50, (25, 25)), (80, (50, 30))):
+        got = [(r["url"], r["blocked"]) for r in op.sample_of(known, {1.0: 61, 0.0: 30}, limit, 7).collect()]
+        assert len(set(got)) == len(got)
+        assert (sum(b == 1 for _, b in got), sum(b == 0 for _, b in got)) == want
+    model = op.fit(pages, "url", op.RULES, max_sample=100, trees=2)
+    assert model.trees is not None and model.prior == 5_060 / 5_090
