@@ -1,10 +1,10 @@
 """URL filter: longest-match rules, gradient-boosted trees for the rest.
 
 Only DataFrame functions and MLlib's tree boosting run here; a page costs
-one narrow pass.  The trees learn from the URLs that a rule decides, on
-lexical features: length, depth, digit ratio, character entropy, parameter
-counts and smoothed block rates of the host's suffixes and of the first path
-segment.
+one pass and a join with each table of rates.  The trees learn from the URLs
+that a rule decides, on lexical features: length, depth, digit ratio, character
+entropy, parameter counts and smoothed block rates of the host's suffixes and
+of the first path segment.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path,
 fits no rule and is judged by the trees like any other string.  Equal URLs get
@@ -59,6 +59,15 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return F.coalesce(*fits) if fits else F.lit(None).cast("string")
 
 
+def keyed(df: DataFrame, url: str) -> DataFrame:
+    """Adds ``host``, ``path`` and the keys of a URL."""
+    return df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).withColumns({
+        "tld": F.substring_index("host", ".", -1),
+        "domain": F.substring_index("host", ".", -2),
+        "segment": F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.lit("")),
+    })
+
+
 def lexical(df: DataFrame, url: str) -> DataFrame:
     """Adds ``host``, ``path`` and the numbers and keys of a URL."""
     u = F.coalesce(F.col(url), F.lit(""))
@@ -67,28 +76,21 @@ def lexical(df: DataFrame, url: str) -> DataFrame:
     labels = F.split("host", r"\.")
     share = lambda c: (n - F.length(F.replace(u, c, F.lit("")))) / n
     entropy = F.aggregate(F.array_distinct(F.split(u, "")), F.lit(0.0), lambda a, c: a - F.when(c == "", 0.0).otherwise(share(c) * F.log2(share(c))))
-    return (
-        df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-        .withColumns({
-            "length": F.log1p(n.cast("double")),
-            "depth": F.size(F.filter(F.split("path", "/"), lambda s: s != "")).cast("double"),
-            "digit_ratio": F.when(n == 0, 0.0).otherwise((n - F.length(F.translate(u, "0123456789", ""))) / n),
-            "entropy": F.when(n == 0, 0.0).otherwise(entropy),
-            "n_params": F.when(query == "", 0.0).otherwise(F.size(F.split(query, "&")).cast("double")),
-            "host_labels": F.when(F.col("host") == "", 0.0).otherwise(F.size(labels).cast("double")),
-            "path_length": F.log1p(F.length("path").cast("double")),
-            "has_fragment": u.contains("#").cast("double"),
-            "tld": F.substring_index("host", ".", -1),
-            "domain": F.substring_index("host", ".", -2),
-            "segment": F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.lit("")),
-        })
-    )
-
-
-def _rates(sample: DataFrame, key: str, rate: str, prior: float) -> DataFrame:
-    """Smoothed block rate of each key.  At most as many rows as the sample
-    has."""
-    return sample.groupBy(key).agg(((F.sum("blocked") + prior * SMOOTH) / (F.count(F.lit(1)) + SMOOTH)).alias(rate))
+    return keyed(df, url).withColumns({
+        "length": F.log1p(n.cast("double")),
+        "depth": F.size(F.filter(F.split("path", "/"), lambda s: s != "")).cast("double"),
+        "digit_ratio": F.when(n == 0, 0.0).otherwise((n - F.length(F.translate(u, "0123456789", ""))) / n),
+        "entropy": F.when(n == 0, 0.0).otherwise(entropy),
+        "n_params": F.when(query == "", 0.0).otherwise(F.size(F.split(query, "&")).cast("double")),
+        "host_labels": F.when(F.col("host") == "", 0.0).otherwise(F.size(labels).cast("double")),
+        "path_length": F.log1p(F.length("path").cast("double")),
+        "has_fragment": u.contains("#").cast("double"),
+    })
+
+
+def _rates(cells: DataFrame, key: str, rate: str, prior: float) -> DataFrame:
+    """Smoothed block rate of each key over all labelled rows."""
+    return cells.groupBy(key).agg(((F.sum("blocks") + prior * SMOOTH) / (F.sum("n") + SMOOTH)).alias(rate))
 
 
 @dataclass
@@ -100,8 +102,7 @@ class UrlModel:
 
 def _featured(df: DataFrame, rates: dict[str, DataFrame], prior: float) -> DataFrame:
     for key, rate in zip(("tld", "domain", "segment"), RATES, strict=True):
-        # Rates come from the bounded sample: at most max_sample rows.
-        df = df.join(F.broadcast(rates[key]), key, "left").fillna(prior, [rate])
+        df = df.join(rates[key], key, "left").fillna(prior, [rate])
     return VectorAssembler(inputCols=NUMBERS + RATES, outputCol="features").transform(df)
 
 
@@ -126,15 +127,17 @@ def sample_of(known: DataFrame, urls: dict[float, int], max_sample: int, seed: i
 
 
 def fit(df: DataFrame, url: str, rules: list[tuple[str, str]], max_sample: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 7) -> UrlModel:
-    """Learn from the URLs that a rule decides.  Every row is labelled; the
-    trees are fitted on at most ``max_sample`` distinct labelled URLs, weighted
-    so that both kinds count as in the whole table."""
+    """Learn from the URLs that a rule decides.  Every row is labelled, and
+    the rates count all labelled rows; only the trees are fitted on at most
+    ``max_sample`` distinct labelled URLs, weighted so that both kinds count as
+    in the whole table."""
     known = labelled(df, url, rules)
     kinds = known.groupBy("blocked").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("url", 0.02).alias("urls")).collect()  # two rows at most
     n, urls = {r["blocked"]: r["n"] for r in kinds}, {r["blocked"]: max(r["urls"], 1) for r in kinds}
     prior = n.get(1.0, 0) / max(sum(n.values()), 1)
     sample = save(lexical(sample_of(known, urls, max_sample, seed) if urls else known, "url").drop("url"))
-    rates = {key: save(_rates(sample, key, rate, prior).coalesce(1)) for key, rate in zip(("tld", "domain", "segment"), RATES, strict=True)}
+    cells = save(keyed(known, "url").groupBy("tld", "domain", "segment").agg(F.sum("blocked").alias("blocks"), F.count(F.lit(1)).alias("n")))
+    rates = {key: save(_rates(cells, key, rate, prior)) for key, rate in zip(("tld", "domain", "segment"), RATES, strict=True)}
     if len(n) < 2:
         return UrlModel(rates, prior, None)
     taken = {r["blocked"]: r["count"] for r in sample.groupBy("blocked").count().collect()}

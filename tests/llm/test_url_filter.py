@@ -94,3 +94,19 @@ def test_few_labels_among_many_pages(spark):
         assert (sum(b == 1 for _, b in got), sum(b == 0 for _, b in got)) == want
     model = op.fit(pages, "url", op.RULES, max_sample=100, trees=2)
     assert model.trees is not None and model.prior == 5_060 / 5_090
+
+
+def test_rates_cover_all_labelled_rows(spark):
+    """Every key of every labelled row has its rate, however small the sample."""
+    urls = [f"http://www.d{i % 200}.{'net' if i % 3 else 'org'}/{'fr/' if i % 2 else 'en/'}s{i % 7}/{i}" for i in range(3_000)] + ["http://hot.net/x"] * 500
+    model = op.fit(spark.createDataFrame([(u,) for u in urls], "url string"), "url", op.RULES, max_sample=20, trees=2)
+    known = [(host, path, dict((r, a) for a, r in op.RULES)[ruled(host, path)] == "block") for host, path in map(parsed, urls) if ruled(host, path)]
+    prior = sum(b for *_, b in known) / len(known)
+    assert model.prior == prior
+    for key, of in (("tld", lambda h, p: h.split(".")[-1]), ("domain", lambda h, p: ".".join(h.split(".")[-2:])), ("segment", lambda h, p: p.split("/")[1])):
+        want = {}
+        for host, path, b in known:
+            want.setdefault(of(host, path), []).append(b)
+        got = dict(map(tuple, model.rates[key].collect()))
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx((sum(v) + prior * op.SMOOTH) / (len(v) + op.SMOOTH)) for k, v in want.items())
