@@ -18,7 +18,7 @@ ignored; texts of any length are read whole.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,11 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, save, unit_hash, with_workers
+from .common import read_table, save, slices, unit_hash, with_workers
 
-DIM, SEED, UNKNOWN = 1024, 20, "und"
-#: Texts and characters bundled at a time, and trigrams multiplied at a time.
-TEXTS, CHARS, COLUMNS = 64, 400_000, 8192
+#: A text in no learned language has a cosine of deviation 1/sqrt(DIM) with a
+#: prototype.
+DIM, SEED, UNKNOWN = 4096, 20, "und"
+#: Texts and characters bundled at a time, trigrams multiplied at a time, and
+#: texts whose bundles are held at a time.
+TEXTS, CHARS, COLUMNS, ROWS = 64, 400_000, 2048, 500
 #: Training sums are in units of 2**-24.
 UNIT = float(1 << 24)
 
@@ -41,7 +44,7 @@ def _is_letter() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-@cache
+@lru_cache(4096)
 def letter_vector(code: int) -> np.ndarray:
     """The vector of a letter (0: the blank)."""
     bits = np.random.Generator(np.random.Philox(key=[SEED, code])).integers(0, 2, DIM, dtype=np.int8)
@@ -112,7 +115,7 @@ def predict(texts: list[str | None], langs: list[str], prototypes: np.ndarray) -
     some = [bool(t) and (any(map(str.isalpha, t[:64])) or bool(letters[np.frombuffer(t.encode("utf-32-le"), np.uint32)].any())) for t in texts]
     if not langs:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    cosine = unit(bundles(texts)) @ prototypes.T
+    cosine = np.concatenate([np.zeros((0, len(langs)))] + [unit(bundles(texts[a : a + ROWS])) @ prototypes.T for a in range(0, len(texts), ROWS)])
     best = cosine.argmax(axis=1)
     score = np.where(some, np.clip(np.round(cosine[np.arange(len(texts)), best], 9), 0, 1), 0.0)
     return [langs[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], score
@@ -137,7 +140,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             names = np.array(batch.column(0).to_pylist(), dtype=object)
             v = np.round(unit(bundles(batch.column(1).to_pylist())) * UNIT).astype(np.int64)
             for name in set(names):

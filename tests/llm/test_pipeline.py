@@ -1,8 +1,10 @@
+import random
 from collections import Counter
 
 import pytest
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logweave.llm import language_id, mixing, ngram_jaccard, registry, sentence_pieces, toxicity
@@ -38,6 +40,29 @@ def test_language_stage(stages):
     assert ids(stages[1]) == ids(found)
 
 
+def test_language_stage_rejects_random_texts(spark):
+    """Random letters go, whatever their script and length; clean texts stay,
+    short ones too."""
+    rng = random.Random(4)
+
+    def noise(first, last, n):
+        words = ("".join(chr(rng.randint(first, last)) for _ in range(rng.randint(2, 9))) for _ in range(n))
+        return " ".join(words)[:n]
+
+    scripts = {"latin": (0x61, 0x7A), "cyrillic": (0x430, 0x44F), "cjk": (0x4E00, 0x9FA5)}
+    rows = [(f"{s} {'long' if n > 1000 else 'short'}", noise(*ends, n)) for s, ends in scripts.items() for n, k in ((20, 60), (100, 60), (500, 60), (3_000, 20), (20_000, 4)) for _ in range(k)]
+    clean = ["The cat sat on the mat", "This is a short text", "one two three", "Das ist ein kurzer Text", "Guten Morgen zusammen", "Ich habe keine Zeit", "Bonjour tout le monde", "El gato está en la casa"]
+    rows += [("clean", t) for t in clean]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", F.lit("real").alias("kind"))
+    added = spark.createDataFrame([(10**9 + i, t, None, k) for i, (k, t) in enumerate(rows)], docs.schema)
+    before = Counter(r["kind"] for r in docs.union(added).select("kind").collect())
+    after = Counter(r["kind"] for r in corpus_pipeline.language(spark, docs.union(added), SF).select("kind").collect())
+    assert after["clean"] == len(clean) and after["real"] >= 0.998 * before["real"]
+    assert after["latin short"] <= 0.1 * before["latin short"] and after["latin long"] == 0
+    assert after["cyrillic short"] + after["cjk short"] <= 0.01 * 2 * before["cjk short"]
+    assert after["cyrillic long"] == after["cjk long"] == 0
+
+
 def test_toxicity_stage(spark, stages):
     found = toxicity.score(stages[1], spark.read.parquet(f"{SF}/labels.parquet"))
     assert ids(stages[2]) == ids(found.where("NOT toxic"))
