@@ -159,7 +159,9 @@ def _by_angle(v: DataFrame, threshold: float, block_size: int) -> DataFrame:
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("_v"), p))))
     ranked = global_row_number(v.withColumn("_angle", angle), ["_angle", "_id"], "_n")
     cut = ranked.withColumn("_b", F.floor((F.col("_n") - 1) / block_size).cast("int")).drop("_n")
-    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    # A float cosine is off by up to 5e-7, and the angle of a vector near the
+    # pivot by the root of twice that, 1e-3; two angles are compared.
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 2e-3
     blocks = cut.groupBy("_b").agg(F.min("_angle").alias("_low"), F.max("_angle").alias("_high"))
     a, b = blocks.alias("a"), blocks.alias("b")
     # One row for each block of thousands of vectors.

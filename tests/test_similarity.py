@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from conftest import SF_SMALL
@@ -120,3 +122,17 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr
     assert float(done.stdout) < 700
+
+
+def test_pairs_near_the_pivot_meet(spark):
+    """The angle of a vector almost equal to the pivot is coarse; a pair at
+    the threshold still meets when every block is one vector."""
+    t = 0.9
+    missed = []
+    for k, near in enumerate((1e-4, 2e-4, 3e-4, 1e-3)):
+        angles = [0.3, 0.3 + near, 0.3 + near + math.acos(t) - 2e-7]
+        df = spark.createDataFrame([(i, [math.cos(a), math.sin(a)]) for i, a in enumerate(angles)], "id bigint, v array<float>")
+        exact = _brute([np.array(r["v"], np.float32) for r in df.orderBy("id").collect()], [0, 1, 2], t)
+        got = {(r[0], r[1]) for r in similar_pairs(df, "id", "v", t, block_size=1).collect()}
+        missed += [(k, p) for p in {(x[0], x[1]) for x in exact} - got]
+    assert not missed
