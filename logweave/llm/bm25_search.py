@@ -1,4 +1,5 @@
-"""Exact BM25 top-k by an inverted index with block-max WAND.
+"""Exact BM25 top-k by an inverted index with block maxima, a MaxScore-style
+variant in place of block-max WAND.
 
 Every task turns its documents into inverted indexes of bounded size; those of
 one or several tasks make a shard of about ``POSTINGS`` postings.  A shard
