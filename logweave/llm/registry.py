@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bm25_search, graph_search, language_id, mixing, ngram_jaccard, sentence_pieces, sharding, token_counts, toxicity, url_filter
+from . import bm25_search, collocations, graph_search, language_id, mixing, ngram_jaccard, periodic_runs, quality_rules, sentence_pieces, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_bm25_search": bm25_search.query,
     "op9_language_id": language_id.query,
     "op10_sharding": sharding.query,
+    "op11_quality_rules": quality_rules.query,
+    "op12_collocations": collocations.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
-ORACLES: dict[str, str] = {"op8_bm25_search": bm25_search.ORACLE}
+ORACLES: dict[str, str] = {"op8_bm25_search": bm25_search.ORACLE, "op12_collocations": collocations.ORACLE}
