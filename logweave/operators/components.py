@@ -1,21 +1,84 @@
 """Connected components (C3) and distributed numbering (C4 helper).
 
-Components use the alternating *large-star* / *small-star* rounds of
+First every task shrinks its own edges to a spanning forest of stars (union by
+hooking and pointer jumping on arrays, ``CHUNK`` edges at a time), so what is
+shuffled afterwards is bounded by the vertices that tasks have met.
+
+The rest is joined by the alternating *large-star* / *small-star* rounds of
 Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014):
 every round is a handful of aggregations and equi-joins on the edge table;
 at the fixed point every component is a star around its smallest vertex.
-No neighbour list is ever collected, so a hub vertex costs partial
-aggregates, not one giant group.  Each round's edges are written to the
-shared checkpoint folder (reliable ``checkpoint()``), which cuts lineage and
-survives executor loss.
+No neighbour list is ever collected.  A round finds each vertex's least
+neighbour by partial aggregates and joins it back to the edges; that join
+(``join_hot``) sends the vertices of very many edges to the edges, at most 10,000
+of them whatever the input, so a hub's edges stay in the tasks that hold them.
+Each round's edges are written to the shared checkpoint folder, which cuts lineage
+and survives executor loss, and deleted when the next round's are.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
+from .joins import join_hot
+from .tables import Written
+
+#: Edges that a task shrinks at a time.
+CHUNK = 1_000_000
+
+
+def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (least vertex, vertex) of the components of edges (a, b)."""
+    vertices, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    parent = np.arange(len(vertices))
+    while True:
+        x, y = parent[u], parent[v]
+        apart = x != y
+        if not apart.any():
+            break
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        # Every root is hooked to the least root next to it; then all point to their roots.
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    leaf = np.flatnonzero(parent != np.arange(len(vertices)))
+    return vertices[parent[leaf]], vertices[leaf]
+
+
+def contracted(e: DataFrame) -> DataFrame:
+    """Edges (a, b), a < b, with the components of ``e`` (nulls in neither):
+    a spanning forest of what each task has."""
+    ship_package(e.sparkSession)
+
+    def run(batches):
+        held, size = [], 0
+
+        def shrink():
+            table = pa.Table.from_batches(held)
+            ends = [table.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
+            stars = spanning_stars(*ends)
+            made = pa.RecordBatch.from_arrays([pa.array(x, table.schema.field(0).type) for x in stars], ["a", "b"])
+            return made
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK:
+                made = shrink()
+                if 2 * made.num_rows > CHUNK:  # little left to shrink: pass it on
+                    yield made
+                    held, size = [], 0
+                else:
+                    held, size = [made], made.num_rows
+        if size:
+            yield shrink()
+
+    return e.select("a", "b").mapInArrow(run, e.select("a", "b").schema)
 
 
 def _canonical(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -30,19 +93,19 @@ def _neighbours(e: DataFrame) -> DataFrame:
     )
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, edges: int) -> DataFrame:
     """Connect every larger neighbour of u to the smallest of {u} + N(u)."""
     n = _neighbours(e)
-    m = n.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    out = n.join(m, "u").where(F.col("v") > F.col("u")).select("v", "m")
+    m = n.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("deg"))
+    out = join_hot(n.where(F.col("v") > F.col("u")), m, ["u"], F.col("deg"), 2 * edges, "inner").select("v", "m")
     return _canonical(out, "v", "m")
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, edges: int) -> DataFrame:
     """Connect u and its smaller neighbours to the smallest of them."""
-    n = _neighbours(e).where(F.col("v") < F.col("u"))
-    m = n.groupBy("u").agg(F.min("v").alias("m"))
-    spokes = n.join(m, "u").select("v", "m")
+    n = e.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    m = n.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
+    spokes = join_hot(n, m, ["u"], F.col("deg"), edges, "inner").select("v", "m")
     hub = m.select(F.col("u").alias("v"), "m")
     return _canonical(spokes.unionByName(hub), "v", "m")
 
@@ -65,18 +128,17 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
     of the vertex's component (isolated vertices map to themselves).
 
     ``canonical=True`` declares that ``edges`` already hold each undirected
-    edge once as ``src < dst`` and are materialised (e.g. checkpointed
-    ``similar_pairs`` output), which skips one distinct and one write."""
-    spark = vertices.sparkSession
-    checkpoint_dir(spark)
-    if canonical:
-        e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    else:
-        e = _canonical(edges, src, dst).checkpoint()
-    # An empty edge set, or one that is already a star forest, needs no round.
+    edge once as ``src < dst``, which skips a distinct."""
+    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")) if canonical else _canonical(edges, src, dst)
+    held = Written(contracted(e), "edges")
+    # An edge set that is empty or a star forest, as that of a single task, needs no round.
     # Every other round shortens some path to a smallest vertex, so this ends.
-    while not _is_star_forest(e):
-        e = _small_star(_large_star(e)).checkpoint()
+    while not _is_star_forest(held.df):
+        large = Written(_large_star(held.df, held.df.count()), "edges")
+        held.drop()
+        held = Written(contracted(_small_star(large.df, large.df.count())), "edges")
+        large.drop()
+    e = held.df
     label = e.select(F.col("b").alias("_v"), F.col("a").alias("component")).unionByName(
         e.select(F.col("a").alias("_v"), F.col("a").alias("component"))
     ).distinct()
