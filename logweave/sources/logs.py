@@ -8,32 +8,94 @@ downstream (cluster numbering, representatives, "first 20 lines").
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import is_blank
+from ..session import ship_package
 
 LOG_LINES_SCHEMA = "source string, line_no bigint, raw_line string"
 
 
-def number_lines(rows: DataFrame) -> DataFrame:
-    """``(source, raw_line, block_start)`` of a text scan -> ``log_lines``
-    with each line's true number in its file, from 1.
+#: Splits of files in more than one split, up to which their table is sent to the lines.
+SPLITS = 100_000
+
+
+def split_positions(rows: DataFrame) -> DataFrame:
+    """``rows`` of a text scan with ``pos``, the line's number in its split.
+
+    A scan task hands over a split's lines in order, one split after the
+    other, so this is one narrow pass that counts; no lines are moved.  It runs on
+    a stream as well."""
+    ship_package(rows.sparkSession)
+    at = rows.columns.index("source"), rows.columns.index("block_start")
+    schema = T.StructType([*rows.schema.fields, T.StructField("pos", T.LongType())])
+
+    def run(batches):
+        last, n = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(k) for k in at]
+            new = np.zeros(batch.num_rows, bool)
+            for c in keys:
+                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            new[0] = (keys[0][0].as_py(), keys[1][0].as_py()) != last
+            k = np.arange(batch.num_rows)
+            begin = np.maximum.accumulate(np.where(new, k, -1))
+            pos = np.where(begin >= 0, k - begin, n + k) + 1
+            last, n = (keys[0][-1].as_py(), keys[1][-1].as_py()), int(pos[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pos, pa.int64())], schema=pa.schema([*batch.schema, ("pos", pa.int64())]))
+
+    return rows.mapInArrow(run, schema)
+
+
+def number_lines(rows: DataFrame, n_splits: int | None = None) -> DataFrame:
+    """``(source, raw_line, block_start, block_length, file_size)`` of a text
+    scan -> ``log_lines`` with each line's true number in its file, from 1.
 
     A line's number is its position inside its split plus the lines of the
     file's earlier splits, so it does not depend on how files were split,
-    packed into tasks or on the number of cores.  The position is taken from
-    ``monotonically_increasing_id``, which counts a task's rows in order; the
-    table of splits has four longs for each and is sent to the lines
-    (32 bytes for 128 MB of input)."""
-    at = rows.select(
-        "source", "raw_line", F.xxhash64("source").alias("_file"), F.col("block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"),
-    )
-    splits = at.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("_file", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_add"))
-    return at.join(F.broadcast(splits), ["_file", "_block"]).select("source", (F.col("_at") + F.col("_add")).alias("line_no"), "raw_line")
+    packed into tasks or on the number of cores.  Files of one split need no
+    more than the position.  For the others a table of their splits is joined by
+    file and offset; it is sent to the lines if there are at most ``SPLITS`` such
+    splits by ``n_splits``, a bound known from the files' sizes (0: no such file
+    and no join; None: left to the optimizer)."""
+    at = split_positions(rows)
+    whole = (F.col("block_start") == 0) & (F.col("block_length") >= F.col("file_size"))
+    if n_splits == 0:
+        return at.select("source", F.col("pos").alias("line_no"), "raw_line")
+    splits = at.where(~whole).groupBy("source", "block_start").agg(F.max("pos").alias("_n"))
+    earlier = Window.partitionBy("source").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    base = splits.select("source", "block_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    if n_splits is not None and n_splits <= SPLITS:
+        base = F.broadcast(base)
+    cut = at.where(~whole).join(base, ["source", "block_start"]).select("source", (F.col("pos") + F.col("_base")).alias("line_no"), "raw_line")
+    return at.where(whole).select("source", F.col("pos").alias("line_no"), "raw_line").unionByName(cut)
+
+
+def _scanned(df: DataFrame) -> DataFrame:
+    m = F.col("_metadata")
+    return df.select(m["file_path"].alias("source"), F.col("value").alias("raw_line"), m["file_block_start"].alias("block_start"),
+                     m["file_block_length"].alias("block_length"), m["file_size"].alias("file_size"))
+
+
+def _bytes(text: str) -> int:
+    n = text.strip().lower().removesuffix("b")
+    return int(n[:-1]) << {"k": 10, "m": 20, "g": 30, "t": 40}[n[-1]] if n[-1].isalpha() else int(n)
+
+
+def split_bound(spark: SparkSession, path: str) -> int:
+    """At most so many splits are those of files in several splits.  A split
+    is no smaller than the cost of opening a file, unless the session's splits
+    are; the files are listed, not read."""
+    least = min(_bytes(spark.conf.get(f"spark.sql.files.{k}")) for k in ("openCostInBytes", "maxPartitionBytes"))
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("length")
+    return int(sizes.where(F.col("length") > least).agg(F.sum(F.ceil(F.col("length") / least))).first()[0] or 0)
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -42,11 +104,14 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     ``number_lines``).  Files are read in parallel splits; nothing passes
     through the driver.
     """
-    return number_lines(spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("source"),
-        F.col("value").alias("raw_line"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-    ))
+    return number_lines(_scanned(spark.read.text(path)), split_bound(spark, path))
+
+
+def write_lines(lines: DataFrame, path: str, file: Column) -> None:
+    """Write ``log_lines`` as text, one file for each value of ``file`` (a
+    folder ``file=value``), lines in order of ``line_no``."""
+    rows = lines.select(file.alias("file"), "line_no", "raw_line").repartition("file").sortWithinPartitions("file", "line_no")
+    rows.select("file", "raw_line").write.partitionBy("file").text(path)
 
 
 def split_payload(df: DataFrame, text_col: str, key_col: str, source: str | None = None) -> DataFrame:
@@ -77,23 +142,20 @@ def filter_payloads(df: DataFrame, text_col: str) -> DataFrame:
 # --- the synthetic ``log_lines`` view over ``events`` ------------------------
 # One expression per output column; the same text (with the two marked
 # differences) is the DuckDB oracle's ``log_lines``.
-_MSG_CASE = """CASE event_id % 16
-   WHEN 0 THEN 'Link to store node ' || CAST(event_id % 3 AS STRING) || ' gone: connection reset while flushing'
-   WHEN 1 THEN 'Billing call gave up, timeout at ' || CAST(event_id AS STRING) || ' ms'
-   WHEN 2 THEN 'NullPointerException in CartView.render line ' || CAST(event_id AS STRING)
-   WHEN 3 THEN 'OutOfMemoryError while merging a sort batch'
-   WHEN 4 THEN 'Login rejected, authentication token of account u' || CAST(user_id AS STRING) || ' has lapsed'
-   WHEN 5 THEN 'Old copy of the page sent from shelf, made ' || CAST(event_id AS STRING) || ' s ago'
-   WHEN 6 THEN 'Heap close to full, long pause near 0x' || {hex}
-   WHEN 7 THEN 'Probe fine: queue, mailer and store answered'
-   WHEN 8 THEN 'Share of failures: queue ' || CAST(event_id % 100 AS STRING) || '%, mailer 45%, store 12%'
-   WHEN 9 THEN 'Link to store node 7:3306 gone: connection reset while flushing'
-   WHEN 10 THEN 'Old copy of the page sent from shelf to guest, made ' || CAST(event_id AS STRING) || ' s ago'
-   WHEN 11 THEN 'Login rejected, authentication token of account guest has lapsed'
-   WHEN 12 THEN 'Disk usage at ' || CAST(event_id % 100 AS STRING) || '% on volume /var/lib'
-   WHEN 13 THEN 'Request forbidden by policy ' || CAST(event_id AS STRING)
-   WHEN 14 THEN 'Breaker of the database pool is open'
-   ELSE 'Scheduled job finished in ' || CAST(event_id AS STRING) || 'ms' END"""
+_MSG_CASE = """CASE event_id % 13
+   WHEN 0 THEN 'Buoy b' || CAST(user_id AS STRING) || ' drifted ' || CAST(event_id AS STRING) || ' m off its mooring'
+   WHEN 1 THEN 'Pilot roster ended in an npe, watch ' || CAST(event_id % 3 AS STRING)
+   WHEN 2 THEN 'Radar sweep ' || CAST(event_id AS STRING) || ' lost: timeout'
+   WHEN 3 THEN 'Manifest of agent u' || CAST(user_id AS STRING) || ' forbidden by customs'
+   WHEN 4 THEN 'Fog horn tested'
+   WHEN 5 THEN 'Chart tile 0x' || {hex} || ' evicted, store out of memory'
+   WHEN 6 THEN 'Berth planner at ' || CAST(event_id % 100 AS STRING) || ' percent of its heap'
+   WHEN 7 THEN 'Ferry ' || CAST(event_id % 40 AS STRING) || ' cleared the lock'
+   WHEN 8 THEN 'Tide gauge reading ' || CAST(event_id AS STRING) || ' taken'
+   WHEN 9 THEN 'Tide gauge reading ' || CAST(event_id AS STRING) || ' taken, rounded to 3 cm'
+   WHEN 10 THEN 'Tide gauge reading ' || CAST(event_id AS STRING) || ' rounded to 3 cm, then filed by quay'
+   WHEN 11 THEN 'Crane ' || CAST(event_id % 6 AS STRING) || ' wants a new connection to the yard'
+   ELSE 'Ice report: nothing new' END"""
 
 _LVL_CASE = """CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'CRITICAL'
    WHEN 'signup' THEN 'WARNING' WHEN 'click' THEN 'INFO' ELSE 'NOTICE' END"""

@@ -36,6 +36,19 @@ def write_results_json(results: DataFrame, path: str, mode: str = "overwrite") -
     results_to_json(out, with_time=True).select("json").write.mode(mode).text(path)
 
 
+def write_results_batch(results: DataFrame, path: str, batch_id: int) -> None:
+    """S4 sink of a stream's micro-batches, exactly once: batch ``n`` owns the
+    folder ``batch=n`` below ``path`` and replaces what is there, so a batch that
+    failed half-way or is run again after a restart leaves its results once.
+    Spark's committer shows a folder's files only when all are written."""
+    write_results_json(results, f"{path}/batch={int(batch_id)}")
+
+
+def read_results_json(spark, path: str) -> DataFrame:
+    """What ``write_results_batch`` wrote: ``(batch, json)``."""
+    return spark.read.option("basePath", path).text(f"{path}/batch=*").select(F.col("batch").cast("long").alias("batch"), F.col("value").alias("json"))
+
+
 def results_json_pages(results: DataFrame, page_size: int = 1000, group_cols: tuple[str, ...] = ()) -> DataFrame:
     """The result list as JSON arrays in ``cluster_no`` order, one row
     per page of at most ``page_size`` results (never one global array), for

@@ -36,9 +36,9 @@ def test_whole_line_similarities():
         s = re.sub(r"[0-9]+", "<NUM>", s)
         return re.sub(r"[^a-z<>]+", " ", s).strip()
 
-    a = template_vector(t("2025-03-02 04:10:05 ERROR Led - Cannot reach store"))
-    b = template_vector(t("2025-03-02 04:10:06 ERROR Led - Cannot reach store"))
-    c = template_vector(t("2025-03-02 04:12:01 INFO Led - Probe fine, nothing to do"))
+    a = template_vector(t("2031-11-20 17:02:11 INFO Lock - Ferry 3 cleared the lock"))
+    b = template_vector(t("2031-11-20 17:02:40 INFO Lock - Ferry 3 cleared the lock"))
+    c = template_vector(t("2031-11-20 17:06:00 DEBUG Tower - Ice report: nothing new"))
     assert _cos(a, b) >= 0.99
     assert 0.7 < _cos(a, c) < 0.99
 
