@@ -1,5 +1,5 @@
 """Cosine similarity (C1), exact threshold self-join by blocks (C2) and an
-approximate LSH join (D4).
+approximate join by random projections (D4).
 
 The exact join cuts vectors into blocks of bounded size by their angle to a
 pivot; blocks that can hold similar vectors become one group via an
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAIR_SCHEMA = "i long, j long, cosine double"
+#: Cells of angles in which blocks are looked up.
+ANGLE = 0.02
 
 
 def cosine(a, b) -> Column:
@@ -58,22 +60,23 @@ def _roots(parent: np.ndarray) -> np.ndarray:
     return parent
 
 
-def _block_pairs(threshold: float, forest: bool = False):
+def _block_pairs(threshold: float, forest: bool = False, count: bool = False, two_sides: bool = False):
     """Pairs at or above the threshold within one or two blocks; with
     ``forest`` only pairs that join two trees so far, at most one for each
-    row, which have the same components."""
+    row, which have the same components; with ``count`` only their number
+    (``n``).  With ``two_sides`` a block without a partner has no pairs."""
     slack = 1e-6  # candidates by float64 matmul, then the exact re-check
-    empty = pd.DataFrame({"i": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int64"),
-                          "cosine": pd.Series([], dtype="float64")})
+    empty = pd.DataFrame({"n": [0]}) if count else pd.DataFrame(
+        {"i": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int64"), "cosine": pd.Series([], dtype="float64")})
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf[pdf["_side"] == 0]
         right = pdf[pdf["_side"] == 1]
         diag = right.empty
+        if left.empty or (diag and two_sides):
+            return empty
         if diag:
             right = left
-        if left.empty:
-            return empty
         A = np.stack(left["_v"].to_numpy()).astype(np.float32)
         B = A if diag else np.stack(right["_v"].to_numpy()).astype(np.float32)
         ia = left["_id"].to_numpy(dtype=np.int64)
@@ -83,7 +86,7 @@ def _block_pairs(threshold: float, forest: bool = False):
         # Trees over both blocks' rows; a row of B follows the rows of A.
         parent = np.arange(len(A) + (0 if diag else len(B)))
         shift = 0 if diag else len(A)
-        out = []
+        out, total = [], 0
         step = max(1, CHUNK_CELLS // len(B))
         for lo in range(0, len(A), step):
             part = A[lo:lo + step].astype(np.float64)
@@ -108,6 +111,9 @@ def _block_pairs(threshold: float, forest: bool = False):
                 cos = _java_cos_rows(A[r], B[c])
                 keep = cos >= threshold
                 r, c, cos = r[keep], c[keep], cos[keep]
+                total += len(r)
+                if count:
+                    continue
                 if forest:
                     joins = []
                     for k, (x, y) in enumerate(zip(r.tolist(), (c + shift).tolist(), strict=True)):
@@ -120,6 +126,8 @@ def _block_pairs(threshold: float, forest: bool = False):
                             joins.append(k)
                     r, c, cos = r[joins], c[joins], cos[joins]
                 out.append(pd.DataFrame({"i": np.minimum(ia[r], ib[c]), "j": np.maximum(ia[r], ib[c]), "cosine": cos}))
+        if count:
+            return pd.DataFrame({"n": [total]})
         return pd.concat(out, ignore_index=True) if out else empty
 
     return fn
@@ -163,10 +171,12 @@ def _by_angle(v: DataFrame, threshold: float, block_size: int) -> DataFrame:
     # pivot by the root of twice that, 1e-3; two angles are compared.
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 2e-3
     blocks = cut.groupBy("_b").agg(F.min("_angle").alias("_low"), F.max("_angle").alias("_high"))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    # One row for each block of thousands of vectors.
-    span = a.join(b, (F.col("b._low") <= F.col("a._high") + reach) & (F.col("b._high") >= F.col("a._low") - reach)).groupBy(
-        F.col("a._b").alias("_b")).agg(F.min("b._b").alias("_from"), F.max("b._b").alias("_to"))
+    # The least and the greatest block in every cell of angles: a few hundred rows, whatever the input.
+    cell = lambda x: F.floor(x / ANGLE).cast("int")
+    cells = blocks.select("_b", F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high")))).alias("_cell")).groupBy("_cell").agg(
+        F.min("_b").alias("_from"), F.max("_b").alias("_to"))
+    near = blocks.select("_b", F.explode(F.sequence(cell(F.col("_low") - reach), cell(F.col("_high") + reach))).alias("_cell"))
+    span = near.join(cells, "_cell").groupBy("_b").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
     return cut.drop("_angle").join(span, "_b")
 
 
@@ -184,6 +194,41 @@ def similar_pairs(vectors: DataFrame, id_col: str, vec_col: str, threshold: floa
     similar pairs instead of all of them (at most as many edges as rows):
     the same connected components without a table of all pairs.
     """
+    groups = _block_groups(vectors, id_col, vec_col, threshold, block_size, n_vectors)
+    return groups.groupBy("_bi", "_bj").applyInPandas(_block_pairs(float(threshold), forest), PAIR_SCHEMA)
+
+
+def count_similar_pairs(vectors: DataFrame, id_col: str, vec_col: str, threshold: float,
+                        block_size: int = 2048, n_vectors: int | None = None) -> DataFrame:
+    """The number ``n`` of the pairs of ``similar_pairs``, in one row, without
+    a row for any of them: every group of blocks returns its count."""
+    groups = _block_groups(vectors, id_col, vec_col, threshold, block_size, n_vectors)
+    counts = groups.groupBy("_bi", "_bj").applyInPandas(_block_pairs(float(threshold), count=True), "n long")
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def similar_between(left: DataFrame, right: DataFrame, id_col: str, vec_col: str, threshold: float,
+                    block_size: int = 2048, forest: bool = False) -> DataFrame:
+    """As ``similar_pairs``, of each vector of ``left`` with each of
+    ``right`` (ids in both differ): for vectors that come in later."""
+    from ..session import ship_package
+
+    ship_package(left.sparkSession)
+
+    def blocks(df):
+        v = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_v")).where(F.col("_v").isNotNull())
+        n = max(1, -(-v.count() // block_size))
+        return v.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")), n
+
+    (a, na), (b, nb) = blocks(left), blocks(right)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    groups = a.select("_id", "_v", F.lit(0).alias("_side"), F.col("_b").alias("_bi"), all_of(nb).alias("_bj")).unionByName(
+        b.select("_id", "_v", F.lit(1).alias("_side"), all_of(na).alias("_bi"), F.col("_b").alias("_bj")))
+    return groups.groupBy("_bi", "_bj").applyInPandas(_block_pairs(float(threshold), forest, two_sides=True), PAIR_SCHEMA)
+
+
+def _block_groups(vectors: DataFrame, id_col: str, vec_col: str, threshold: float, block_size: int, n_vectors: int | None) -> DataFrame:
+    """``(_id, _v, _side, _bi, _bj)``: the blocks that meet, as groups."""
     from ..session import ship_package
 
     ship_package(vectors.sparkSession)
@@ -192,47 +237,93 @@ def similar_pairs(vectors: DataFrame, id_col: str, vec_col: str, threshold: floa
         F.col("_v").isNotNull()
     )
     if n <= block_size:
-        groups = _pair_groups(v.withColumn("_b", F.lit(0)), F.lit(1), [])
-    else:
-        groups = _ranged_groups(_by_angle(v, threshold, block_size), [])
-    return groups.groupBy("_bi", "_bj").applyInPandas(_block_pairs(float(threshold), forest), PAIR_SCHEMA)
+        return _pair_groups(v.withColumn("_b", F.lit(0)), F.lit(1), [])
+    return _ranged_groups(_by_angle(v, threshold, block_size), [])
+
+
+def bands_for(threshold: float, recall: float, bits: int) -> int:
+    """Bands of ``bits`` signs each, so that a pair at the threshold shares
+    one with probability ``recall``: a random plane has both on one side with
+    probability ``1 - angle / pi``."""
+    one = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if one >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
 
 
-def similar_pairs_approx(vectors: DataFrame, id_col: str, vec_col: str, threshold: float,
-                         bucket_length: float = 0.5, num_hash_tables: int = 4, seed: int = 7,
-                         block_size: int = 2048, forest: bool = False) -> DataFrame:
-    """Approximate pairs: only vectors sharing a random-projection LSH
-    bucket (MLlib ``BucketedRandomProjectionLSH`` on unit vectors, so a
-    Euclidean bucket is a cosine neighbourhood) are compared.
+def band_keys(v: np.ndarray, bands: int, bits: int, seed: int) -> np.ndarray:
+    """For each vector and band the signs of ``bits`` random projections,
+    packed into a number that holds the band too."""
+    planes = np.random.default_rng(seed).standard_normal((v.shape[1], bands * bits))
+    signs = (v.astype(np.float64) @ planes > 0).reshape(len(v), bands, bits)
+    return signs @ (np.int64(1) << np.arange(bits, dtype=np.int64)) + (np.arange(bands, dtype=np.int64) << bits)
 
-    The bucket is used as a blocking key, not joined with itself: inside a
+
+def similar_pairs_approx(vectors: DataFrame, id_col: str, vec_col: str, threshold: float, recall: float = 0.95,
+                         bits: int = 12, seed: int = 7, block_size: int = 2048, forest: bool = False) -> DataFrame:
+    """Approximate pairs by sign random projections with a designed recall.
+
+    Vectors are compared that share one of ``bands_for(threshold, recall,
+    bits)`` bands of ``bits`` signs.  A pair at the threshold is found with
+    probability ``recall``, one above it with more; more bits compare less, at
+    the price of more bands.  ``approx_recall`` measures what was found.
+
+    The band is used as a blocking key, not joined with itself: inside a
     bucket the vectors are split into sub-blocks of at most ``block_size``
     and paired exactly like ``similar_pairs``, so a bucket holding a third
-    of all vectors still yields bounded groups.  Pairs found in several
-    hash tables are de-duplicated.  Recall < 1 by design; every returned
-    pair is re-checked with the exact cosine, so none is below the
+    of all vectors still yields bounded groups; small buckets share groups of
+    about two blocks.  Pairs found in several bands are de-duplicated.  Every
+    returned pair is re-checked with the exact cosine, so none is below the
     threshold.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from ..session import ship_package
 
+    ship_package(vectors.sparkSession)
+    bands = bands_for(threshold, recall, bits)
+    norm = F.aggregate(F.col(vec_col), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    v = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<float>").alias("_v")).where(norm > 0)
+
+    def run(frames):
+        for frame in frames:
+            for a in range(0, len(frame), 1024):
+                part = frame.iloc[a:a + 1024]
+                yield part.assign(_keys=list(band_keys(np.stack(part["_v"].to_numpy()), bands, bits, seed)))
+
+    keyed = v.mapInPandas(run, "_id long, _v array<float>, _keys array<long>").select("_id", "_v", F.explode("_keys").alias("_key"))
+    n = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    sizes = n.select("_key", "_n", F.ceil(F.col("_n") / F.lit(block_size)).cast("int").alias("_nb"))
+    packs = F.greatest(F.lit(1), F.ceil(n.select(F.sum("_n")).scalar() / F.lit(2 * block_size)))
+    placed = keyed.join(sizes, "_key").withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_nb").cast("long")).cast("int"))
+    pack = F.when(F.col("_nb") == 1, F.pmod(F.xxhash64("_key"), packs)).otherwise(F.xxhash64("_key"))
+    groups = _pair_groups(placed.withColumn("_pack", pack), F.col("_nb"), ["_pack", "_key"])
+    block = _block_pairs(float(threshold), forest)
+
+    def each(frame: pd.DataFrame) -> pd.DataFrame:
+        found = [block(f) for _, f in frame.groupby("_key", sort=False)]
+        return pd.concat(found, ignore_index=True).drop_duplicates(["i", "j"])
+
+    return groups.groupBy("_pack", "_bi", "_bj").applyInPandas(each, PAIR_SCHEMA).dropDuplicates(["i", "j"])
+
+
+def approx_recall(vectors: DataFrame, pairs: DataFrame, id_col: str, vec_col: str, threshold: float, sample: int = 200) -> DataFrame:
+    """How much of the similar pairs ``pairs`` holds, as a table of one row
+    ``(sampled, exact_pairs, found_pairs, recall)``: ``sample`` vectors, those of
+    the least hashes of their ids, are compared with all others."""
     from ..session import ship_package
 
     ship_package(vectors.sparkSession)
-    norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = vectors.select(
-        F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_v"),
-        array_to_vector(F.transform(F.col(vec_col), lambda x: x / norm)).alias("features"),
-    ).where(norm > 0)
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
-                                      bucketLength=bucket_length, numHashTables=num_hash_tables, seed=seed)
-    hashed = lsh.fit(unit).transform(unit)
-    keyed = hashed.select(
-        "_id", "_v", F.posexplode(F.transform("hashes", lambda h: vector_to_array(h)[0])).alias("_t", "_h")
-    ).select("_id", "_v", F.xxhash64("_t", "_h").alias("_key"))
-    sizes = keyed.groupBy("_key").agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_size))).cast("int").alias("_nb"))
-    v = keyed.join(sizes, "_key").withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int"))
-    groups = _pair_groups(v, F.col("_nb"), ["_key"])
-    pairs = groups.groupBy("_key", "_bi", "_bj").applyInPandas(_block_pairs(float(threshold), forest), PAIR_SCHEMA)
-    return pairs.dropDuplicates(["i", "j"])
+    v = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<float>").alias("_v")).where(F.col("_v").isNotNull())
+    some = v.orderBy(F.xxhash64("_id", F.lit(41)), "_id").limit(sample).collect()  # at most ``sample``
+    ids, probe = np.array([r["_id"] for r in some], np.int64), [np.array(r["_v"], np.float32) for r in some]
+
+    def run(frames):
+        for frame in frames:
+            for a in range(0, len(frame), 1024):
+                part = frame.iloc[a:a + 1024]
+                own, rows = part["_id"].to_numpy(), np.stack(part["_v"].to_numpy()).astype(np.float32)
+                for i, x in zip(ids.tolist(), probe, strict=True):
+                    near = (_java_cos_rows(rows, np.broadcast_to(x, rows.shape)) >= threshold) & (own != i)
+                    yield pd.DataFrame({"i": np.minimum(own[near], i), "j": np.maximum(own[near], i)})
+
+    exact = v.mapInPandas(run, "i long, j long").distinct()
+    both = exact.join(pairs.select("i", "j", F.lit(1).alias("_f")), ["i", "j"], "left")
+    n = both.agg(F.count(F.lit(1)).alias("exact_pairs"), F.count("_f").alias("found_pairs"))
+    return n.select(F.lit(len(some)).cast("long").alias("sampled"), "exact_pairs", "found_pairs", F.coalesce(F.try_divide("found_pairs", "exact_pairs"), F.lit(1.0)).alias("recall"))
