@@ -44,12 +44,39 @@ def classify(df: DataFrame, msg: str = "message", rules=None, default=None) -> D
     return df.select("*", *[c.alias(n) for n, c in cols.items()])
 
 
-GRAM = 3
-
-
-def _grams(text: Column, n: int) -> Column:
-    """All different substrings of length ``n`` of a text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * n}))"), 1))
+#: Characters of the keywords of one automaton, and messages matched by one task.
+PART, SLOT = 2_000_000, 100_000
+_RULE = "struct<priority:int,error_pattern:string,root_cause:string,fix_suggestion:string,confidence_score:double>"
+
+
+def _matched(texts, rules):
+    """For each message of a slot the first rule, by ``no``, whose keyword
+    occurs in it: one pass of an Aho-Corasick automaton over its text."""
+    import ahocorasick
+    import pyarrow as pa
+
+    numbers = rules.column("_no").to_pylist()
+    first: dict[str, int] = {}
+    for at, kw in enumerate(rules.column("_kw").to_pylist()):
+        if kw not in first or numbers[at] < numbers[first[kw]]:
+            first[kw] = at
+    always = first.pop("", None)
+    automaton = ahocorasick.Automaton()
+    for kw, at in first.items():
+        automaton.add_word(kw, (numbers[at], at))
+    if first:
+        automaton.make_automaton()
+    rows, picked = [], []
+    for k, text in enumerate(texts.column("_text").to_pylist()):
+        best = min((hit for _, hit in automaton.iter(text)), default=None) if first else None
+        if always is not None:
+            best = min(best or (numbers[always], always), (numbers[always], always))
+        if best is not None:
+            rows.append(k)
+            picked.append(best[1])
+    kept = texts.select(["_k1", "_k2", "_n"]).take(pa.array(rows, pa.int64()))
+    rule = rules.select(["_no", "_rule"]).take(pa.array(picked, pa.int64()))
+    return pa.table({**{c: kept.column(c) for c in kept.column_names}, **{c: rule.column(c) for c in rule.column_names}})
 
 
 def classify_with_rule_table(df: DataFrame, rules: DataFrame, msg: str = "message", default=None) -> DataFrame:
@@ -57,24 +84,41 @@ def classify_with_rule_table(df: DataFrame, rules: DataFrame, msg: str = "messag
     root_cause, fix_suggestion, confidence)`` of any size; lower priority
     wins, ties by pattern.  Rules with a NULL keyword fit nothing.
 
-    Distinct lower-cased messages meet the rules that begin with one of
-    their substrings of up to three characters (an equi-join), ``contains``
-    decides, and the best rule of a message is an aggregate; so a message on
-    a third of all rows is one row here.
+    The rules, numbered in their order, are cut into parts of ``PART``
+    characters of keywords, and the different lower-cased messages into slots
+    of about ``SLOT``; a slot meets a part in one task, which builds an automaton
+    of the part's keywords and runs it over the messages.  The least number
+    of a message is an aggregate.  A message on a third of all rows is one row
+    there, and is sent to the rows when they get their rules (``join_hot``).
     """
+    from ..session import ship_package
+    from .components import global_row_number
+    from .joins import join_hot
+    from .tables import Written
+
+    spark = df.sparkSession
+    ship_package(spark)
     default = fixed.DEFAULT_RULE if default is None else default
     low = F.lower(F.coalesce(F.col(msg), F.lit("")))
+    keys = {"_k1": F.xxhash64(low), "_k2": F.xxhash64(F.lit(1), low)}
     r = rules.where(F.col("keyword").isNotNull()).select(
         F.lower("keyword").alias("_kw"),
-        F.struct(F.col("priority"), F.concat(F.lit(fixed.HEURISTIC_PREFIX), F.col("pattern")).alias("error_pattern"), "root_cause",
-                 "fix_suggestion", F.col("confidence").cast("double").alias("confidence_score")).alias("_rule"),
-    ).withColumn("_g", F.substring("_kw", 1, GRAM))
-    texts = df.select(low.alias("_text")).distinct()
-    # The empty keyword's gram is the empty string, which every text has.
-    grams = F.concat(F.array(F.lit("")), *[_grams(F.col("_text"), n) for n in range(1, GRAM + 1)])
-    met = texts.withColumn("_g", F.explode(grams)).join(r, "_g").where(F.col("_text").contains(F.col("_kw")))
-    best = met.groupBy("_text").agg(F.min("_rule").alias("_rule"))
-    j = df.withColumn("_low", low).join(best, F.col("_low") == F.col("_text"), "left")
+        F.struct(F.col("priority").cast("int").alias("priority"), F.concat(F.lit(fixed.HEURISTIC_PREFIX), F.col("pattern")).alias("error_pattern"), "root_cause",
+                 "fix_suggestion", F.col("confidence").cast("double").alias("confidence_score")).alias("_rule"))
+    numbered = Written(global_row_number(r, ["_rule", "_kw"], "_no"), "rules").df
+    texts = Written(df.select(low.alias("_text")).groupBy("_text").agg(F.count(F.lit(1)).alias("_n")).withColumns(
+        {"_k1": F.xxhash64("_text"), "_k2": F.xxhash64(F.lit(1), "_text")}), "messages").df
+    chars = numbered.agg(F.sum(F.length("_kw"))).first()[0] or 0
+    n_texts, rows = texts.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    parts, slots = max(1, -(-chars // PART)), max(1, -(-n_texts // SLOT))
+    # Equal keywords are in one part.
+    p = numbered.withColumn("_part", F.pmod(F.xxhash64("_kw"), F.lit(parts))).withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    t = texts.withColumn("_slot", F.pmod("_k1", F.lit(slots).cast("long"))).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    met = t.groupBy("_slot", "_part").cogroup(p.groupBy("_slot", "_part")).applyInArrow(
+        _matched, f"_k1 bigint, _k2 bigint, _n bigint, _no bigint, _rule {_RULE}")
+    best = met.groupBy("_k1", "_k2", "_n").agg(F.min(F.struct("_no", "_rule"))["_rule"].alias("_rule"))
+    keyed = df.withColumns(keys)
+    j = join_hot(keyed, best, ["_k1", "_k2"], F.col("_n"), rows or 0)
     d = {"error_pattern": F.lit(fixed.HEURISTIC_PREFIX + default[0]), "root_cause": F.lit(default[1]),
          "fix_suggestion": F.lit(default[2]), "confidence_score": F.lit(float(default[3]))}
     return j.select(*df.columns, *[F.when(F.col("_rule").isNotNull(), F.col("_rule")[k]).otherwise(v).alias(k) for k, v in d.items()])
