@@ -29,8 +29,21 @@ def dedupe(df: DataFrame, keys: list[str], keep: list[str] | None = None) -> Dat
 def dedupe_within(df: DataFrame, keys: list[str], within: str, time: str = "ts") -> DataFrame:
     """``(keys..., first_ts, last_ts, dup_count)``: repeats of a key count as
     one as long as each comes at most ``within`` after the one before it (a
-    session window).  Entries without a time are no part of it."""
+    session window).  Entries of a key without a time are one group with NULL
+    times (``untimed_repeats``), so every entry is in some ``dup_count``."""
+    return timed_repeats(df, keys, within, time).unionByName(untimed_repeats(df, keys, time))
+
+
+def timed_repeats(df: DataFrame, keys: list[str], within: str, time: str = "ts") -> DataFrame:
+    """The groups of entries that have a time."""
     t = df.where(F.col(time).isNotNull())
     g = t.groupBy(*keys, F.session_window(time, within).alias("_w")).agg(
         F.min(time).alias("first_ts"), F.max(time).alias("last_ts"), F.count(F.lit(1)).alias("dup_count"))
     return g.select(*keys, "first_ts", "last_ts", "dup_count")
+
+
+def untimed_repeats(df: DataFrame, keys: list[str], time: str = "ts") -> DataFrame:
+    """The groups of entries without a time."""
+    g = df.where(F.col(time).isNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("dup_count"))
+    none = F.lit(None).cast(df.schema[time].dataType)
+    return g.select(*keys, none.alias("first_ts"), none.alias("last_ts"), "dup_count")

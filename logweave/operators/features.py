@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.text import message_template
+from .joins import join_hot
+from .tables import Written
 
 DIM = fixed.VECTOR_DIM
 
@@ -145,11 +147,15 @@ def embed(df: DataFrame, id_col: str, msg: str = "message", dedupe: bool = True)
     zero = F.array_repeat(F.lit(0.0).cast("float"), DIM)
     if not dedupe:
         return t.select(id_col, F.coalesce(embed_templates("template"), zero).alias("vector"))
-    distinct = t.where(F.col("template").isNotNull()).select("template").distinct()
-    vecs = distinct.select("template", embed_templates("template").alias("vector"))
-    return t.join(vecs, "template", "left").select(
-        id_col, F.coalesce(F.col("vector"), zero).alias("vector")
-    )
+    # Templates meet under a 128-bit key; those on very many rows are sent to
+    # the rows, and the empty ones (NULL too) need no vector.
+    some = F.length("template") > 0
+    t = t.withColumns({"_k1": F.when(some, F.xxhash64("template")), "_k2": F.when(some, F.xxhash64(F.lit(1), "template"))})
+    counted = Written(t.where("_k1 IS NOT NULL").groupBy("_k1", "_k2", "template").agg(F.count(F.lit(1)).alias("_n")), "templates").df
+    total = counted.agg(F.sum("_n")).first()[0] or 0
+    vecs = counted.select("_k1", "_k2", "_n", embed_templates("template").alias("vector"))
+    j = join_hot(t.select(id_col, "_k1", "_k2"), vecs, ["_k1", "_k2"], F.col("_n"), total)
+    return j.select(id_col, F.coalesce(F.col("vector"), zero).alias("vector"))
 
 
 def sparse_cells(df: DataFrame, id_col: str, vec: str = "vector") -> DataFrame:

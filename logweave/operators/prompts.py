@@ -126,8 +126,8 @@ def replies_from_conversations(conversations: DataFrame) -> DataFrame:
     and brace-free texts (see ``REPLY_FORMS``)."""
     from .components import global_row_number
 
-    said = conversations.where(F.col("role") == "assistant").select("conv_id", "turn", "text")
-    n = global_row_number(said, ["conv_id", "turn", "text"], "cluster_no")
+    said = conversations.where(F.col("role") == "assistant").select("conv_id", "turn", "text", F.xxhash64("text").alias("_h"))
+    n = global_row_number(said, ["conv_id", "turn", "_h"], "cluster_no")
     return n.select("cluster_no", reply_body(reply_form("cluster_no", "text")).alias("response"))
 
 
@@ -152,9 +152,9 @@ REPLY_FORMS = (
 
 
 def reply_form(no, text) -> Column:
-    """The form of ``REPLY_FORMS`` for a row's number, with the first words
-    of its text in place of ``{t}``."""
-    t = F.regexp_replace(F.substring(col_of(text), 1, 40), r'[\x00-\x1F"\\{}`]', " ")
+    """The form of ``REPLY_FORMS`` for a row's number, with its whole text in
+    place of ``{t}``; characters that would end a JSON string become blanks."""
+    t = F.regexp_replace(col_of(text), r'[\x00-\x1F"\\{}`]', " ")
     forms = F.array(*[F.lit(f) for f in REPLY_FORMS])
     form = F.element_at(forms, (F.pmod(col_of(no), F.lit(len(REPLY_FORMS))) + 1).cast("int"))
     return F.replace(form, F.lit("{t}"), t)

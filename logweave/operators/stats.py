@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ingest import parse_lines
+from .similarity import count_similar_pairs
 
 
 def ingest_stats(lines: DataFrame) -> DataFrame:
@@ -33,7 +34,9 @@ def cluster_sizes(members: DataFrame) -> DataFrame:
 def stage_stats(lines: DataFrame, clustering) -> DataFrame:
     """A2: one row of stage counts.  ``entries`` are read as the clustering
     wrote them, ``vectors`` are the embedded ones (one for each template).
-    Each count is a scalar subquery over its own frame (no join)."""
+    Similar pairs are counted where their blocks meet (``count_similar_pairs``)
+    and are never rows.  Each count is a scalar subquery over its own frame (no
+    join); those of written tables read no column."""
     def n(df):
         return df.select(F.count(F.lit(1))).scalar()
 
@@ -43,7 +46,7 @@ def stage_stats(lines: DataFrame, clustering) -> DataFrame:
         n(c.entries).alias("entries"),
         n(c.vectors.where(F.col("vector").isNotNull())).alias("vectors"),
         n(c.templates).alias("templates"),
-        n(c.edges).alias("edges"),
+        count_similar_pairs(c.vectors, "vkey", "vector", c.threshold, c.block_size, c.n_templates).scalar().alias("edges"),
         n(c.clusters).alias("clusters"),
         n(c.clusters.where(F.col("component").isNull())).alias("singleton_clusters"),
     )

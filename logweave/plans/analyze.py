@@ -16,16 +16,13 @@ Scale notes
   which are similar to nothing: each such entry is its own cluster and
   never enters the similarity join.
 * Templates are vertices under a dense number; entries find their cluster by a
-  128-bit key of the template (two longs).  Whether that join broadcasts is
-  left to the optimizer.
+  128-bit key of the template (two longs), without a hot key (``join_hot``).
 * Clusters are numbered by their representative (lowest ``(source,
   line_no)``) with a distributed row number, not a one-partition window.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -37,9 +34,10 @@ from ..functions.text import message_template
 from ..operators.components import connected_components, global_row_number
 from ..operators.features import embed_templates
 from ..operators.firsts import fetch_rows, first_keys
+from ..operators.joins import join_hot
 from ..operators.rca import classify, empty_cluster_result
 from ..operators.similarity import similar_pairs
-from ..session import checkpoint_dir
+from ..operators.tables import Written
 
 # Order key first: min(struct) picks the lowest (source, line_no) and
 # carries the whole entry along.
@@ -56,21 +54,23 @@ class Clustering:
     assigned: DataFrame   # every entry column + template, cluster_no, cluster_label
     threshold: float
     block_size: int
-    path: str             # where the entries are written
+    n_templates: int
+    written: tuple        # the tables below the checkpoint folder
 
     @cached_property
     def edges(self) -> DataFrame:
         """All similar template pairs (i, j, cosine), which clustering itself
         does not need."""
-        checkpoint_dir(self.vectors.sparkSession)
-        return similar_pairs(self.vectors, "vkey", "vector", self.threshold, self.block_size).checkpoint()
+        pairs = Written(similar_pairs(self.vectors, "vkey", "vector", self.threshold, self.block_size, self.n_templates), "pairs")
+        self.written += (pairs,)
+        return pairs.df
 
     def release(self) -> None:
-        """Delete the written entries once ``entries``, ``members`` and
-        ``assigned`` are no longer read; ``clusters`` stays readable."""
-        spark = self.clusters.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        """Delete the written tables once ``entries``, ``templates``,
+        ``vectors``, ``members`` and ``assigned`` are no longer read; ``clusters``
+        stays readable."""
+        for w in self.written:
+            w.drop()
 
 
 def templated(entries: DataFrame) -> DataFrame:
@@ -90,22 +90,22 @@ def cluster_entries(entries: DataFrame, threshold: float = fixed.SIMILARITY_THRE
     components count) replace the built-in vectors and similarity, e.g.
     ``similar=lambda v: similar_pairs_approx(v, "vkey", "vector", 0.85,
     forest=True)``."""
-    spark = entries.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"entries-{uuid.uuid4().hex}")
-    parsed = templated(entries)
-    parsed.write.parquet(path)
-    et = spark.read.schema(parsed.schema).parquet(path)
+    held = Written(templated(entries), "entries")
+    et = held.df
 
     # Template table by hash aggregation only (see operators/firsts.py):
     # count and the first (source, line_no) of every template.
     counted = first_keys(et.where(F.col("k1").isNotNull()), ["template", "k1", "k2"]).select(
         "template", "k1", "k2", "n", F.struct(F.col("_s").alias("source"), F.col("_l").alias("line_no")).alias("first"))
-    templates = global_row_number(counted, ["template"], "vkey").checkpoint()
-    vectors = templates.select("vkey", (embed or embed_templates)("template").alias("vector"))
+    numbered = global_row_number(counted, ["template"], "vkey")
+    # Embedded once and written with their vectors; readers take the columns they need.
+    all_templates = Written(numbered.withColumn("vector", (embed or embed_templates)("template")), "templates")
+    templates, vectors = all_templates.df.drop("vector"), all_templates.df.select("vkey", "vector")
+    n_templates, n_rows = templates.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if similar is None:
-        forest = similar_pairs(vectors, "vkey", "vector", threshold, block_size, forest=True).checkpoint()
+        forest = similar_pairs(vectors, "vkey", "vector", threshold, block_size, n_templates, forest=True)
     else:
-        forest = similar(vectors).select("i", "j").distinct().checkpoint()
+        forest = similar(vectors).select("i", "j").distinct()
     comp = connected_components(templates.select(F.col("vkey").alias("id")), forest, canonical=similar is None)
     tc = templates.join(comp.withColumnRenamed("id", "vkey"), "vkey")
 
@@ -124,17 +124,16 @@ def cluster_entries(entries: DataFrame, threshold: float = fixed.SIMILARITY_THRE
         "cluster_label", F.concat(F.lit("Cluster-"), F.col("cluster_no").cast("string"))
     )
 
-    # Template key -> cluster number: three longs per row.  A template on a
-    # third of all rows is one hot key of a shuffle join, which AQE splits.
-    t2c = tc.select("k1", "k2", "component").join(
+    # Template key -> cluster number.  Templates on very many rows, counted
+    # above, are sent to the entries; only the others are shuffled (join_hot).
+    t2c = tc.select("k1", "k2", "component", "n").join(
         numbered.where(F.col("component").isNotNull()).select("component", "cluster_no"),
         "component",
-    ).select("k1", "k2", "cluster_no")
+    ).select("k1", "k2", "cluster_no", F.col("n").alias("_n"))
     # Entries keep all their columns: consumers (samples, alerts, entry
     # lookups) read this frame instead of joining members back to entries.
     assigned = (
-        et.where(F.col("k1").isNotNull())
-        .join(t2c, ["k1", "k2"])
+        join_hot(et.where(F.col("k1").isNotNull()), t2c, ["k1", "k2"], F.col("_n"), n_rows, "inner")
         .select(*REP, "template", "cluster_no",
                 F.concat(F.lit("Cluster-"), F.col("cluster_no").cast("string")).alias("cluster_label"))
         .unionByName(
@@ -145,7 +144,7 @@ def cluster_entries(entries: DataFrame, threshold: float = fixed.SIMILARITY_THRE
         )
     )
     members = assigned.select("cluster_no", "cluster_label", "id", "source", "line_no")
-    return Clustering(et, tc, vectors, numbered, members, assigned, threshold, block_size, path)
+    return Clustering(et, tc, vectors, numbered, members, assigned, threshold, block_size, n_templates, (held, all_templates))
 
 
 def resolve(clusters: DataFrame, replies: DataFrame | None = None, classify_fn=None) -> DataFrame:
@@ -159,14 +158,20 @@ def resolve(clusters: DataFrame, replies: DataFrame | None = None, classify_fn=N
     built-in rules on the representative's message.  ``replies`` is
     ``(cluster_no, response)`` with unique ``cluster_no``, or None (offline).
     ``source`` says ``empty``, ``reply`` or ``rules``."""
-    from ..operators.prompts import parse_reply, reply_text
-
     c = (classify_fn or (lambda d: classify(d, msg="rep_message")))(clusters)
     if replies is None:
         c = c.withColumns({"_got": F.lit(False), "_response": F.lit(None).cast("string")})
     else:
         r = replies.select(F.col("cluster_no").alias("_no"), F.col("response").alias("_response"), F.lit(True).alias("_got"))
         c = c.join(r, F.col("cluster_no") == F.col("_no"), "left").withColumn("_got", F.coalesce("_got", F.lit(False)))
+    return finished(c)
+
+
+def finished(c: DataFrame) -> DataFrame:
+    """The results of clusters with their rules' columns, ``_got`` (whether a
+    reply came) and ``_response``."""
+    from ..operators.prompts import parse_reply, reply_text
+
     c = c.withColumn("_p", parse_reply(reply_text("_response")))
     empty = (F.coalesce(F.col("size"), F.lit(0)) == 0) | F.col("rep_id").isNull()
     e = empty_cluster_result()

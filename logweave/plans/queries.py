@@ -598,8 +598,8 @@ _FORMS = "[" + ", ".join(O.q(f) for f in REPLY_FORMS) + "]"
 
 
 def _form_text(no: str) -> str:
-    """The reply form of row ``no`` around the first words of ``text``."""
-    words = "regexp_replace(substr(text, 1, 40), '[\\x00-\\x1F\"\\\\{}`]', ' ', 'g')"
+    """The reply form of row ``no`` around the whole ``text``."""
+    words = "regexp_replace(text, '[\\x00-\\x1F\"\\\\{}`]', ' ', 'g')"
     return f"replace({_FORMS}[({no} % {len(REPLY_FORMS)}) + 1], '{{t}}', {words})"
 
 
@@ -799,21 +799,23 @@ def q_sliding_template_counts(spark, sf_dir):
 g AS (SELECT level, service, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new
       FROM log_entries WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY level, service ORDER BY ts)),
 b AS (SELECT level, service, ts, sum(new) OVER (PARTITION BY level, service ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
-SELECT level, service, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS dup_count FROM b GROUP BY level, service, no""")
+SELECT level, service, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS dup_count FROM b GROUP BY level, service, no
+UNION ALL SELECT level, service, NULL, NULL, count(*) FROM log_entries WHERE ts IS NULL GROUP BY ALL""")
 def q_dedupe_within(spark, sf_dir):
     from ..operators.dedupe import dedupe_within
 
     return dedupe_within(_entries(spark, sf_dir), ["level", "service"], "30 minutes")
 
 
-@register("approx_template_pairs")
+@register("approx_template_pairs", f"""WITH RECURSIVE {O.clusters_cte()}
+SELECT ta AS template_a, tb AS template_b, round(cosine, 6) AS cosine FROM tedges""")
 def q_approx_template_pairs(spark, sf_dir):
-    from ..operators.features import embed_templates
+    """Approximate pairs with a designed recall of 0.9999: a pair is missed
+    less often than the planes are drawn anew."""
     from ..operators.similarity import similar_pairs_approx
 
     c = clustering(spark, sf_dir)
-    v = c.templates.select("vkey", embed_templates("template").alias("vector"))
-    p = similar_pairs_approx(v, "vkey", "vector", fixed.SIMILARITY_THRESHOLD)
+    p = similar_pairs_approx(c.vectors, "vkey", "vector", fixed.SIMILARITY_THRESHOLD, recall=0.9999)
     t = c.templates.select("vkey", "template")
     e = p.join(t.withColumnRenamed("vkey", "i").withColumnRenamed("template", "ti"), "i").join(
         t.withColumnRenamed("vkey", "j").withColumnRenamed("template", "tj"), "j")
@@ -833,22 +835,85 @@ def q_heuristic_rca_rule_table(spark, sf_dir):
     return e.groupBy("error_pattern", "confidence_score").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("approx_pairs_quality", f"""WITH RECURSIVE {O.clusters_cte()}
-SELECT count(*) AS n_exact, 0::BIGINT AS n_false, true AS half_found FROM tedges""")
+APPROX_THRESHOLD = 0.15
+
+
+@register("approx_pairs_quality", f"""WITH p AS (SELECT * FROM {_EMB_COS.format(cond='a.vec_id < b.vec_id')})
+SELECT count(*) AS n_exact, 0::BIGINT AS n_false, true AS recall_reached FROM p WHERE cosine >= {APPROX_THRESHOLD}""")
 def q_approx_pairs_quality(spark, sf_dir):
-    """The approximate pairs against the exact ones: none may be false, and
-    at least half must be found."""
-    from ..operators.similarity import similar_pairs_approx
+    """The approximate pairs of a table with thousands of pairs against the
+    exact ones: none may be false, and nine in ten must be found."""
+    from ..operators.similarity import similar_pairs, similar_pairs_approx
 
-    c = clustering(spark, sf_dir)
-    found = similar_pairs_approx(c.vectors, "vkey", "vector", fixed.SIMILARITY_THRESHOLD).select("i", "j", F.lit(1).alias("f"))
-    both = c.edges.select("i", "j", F.lit(1).alias("e")).join(found, ["i", "j"], "full")
-    n = both.agg(F.count("e").alias("n_exact"), F.count_if(F.col("e").isNull()).alias("n_false"),
-                 F.count_if(F.col("e").isNotNull() & F.col("f").isNotNull()).alias("n"))
-    return n.select("n_exact", "n_false", (F.col("n") * 2 >= F.col("n_exact")).alias("half_found"))
+    e = table(spark, sf_dir, "embeddings")
+    found = similar_pairs_approx(e, "vec_id", "embedding", APPROX_THRESHOLD, recall=0.92, bits=6).select("i", "j", F.lit(1).alias("f"))
+    exact = similar_pairs(e, "vec_id", "embedding", APPROX_THRESHOLD).select("i", "j", F.lit(1).alias("e"))
+    n = exact.join(found, ["i", "j"], "full").agg(
+        F.count("e").alias("n_exact"), F.count_if(F.col("e").isNull()).alias("n_false"),
+        F.count_if(F.col("e").isNotNull() & F.col("f").isNotNull()).alias("n"))
+    return n.select("n_exact", "n_false", (F.col("n") >= 0.9 * F.col("n_exact")).alias("recall_reached"))
+
+
+# --- file scan, empty input, deduplicated vectors, escalations ---------------------
+
+FILES = 16
+
+
+@register("file_lines", f"""WITH {O.log_lines_cte()}
+SELECT line_no % {FILES} AS file, row_number() OVER (PARTITION BY line_no % {FILES} ORDER BY line_no) AS line_no, raw_line FROM log_lines""")
+def q_file_lines(spark, sf_dir):
+    """The lines written as text files and scanned with their numbers."""
+    import os
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources.logs import read_log_lines, write_lines
+
+    path = os.path.join(checkpoint_dir(spark), f"lines-{uuid.uuid4().hex}")
+    write_lines(load_log_lines(spark, sf_dir), path, F.col("line_no") % FILES)
+    got = read_log_lines(spark, f"{path}/file=*")
+    return got.select(F.regexp_extract("source", "file=([0-9]+)/", 1).cast("long").alias("file"), "line_no", "raw_line")
+
+
+@register("rca_of_rejected", f"""WITH {O.parsed_cte()}
+SELECT count(*) AS lines, 0::BIGINT AS entries, 0::BIGINT AS results FROM parsed WHERE branch IS NULL""")
+def q_rca_of_rejected(spark, sf_dir):
+    """An analysis of lines none of which can be parsed is empty."""
+    from .analyze import analyze
+
+    bad = _parsed(spark, sf_dir).where("branch IS NULL").select("source", "line_no", "raw_line")
+    n = lambda df: df.select(F.count(F.lit(1))).scalar()
+    return bad.agg(F.count(F.lit(1)).alias("lines")).select("lines", n(ing.ingest(bad)).alias("entries"), n(analyze(bad)).alias("results"))
+
+
+@register("embed_deduped", ORACLES["embed_sparse"])
+def q_embed_deduped(spark, sf_dir):
+    """Vectors made once for each different template."""
+    from ..operators.features import embed, sparse_cells
+
+    v = embed(table(spark, sf_dir, "documents"), "doc_id", "text", dedupe=True)
+    return sparse_cells(v, "doc_id").select("doc_id", F.col("k").cast("long").alias("k"), F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+_RANK = "CASE level " + " ".join(f"WHEN '{lv}' THEN {len(fixed.SEVERITY_BY_LEVEL) - k}" for k, (lv, _) in enumerate(fixed.SEVERITY_BY_LEVEL)) + " ELSE 0 END"
+_SEVERITY = "CASE r " + " ".join(f"WHEN {len(fixed.SEVERITY_BY_LEVEL) - k} THEN '{s}'" for k, (_, s) in enumerate(fixed.SEVERITY_BY_LEVEL)) + " END"
+
+
+@register("alert_escalations", f"""WITH {O.entries_cte()},
+t AS (SELECT service, ts, {_RANK} AS r FROM log_entries WHERE ts IS NOT NULL),
+g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY service ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM t WHERE r > 0),
+b AS (SELECT *, sum(new) OVER (PARTITION BY service ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g),
+one AS (SELECT service, no, ts, max(r) AS r FROM b GROUP BY ALL),
+told AS (SELECT *, coalesce(max(r) OVER (PARTITION BY service, no ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM one)
+SELECT service, ts AS at, {_SEVERITY} AS severity FROM told WHERE r > before""")
+def q_alert_escalations(spark, sf_dir):
+    """One alert for each rise of a service's severity."""
+    from ..operators.alerts import escalations
+
+    return escalations(_entries(spark, sf_dir), "service", "30 minutes")
 
 
-_OWN_RULES = ((5, "disk"), (5, "volume"), (3, "policy"), (4, "of"), (4, "job"), (9, ""), (2, "ñ"), (1, "no such word"), (4, "ok"))
+_OWN_RULES = ((5, "tide"), (5, "quay"), (3, "customs"), (4, "of"), (4, "crane"), (9, ""), (2, "ñ"), (1, "no such word"), (4, "ce"))
 
 
 @register("rca_own_rules", f"""WITH {O.entries_cte()},
