@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import language_id, mixing, ngram_jaccard, sentence_pieces, toxicity
-from logweave.llm.common import read_table, save
+from logweave.llm.common import read_table, save, scratch
 
 #: Four deviations of the noise, 1/sqrt(4096), of a text in another script.
 #: Random letters of a learned script resemble a language more the longer the
@@ -69,6 +69,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir))
+    with scratch():
+        for _, stage in STAGES:
+            with scratch():  # what the stage wrote on its way
+                docs = save(stage(spark, docs, sf_dir))
     return docs
