@@ -160,29 +160,35 @@ def resolve(clusters: DataFrame, replies: DataFrame | None = None, classify_fn=N
     ``source`` says ``empty``, ``reply`` or ``rules``."""
     c = (classify_fn or (lambda d: classify(d, msg="rep_message")))(clusters)
     if replies is None:
-        c = c.withColumns({"_got": F.lit(False), "_response": F.lit(None).cast("string")})
-    else:
-        r = replies.select(F.col("cluster_no").alias("_no"), F.col("response").alias("_response"), F.lit(True).alias("_got"))
-        c = c.join(r, F.col("cluster_no") == F.col("_no"), "left").withColumn("_got", F.coalesce("_got", F.lit(False)))
-    return finished(c)
+        return finished(c, offline=True)
+    r = replies.select(F.col("cluster_no").alias("_no"), F.col("response").alias("_response"), F.lit(True).alias("_got"))
+    return finished(c.join(r, F.col("cluster_no") == F.col("_no"), "left").withColumn("_got", F.coalesce("_got", F.lit(False))))
 
 
-def finished(c: DataFrame) -> DataFrame:
-    """The results of clusters with their rules' columns, ``_got`` (whether a
-    reply came) and ``_response``."""
+def finished(c: DataFrame, offline: bool = False) -> DataFrame:
+    """The results of clusters with their rules' columns and, unless
+    ``offline``, ``_got`` (whether a reply came) and ``_response``.  Offline the
+    plan has no reply parser in it, which would cost more planning than a small
+    analysis takes."""
     from ..operators.prompts import parse_reply, reply_text
 
-    c = c.withColumn("_p", parse_reply(reply_text("_response")))
     empty = (F.coalesce(F.col("size"), F.lit(0)) == 0) | F.col("rep_id").isNull()
     e = empty_cluster_result()
+    source = F.when(empty, "empty")
+    if not offline:
+        c = c.withColumn("_p", parse_reply(reply_text("_response")))
+        source = source.when(F.col("_got"), "reply")
 
     def pick(name):
-        return F.when(empty, e[name]).when(F.col("_got"), F.col("_p")[name]).otherwise(F.col(name)).alias(name)
+        value = F.when(empty, e[name])
+        if not offline:
+            value = value.when(F.col("_got"), F.col("_p")[name])
+        return value.otherwise(F.col(name)).alias(name)
 
     return c.select(
         "cluster_no",
         F.concat_ws(":", "cluster_label", F.when(empty, e["rep_id"]).otherwise(F.col("rep_id"))).alias("log_entry_id"),
-        F.when(empty, "empty").when(F.col("_got"), "reply").otherwise("rules").alias("source"),
+        source.otherwise("rules").alias("source"),
         pick("error_pattern"), pick("root_cause"), pick("fix_suggestion"), pick("confidence_score"),
         "size",
     )

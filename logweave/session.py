@@ -26,6 +26,8 @@ def get_spark(master: str | None = None, app: str = "logweave", shuffle_partitio
         # skewed join partitions; start from many partitions on a cluster.
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
         "spark.sql.session.timeZone": "UTC",
+        # Checkpoint files go when nothing in the application reads them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     if shuffle_partitions:

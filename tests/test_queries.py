@@ -25,8 +25,9 @@ def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
     sql = E.oracle_sql().get(name)
-    if sql is None:
-        assert df.columns
+    if sql is None:  # held against brute force elsewhere
+        per_row = con.execute(f"SELECT count(*) FROM {'pages' if 'url' in name else 'documents'}").fetchone()[0]
+        assert df.columns and (len(rows) == per_row or name in ("pipeline", "op6_graph_search") and rows)
         return
     cur = con.execute(sql)
     dcols = [d[0] for d in cur.description]

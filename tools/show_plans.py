@@ -19,6 +19,7 @@ def trimmed(plan: str, width: int = 150) -> str:
     out = []
     for line in plan.splitlines():
         line = re.sub(r"#\d+L?", "", line)
+        line = re.sub(r"[\x00-\x1f\x7f]", lambda m: f"\\x{ord(m.group()):02X}", line)
         out.append(line if len(line) <= width else line[: width - 3] + "...")
     return "\n".join(out)
 
