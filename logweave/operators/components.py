@@ -2,9 +2,10 @@
 
 First every task shrinks its own edges to a spanning forest of stars (union by
 hooking and pointer jumping on arrays, ``CHUNK`` edges at a time), so what is
-shuffled afterwards is bounded by the vertices that tasks have met.
+shuffled afterwards is bounded by the vertices that tasks have met.  If at most
+``LAST`` edges are left, one task shrinks them too and all is done.
 
-The rest is joined by the alternating *large-star* / *small-star* rounds of
+More are joined by the alternating *large-star* / *small-star* rounds of
 Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014):
 every round is a handful of aggregations and equi-joins on the edge table;
 at the fixed point every component is a star around its smallest vertex.
@@ -27,8 +28,8 @@ from ..session import checkpoint_dir, ship_package
 from .joins import join_hot
 from .tables import Written
 
-#: Edges that a task shrinks at a time.
-CHUNK = 1_000_000
+#: Edges that a task shrinks at a time, and edges that are left to one task.
+CHUNK, LAST = 1_000_000, 200_000
 
 
 def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,13 +132,17 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
     edge once as ``src < dst``, which skips a distinct."""
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")) if canonical else _canonical(edges, src, dst)
     held = Written(contracted(e), "edges")
-    # An edge set that is empty or a star forest, as that of a single task, needs no round.
+    # So many edges are left to one task; then they are stars.
     # Every other round shortens some path to a smallest vertex, so this ends.
-    while not _is_star_forest(held.df):
-        large = Written(_large_star(held.df, held.df.count()), "edges")
+    while (n := held.df.count()) > LAST and not _is_star_forest(held.df):
+        large = Written(_large_star(held.df, n), "edges")
         held.drop()
         held = Written(contracted(_small_star(large.df, large.df.count())), "edges")
         large.drop()
+    if n <= LAST:
+        last = Written(contracted(held.df.coalesce(1)), "edges")
+        held.drop()
+        held = last
     e = held.df
     label = e.select(F.col("b").alias("_v"), F.col("a").alias("component")).unionByName(
         e.select(F.col("a").alias("_v"), F.col("a").alias("component"))
