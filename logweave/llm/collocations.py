@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import global_row_number
-from .common import join_hot, read_table, save, with_workers
+from .common import join_hot, read_table, save, tidy, with_workers
 from .quotient_filter import Filter, Packing, blocks, counted
 
 UNKNOWN, LEAST, TOP, MILLION = "und", 10, 2000, 1_000_000
@@ -118,7 +118,7 @@ def chunks(docs: DataFrame, text: str, lang: str, chunk: int = CHUNK) -> DataFra
         yield from flush(buffers)
 
     rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"))
-    got = rows.mapInArrow(run, "lang string, starts int, numbers binary, words array<binary>, counts array<bigint>")
+    got = rows.mapInArrow(tidy(run), "lang string, starts int, numbers binary, words array<binary>, counts array<bigint>")
     return save(got.select(F.monotonically_increasing_id().alias("chunk"), "*"))
 
 
@@ -155,7 +155,7 @@ def filters(parts: DataFrame, vocabulary: DataFrame, bits: int, prefixes: dict[i
                         ["size", "block", "filter"],
                     )
 
-    return parts.join(ids, "chunk").select("starts", "numbers", "ids").mapInArrow(run, "size int, block bigint, filter binary")
+    return parts.join(ids, "chunk").select("starts", "numbers", "ids").mapInArrow(tidy(run), "size int, block bigint, filter binary")
 
 
 def merged(shards: DataFrame, bits: int, prefixes: dict[int, int], least: int) -> DataFrame:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
+import sys
 import uuid
+from contextlib import contextmanager, suppress
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_hot  # noqa: F401
 from ..session import checkpoint_dir, ship_package
 
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 #: A word: a maximal run of letters, digits and underscores (any script).
 WORD = re.compile(r"\w+")
 
@@ -26,9 +35,25 @@ def save(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"llm-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@contextmanager
+def scratch():
+    """On leaving, the tables that ``save`` has written inside are deleted, all
+    but the last: for a step whose result is written."""
+    first = len(_written)
+    yield
+    for spark, path in _written[first:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _written[first:-1]
+
+
 def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
     """``df`` by keys over ``spark.sql.shuffle.partitions`` tasks, and at least
     ``least``.  A stated number: AQE would put groups that are small in bytes
@@ -37,25 +62,13 @@ def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
     return df.repartition(max(n, least), *keys)
 
 
-def join_hot(rows: DataFrame, table: DataFrame, on: list[str], weight: Column, total: float, how: str = "left", most: int = 10_000) -> DataFrame:
-    """``rows`` joined to ``table`` (keys once each) without a hot key.
-
-    ``weight`` of a key is at least in proportion to its rows in ``rows``, and
-    the weights of ``table`` add up to ``total`` at most.  So at most ``most``
-    keys weigh more than ``total / most``: these are broadcast, and the rows
-    without them, none of whose keys is hot, are shuffled.  Key columns are
-    those of ``rows``, followed by the other columns of ``table``."""
-    heavy = weight * F.lit(float(most)) > F.lit(float(total))
-    new = [c for c in table.columns if c not in on]
-    near = rows.join(F.broadcast(table.where(heavy).withColumn("_hot", F.lit(True))), on, "left")
-    hot = near.where("_hot").select(*rows.columns, *new)
-    rest = near.where("_hot IS NULL").select(*rows.columns).join(table.where(~heavy), on, how)
-    return hot.unionByName(rest.select(*rows.columns, *new))
-
-
 def with_workers(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers."""
+    """Make this package importable in Python workers, and let a session that
+    says nothing about it send them ``BATCH_ROWS`` rows at a time: rows here
+    are whole texts, and both sides hold a batch or two."""
     ship_package(spark)
+    if BATCH_CONF not in spark.conf.getAll:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
     return spark
 
 
@@ -84,16 +97,46 @@ def slices(batches, rows: int = 1000):
 
 
 class Memo(dict):
-    """A dictionary of computed values that starts anew at ``limit``
-    entries, so that a worker's memory stays bounded; results don't depend
-    on what it holds."""
+    """A dictionary of computed values that starts anew when its keys and
+    values take ``limit`` bytes, so that a worker's memory stays bounded whatever
+    their lengths; results don't depend on what it holds."""
+
+    ENTRY = 104  # of the table itself
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.held = make, limit, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        self.held += sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
+        if self.held >= self.limit:
+            self.forget()
+        self[key] = value
         return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
+
+def tidy(run):
+    """``run`` over a task's batches; at its end the worker, which Spark uses
+    again for other stages, gives free memory back."""
+
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, with_workers
+from .common import read_table, tidy, with_workers
 
 #: Words of a batch that are looked at together.
 WORDS = 300_000
@@ -211,7 +211,7 @@ def _added(df: DataFrame, text: str, fields: list[T.StructField], make, least: i
                 new = [pa.array(list(col), kind) for col, kind in zip(zip(*made, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], *new], [*[part.schema.names[i] for i in keep], *names])
 
-    return df.mapInArrow(run, T.StructType([*[df.schema.fields[i] for i in keep], *fields]))
+    return df.mapInArrow(tidy(run), T.StructType([*[df.schema.fields[i] for i in keep], *fields]))
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

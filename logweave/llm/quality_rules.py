@@ -112,14 +112,19 @@ def measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
 
 def boilerplate(rows: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> tuple[DataFrame, int]:
     """(host_key, h, common, rows) of the lines that may be common, and of
-    those that stand in many rows, and the number of lines in all.
+    those of which there are many, and the number of lines in all.
 
-    One row stands for all copies of a text in a host; it carries their number."""
+    One row stands for all copies of a text in a host; it carries their
+    number.  Its different lines count once for the frequency and all of its
+    lines, times the copies, for ``rows``."""
     texts = save(rows.groupBy("host_key", "tkey").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies")))
     hosts = texts.groupBy("host_key").agg(F.count(F.lit(1)).alias("texts"))
-    distinct = F.array_distinct(F.transform("lines", lambda x: x["h"]))
-    lines = rows.select("rid", "host_key", distinct.alias("hs")).join(texts.select("rid", "copies"), "rid").select("host_key", F.explode("hs").alias("h"), "copies")
-    counted = lines.groupBy("host_key", "h").agg(F.count(F.lit(1)).alias("texts_with"), F.sum("copies").alias("rows"))
+    each = lambda hs, first: F.transform(hs, lambda h: F.struct(h.alias("h"), F.lit(first).alias("first")))
+    all_lines = F.transform("lines", lambda x: x["h"])
+    both = F.concat(each(F.array_distinct(all_lines), 1), each(all_lines, 0))
+    one = rows.select("rid", "host_key", "lines").join(texts.select("rid", "copies"), "rid")
+    lines = one.select("host_key", F.explode(both).alias("x"), "copies").select("host_key", "x.h", "x.first", "copies")
+    counted = lines.groupBy("host_key", "h").agg(F.sum("first").alias("texts_with"), F.sum((1 - F.col("first")) * F.col("copies")).alias("rows"))
     total, n_texts = counted.agg(F.sum("rows")).first()[0] or 0, texts.count()
     counted = save(counted.where((F.col("texts_with") > min_texts) | (F.col("rows") * 10_000 > total)))
     # A host of n texts has at most so many of these lines as its texts have; hosts weigh their texts.
@@ -128,19 +133,19 @@ def boilerplate(rows: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHAR
     return save(known.select("host_key", "h", common.alias("common"), "rows")), total
 
 
-def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, left: float = LEFT) -> tuple[DataFrame, DataFrame]:
-    """(every row's counts and verdict, boilerplate lines)."""
+def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, left: float = LEFT) -> tuple[DataFrame, DataFrame, int]:
+    """(every row's counts and verdict, boilerplate lines with their rows, lines
+    in all)."""
     # A null host is a key of its own: no host's name begins otherwise than with s.
     rows = measured(docs, doc_id, text, host).withColumn("host_key", host_key(F.col("host")))
     marks, total = boilerplate(rows, min_texts, share)
     lines = rows.select("rid", "host_key", F.explode("lines").alias("x")).select("rid", "host_key", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
-    # A line may stand several times in a text, but each time takes a row of ``lines``.
     removed = join_hot(lines, marks, ["host_key", "h"], F.col("rows"), total, "inner").where("common").groupBy("rid").agg(F.sum("n").alias("removed"))
     out = rows.join(removed, "rid", "left").withColumn("removed", F.coalesce("removed", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     depleted = (F.col("n_words") - F.col("removed")) < F.lit(left) * F.col("n_words")
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
-    return out, marks.where("common").select("host_key", "h")
+    return out, marks.where("common").select("host_key", "h", "rows"), total
 
 
 def host_key(host: Column) -> Column:
@@ -158,21 +163,21 @@ def cleaned(docs: DataFrame, text: str = "text", host: str = "source", doc_id: s
     """``docs`` without the boilerplate lines of their hosts: the texts that
     have any are cut into lines, marked and put together again; the other rows
     pass by.  Line breaks next to a removed line go with it."""
-    marks = judged(docs, doc_id=doc_id, text=text, host=host, **options)[1]
-    rid, names = F.monotonically_increasing_id(), docs.columns
-    packed = save(docs.select(rid.alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), host_key(F.col(f"`{host}`")).alias("host_key"), F.col(f"`{text}`").alias("_text")))
-    raw, normal = F.split(_or_empty(F.col("_text")), "\n"), normal_lines(_or_empty(F.col("_text")))
-    lines = packed.select("_rid", "host_key", F.posexplode(F.arrays_zip(raw.alias("raw"), normal.alias("normal"))).alias("_at", "x"))
-    lines = lines.select("_rid", "host_key", "_at", F.col("x.raw").alias("raw"), F.when(F.col("x.normal") != "", F.xxhash64("x.normal")).alias("h"))
-    n = F.count(F.lit(1)).alias("rows")
-    held = save(lines.where("h IS NOT NULL").join(marks, ["host_key", "h"], "left_semi").groupBy("host_key", "h").agg(n))
-    total = held.agg(F.sum("rows")).first()[0] or 0
-    hit = join_hot(lines.where("h IS NOT NULL").select("_rid", "_at", "host_key", "h"), held, ["host_key", "h"], F.col("rows"), total, "inner").select("_rid", "_at")
-    changed = lines.join(hit.select("_rid").distinct(), "_rid", "left_semi").join(hit, ["_rid", "_at"], "left_anti")
+    _, marks, total = judged(docs, doc_id=doc_id, text=text, host=host, **options)
+    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
+    packed = save(docs.select(F.monotonically_increasing_id().alias("_rid"), row, host_key(F.col(f"`{host}`")).alias("host_key")))
+    t = _or_empty(F.col(f"_row.`{text}`"))
+    both = F.posexplode(F.arrays_zip(F.split(t, "\n").alias("raw"), normal_lines(t).alias("normal"))).alias("_at", "x")
+    cut = lambda rows: rows.select("_rid", "host_key", both)
+    lines = cut(packed).where("x.normal != ''").select("_rid", "_at", "host_key", F.xxhash64("x.normal").alias("h"))
+    hit = save(join_hot(lines, marks, ["host_key", "h"], F.col("rows"), total, "inner").select("_rid", "_at"))
+    touched = hit.select("_rid").distinct()
+    changed = cut(packed.join(touched, "_rid", "left_semi")).select("_rid", "_at", "x.raw").join(hit, ["_rid", "_at"], "left_anti")
     text_of = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("_at", "raw"))), lambda x: x["raw"]))  # one text's lines
-    new = changed.groupBy("_rid").agg(text_of.alias("_new")).unionByName(hit.select("_rid").distinct().join(changed, "_rid", "left_anti").select("_rid", F.lit("").alias("_new")))
+    new = touched.join(changed.groupBy("_rid").agg(text_of.alias("_new")), "_rid", "left").withColumn("_new", _or_empty(F.col("_new")))
     kept = F.coalesce("_new", F.col(f"_row.`{text}`")).alias(text)
-    return packed.drop("_text", "host_key").join(new, "_rid", "left").select(*[kept if c == text else F.col(f"_row.`{c}`").alias(c) for c in names])
+    return packed.join(new, "_rid", "left").select(*[kept if c == text else F.col(f"_row.`{c}`").alias(c) for c in names])
 
 
 def query(spark, sf_dir):

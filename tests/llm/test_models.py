@@ -95,3 +95,82 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, labels).count() == 0
     assert {r["severity"] for r in toxicity.score(docs, labels.where("toxic = 0")).collect()} == {0.0}
     assert not any(r["toxic"] for r in toxicity.score(docs, labels.limit(0)).collect())
+
+
+def test_predictions_are_those_of_the_definition(spark):
+    """Prototypes and predictions of a small table, a text at a time."""
+    import random
+    import zlib
+
+    rng = random.Random(6)
+    letters = {"aa": "abcdef", "bb": "efghij", "cc": "abijkl"}
+    rows = [(i, " ".join("".join(rng.choice(letters[g]) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 30))), g if i % 9 else None, "s") for i in range(80) for g in [rng.choice(list(letters))]]
+    rows += [(900, None, "aa", "s"), (901, "12 !", "bb", "s")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    unit = lambda v: v / np.sqrt((v * v).sum()) if v.any() else v * 0.0
+    total = {}
+    for i, text, lang, _ in rows:
+        if lang is not None and text is not None and not held(i):
+            total[lang] = total.get(lang, 0) + np.round(unit(slow_bundle(text).astype(float)) * language_id.UNIT)
+    langs = sorted(total)
+    prototypes = np.stack([unit(total[x]) for x in langs])
+    want = {}
+    for i, text, _, _ in rows:
+        if text is None or not any(map(str.isalpha, text)):
+            want[i] = (held(i), "und", 0.0)
+            continue
+        cosine = prototypes @ unit(slow_bundle(text).astype(float))
+        want[i] = (held(i), langs[int(cosine.argmax())], round(float(np.clip(cosine.max(), 0, 1)), 6))
+    got = {r["doc_id"]: (r["held_out"], r["lang_pred"], round(r["score"], 6)) for r in language_id.identify(documents(spark, rows)).collect()}
+    assert got == want and len({w[1] for w in want.values()}) == 4
+
+
+def test_severity_is_that_of_the_definition(spark):
+    """The fitted model is the optimum of the loss that plain Python computes
+    from the texts, and its severities are those of the formula."""
+    import math
+    import random
+    import re
+
+    rng = random.Random(7)
+    nice, foul = [f"nice{i}" for i in range(40)], ["grawlix", "snarl", "hiss"]
+    rows = []
+    for i in range(160):
+        words = [rng.choice(nice) for _ in range(rng.randint(5, 15))] + [rng.choice(foul) for _ in range(rng.randint(1, 5) if i % 4 == 0 else 0)]
+        rows.append((i, " ".join(words), "en", "s"))
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 160, 1)], "doc_id bigint, quality int, toxic int")
+    docs = documents(spark, rows)
+    model = toxicity.fit(docs, labels, max_sample=10_000)
+    parts = lambda t: {f for w in re.findall(r"\w+", t.lower()) for f in [w] + [w[:k] + "-" for k in (4, 5, 6) if len(w) > k]}
+    every = {i: parts(t) for i, t, _, _ in rows}
+    n1, n0 = 40, 120
+    a = {f: sum(f in every[i] for i in every if i % 4 == 0) for f in model.vocabulary}
+    b = {f: sum(f in every[i] for i in every if i % 4) for f in model.vocabulary}
+    telling = {f for f in model.vocabulary if a[f] / n1 >= toxicity.TELLING * b[f] / n0}
+    load = {i: sum(bool(parts(w) & telling) for w in set(re.findall(r"\w+", t.lower()))) for i, t, _, _ in rows}
+    toxic = sorted(load[i] for i in every if i % 4 == 0)
+    cuts = [np.percentile(toxic, 100 * k / 3) for k in (1, 2)]
+    grade = {i: 0 if i % 4 else 1 + sum(load[i] > c for c in cuts) for i in every}
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+
+    def loss(w, t):
+        total = 0.0
+        for i in every:
+            eta = sum(w[model.vocabulary[f]] for f in every[i] if f in model.vocabulary)
+            edges = [0.0, *[logistic(x - eta) for x in t], 1.0]
+            total -= math.log(max(edges[grade[i] + 1] - edges[grade[i]], 1e-300))
+        return total / len(every) + toxicity.RIDGE / 2 * float(w @ w)
+
+    best = loss(model.weights, model.thresholds)
+    for k in range(len(model.weights) + 3):
+        for e in (1e-2, -1e-2):
+            w, t = model.weights.copy(), model.thresholds.copy()
+            (w if k < len(w) else t)[k if k < len(w) else k - len(w)] += e
+            assert loss(w, t) >= best - 1e-5
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels, max_sample=10_000).collect()}
+    for i in every:
+        eta = sum(model.weights[model.vocabulary[f]] for f in every[i] if f in model.vocabulary)
+        above = [logistic(eta - t) for t in model.thresholds]
+        assert got[i]["severity"] == pytest.approx(sum(above), abs=1e-6)
+        assert got[i]["toxic"] == (above[0] >= toxicity.CUT)
+    assert sum(r["toxic"] for r in got.values()) == 40

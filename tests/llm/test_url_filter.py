@@ -110,3 +110,47 @@ def test_rates_cover_all_labelled_rows(spark):
         got = dict(map(tuple, model.rates[key].collect()))
         assert got.keys() == want.keys()
         assert all(got[k] == pytest.approx((sum(v) + prior * op.SMOOTH) / (len(v) + op.SMOOTH)) for k, v in want.items())
+
+
+def test_verdicts_of_the_trees_are_those_of_the_definition(spark, judged):
+    """Numbers, rates and verdicts of every page without a rule, in Python;
+    only the fitted trees themselves are asked."""
+    import math
+    from collections import Counter, defaultdict
+
+    from pyspark.ml.linalg import Vectors
+
+    urls, got = judged
+    df = spark.createDataFrame([(i, u, "x", 1.5) for i, u in enumerate(urls)], "page_id bigint, url string, host string, length double")
+    model = op.fit(df, "url", op.RULES)
+
+    def keys(u):
+        host, path = parsed(u)
+        return {"tld": host.split(".")[-1], "domain": ".".join(host.split(".")[-2:]), "segment": (path.split("/") + ["", ""])[1]}
+
+    known = [(u, ruled(*parsed(u))) for u in urls if ruled(*parsed(u))]
+    blocks = {r for a, r in op.RULES if a == "block"}
+    prior = sum(r in blocks for _, r in known) / len(known)
+    n, bad = defaultdict(Counter), defaultdict(Counter)
+    for u, r in known:
+        for k, v in keys(u).items():
+            n[k][v] += 1
+            bad[k][v] += r in blocks
+    rate = lambda k, v: (bad[k][v] + prior * op.SMOOTH) / (n[k][v] + op.SMOOTH) if n[k][v] else prior
+
+    def numbers(u):
+        u, (host, path) = u or "", parsed(u)
+        counts = Counter(u)
+        query = u.split("?", 1)[1].split("#")[0] if "?" in u else ""
+        return [
+            math.log1p(len(u)), sum(s != "" for s in path.split("/")), sum(c in "0123456789" for c in u) / len(u) if u else 0.0,
+            -sum(c / len(u) * math.log2(c / len(u)) for c in counts.values()), len(query.split("&")) if query else 0, len(host.split(".")) if host else 0,
+            math.log1p(len(path)), float("#" in u), *[rate(k, v) for k, v in keys(u).items()],
+        ]
+
+    asked = [r for r in got if r["rule"] is None]
+    assert len(asked) > 100
+    for r in asked:
+        score = model.trees.predictProbability(Vectors.dense(numbers(r["_row"]["url"])))[1]
+        assert r["block_score"] == pytest.approx(score, abs=1e-9)
+        assert r["verdict"] == ("block" if score >= 0.5 else "allow")
