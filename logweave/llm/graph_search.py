@@ -10,8 +10,10 @@ edges are added backwards and pruned likewise.  Two rounds, with alpha 1 and
 1.2.  Nodes that can't be reached are linked from their nearest reachable.
 
 A block of queries meets each shard: beam search gives the nodes, distances
-are computed again in double precision on the original vectors, and the shards'
-answers are merged, ties to the smaller id.
+are computed again on the original vectors, and the shards' answers are merged,
+ties to the smaller id.  All distances are in double precision, within a shard in
+units of its middle vector, so one vector far out spoils nothing.  A beam that
+holds less than k other ids, as one id may have many vectors, is widened.
 
 Defined cases: vectors that are null, empty or zero, hold null or non-finite
 components, or whose id is null, take no part.  Rows equal in id and vector
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, save, spread, with_workers
+from .common import read_table, save, with_workers
 
 SHARD, DEGREE, BEAM, SEARCH_BEAM, BATCH, QUERIES = 4096, 24, 48, 128, 256, 1024
 
@@ -44,7 +46,7 @@ def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.n
     ``visits`` the nodes expanded and their distances."""
     b, n = len(queries), len(points)
     ids = np.full((b, beam), -1, np.int32)
-    far = np.full((b, beam), np.inf, np.float32)
+    far = np.full((b, beam), np.inf)
     opened = np.zeros((b, beam), bool)
     seen = np.zeros((b, n), bool)
     ids[:, 0], seen[:, start] = start, True
@@ -60,7 +62,7 @@ def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.n
         node = ids[rows, at]
         opened[rows, at] = True
         if visits:
-            one, two = np.full(b, -1, np.int32), np.full(b, np.inf, np.float32)
+            one, two = np.full(b, -1, np.int32), np.full(b, np.inf)
             one[rows], two[rows] = node, far[rows, at]
             log_ids.append(one)
             log_far.append(two)
@@ -68,7 +70,7 @@ def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.n
         new = (near >= 0) & ~seen[rows[:, None], np.maximum(near, 0)]
         r, c = np.nonzero(new)
         seen[rows[r], near[r, c]] = True
-        d = np.where(new, distances(queries[rows], points[np.maximum(near, 0)]), np.inf).astype(np.float32)
+        d = np.where(new, distances(queries[rows], points[np.maximum(near, 0)]), np.inf)
         every = np.concatenate([far[rows], d], axis=1)
         order = np.argpartition(every, beam - 1, axis=1)[:, :beam]
         far[rows] = np.take_along_axis(every, order, 1)
@@ -136,10 +138,10 @@ def _reached(graph: np.ndarray, start: int) -> np.ndarray:
 
 
 def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 0) -> tuple[np.ndarray, int]:
-    """The graph of different points (float32), and the node to start at."""
+    """The graph of different points, and the node to start at."""
     n = len(points)
     rng = np.random.default_rng(seed)
-    start = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
+    start = int(((points - np.median(points, axis=0)) ** 2).sum(axis=1).argmin())
     graph = np.full((n, degree), -1, np.int32)
     if n > 1:
         graph[:, : degree // 2] = rng.integers(0, n, (n, degree // 2))
@@ -175,6 +177,16 @@ def _rows(df: DataFrame, vec_id: str, vec: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & valid(F.col("vec"))).distinct().withColumn("dim", F.size("vec"))
 
 
+def scaled(vectors: np.ndarray, unit: float) -> np.ndarray:
+    """Vectors in units of the shard's middle one, so that squares neither
+    vanish nor overflow, however far away some vectors are."""
+    return np.clip(vectors / unit, -1e150, 1e150)
+
+
+def middle(vectors: np.ndarray) -> float:
+    return float(np.median(np.abs(vectors).max(axis=1)))
+
+
 def _build(group: pd.DataFrame) -> pd.DataFrame:
     vectors = np.stack(group["vec"].to_numpy())
     ids = group["vec_id"].to_numpy()
@@ -183,53 +195,70 @@ def _build(group: pd.DataFrame) -> pd.DataFrame:
     new = np.concatenate([[True], (vectors[1:] != vectors[:-1]).any(axis=1)])
     nodes = vectors[new]
     first = np.append(np.flatnonzero(new), len(ids))
-    # Scaled, so that single precision holds for any range.
-    graph, start = build_graph((nodes / np.abs(nodes).max()).astype(np.float32))
+    graph, start = build_graph(scaled(nodes, middle(nodes)))
     return pd.DataFrame({
-        "dim": [int(group["dim"].iloc[0])], "shard": [int(group["shard"].iloc[0])], "start": [start], "ids": [ids.astype(np.int64).tobytes()],
+        "dim": [int(group["dim"].iloc[0])], "shard": [int(group["shard"].iloc[0])], "to": [int(group["to"].iloc[0])], "start": [start], "ids": [ids.astype(np.int64).tobytes()],
         "first": [first.astype(np.int64).tobytes()], "vectors": [nodes.tobytes()], "graph": [graph.tobytes()],
     })
 
 
-INDEX = "dim int, shard int, start int, ids binary, first binary, vectors binary, graph binary"
+INDEX = "dim int, shard int, to int, start int, ids binary, first binary, vectors binary, graph binary"
 
 
 def build_index(df: DataFrame, vec_id: str = "vec_id", vec: str = "embedding", shard_rows: int = SHARD) -> DataFrame:
     """One row for each shard: a table that searches read."""
     with_workers(df.sparkSession)
     rows = save(_rows(df, vec_id, vec))
-    shards = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
-    placed = rows.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", "vec"), F.col("shards")).cast("int"))
+    shards = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
+    # Shards are numbered through; one row for each length of vectors.
+    before = F.sum("shards").over(Window.orderBy("dim").rowsBetween(Window.unboundedPreceding, -1))
+    shards = save(shards.withColumn("before", F.coalesce(before, F.lit(0)).cast("int")))
     n = shards.agg(F.sum("shards")).first()[0] or 1
-    dealt = spread(placed.select("dim", "shard", "vec_id", "vec"), "dim", "shard", least=n)
-    return save(dealt.groupBy("dim", "shard").applyInPandas(_build, INDEX))
-
-
-def _search(k: int):
-    def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
-        if len(queries) and len(index):
-            row = index.iloc[0]
-            ids, first = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["first"], np.int64)
-            vectors = np.frombuffer(row["vectors"], np.float64).reshape(len(first) - 1, -1)
-            graph = np.frombuffer(row["graph"], np.int32).reshape(len(vectors), -1)
-            scale = np.abs(vectors).max()
-            points = (vectors / scale).astype(np.float32)
-            asked, own = np.stack(queries["vec"].to_numpy()), queries["vec_id"].to_numpy()
-            for a in range(0, len(asked), BATCH):
-                part = asked[a : a + BATCH]
-                nodes, _ = beam_search(points, graph, int(row["start"]), (part / scale).astype(np.float32), max(SEARCH_BEAM, 2 * k))
-                for x, me, found in zip(part, own[a : a + BATCH], nodes, strict=True):
-                    found = found[found >= 0]
-                    score = np.sqrt(((vectors[found] - x) ** 2).sum(axis=1))
-                    got = []
-                    for s, node in sorted(zip(score.tolist(), found.tolist(), strict=True))[: k + 1]:
-                        same = ids[first[node] : first[node + 1]][: k + 1]  # by id
-                        got += [(s, i) for i in same.tolist() if i != me]
-                    out += [(int(me), i, s) for s, i in sorted(got)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    return run
+    placed = rows.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", "vec"), F.col("shards").cast("long")).cast("int"))
+    placed = placed.select("dim", "shard", (F.col("before") + F.col("shard")).alias("to"), "vec_id", "vec")
+
+    def run(frames):  # a task has one shard
+        held = [f for f in frames if len(f)]
+        if held:
+            yield _build(pd.concat(held, ignore_index=True))
+
+    return save(placed.repartitionById(n, "to").mapInPandas(run, INDEX))
+
+
+class Shard:
+    """A shard's graph, answering queries."""
+
+    def __init__(self, row):
+        self.ids, self.first = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["first"], np.int64)
+        self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(len(self.first) - 1, -1)
+        self.graph = np.frombuffer(row["graph"], np.int32).reshape(len(self.vectors), -1)
+        self.start, self.unit = int(row["start"]), middle(self.vectors)
+        self.points = scaled(self.vectors, self.unit)
+
+    def _held(self, x: np.ndarray, me: int, found: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """Of the nodes found, the k nearest other ids, each by its nearest vector."""
+        with np.errstate(over="ignore"):
+            score = np.sqrt(((self.vectors[found] - x) ** 2).sum(axis=1))
+        best: dict[int, float] = {}
+        for s, node in sorted(zip(score.tolist(), found.tolist(), strict=True)):
+            # Of equal vectors, the smallest k ids and its own decide.
+            for i in self.ids[self.first[node] : self.first[node + 1]][: k + 1].tolist():
+                if i != me:
+                    best.setdefault(i, s)
+        return sorted((s, i) for i, s in best.items())[:k]
+
+    def top(self, asked: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
+        """The k nearest (score, id) of each query.  Where the beam holds less
+        than k other ids, it is widened, to the whole shard at last."""
+        out: list[list[tuple[float, int]]] = [[] for _ in own]
+        todo, beam = np.arange(len(own)), max(SEARCH_BEAM, 2 * k)
+        while len(todo):
+            nodes, _ = beam_search(self.points, self.graph, self.start, scaled(asked[todo], self.unit), min(beam, len(self.points)))
+            for q, found in zip(todo.tolist(), nodes, strict=True):
+                out[q] = self._held(asked[q], int(own[q]), found[found >= 0], k)
+            todo = todo[[len(out[q]) < k for q in todo.tolist()]] if beam < len(self.points) else todo[:0]
+            beam *= 4
+        return out
 
 
 def search(index: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vec: str = "embedding", k: int = 10) -> DataFrame:
@@ -237,14 +266,27 @@ def search(index: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vec: st
     not rows of its own id."""
     asked = save(_rows(queries, vec_id, vec))
     blocks = max(1, -(-asked.count() // QUERIES))
-    # Every block of queries is sent to every shard: a stated query set against all rows.
-    shards = index.groupBy("dim").agg(F.max("shard").alias("last"))
-    sent = asked.join(shards, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    sent = sent.select("dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"), "block", "vec_id", "vec")
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["dim", "shard", "block"]
-    sent, held = spread(sent, *keys), spread(held, *keys)
-    found = sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_search(k), "query_id bigint, vec_id bigint, score double")
+    shards = index.select("dim", "to")
+    n = ((index.agg(F.max("to")).first()[0] or 0) + 1) * blocks
+    # Every block of queries is sent to every shard of its length: a stated query set against all rows.
+    at = lambda block: (F.col("to") * blocks + block).alias("at")
+    sent = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).join(shards, "dim").select(at(F.col("block")), F.lit(1).alias("kind"), "vec_id", "vec")
+    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(at(F.col("block")), F.lit(0).alias("kind"), "start", "ids", "first", "vectors", "graph")
+
+    def run(frames):  # a task has one shard and then a block of queries
+        shard = None
+        for frame in frames:
+            if len(frame) and frame["kind"].iloc[0] == 0:
+                shard, frame = Shard(frame.iloc[0]), frame.iloc[1:]
+            for a in range(0, len(frame), BATCH):
+                part = frame.iloc[a : a + BATCH]
+                own = part["vec_id"].to_numpy().astype(np.int64)
+                found = shard.top(np.stack(part["vec"].to_numpy()), own, k)
+                rows = [(me, i, s) for me, got in zip(own.tolist(), found, strict=True) for s, i in got]
+                yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    rows = held.unionByName(sent, allowMissingColumns=True).repartitionById(n, F.col("at")).sortWithinPartitions("at", "kind")
+    found = rows.mapInPandas(run, "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
