@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import global_row_number
-from .common import read_table, save, text_key, unit_hash
+from .common import join_hot, read_table, save, text_key, unit_hash
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, CAP, FULL_WORDS, CELLS = (3, 1, 2), 1.5, 2.0, 200, 4096
@@ -67,10 +67,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 
 
 def _expected(rows: DataFrame, tgt: DataFrame, cap: float) -> DataFrame:
-    """(key, bin, copies, p, rest): certain copies and inclusion probability of
-    a document of that source and weight, and the words that remain for the
-    ranked draw.  At most FULL_WORDS + 1 rows for each source."""
-    hist = rows.where("size > 0").groupBy("key", "bin").agg(F.sum("size").alias("words")).join(tgt, "key")
+    """(key, bin, n, copies, p, rest): documents of that source and weight,
+    their certain copies and inclusion probability, and the words that remain for
+    the ranked draw.  At most FULL_WORDS rows for each source."""
+    hist = rows.where("size > 0").groupBy("key", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).join(tgt.drop("n_rows"), "key")
     w = F.col("bin") / F.lit(float(FULL_WORDS))
     up = Window.partitionBy("key").orderBy(F.col("bin").desc())
     whole = Window.partitionBy("key")
@@ -83,7 +83,7 @@ def _expected(rows: DataFrame, tgt: DataFrame, cap: float) -> DataFrame:
     e = e.withColumn("copies", F.when(near, F.round("_e")).otherwise(F.floor("_e")).cast("long"))
     e = e.withColumn("p", F.when(near, 0.0).otherwise(F.col("_e") - F.col("copies")))
     rest = F.greatest(F.lit(0.0), F.col("target") - F.sum(F.col("copies") * F.col("words")).over(whole))
-    return e.select("key", "bin", "copies", "p", rest.alias("rest"))
+    return e.select("key", "bin", "n", "copies", "p", rest.alias("rest"))
 
 
 def _cell(cells: DataFrame) -> DataFrame:
@@ -97,18 +97,21 @@ def _cell(cells: DataFrame) -> DataFrame:
 
 def draw(rows: DataFrame, tgt: DataFrame, cap: float = CAP) -> DataFrame:
     """``rows`` with ``source_size``, ``target`` and ``copies`` (0 up to ``cap``)."""
-    expected = _expected(rows, tgt, cap)
+    tgt = save(tgt.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")), "key"))
+    expected = save(_expected(rows, tgt, cap))
+    n = tgt.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    ranked = save(rows.join(expected, ["key", "bin"], "left").select(
-        "doc_id", "tkey", "key", "size", F.coalesce("copies", F.lit(0)).alias("copies"),
-        F.when(F.col("p") > 0, odds / (1 + odds)).alias("q"), "rest",
-    ))
+    # A source may hold a third of all rows, so its rows stay where they are.
+    weighed = join_hot(rows.where("size > 0"), expected, ["key", "bin"], F.col("n"), n, "inner")
+    named = weighed.select("doc_id", "tkey", "key", "size", "copies", F.when(F.col("p") > 0, odds / (1 + odds)).alias("q"), "rest")
+    none = rows.where("size = 0").select("doc_id", "tkey", "key", "size", F.lit(0).cast("long").alias("copies"), F.lit(None).cast("double").alias("q"), F.lit(None).cast("double").alias("rest"))
+    ranked = save(named.unionByName(none))
     cell1 = F.floor(F.col("q") * CELLS)
     cell2 = F.floor((F.col("q") * CELLS - cell1) * CELLS)
     drawn = ranked.where("q IS NOT NULL AND size > 0")
     one = _cell(drawn.groupBy("key", cell1.alias("cell"), "rest").agg(F.sum("size").alias("words")))
     # The rows of a source's cell: one in CELLS of its rows.
-    inner = drawn.withColumn("c1", cell1).join(one, "key").where("c1 = cut").select("tkey", "doc_id", "key", "size", "q", F.col("left").alias("rest"))
+    inner = join_hot(drawn.drop("rest").withColumn("c1", cell1), one.join(tgt.select("key", "n_rows"), "key"), ["key"], F.col("n_rows"), n, "inner").where("c1 = cut").select("tkey", "doc_id", "key", "size", "q", F.col("left").alias("rest"))
     two = _cell(inner.groupBy("key", cell2.alias("cell"), "rest").agg(F.sum("size").alias("words")))
     last = inner.withColumn("c2", cell2).join(two, "key").where("c2 = cut").groupBy("key", "q", "tkey", "left").agg(F.sum("size").alias("words"))
     run = Window.partitionBy("key").orderBy("q", F.col("tkey").asc_nulls_first())
@@ -118,7 +121,7 @@ def draw(rows: DataFrame, tgt: DataFrame, cap: float = CAP) -> DataFrame:
         F.max(F.when(F.col("_ok"), F.struct("q", F.coalesce("tkey", F.lit(b"")).alias("d")))).alias("upto"),
         F.min("q").alias("lowest"),
     )
-    out = ranked.drop("rest").join(tgt, "key").join(edge, "key", "left")
+    out = join_hot(ranked.drop("rest"), save(tgt.join(edge, "key", "left")), ["key"], F.col("n_rows"), n, "inner")
     here = F.struct("q", F.coalesce("tkey", F.lit(b"")).alias("d"))
     # No edge: the fractional documents together don't reach the rest, or none is needed.
     taken = F.when(F.col("q").isNull() | (F.col("size") == 0), False).when(F.col("upto").isNotNull(), here <= F.col("upto")).when(F.col("lowest").isNotNull(), F.col("q") < F.col("lowest")).otherwise(True)
