@@ -1,19 +1,21 @@
-"""Exact BM25 top-k by an inverted index with block maxima, a MaxScore-style
-variant in place of block-max WAND.
-
-Every task turns its documents into inverted indexes of bounded size; those of
-one or several tasks make a shard of about ``POSTINGS`` postings.  A shard
-holds, for each term, the documents and term frequencies, and answers a query
-with the greatest impact of each term (list bound) and of each term in each
-block of ``BLOCK`` documents (block-max).
-
-WAND's rule is that only a document whose lists' bounds add up to the present
-k-th score can be a pivot.  Lists are opened by falling bound, whole lists at a
-time; once the bounds of the lists still closed add up to less than the k-th
-score so far, no new pivot can appear.  Pivots whose score so far plus the block
-maxima of the closed lists can't reach the k-th score are passed over; the
-others are completed.  Nothing that could enter the result is dropped, so the
-result is exact.
+"""Exact BM25 top-k by an inverted index with block maxima: block-max WAND, a
+block of documents at a time.
+
+Every task turns its documents into inverted indexes of bounded size; some of
+these parts make a shard of about ``POSTINGS`` postings.  A shard numbers its
+documents by falling length and holds, for each term, documents and term
+frequencies, and the greatest impact in every block of ``BLOCK`` documents.
+
+WAND moves the cursors of a query's lists to the next pivot, the first document
+for which the lists' bounds add up to the present k-th score; with block maxima, a
+pivot whose blocks' maxima add up to less is passed over.  Here the pivot is a
+block: the maxima of all lists are added up for every aligned block (for many
+queries by one matrix product), the cursors of all lists stop only in
+blocks whose sum reaches the k-th score so far, and documents are scored there
+and nowhere else.  The blocks of the longest documents come first and raise the
+k-th score early.  A query is answered by one shard first, and its k-th score
+there is where the others begin.  Nothing that could enter the result is
+dropped, so the result is exact.
 
 A shard needs no statistics of others: it scores with the query's weights
 (document frequencies summed over all shards) and the average length over all
@@ -31,22 +33,26 @@ all their words.  An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Memo, read_table, save, spread, with_workers
+from ..operators.components import global_row_number
+from .common import WORD, Memo, read_table, save, slices, tidy, with_workers
 
-K1, B, BLOCK, POSTINGS, QUERIES, WORDS = 1.2, 0.75, 64, 4_000_000, 4096, 400_000
-#: Lists of at least this share of a shard's documents are kept as full rows; lists opened between two looks at the k-th score.
-DENSE, STEP = 1 / 4, 16
-SHARD = "part bigint, n_docs bigint, n_words bigint, n_postings bigint, ids binary, lengths binary, terms binary, first binary, docs binary, tfs binary"
+K1, B = 1.2, 0.75
+#: Documents of a block, blocks looked at together, and slack for sums in another order.
+BLOCK, STEP, EPS = 64, 8, 1e-9
+#: Postings of a shard, queries answered at a time, queries of a task, bytes of remembered words.
+POSTINGS, AT_ONCE, QUERIES, WORDS = 4_000_000, 256, 50_000, 32 << 20
+#: Lists of at least this share of a shard's documents are kept as full rows.
+DENSE = 1 / 8
+PARTS = "n_docs bigint, n_words bigint, n_postings bigint, ids binary, lengths binary, terms binary, first binary, docs binary, tfs binary"
+PART_NAMES = [c.split()[0] for c in PARTS.split(", ")]
 
 
 def term_hashes() -> Memo:
@@ -76,111 +82,120 @@ class Shard:
         self.ids, self.lengths, self.terms = ids, lengths, terms[new]
         self.first = np.append(np.flatnonzero(new), len(terms))
 
-    def row(self, part: int) -> list:
-        return [part, len(self.ids), int(self.lengths.sum()), len(self.docs), self.ids.tobytes(), small(self.lengths), self.terms.tobytes(), self.first.astype(np.int64).tobytes(), small(self.docs), small(self.tfs)]
+    def row(self) -> list:
+        return [len(self.ids), int(self.lengths.sum()), len(self.docs), self.ids.tobytes(), small(self.lengths), self.terms.tobytes(), self.first.astype(np.int64).tobytes(), small(self.docs), small(self.tfs)]
 
     @classmethod
-    def merged(cls, rows: pd.DataFrame) -> Shard:
-        ids, lengths, terms, docs, tfs, at = [], [], [], [], [], 0
-        for r in rows.itertuples():
-            n, first = r.n_docs, np.frombuffer(r.first, np.int64)
-            ids.append(np.frombuffer(r.ids, np.int64))
-            lengths.append(large(r.lengths, n))
-            terms.append(np.repeat(np.frombuffer(r.terms, np.int64), np.diff(first)))
-            docs.append(large(r.docs, r.n_postings) + at)
-            tfs.append(large(r.tfs, r.n_postings))
-            at += n
-        return cls(*map(np.concatenate, (ids, lengths, terms, docs, tfs)))
+    def merged(cls, rows: list[dict]) -> Shard:
+        """Of several parts; documents are numbered anew, the longest first, so
+        that documents of a block are of one length and its maxima are near
+        what each can have."""
+        ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
+        lengths = np.concatenate([large(r["lengths"], r["n_docs"]) for r in rows])
+        by = np.lexsort((ids, -lengths))
+        number = np.empty(len(by), np.int32)
+        number[by] = np.arange(len(by), dtype=np.int32)
+        terms, docs, tfs, at = [], [], [], 0
+        for r in rows:
+            terms.append(np.repeat(np.frombuffer(r["terms"], np.int64), np.diff(np.frombuffer(r["first"], np.int64))))
+            docs.append(number[large(r["docs"], r["n_postings"]) + at])
+            tfs.append(large(r["tfs"], r["n_postings"]))
+            at += r["n_docs"]
+        terms, docs, tfs = map(np.concatenate, (terms, docs, tfs))
+        order = np.argsort(docs, kind="stable")
+        return cls(ids[by], lengths[by], terms[order], docs[order], tfs[order])
 
     def weigh(self, average: float) -> None:
-        """Impacts without idf, and their greatest by list and by block."""
+        """Impacts without idf, and their greatest in every block."""
         norm = K1 * (1 - B + B * self.lengths / (average or 1.0))
         self.impacts = self.tfs * (K1 + 1) / (self.tfs + norm[self.docs])
-        self.bounds = np.maximum.reduceat(self.impacts, self.first[:-1]) if len(self.terms) else np.zeros(0)
-        # A row of impacts, 0 where the term is missing, for each frequent list.
-        count = np.diff(self.first)
-        often = np.flatnonzero(count >= max(DENSE * len(self.ids), 64))
-        self.row_of = dict(zip(often.tolist(), range(len(often)), strict=True))
-        self.rows = np.zeros((len(often), len(self.ids)))
-        for t, r in self.row_of.items():
+        n = len(self.ids)
+        self.n_blocks = -(-n // BLOCK)
+        # A row of impacts, 0 where the term is missing, for each frequent list, and one of their block maxima.
+        self.often = np.flatnonzero(np.diff(self.first) >= max(DENSE * n, 64))
+        self.row_of = np.full(len(self.terms), -1)
+        self.row_of[self.often] = np.arange(len(self.often))
+        self.rows = np.zeros((len(self.often), self.n_blocks * BLOCK))
+        for r, t in enumerate(self.often.tolist()):
             a, b = self.first[t], self.first[t + 1]
             self.rows[r, self.docs[a:b]] = self.impacts[a:b]
-        block = self.docs // BLOCK
-        new = np.zeros(len(block), bool)
-        new[1:] = block[1:] != block[:-1]
-        new[self.first[:-1]] = True
-        starts = np.flatnonzero(new)
-        self.block_no = block[starts]
-        self.block_max = np.maximum.reduceat(self.impacts, starts) if len(starts) else np.zeros(0)
-        self.block_first = np.searchsorted(starts, self.first)
-        self.n_blocks = -(-len(self.ids) // BLOCK)
-
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The k best (id, score) of this shard."""
-        if not len(self.terms):
-            return []
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        there = self.terms[at] == terms
-        at, idf = at[there], idf[there]
-        bound = idf * self.bounds[at]
-        order = np.argsort(-bound, kind="stable")
-        at, idf, bound = at[order], idf[order], bound[order]
-        closed = np.append(np.cumsum(bound[::-1])[::-1], 0.0)
-        score = np.zeros(len(self.ids))
-        first, docs, impacts, rows, row_of = self.first, self.docs, self.impacts, self.rows, self.row_of
-        opened, kth, eps = 0, 0.0, 1e-9
-        while opened < len(at):
-            for t, w in zip(at[opened : opened + STEP].tolist(), idf[opened : opened + STEP].tolist(), strict=True):
-                if t in row_of:
-                    score += w * rows[row_of[t]]
-                else:
-                    a, b = first[t], first[t + 1]
-                    score[docs[a:b]] += w * impacts[a:b]
-            opened = min(opened + STEP, len(at))
-            if len(score) > k and closed[opened] < score.max():  # else the k-th can't be enough
-                kth = np.partition(score, len(score) - k)[len(score) - k]
-                if closed[opened] < kth - eps:
-                    break
-        if opened < len(at):
-            rest = np.zeros(self.n_blocks)
-            for t, w in zip(at[opened:].tolist(), idf[opened:].tolist(), strict=True):
-                a, b = self.block_first[t], self.block_first[t + 1]
-                rest[self.block_no[a:b]] += w * self.block_max[a:b]
-            pivots = np.flatnonzero(score + rest[np.arange(len(score)) // BLOCK] >= kth - eps)
-            pivots = pivots[score[pivots] > 0]
-            for t, w in zip(at[opened:].tolist(), idf[opened:].tolist(), strict=True):
-                if t in row_of:
-                    score[pivots] += w * rows[row_of[t]][pivots]
-                    continue
-                a, b = first[t], first[t + 1]
-                where = np.minimum(np.searchsorted(docs[a:b], pivots), b - a - 1) + a
-                score[pivots] += np.where(docs[where] == pivots, w * impacts[where], 0.0)
-        else:
-            pivots = np.flatnonzero(score > 0)
-        final = np.round(score[pivots], 9)
-        best = np.lexsort((self.ids[pivots], -final))[:k]
-        return [(int(self.ids[pivots[x]]), float(final[x])) for x in best]
-
-
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index as a table, a row for each shard."""
+        self.row_max = self.rows.reshape(len(self.often), self.n_blocks, BLOCK).max(axis=2)
+
+    def _postings(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the postings of several lists, and the list of each."""
+        a, n = self.first[lists], self.first[lists + 1] - self.first[lists]
+        which = np.repeat(np.arange(len(lists)), n)
+        return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n), which
+
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, floor: np.ndarray | None = None) -> list[list[tuple[int, float]]]:
+        """The k best (id, score) of this shard for each query (terms, idfs).
+        ``floor`` is a score that at least k documents of other shards reach:
+        documents below it may be left out."""
+        m, n = len(queries), len(self.ids)
+        if not len(self.terms) or not m:
+            return [[] for _ in range(m)]
+        size = self.n_blocks * BLOCK
+        weights, light, bound = np.zeros((m, len(self.often))), np.zeros((m, size)), np.zeros((m, self.n_blocks))
+        for q, (terms, idf) in enumerate(queries):
+            at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+            there = self.terms[at] == terms
+            at, idf = at[there], idf[there]
+            row = self.row_of[at]
+            weights[q, row[row >= 0]] = idf[row >= 0]
+            # Rare lists have few postings: these are added up at once.
+            place, which = self._postings(at[row < 0])
+            light[q] = np.bincount(self.docs[place], idf[row < 0][which] * self.impacts[place], minlength=size)
+        # What a document of a block can have at most: maxima of the frequent lists, and of what the rare ones give.
+        bound = weights @ self.row_max + light.reshape(m, self.n_blocks, BLOCK).max(axis=2)
+        best = np.zeros((m, k)) if floor is None else np.repeat(floor[:, None], k, axis=1)
+        seen_q, seen_d, seen_s = [], [], []
+        for a in range(0, self.n_blocks, STEP):
+            z = min(a + STEP, self.n_blocks)
+            kth = best.min(axis=1)
+            live = np.flatnonzero((bound[:, a:z] >= np.maximum(kth[:, None] - EPS, EPS)).any(axis=1))
+            if not len(live):  # no list's cursor stops in these blocks
+                continue
+            docs = slice(a * BLOCK, z * BLOCK)
+            score = weights[live] @ self.rows[:, docs] + light[live, docs]
+            q, d = np.nonzero((score >= kth[live, None] - EPS) & (score > 0))
+            seen_q.append(live[q])
+            seen_d.append(d + docs.start)
+            seen_s.append(score[q, d])
+            # The floor stands for k documents elsewhere; better ones of this shard lift the k-th score.
+            best[live] = np.partition(np.concatenate([best[live], score], axis=1), score.shape[1], axis=1)[:, score.shape[1] :]
+        out: list[list[tuple[int, float]]] = [[] for _ in range(m)]
+        if not seen_q:
+            return out
+        q, d, score = map(np.concatenate, (seen_q, seen_d, seen_s))
+        score, kth = np.round(score, 9), best.min(axis=1)
+        keep = np.flatnonzero((score >= kth[q] - EPS) & (d < n))
+        q, ids, score = q[keep], self.ids[d[keep]], score[keep]
+        for x in np.lexsort((ids, -score, q)).tolist():
+            if len(out[q[x]]) < k:
+                out[q[x]].append((int(ids[x]), float(score[x])))
+        return out
+
+
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", postings: int | None = None) -> DataFrame:
+    """The inverted index as a table of parts and the shards they belong to,
+    written once."""
     with_workers(docs.sparkSession)
+    postings = postings or POSTINGS
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def run(batches):
         memo = term_hashes()
         ids, lengths, terms, tfs = [], [], [], []
 
-        def shard():
+        def part():
             docs = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
             made = Shard(np.array(ids, np.int64), np.array(lengths, np.int64), np.concatenate(terms), docs, np.concatenate(tfs))
-            row = made.row(uuid.uuid4().int >> 65)
             for x in (ids, lengths, terms, tfs):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 4 else pa.binary()) for i, v in enumerate(row)], [c.split()[0] for c in SHARD.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 3 else pa.binary()) for i, v in enumerate(made.row())], PART_NAMES)
 
         held = 0
-        for batch in batches:
+        for batch in slices(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = WORD.findall(text.lower())
                 count = Counter(words)
@@ -189,93 +204,102 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 terms.append(np.fromiter(map(memo.__getitem__, count), np.int64, len(count)))
                 tfs.append(np.fromiter(count.values(), np.int64, len(count)))
                 held += len(count)
-                if held >= POSTINGS // 2:
-                    yield shard()
+                if held >= postings // 2:
+                    yield part()
                     held = 0
         if ids:
-            yield shard()
+            yield part()
 
-    parts = save(rows.mapInArrow(run, SHARD))
-    # Parts are strung together to shards; one row of numbers for each part.
-    upto = F.sum("n_postings").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    shards = parts.select("part", "n_postings").withColumn("shard", F.floor((upto - 1) / POSTINGS)).select("part", "shard")
-    return parts.join(shards, "part")
+    parts = save(rows.mapInArrow(tidy(run), PARTS).withColumn("part", F.monotonically_increasing_id()))
+    n, total = parts.agg(F.count(F.lit(1)), F.sum("n_postings")).first()
+    # So many parts make a shard; a part is half a shard at most.
+    per = max(1, round(postings * n / total)) if total else 1
+    numbered = global_row_number(parts.select("part"), ["part"], "no")
+    return parts.join(numbered.select("part", F.floor((F.col("no") - 1) / per).alias("shard")), "part")
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
     """(term, df) over all shards."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             for terms, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(np.diff(np.frombuffer(first, np.int64)))], ["term", "df"])
 
     return index.select("terms", "first").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-BLOCKS = "block int, query_ids binary, sizes binary, places binary, terms binary, idfs binary"
-
-
-def _block(group: pd.DataFrame) -> pd.DataFrame:
-    """A block of queries as one row: their different terms once, and for
-    each query the places of its terms among them."""
-    terms, at, places = np.unique(np.concatenate(group["terms"].to_numpy()), return_index=True, return_inverse=True)
-    idfs = np.concatenate(group["idfs"].to_numpy())[at]
-    sizes = group["terms"].map(len).to_numpy()
-    return pd.DataFrame({
-        "block": [group["block"].iloc[0]], "query_ids": [group["query_id"].to_numpy().astype(np.int64).tobytes()], "sizes": [sizes.astype(np.int32).tobytes()],
-        "places": [places.astype(np.int32).tobytes()], "terms": [terms.tobytes()], "idfs": [idfs.tobytes()],
-    })
-
-
 def _weighted(queries: DataFrame, index: DataFrame, n_docs: int, query_id: str, text: str) -> DataFrame:
-    """Blocks of about QUERIES queries with their terms' weights, written once."""
+    """(query_id, terms, idfs) of every query, written once."""
     rows = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(text).alias("text")).where("query_id IS NOT NULL AND text IS NOT NULL")
 
     def run(batches):
         memo = term_hashes()
-        for batch in batches:
+        for batch in slices(batches):
             found = [[memo[w] for w in set(WORD.findall(t.lower()))] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["query_id", "terms"])
 
-    terms = rows.mapInArrow(run, "query_id bigint, terms array<bigint>").select("query_id", F.explode("terms").alias("term")).distinct()
+    terms = rows.mapInArrow(tidy(run), "query_id bigint, terms array<bigint>").select("query_id", F.explode("terms").alias("term")).distinct()
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(document_frequencies(index), "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t"))
-    asked = save(weighted.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs")))
-    blocks = max(1, -(-asked.count() // QUERIES))
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    return save(dealt.groupBy("block").applyInPandas(_block, BLOCKS))
+    return save(weighted.select("query_id", F.col("t.term").alias("query_terms"), F.col("t.idf").alias("idfs")))
 
 
-def _search(average: float, k: int):
-    def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(index):
-            shard = Shard.merged(index)
-            shard.weigh(average)
-            for b in queries.itertuples():
-                terms, idfs, places = np.frombuffer(b.terms, np.int64), np.frombuffer(b.idfs), np.frombuffer(b.places, np.int32)
-                ends = np.cumsum(np.frombuffer(b.sizes, np.int32))
-                for q, part in zip(np.frombuffer(b.query_ids, np.int64).tolist(), np.split(places, ends[:-1]), strict=True):
-                    out += [(q, i, s) for i, s in shard.top(terms[part], idfs[part], k)]
-        return pd.DataFrame(out, columns=["query_id", "doc_id", "score"]).astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
+def _answered(index: DataFrame, asked: DataFrame, shards: int, groups: int, average: float, k: int) -> DataFrame:
+    """(query_id, doc_id, score) of queries (query_id, group, query_terms,
+    idfs, floor, shard).  A task gets the parts of a shard, then its queries, some
+    at a time."""
+    to = (F.col("shard") * groups + F.col("group")).cast("int")
+    held = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(to.alias("to"), F.lit(0).alias("kind"), *PART_NAMES)
+    sent = asked.select(to.alias("to"), F.lit(1).alias("kind"), "query_id", "query_terms", "idfs", "floor")
+    rows = held.unionByName(sent, allowMissingColumns=True).repartitionById(shards * groups, F.col("to")).sortWithinPartitions("to", "kind")
 
-    return run
+    def run(batches):
+        parts, shard, at = [], None, None
+        for batch in slices(batches, AT_ONCE):
+            key, kind = batch.column("to").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(kind) != 0)) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+                part = batch.slice(a, z - a)
+                if key[a] != at:
+                    parts, shard, at = [], None, key[a]
+                if kind[a] == 0:
+                    parts += part.select(PART_NAMES).to_pylist()
+                    continue
+                if shard is None and parts:
+                    shard, parts = Shard.merged(parts), []
+                    shard.weigh(average)
+                if shard is None:
+                    continue
+                lists = (part.column(c) for c in ("query_terms", "idfs"))
+                queries = [(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(*lists, strict=True)]
+                found = shard.top(queries, k, part.column("floor").to_numpy())
+                ids = np.repeat(part.column("query_id").to_numpy(), [len(f) for f in found])
+                flat = [x for f in found for x in f]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.float64())], ["query_id", "doc_id", "score"])
+
+    return rows.mapInArrow(tidy(run), "query_id bigint, doc_id bigint, score double")
 
 
 def search(index: DataFrame, queries: DataFrame, query_id: str = "doc_id", text: str = "text", k: int = 10) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k best documents of each query."""
-    n_docs, n_words = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
+    """(query_id, rank, doc_id, score): the k best documents of each query.
+
+    A query asks one shard first; its k-th score there goes to the others."""
+    n_docs, n_words, last = index.agg(F.sum("n_docs"), F.sum("n_words"), F.max("shard")).first()
+    shards, average = (last or 0) + 1, (n_words or 0) / max(n_docs or 0, 1)
     asked = _weighted(queries, index, n_docs or 0, query_id, text)
-    blocks = asked.agg(F.max("block")).first()[0] or 0
-    # Every block of queries is sent to every shard: a stated query set against all rows.
-    shards = index.agg(F.max("shard")).first()[0]
-    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards or 0).cast("long"))))
-    held = index.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks))))
-    sent, held = spread(sent, "shard", "block"), spread(held, "shard", "to")
-    found = sent.groupBy("shard", "block").cogroup(held.groupBy("shard", "to")).applyInPandas(_search((n_words or 0) / max(n_docs or 0, 1), k), "query_id bigint, doc_id bigint, score double")
+    groups = max(1, -(-asked.count() // QUERIES))
+    home = F.pmod(F.xxhash64("query_id"), F.lit(shards))
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(groups))).withColumn("home", home)
+    first = _answered(index, asked.select("*", F.col("home").alias("shard"), F.lit(0.0).alias("floor")), shards, groups, average, k)
+    if shards > 1:
+        first = save(first)
+        kth = first.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id", F.col("low").alias("floor"))
+        floored = asked.join(kth, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+        others = floored.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where("shard <> home")
+        first = first.unionByName(_answered(index, others, shards, groups, average, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return first.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 ORACLE = f"""

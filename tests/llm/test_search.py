@@ -50,6 +50,32 @@ def test_ties_and_copies_of_one_vector(spark):
             assert [i for _, i in got[q]] == [i for _, i in want[q]]
 
 
+def test_one_id_with_many_vectors_near_the_query(spark):
+    rng = np.random.default_rng(2)
+    rows = [(100, [1.0, 1.0, 1.0])] + [(7, [1.0 + 0.001 * k, 1.0, 1.0]) for k in range(199)]
+    rows += [(i, [float(x) for x in 5 + rng.normal(size=3)]) for i in range(201, 221)]
+    got = searched(spark, rows)[100]
+    assert len(got) == 10 and got[0][1] == 7 and len({i for _, i in got}) == 10
+    own = [(100, [1.0 + 0.001 * k, 2.0, 1.0]) for k in range(300)] + rows[200:]
+    assert len(searched(spark, own)[100]) == 10
+
+
+def test_a_vector_far_out(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=16).astype(np.float32)]) for i in range(600)]
+    rows[5] = (5, [1e24] + [1.0] * 15)
+    want, got = nearest(rows), searched(spark, rows)
+    hits = sum(len({i for _, i in want[q]} & {i for _, i in got[q]}) for q in want)
+    assert hits >= 0.95 * sum(map(len, want.values()))
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(i, [float(i), 1.0], 1, 2, "x", 3, 4) for i in range(250)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, shard int, dim int, vec string, kind int, at int")
+    got = graph_search.search(graph_search.build_index(df, shard_rows=100), df.where("vec_id % 100 = 0")).where("query_id = 100").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [99, 101, 98, 102, 97, 103, 96, 104, 95, 105]
+
+
 def test_vectors_that_take_no_part(spark):
     bad = [(200, None), (300, []), (400, [0.0, 0.0]), (500, [1.0, None]), (600, [float("nan"), 1.0]), (700, [float("inf"), 1.0]), (None, [1.0, 1.0])]
     good = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (100, [5.0, 5.0, 5.0])]
@@ -106,17 +132,45 @@ def test_bm25_equals_scoring_everything(spark, monkeypatch):
     assert found(df) == want
 
 
-def test_bm25_passes_lists_and_pivots_over():
-    """With a rare and a common list, the common one is never opened for
-    documents that can't win."""
-    n = 6400
-    docs = np.concatenate([np.arange(n), np.arange(0, n, 100)])
-    terms = np.repeat([7, 9], [n, n // 100])
-    shard = bm25_search.Shard(np.arange(n), np.full(n, 50), terms, docs, np.ones(len(docs), np.int64))
-    shard.weigh(50.0)
-    idf = np.array([0.01, 5.0])
-    got = shard.top(np.array([7, 9]), idf, 10)
-    assert [i for i, _ in got] == list(range(0, 1000, 100)) and all(math.isclose(s, 5.01) for _, s in got)
+def shard_of(n, rng):
+    docs, terms = [], []
+    for t, every in enumerate((1, 2, 3, 50, 400)):
+        docs.append(np.flatnonzero(rng.random(n) < 1 / every))
+        terms.append(np.full(len(docs[-1]), t))
+    docs, terms = np.concatenate(docs), np.concatenate(terms)
+    order = np.argsort(docs, kind="stable")
+    made = bm25_search.Shard(np.arange(n), rng.integers(5, 500, n), terms[order], docs[order], rng.integers(1, 9, len(docs)))
+    parts = [dict(zip(bm25_search.PART_NAMES, made.row(), strict=True))]
+    shard = bm25_search.Shard.merged(parts)
+    shard.weigh(100.0)
+    return shard
+
+
+def test_a_shard_passes_over_blocks(monkeypatch):
+    """Blocks whose maxima don't reach the k-th score are not scored, and
+    nothing is lost by that or by a floor from elsewhere."""
+    shard = shard_of(64_000, np.random.default_rng(7))
+    assert (np.diff(shard.lengths) <= 0).all()
+    queries = [(np.array([0, 1, 4, 77]), np.array([0.01, 0.2, 6.0, 1.0])), (np.array([0, 2, 3]), np.array([0.1, 0.1, 3.0])), (np.array([99]), np.array([1.0]))]
+    want = []
+    for terms, idf in queries:
+        score = np.zeros(len(shard.ids))
+        for t, w in zip(terms, idf, strict=True):
+            if t in shard.terms:
+                a, b = shard.first[np.searchsorted(shard.terms, t) :][:2]
+                score[shard.docs[a:b]] += w * shard.impacts[a:b]
+        best = sorted((-round(s, 9), i) for s, i in zip(score.tolist(), shard.ids.tolist(), strict=True) if s > 0)[:10]
+        want.append([(i, -s) for s, i in best])
+    looked = []
+    nonzero = np.nonzero
+    monkeypatch.setattr(np, "nonzero", lambda x: looked.append(x.size) or nonzero(x))
+    got = shard.top(queries, 10)
+    assert [[(i, round(s, 6)) for i, s in g] for g in got] == [[(i, round(s, 6)) for i, s in w] for w in want] and got[2] == []
+    assert sum(looked) < len(queries) * len(shard.ids) / 2
+    floor = np.array([want[0][4][1], want[1][4][1] + 1, 0.0])
+    some = shard.top(queries, 10, floor)
+    assert [i for i, _ in some[0]][:5] == [i for i, _ in got[0]][:5]
+    assert all(s >= floor[1] - 1e-6 for _, s in some[1])
 
 
 def test_bm25_on_odd_rows(spark, odd_docs, no_docs):
