@@ -9,8 +9,10 @@ at least 0.8.  The steps:
 2. Sets that share a band value are joined to the least set of that value, a
    number of edges in proportion to the rows, and connected components of
    these edges bring all candidates of a set together.  Pairs are never rows.
-3. Inside a component, blocks of bounded size meet block by block.  MinHash
-   values are compared 32 at a time; a pair goes as soon as the posterior
+3. Sets in order of their components and least neighbours are cut into blocks
+   of bounded size.  A block meets itself and the blocks that it shares a band
+   value with; sets of one component are compared.  MinHash values are compared
+   32 at a time; a pair goes as soon as the posterior
    probability (uniform prior) that its similarity reaches the threshold is
    below ``TOLERANCE``.  Pairs left are verified exactly on the shingle sets.
    A task returns, for each set, how many texts it links to and the root of
@@ -37,15 +39,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
-from .common import WORD, Memo, read_table, save, slices, spread, text_key, with_workers
+from ..operators.components import connected_components, global_row_number
+from .common import WORD, Memo, join_hot, read_table, save, slices, spread, text_key, tidy, with_workers
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 BANDS, ROWS, ROUND = 64, 8, 32
 HASHES = BANDS * ROWS
-#: Sets of a block, counting one for each UNIT shingles more; sets of a pack of small components.
-BLOCK, UNIT, PACK = 256, 2000, 1000
-WORDS, SEEN = 150_000, 100_000
+#: Sets of a block, counting one for each UNIT shingles more; blocks of a group; sets numbered together.
+BLOCK, UNIT, PACK, RUN = 256, 2000, 4, 100_000
+#: Bytes of remembered words and of names of sets.
+WORDS, SEEN = 24 << 20, 16 << 20
 
 _random = np.random.Generator(np.random.Philox(key=1))
 _TIMES = _random.integers(0, 1 << 63, 2 * N + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,7 +195,7 @@ def _forest(names: np.ndarray, weights: np.ndarray, i: np.ndarray, j: np.ndarray
 def _verify(least: list[int], threshold: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[str, str, int]] = []
-        for _, comp in group.groupby("comp", sort=False):
+        for _, comp in group.groupby(["comp", "one", "two"], sort=False):
             names, weights = comp["set"].to_numpy(), comp["n"].to_numpy()
             sets = [np.asarray(s, np.int64).view(np.uint64) for s in comp["shingles"]]
             side, (one, two) = comp["block"].to_numpy(), comp[["one", "two"]].iloc[0]
@@ -235,40 +238,59 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("tkey"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return save(rows.mapInArrow(run, f"doc_id {kind}, tkey binary, `set` string, h bigint, units bigint, bands array<bigint>"))
-
-
-def candidates(rows: DataFrame) -> DataFrame:
-    """(h, comp): sets that share a band with another one, and the component
-    of such sets."""
-    keyed = rows.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), "h").repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high")
-    edges = save(keyed.join(shared, "key").where("h > low").select("low", "h").distinct())
-    some = edges.select("h").union(edges.select("low"))
-    return save(connected_components(some, edges, vid="h", src="low", dst="h", canonical=True).withColumnRenamed("component", "comp"))
+    return save(rows.mapInArrow(tidy(run), f"doc_id {kind}, tkey binary, `set` string, h bigint, units bigint, bands array<bigint>"))
+
+
+def candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, h): the band values that sets share, and the sets; and (h, comp,
+    low) of these sets: their component by shared bands, and the least set that
+    one shares a band with."""
+    some = rows.where("bands IS NOT NULL")
+    keyed = some.select(F.explode("bands").alias("key"), "h")
+    shared = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    met = save(join_hot(keyed, shared, ["key"], F.col("n"), BANDS * some.count(), "inner").select("key", "h", "low"))
+    edges = met.where("h > low").select("low", "h").distinct()
+    lows = met.groupBy("h").agg(F.min("low").alias("low"))
+    comps = connected_components(lows.select("h"), edges, vid="h", src="low", dst="h", canonical=True).withColumnRenamed("component", "comp")
+    return met.select("key", "h"), save(comps.join(lows, "h"))
+
+
+def blocks(sets: DataFrame) -> DataFrame:
+    """(set, h, block): sets in order of component and least neighbour, cut
+    into blocks of about ``BLOCK`` units, so that sets that share bands are mostly
+    in one block or few."""
+    ordered = global_row_number(sets.select("set", "h", "units", "comp", "low"), ["comp", "low", "set"], "no")
+    ordered = ordered.withColumn("run", F.floor(F.col("no") / RUN))
+    within = F.sum("units").over(Window.partitionBy("run").orderBy("no"))
+    # One row for each RUN sets.
+    before = F.sum("all").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    sums = ordered.groupBy("run").agg(F.sum("units").alias("all")).select("run", F.coalesce(before, F.lit(0)).alias("before"))
+    upto = ordered.withColumn("upto", within).join(sums, "run")
+    return save(upto.select("set", "h", F.floor((F.col("before") + F.col("upto") - 1) / BLOCK).alias("block")))
 
 
 def _fetched(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """(set, n, units, comp, shingles), one row for each candidate set."""
+    """(set, h, n, units, comp, low, shingles), one row for each candidate
+    set."""
     per_set = rows.where("set IS NOT NULL").groupBy("set", "h").agg(F.count(F.lit(1)).alias("n"), F.max("units").alias("units"), F.min(F.struct("doc_id", "tkey")).alias("one"))
-    picked = save(per_set.join(comps, "h").select("set", "n", "units", "comp", F.col("one.doc_id").alias("_id"), F.col("one.tkey").alias("_tkey")))
+    picked = save(per_set.join(comps, "h").select("set", "h", "n", "units", "comp", "low", F.col("one.doc_id").alias("_id"), F.col("one.tkey").alias("_tkey")))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("tkey"))
-    got = texts.join(picked, (texts["tkey"] == picked["_tkey"]) & texts["doc_id"].eqNullSafe(picked["_id"])).select("set", "n", "units", "comp", "text")
+    got = texts.join(picked, (texts["tkey"] == picked["_tkey"]) & texts["doc_id"].eqNullSafe(picked["_id"])).select("set", "h", "n", "units", "comp", "low", "text")
 
     def run(batches):
         memo, seen = word_hashes(), Memo(lambda k: None, SEEN)
         for batch in slices(batches):
             keep, sets = [], []
-            for k, (name, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            for k, (name, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(6).to_pylist(), strict=True)):
                 if name not in seen:  # repeated rows
                     seen[name]
                     keep.append(k)
                     sets.append(shingles(text, memo).view(np.int64))
             part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.list_(pa.int64()))], ["set", "n", "units", "comp", "shingles"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(sets, pa.list_(pa.int64()))], ["set", "h", "n", "units", "comp", "low", "shingles"])
 
     # A set comes more than once only where equal rows lie in several tasks.
-    return save(got.mapInArrow(run, "`set` string, n bigint, units bigint, comp bigint, shingles array<bigint>").dropDuplicates(["set"]))
+    return save(got.mapInArrow(tidy(run), "`set` string, h bigint, n bigint, units bigint, comp bigint, low bigint, shingles array<bigint>").dropDuplicates(["set"]))
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
@@ -276,17 +298,21 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     link to another set: the class's least set and the number of linked
     texts."""
     rows = sketched(docs, doc_id, text)
-    sets = _fetched(docs, doc_id, text, rows, candidates(rows))
-    comps = sets.groupBy("comp").agg(F.sum("units").alias("all")).select("comp", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
-    units = sets.agg(F.sum("units")).first()[0] or 0
-    packs = max(1, -(-units // PACK))
-    placed = sets.join(comps, "comp").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks").cast("long")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(packs))).otherwise(F.xxhash64("comp", "one", "two"))
-    met = met.select(pack.alias("pack"), "comp", "one", "two", "block", "set", "n", "shingles")
-    met = spread(met, "pack", "one", "two")
-    found = save(met.groupBy("pack", "one", "two").applyInPandas(_verify(least_matches(threshold, tolerance), threshold), "`set` string, root string, links bigint"))
+    keys, comps = candidates(rows)
+    sets = _fetched(docs, doc_id, text, rows, comps)
+    placed = blocks(sets)
+    # Blocks meet that share a band value; a block meets itself.
+    at = keys.join(placed.select("h", "block"), "h").select("key", "block").distinct()
+    one, two = at.withColumnRenamed("block", "one"), at.withColumnRenamed("block", "two")
+    pairs = save(one.join(two, "key").where("one < two").select("one", "two").distinct())
+    held = sets.join(placed.select("set", "block"), "set").select("comp", "block", "set", "n", "shingles")
+    sides = [held.join(pairs, held["block"] == pairs[side]) for side in ("one", "two")]
+    own = held.withColumns({"one": F.col("block"), "two": F.col("block")})
+    met = own.unionByName(sides[0]).unionByName(sides[1])
+    # Blocks that meet themselves share groups, PACK at a time.
+    pack = F.when(F.col("one") == F.col("two"), F.floor(F.col("one") / PACK)).otherwise(F.xxhash64("one", "two"))
+    met = spread(met.withColumn("pack", pack).withColumn("apart", F.col("one") != F.col("two")), "pack", "apart")
+    found = save(met.groupBy("pack", "apart").applyInPandas(_verify(least_matches(threshold, tolerance), threshold), "`set` string, root string, links bigint"))
     count = found.groupBy("set").agg(F.sum("links").alias("links"))
     edges = save(found.where("`set` <> root").select("root", "set").distinct())
     joined = connected_components(found.select("set"), edges, vid="set", src="root", dst="set", canonical=True)
