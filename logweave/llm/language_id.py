@@ -18,6 +18,7 @@ ignored; texts of any length are read whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import numpy as np
@@ -27,14 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, save, slices, unit_hash, with_workers
+from .common import give_back, read_table, save, slices, tidy, unit_hash, with_workers
 
 #: A text in no learned language has a cosine of deviation 1/sqrt(DIM) with a
 #: prototype.
 DIM, SEED, UNKNOWN = 4096, 20, "und"
 #: Texts and characters bundled at a time, trigrams multiplied at a time, and
 #: texts whose bundles are held at a time.
-TEXTS, CHARS, COLUMNS, ROWS = 64, 400_000, 2048, 500
+TEXTS, CHARS, COLUMNS, ROWS = 64, 200_000, 1024, 250
+#: Trigrams of an alphabet that are counted in a table of all of them.
+DENSE = 1 << 18
 #: Training sums are in units of 2**-24.
 UNIT = float(1 << 24)
 
@@ -44,7 +47,7 @@ def _is_letter() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-@lru_cache(4096)
+@lru_cache(1024)
 def letter_vector(code: int) -> np.ndarray:
     """The vector of a letter (0: the blank)."""
     bits = np.random.Generator(np.random.Philox(key=[SEED, code])).integers(0, 2, DIM, dtype=np.int8)
@@ -85,7 +88,7 @@ def _bundle(texts: list[str | None]) -> np.ndarray:
     x, n = place[codes], len(alphabet)
     same = docs[2:] == docs[:-2]
     tri, docs = ((x[:-2] * n + x[1:-1]) * n + x[2:])[same], docs[2:][same]
-    if n**3 <= 1 << 24:
+    if n**3 <= DENSE:
         used = np.flatnonzero(np.bincount(tri, minlength=1))
         at = np.zeros(n**3, np.int64)
         at[used] = np.arange(len(used))
@@ -148,7 +151,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
-    parts = chosen.mapInArrow(sums, "lang string, v array<bigint>")
+    parts = chosen.mapInArrow(tidy(sums), "lang string, v array<bigint>")
     table = save(parts.select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x")))
     got = table.orderBy("lang", "pos").collect()  # DIM numbers for each language
     langs = [r["lang"] for r in got[::DIM]]
@@ -159,9 +162,11 @@ def identifier(langs: list[str], prototypes: np.ndarray):
     """A column function: text to (lang, score)."""
 
     @F.pandas_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
-    def run(text: pd.Series) -> pd.DataFrame:
-        names, score = predict([None if t is None or t != t else t for t in text], langs, prototypes)
-        return pd.DataFrame({"lang": names, "score": score})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in batches:
+            names, score = predict([None if t is None or t != t else t for t in text], langs, prototypes)
+            yield pd.DataFrame({"lang": names, "score": score})
+        give_back()
 
     return run
 

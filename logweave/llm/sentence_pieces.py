@@ -2,10 +2,11 @@
 
 A batch of texts is cut into segments wherever two characters meet that are
 neighbours in no piece, as no piece reaches over such a border and BPE never
-merges there.  The segments that the worker has not met are concatenated and indexed by a suffix array, sorted by as
-many characters as the longest piece has.  Every piece is binary-searched in
-it; the ranges of its occurrences are edges from its first character to the
-one after its last.  Edges sorted by position are then relaxed: an edge is taken
+merges there.  The segments that the worker has not met are concatenated and
+indexed, ``INDEX_CHARS`` characters and the reach of a piece at a time, by a suffix
+array, sorted by as many characters as the longest piece has.  Every piece is
+binary-searched in it; the ranges of its occurrences are edges from its first
+character to the one after its last.  Edges sorted by position are then relaxed: an edge is taken
 if the piece that ends where it starts is known and BPE, given the bytes of
 both, yields just these two.  That holds for exactly one edge into each
 position, as a sequence is BPE's result if and only if each two neighbours
@@ -14,14 +15,17 @@ are, so the chain back from a segment's end is the exact encoding.
 Characters outside the vocabulary become the bytes of their UTF-8 form.
 
 Defined cases: null text gives null ids, the empty text no ids; repeated rows
-stay; an empty table gives no rows; other columns are carried along.  Texts of
+stay; an empty table gives no rows; other columns are carried along, but a column of
+the name of an added one is replaced.  Texts of
 any length are encoded whole.  Decoding gives the text back, but a literal word
 mark (U+2581) comes back as a blank, as with the library.
 """
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -30,12 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, read_table, with_workers
+from .common import Memo, read_table, slices, tidy, with_workers
 from .token_counts import tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-SEGMENTS, PAIRS, BATCH_CHARS = 300_000, 300_000, 2_000_000
+#: Bytes of remembered segments and pairs, characters cut into segments at a
+#: time, characters indexed at a time, edges relaxed at a time.
+SEGMENTS, PAIRS, BATCH_CHARS, INDEX_CHARS, EDGES = 56 << 20, 40 << 20, 500_000, 200_000, 50_000
+#: Rows handled at a time.
+SLICE = 500
 #: Numbers above all pieces: characters outside the vocabulary, and nothing.
 OUTSIDE, NOTHING = 1 << 21, (1 << 22) - 1
 
@@ -119,6 +127,7 @@ class Pieces:
         for r, i in enumerate(ids):
             self.points[r, : self.lengths[r]] = [ord(c) for c in self.text[i]]
         letters = np.unique(self.points[self.points > 0])
+        self.points = self.points.astype(np.int32)
         self.letter = np.zeros(0x110000, np.int32)
         self.letter[letters] = np.arange(1, len(letters) + 1)
         self.joined = np.zeros((len(letters) + 1, len(letters) + 1), bool)
@@ -127,6 +136,7 @@ class Pieces:
         self.joined[0], self.joined[:, 0] = False, False
         self.agrees = Memo(self._agrees, PAIRS)
         self.encoded: dict[str, bytes] = {}
+        self.held = 0
 
     def _merged(self, text: str) -> list[str]:
         """BPE by its definition: the best-scored pair first, the left one
@@ -153,7 +163,7 @@ class Pieces:
         character outside the vocabulary, by position.  0 separates."""
         inside = self.letter[codepoints] > 0
         points = np.unique(codepoints[inside])
-        rank = np.zeros(0x110000, np.int64)
+        rank = np.zeros(0x110000, np.int32)
         rank[points] = np.arange(1, len(points) + 1)
         words = rank[self.points]
         there = np.flatnonzero(((words > 0) | (self.points == 0)).all(axis=1))
@@ -182,17 +192,22 @@ class Pieces:
             begins.append(at)
             at += len(s) + 1
         # A NUL of the text is a character, not a border: only the borders become 0.
-        codes = np.where(codepoints == 0, 0x10FFFF, codepoints).astype(np.int64)
+        codes = np.where(codepoints == 0, 0x10FFFF, codepoints).astype(np.int32)
         codes[np.array(begins[1:], dtype=np.int64) - 1] = 0
-        start, end, piece = self._edges(codes)
-        last, back = [-1] * (at + 1), [0] * (at + 1)
+        last, back = array("i", [-1]) * (at + 1), array("i", [0]) * (at + 1)
         for b in begins:
             last[b] = NOTHING
         agrees = self.agrees
-        for s, e, p in zip(start.tolist(), end.tolist(), piece.tolist(), strict=True):
-            left = last[s]
-            if left >= 0 and last[e] < 0 and agrees[left << 22 | p]:
-                last[e], back[e] = p, s
+        for a in range(0, len(codes), INDEX_CHARS):
+            # Edges that start in this span; a piece may reach beyond it.
+            start, end, piece = self._edges(codes[a : a + INDEX_CHARS + self.depth])
+            upto = np.searchsorted(start, INDEX_CHARS)
+            for k in range(0, upto, EDGES):
+                part = slice(k, min(k + EDGES, upto))
+                for s, e, p in zip((start[part] + a).tolist(), (end[part] + a).tolist(), piece[part].tolist(), strict=True):
+                    left = last[s]
+                    if left >= 0 and last[e] < 0 and agrees[left << 22 | p]:
+                        last[e], back[e] = p, s
         for b, s in zip(begins, segments, strict=True):
             ids, e = [], b + len(s)
             while e > b:
@@ -202,7 +217,8 @@ class Pieces:
                 else:
                     ids.append(last[e])
                 e = a
-            self.encoded[s] = np.array(ids[::-1], np.int32).tobytes()
+            made = self.encoded[s] = np.array(ids[::-1], np.int32).tobytes()
+            self.held += sys.getsizeof(s) + sys.getsizeof(made) + Memo.ENTRY
 
     def segments(self, texts: list[str]) -> list[list[str]]:
         """Each text cut where no piece has its two neighbours side by side."""
@@ -222,9 +238,9 @@ class Pieces:
         for first, upto in _spans(texts):
             cut = self.segments([self.normalize(t or "") for t in texts[first:upto]])
             new = {s for c in cut for s in c if s not in self.encoded}
-            if len(new) + len(self.encoded) > SEGMENTS:
+            if self.held > SEGMENTS:
                 self.encoded.clear()
-                new = {s for c in cut for s in c}
+                self.held, new = 0, {s for c in cut for s in c}
             if new:
                 self.learn(sorted(new))
             out += [None if t is None else b"".join(map(self.encoded.__getitem__, c)) for t, c in zip(texts[first:upto], cut, strict=True)]
@@ -252,18 +268,19 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _added(df: DataFrame, text: str, fields: list[T.StructField], make) -> DataFrame:
-    """``df`` and columns that ``make`` gives for a list of its values."""
+def _added(df: DataFrame, text: str, fields: list[T.StructField], make, path: str) -> DataFrame:
+    """``df`` and columns that ``make`` gives for a list of its values, in
+    place of columns of the same names."""
     with_workers(df.sparkSession)
-    at = df.columns.index(text)
+    names = [f.name for f in fields]
+    at, keep = df.columns.index(text), [i for i, c in enumerate(df.columns) if c not in names]
 
     def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                yield pa.RecordBatch.from_arrays([*part.columns, *make(part.column(at))], [*part.schema.names, *[f.name for f in fields]])
+        for part in slices(batches, SLICE):
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], *make(part.column(at))], [*[df_names[i] for i in keep], *names])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    df_names = df.columns
+    return df.mapInArrow(tidy(run), T.StructType([*[df.schema.fields[i] for i in keep], *fields]))
 
 
 def _id_lists(encoded: list[bytes | None]) -> pa.Array:
@@ -275,13 +292,13 @@ def _id_lists(encoded: list[bytes | None]) -> pa.Array:
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL) -> DataFrame:
     """``df`` with the ids of every text."""
     path = tokenizer_path(model)
-    return _added(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], lambda col: [_id_lists(pieces(path).encode(col.to_pylist()))])
+    return _added(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], lambda col: [_id_lists(pieces(path).encode(col.to_pylist()))], path)
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
     """``df`` with the text of every list of ids."""
     path = tokenizer_path(model)
-    return _added(df, ids, [T.StructField(text, T.StringType())], lambda col: [pa.array([None if x is None else pieces(path).decode(x) for x in col.to_pylist()], pa.string())])
+    return _added(df, ids, [T.StructField(text, T.StringType())], lambda col: [pa.array([None if x is None else pieces(path).decode(x) for x in col.to_pylist()], pa.string())], path)
 
 
 def digest(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
@@ -300,7 +317,7 @@ def digest(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
             pa.array(back, pa.bool_()),
         ]
 
-    return _added(df, text, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())], make)
+    return _added(df, text, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())], make, path)
 
 
 def query(spark, sf_dir):

@@ -13,7 +13,9 @@ meets (bounded).  Counts of prefixes that end inside a run of white space, a
 contraction or a special string follow the cut text, not the whole one.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows
-stay; an empty table gives no rows; other columns are ignored; texts of any
+stay; an empty table gives no rows; other columns are ignored by the counts and
+carried along by ``prefix_table`` and ``truncate``, which replace a column of the
+name that they add; texts of any
 length are processed whole, in time in proportion to their length.
 """
 
@@ -33,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, read_table, utf8_bytes, with_workers
+from .common import Memo, read_table, slices, tidy, utf8_bytes, with_workers
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the pattern of this kind of tokenizer.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-PIECES, PAIRS = 600_000, 500_000
+#: Bytes of remembered pieces and pairs.
+PIECES, PAIRS = 64 << 20, 40 << 20
 NONE, NO_RANK = -1, 1 << 60
 EARLY = re.compile(r"[\x00-\u04FF]*").fullmatch
 LATE, category = regex.compile(r"[^\x00-\u04FF]").findall, unicodedata.ucd_3_2_0.category
@@ -201,17 +204,19 @@ def splitter(path: str):
     return Tokenizer.from_file(path).pre_tokenizer
 
 
-def _mapped(df: DataFrame, text: str, name: str, kind: T.DataType, arrow: pa.DataType, make) -> DataFrame:
-    """``df`` with a column made from each text by a worker's counter."""
+def _mapped(df: DataFrame, text: str, name: str, kind: T.DataType, arrow: pa.DataType, make, path: str) -> DataFrame:
+    """``df`` with a column made from each text by a worker's counter, in
+    place of one of the same name."""
     with_workers(df.sparkSession)
-    at = df.columns.index(text)
+    at, names = df.columns.index(text), df.columns
+    keep = [i for i, c in enumerate(names) if c != name]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             made = pa.array([make("" if x is None else x) for x in batch.column(at).to_pylist()], arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], made], [*[names[i] for i in keep], name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
+    return df.mapInArrow(tidy(run), T.StructType([*[df.schema.fields[i] for i in keep], T.StructField(name, kind)]))
 
 
 def token_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = 512, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -227,18 +232,18 @@ def _counted(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         count = counter(path).count
-        for batch in batches:
+        for batch in slices(batches):
             n = pa.array([0 if x is None else count(x) for x in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n], ["doc_id", "n_bytes", "n_tokens"])
 
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return rows.select("doc_id", "text", utf8_bytes(F.col("text")).alias("n_bytes")).mapInArrow(run, schema)
+    return rows.select("doc_id", "text", utf8_bytes(F.col("text")).alias("n_bytes")).mapInArrow(tidy(run), schema)
 
 
 def prefix_table(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``df`` with ``prefix_tokens``: the count of every prefix, by characters."""
     path = tokenizer_path(tokenizer)
-    return _mapped(df, text, "prefix_tokens", T.ArrayType(T.LongType()), pa.list_(pa.int64()), lambda x: counter(path).prefix_counts(x).tolist())
+    return _mapped(df, text, "prefix_tokens", T.ArrayType(T.LongType()), pa.list_(pa.int64()), lambda x: counter(path).prefix_counts(x).tolist(), path)
 
 
 def truncate(df: DataFrame, budget: int, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -249,7 +254,7 @@ def truncate(df: DataFrame, budget: int, text: str = "text", tokenizer: str = TO
         c = counter(path)
         return x if c.count(x) <= budget and len(x) == 0 else x[: c.cut(x, budget)]
 
-    return _mapped(df, text, "cut_text", T.StringType(), pa.string(), make)
+    return _mapped(df, text, "cut_text", T.StringType(), pa.string(), make, path)
 
 
 def query(spark, sf_dir):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, Memo, read_table, save, slices, unit_hash, with_workers
+from .common import WORD, Memo, give_back, read_table, save, slices, tidy, unit_hash, with_workers
 
 #: Lengths of word beginnings, grades of toxic texts, and the probability from which a text is toxic.
 PREFIXES, GRADES, CUT = (4, 5, 6), 3, 0.3
@@ -44,8 +44,8 @@ PREFIXES, GRADES, CUT = (4, 5, 6), 3, 0.3
 LEAST_DOCS, LEAST_CHI, TELLING = 5, 25.0, 10.0
 #: Passes and remembered steps of L-BFGS, and its ridge.
 STEPS, MEMORY, RIDGE = 60, 10, 1e-5
-#: Words that a worker remembers.
-WORDS = 150_000
+#: Bytes of the words that a worker remembers.
+WORDS = 24 << 20
 #: Sums are rounded to 2**-32.
 UNIT = float(1 << 32)
 
@@ -105,7 +105,7 @@ def _vocabulary(sample: DataFrame, max_features: int) -> tuple[dict[str, int], s
     between toxic and clean texts, and the telling ones among them."""
 
     def counts(batches):
-        for batch in batches:
+        for batch in slices(batches):
             seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
             memo = Memo(features_of, WORDS)
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -114,7 +114,7 @@ def _vocabulary(sample: DataFrame, max_features: int) -> tuple[dict[str, int], s
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())], ["feature", "a", "b"])
 
     n1, n0 = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
-    sums = sample.select("text", "toxic").mapInArrow(counts, "feature string, a bigint, b bigint").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = sample.select("text", "toxic").mapInArrow(tidy(counts), "feature string, a bigint, b bigint").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(n1 + n0)
     chi = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n - a - b + 1) * n1 * n0)
     best = sums.where(F.col("a") + F.col("b") >= LEAST_DOCS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "feature").limit(max_features)
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             load = [float(sum(map(told.__getitem__, set(WORD.findall(t.lower()))))) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(load), pa.array([_numbers(t, memo) for t in texts], pa.list_(pa.int32()))], ["toxic", "load", "features"])
 
-    rows = sample.mapInArrow(read, "toxic int, load double, features array<int>")
+    rows = sample.mapInArrow(tidy(read), "toxic int, load double, features array<int>")
     rows = save(rows)
     cuts = rows.where("toxic = 1").agg(F.percentile("load", F.array(*[F.lit(k / GRADES) for k in range(1, GRADES)]))).first()[0]
     grade = F.when(F.col("toxic") == 0, 0).otherwise(1 + sum(((F.col("load") > c).cast("int") for c in cuts), F.lit(0))).cast("int")
@@ -230,6 +230,8 @@ def scorer(model: SeverityModel | None):
             if model:
                 e, p = severity([_numbers(t if isinstance(t, str) else None, memo) for t in text], model)
             yield pd.DataFrame({"severity": e, "p_toxic": p})
+        del memo
+        give_back()
 
     return run
 

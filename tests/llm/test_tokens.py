@@ -116,3 +116,45 @@ def test_encode_decode_and_digest_on_odd_rows(odd_docs, no_docs):
             ids = np.array(processor().encode(r["text"]), np.int32)
             assert (r["n_tokens"], r["ids_crc32"], r["round_trip"]) == (len(ids), zlib.crc32(ids.tobytes()), True)
     assert sentence_pieces.encode(no_docs).count() == 0
+
+
+def test_columns_of_the_added_names_are_replaced(spark):
+    df = spark.createDataFrame([("one two", 1, 2, 3, 4, 5, True, 6), (None, 1, 2, 3, 4, 5, True, 6)], "text string, ids int, n_tokens int, cut_text int, prefix_tokens int, ids_crc32 int, round_trip boolean, decoded int")
+    with_ids = sentence_pieces.encode(df)
+    assert set(with_ids.columns) == set(df.columns) and with_ids.schema["ids"].dataType.typeName() == "array"
+    assert [r["decoded"] for r in sentence_pieces.decode(with_ids).collect()] == ["one two", None]
+    got = sentence_pieces.digest(df).collect()
+    assert got[0]["n_tokens"] == len(with_ids.collect()[0]["ids"]) and got[0]["round_trip"] is True and got[0]["ids"] == 1
+    assert [r["cut_text"] for r in token_counts.truncate(df, 1).collect()] == ["one", ""]
+    assert token_counts.prefix_table(df).collect()[0]["prefix_tokens"][-1] == 2
+
+
+def test_memory_of_a_very_long_text_is_bounded():
+    """A worker that encodes a text of two million characters."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource, numpy
+from logweave.llm import sentence_pieces as op
+rng = random.Random(1)
+words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 12))) for _ in range(60000)]
+text = " ".join(rng.choice(words) for _ in range(270000))
+p = op.pieces(op.tokenizer_path(op.MODEL))
+import sentencepiece
+got = numpy.frombuffer(p.encode([text])[0], numpy.int32).tolist()
+print(len(text), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+assert got == sentencepiece.SentencePieceProcessor(model_file=op.tokenizer_path(op.MODEL)).encode(text)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 1_900_000 and int(out[1]) < 400
+
+
+def test_spans_of_the_index_meet(monkeypatch):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcde thr ") for _ in range(4000))
+    want = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.tokenizer_path(sentence_pieces.MODEL)).encode(text)
+    monkeypatch.setattr(sentence_pieces, "INDEX_CHARS", 97)
+    monkeypatch.setattr(sentence_pieces, "EDGES", 13)
+    p = sentence_pieces.Pieces(sentence_pieces.tokenizer_path(sentence_pieces.MODEL))
+    assert np.frombuffer(p.encode([text])[0], np.int32).tolist() == want
