@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.jsonfields import json_aliased
-from ..functions.text import col_of, is_blank, java_trim, json_escape_full, unescape_reply_text
+from ..functions.text import col_of, is_blank, java_trim, json_escape_full, once, unescape_reply_text
 
 
 def sample_lines(assigned: DataFrame, k: int = fixed.MAX_LINES_PER_CLUSTER,
@@ -94,25 +94,35 @@ def parse_reply(text: str | Column) -> Column:
     Blank text -> "Empty reply"; no braces -> "Malformed LLM response" with
     the reply as root cause; both carry the heuristic prefix and 0.0.
     """
-    t = col_of(text)
-    cleaned = java_trim(F.replace(F.replace(t, F.lit(fixed.CODE_FENCES[0]), F.lit("")), F.lit(fixed.CODE_FENCES[1]), F.lit("")))
-    start = F.instr(cleaned, "{")
-    rpos = F.instr(F.reverse(cleaned), "}")
-    end = F.length(cleaned) - rpos + 1
-    ok = (start > 0) & (rpos > 0) & (end >= start)
-    block = cleaned.substr(start, end - start + 1)
-    f = json_aliased(block, _REPLY_SPEC)
-    conf = F.coalesce(java_trim(f["confidenceScore"]).try_cast("double"), F.lit(1.0))
-    clamped = F.when(F.isnan(conf), conf).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)))
     pre = fixed.HEURISTIC_PREFIX
     er, mr = fixed.EMPTY_REPLY, fixed.MALFORMED_REPLY
     empty = F.struct(F.lit(pre + er[0]).alias("error_pattern"), F.lit(er[1]).alias("root_cause"),
                      F.lit(er[2]).alias("fix_suggestion"), F.lit(float(er[3])).alias("confidence_score"))
-    malformed = F.struct(F.lit(pre + mr[0]).alias("error_pattern"), t.alias("root_cause"),
-                         F.lit(mr[1]).alias("fix_suggestion"), F.lit(float(mr[2])).alias("confidence_score"))
-    good = F.struct(f["errorPattern"].alias("error_pattern"), f["rootCause"].alias("root_cause"),
-                    f["fixSuggestion"].alias("fix_suggestion"), clamped.alias("confidence_score"))
-    return F.when(is_blank(t), empty).when(~ok, malformed).otherwise(good)
+
+    # Every step is named several times by the next one and worked out once.
+    def clamped(conf):
+        return F.when(F.isnan(conf), conf).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)))
+
+    def good(f):
+        conf = F.coalesce(java_trim(f["confidenceScore"]).try_cast("double"), F.lit(1.0))
+        return F.struct(f["errorPattern"].alias("error_pattern"), f["rootCause"].alias("root_cause"),
+                        f["fixSuggestion"].alias("fix_suggestion"), once(conf, clamped).alias("confidence_score"))
+
+    def block(t, cleaned):
+        start = F.instr(cleaned, "{")
+        rpos = F.instr(F.reverse(cleaned), "}")
+        end = F.length(cleaned) - rpos + 1
+        ok = (start > 0) & (rpos > 0) & (end >= start)
+        malformed = F.struct(F.lit(pre + mr[0]).alias("error_pattern"), t.alias("root_cause"),
+                             F.lit(mr[1]).alias("fix_suggestion"), F.lit(float(mr[2])).alias("confidence_score"))
+        found = once(cleaned.substr(start, end - start + 1), lambda b: once(json_aliased(b, _REPLY_SPEC), good))
+        return F.when(~ok, malformed).otherwise(found)
+
+    def parsed(t):
+        cleaned = java_trim(F.replace(F.replace(t, F.lit(fixed.CODE_FENCES[0]), F.lit("")), F.lit(fixed.CODE_FENCES[1]), F.lit("")))
+        return F.when(is_blank(t), empty).otherwise(once(cleaned, lambda c: block(t, c)))
+
+    return once(col_of(text), parsed)
 
 
 def replies_from_conversations(conversations: DataFrame) -> DataFrame:
