@@ -184,3 +184,55 @@ def test_pairs_near_the_pivot_meet(spark):
         got = {(r[0], r[1]) for r in similar_pairs(df, "id", "v", t, block_size=1).collect()}
         missed += [(k, p) for p in {(x[0], x[1]) for x in exact} - got]
     assert not missed
+
+
+def test_a_vector_is_sent_a_bounded_number_of_times(spark):
+    """Blocks grow with the input: the smallest ones asked for don't multiply the rows."""
+    from logweave.operators.similarity import MEETS, _block_groups
+
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    assert _block_groups(e, "vec_id", "embedding", 0.3, 4, None).count() <= MEETS * e.count()
+
+
+def test_a_row_twice_is_no_pair():
+    import pandas as pd
+
+    from logweave.operators.similarity import _block_pairs
+
+    v = [np.array([1, 0], np.float32), np.array([1, 0.1], np.float32)]
+    pdf = pd.DataFrame({"_id": [1, 2, 1, 3], "_v": [v[0], v[1], v[0], v[1]], "_side": [0, 0, 1, 1]})
+    got = _block_pairs(0.9)(pdf)
+    assert sorted(zip(got["i"], got["j"])) == [(1, 2), (1, 3), (2, 3)]
+    assert _block_pairs(0.9, count=True)(pdf)["n"].tolist() == [3]
+
+
+def test_approx_quality_without_moving_pairs(spark):
+    """Pairs come once although they share several bands, no exchange has
+    them, and the counts are those of the joined pairs."""
+    from logweave.operators.similarity import approx_quality
+
+    rng = np.random.default_rng(5)
+    vecs = (rng.normal(size=(30, 16))[rng.integers(0, 30, 600)] + 0.3 * rng.normal(size=(600, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "id long, v array<float>").cache()
+    found = similar_pairs_approx(df, "id", "v", 0.7, recall=0.9, bits=6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "partitioning(i#" not in plan and "keys=[i#" not in plan
+    exact = {(r.i, r.j) for r in similar_pairs(df, "id", "v", 0.7).collect()}
+    got = [(r.i, r.j) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) <= exact and 0.9 * len(exact) <= len(got)
+    assert tuple(approx_quality(df, found, "id", "v", 0.7, 64).first()) == (len(exact), 0, len(got))
+    wrong = spark.createDataFrame([(1, 2, 0.1), (4, 3, 0.9), (5, 6, None), (7, 8, 0.9)], "i long, j long, cosine double")
+    assert tuple(approx_quality(df, wrong, "id", "v", 0.7).first()) == (len(exact), 3, 1)
+
+
+def test_counts_of_odd_lengths(spark):
+    """Lengths beyond those of float products are counted as they are paired."""
+    big = [[1e30, 1e30], [1e30, 2e30], [1e-30, 1e-30], [2e-30, 1e-30], [1.0, 1.0], [0.0, 0.0], [1.0, 1.1]]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(big)], "id long, v array<float>")
+    assert count_similar_pairs(df, "id", "v", 0.5).first()["n"] == similar_pairs(df, "id", "v", 0.5).count() == 1
+
+
+def test_quality_of_templates_and_vectors(spark):
+    from logweave.plans.queries import QUERIES
+
+    assert sorted(r.vectors for r in QUERIES["approx_pairs_quality"](spark, SF_SMALL).collect()) == ["embeddings", "templates"]
