@@ -120,9 +120,9 @@ def parse_reply(text: str | Column) -> Column:
 
     def parsed(t):
         cleaned = java_trim(F.replace(F.replace(t, F.lit(fixed.CODE_FENCES[0]), F.lit("")), F.lit(fixed.CODE_FENCES[1]), F.lit("")))
-        return F.when(is_blank(t), empty).otherwise(once(cleaned, lambda c: block(t, c)))
+        return once(cleaned, lambda c: block(t, c))
 
-    return once(col_of(text), parsed)
+    return F.when(is_blank(text), empty).otherwise(once(col_of(text), parsed))
 
 
 def replies_from_conversations(conversations: DataFrame) -> DataFrame:
