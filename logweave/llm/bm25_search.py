@@ -1,10 +1,11 @@
 """Exact BM25 top-k by an inverted index with block maxima: block-max WAND, a
 block of documents at a time.
 
-Every task turns its documents into inverted indexes of bounded size; some of
-these parts make a shard of about ``POSTINGS`` postings.  A shard numbers its
-documents by falling length and holds, for each term, documents and term
-frequencies, and the greatest impact in every block of ``BLOCK`` documents.
+Every task turns its documents into inverted indexes of bounded size; parts that
+are read together make a shard of at most ``POSTINGS`` postings, so the index is
+never shuffled.  A shard numbers its documents by falling length and holds, for
+each term, documents and term frequencies, and the greatest impact in every block
+of ``BLOCK`` documents.
 
 WAND moves the cursors of a query's lists to the next pivot, the first document
 for which the lists' bounds add up to the present k-th score; with block maxima, a
@@ -13,9 +14,15 @@ block: the maxima of all lists are added up for every aligned block (for many
 queries by one matrix product), the cursors of all lists stop only in
 blocks whose sum reaches the k-th score so far, and documents are scored there
 and nowhere else.  The blocks of the longest documents come first and raise the
-k-th score early.  A query is answered by one shard first, and its k-th score
-there is where the others begin.  Nothing that could enter the result is
-dropped, so the result is exact.
+k-th score early.  A task answers its queries by one shard after the other, and the
+k-th score so far is where the next shard begins.  Nothing that could enter the
+result is dropped, so the result is exact.
+
+Every query meets every shard, but no row is written for that: queries are packed
+into bundles, and a task reads some shards and a group of bundles from the two
+tables where they were written once.  The more groups of queries there are, the
+more shards a task takes, so that it returns its queries' k best of all of these,
+and what is written grows with the input, not with queries times shards.
 
 A shard needs no statistics of others: it scores with the query's weights
 (document frequencies summed over all shards) and the average length over all
@@ -41,18 +48,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.components import global_row_number
-from .common import WORD, Memo, read_table, save, slices, tidy, with_workers
+from .common import WORD, Memo, read_table, save, scratch, slices, tidy, with_workers
 
 K1, B = 1.2, 0.75
 #: Documents of a block, blocks looked at together, and slack for sums in another order.
 BLOCK, STEP, EPS = 64, 8, 1e-9
-#: Postings of a shard, queries answered at a time, queries of a task, bytes of remembered words.
-POSTINGS, AT_ONCE, QUERIES, WORDS = 4_000_000, 256, 50_000, 32 << 20
+#: Postings of a shard, queries answered at a time, words of a bundle and of a task's queries, bytes of remembered words.
+POSTINGS, AT_ONCE, BUNDLE, GROUP, WORDS = 4_000_000, 256, 500_000, 2_000_000, 32 << 20
 #: Lists of at least this share of a shard's documents are kept as full rows.
 DENSE = 1 / 8
 PARTS = "n_docs bigint, n_words bigint, n_postings bigint, ids binary, lengths binary, terms binary, first binary, docs binary, tfs binary"
 PART_NAMES = [c.split()[0] for c in PARTS.split(", ")]
+BUNDLES = "query_ids binary, counts binary, query_terms binary, idfs binary"
+BUNDLE_NAMES = [c.split()[0] for c in BUNDLES.split(", ")]
 
 
 def term_hashes() -> Memo:
@@ -85,6 +93,15 @@ class Shard:
     def row(self) -> list:
         return [len(self.ids), int(self.lengths.sum()), len(self.docs), self.ids.tobytes(), small(self.lengths), self.terms.tobytes(), self.first.astype(np.int64).tobytes(), small(self.docs), small(self.tfs)]
 
+    @classmethod
+    def read(cls, row: dict) -> Shard:
+        """As it was before ``row``."""
+        made = cls.__new__(cls)
+        made.ids, made.lengths = np.frombuffer(row["ids"], np.int64), large(row["lengths"], row["n_docs"])
+        made.terms, made.first = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["first"], np.int64)
+        made.docs, made.tfs = large(row["docs"], row["n_postings"]), large(row["tfs"], row["n_postings"])
+        return made
+
     @classmethod
     def merged(cls, rows: list[dict]) -> Shard:
         """Of several parts; documents are numbered anew, the longest first, so
@@ -108,6 +125,7 @@ class Shard:
     def weigh(self, average: float) -> None:
         """Impacts without idf, and their greatest in every block."""
         norm = K1 * (1 - B + B * self.lengths / (average or 1.0))
+        self.docs = self.docs.astype(np.int64)  # as bincount and take want them
         self.impacts = self.tfs * (K1 + 1) / (self.tfs + norm[self.docs])
         n = len(self.ids)
         self.n_blocks = -(-n // BLOCK)
@@ -121,12 +139,6 @@ class Shard:
             self.rows[r, self.docs[a:b]] = self.impacts[a:b]
         self.row_max = self.rows.reshape(len(self.often), self.n_blocks, BLOCK).max(axis=2)
 
-    def _postings(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the postings of several lists, and the list of each."""
-        a, n = self.first[lists], self.first[lists + 1] - self.first[lists]
-        which = np.repeat(np.arange(len(lists)), n)
-        return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n), which
-
     def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, floor: np.ndarray | None = None) -> list[list[tuple[int, float]]]:
         """The k best (id, score) of this shard for each query (terms, idfs).
         ``floor`` is a score that at least k documents of other shards reach:
@@ -143,8 +155,13 @@ class Shard:
             row = self.row_of[at]
             weights[q, row[row >= 0]] = idf[row >= 0]
             # Rare lists have few postings: these are added up at once.
-            place, which = self._postings(at[row < 0])
-            light[q] = np.bincount(self.docs[place], idf[row < 0][which] * self.impacts[place], minlength=size)
+            at, idf = at[row < 0], idf[row < 0]
+            a, long = self.first[at], self.first[at + 1] - self.first[at]
+            place = np.repeat(a - (np.cumsum(long) - long), long)
+            place += np.arange(len(place))
+            weight = np.repeat(idf, long)
+            weight *= self.impacts.take(place)
+            light[q] = np.bincount(self.docs.take(place), weight, minlength=size)
         # What a document of a block can have at most: maxima of the frequent lists, and of what the rare ones give.
         bound = weights @ self.row_max + light.reshape(m, self.n_blocks, BLOCK).max(axis=2)
         best = np.zeros((m, k)) if floor is None else np.repeat(floor[:, None], k, axis=1)
@@ -176,9 +193,16 @@ class Shard:
         return out
 
 
+def _batch(values: list, names: list[str]) -> pa.RecordBatch:
+    """One row of numbers and bytes."""
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in values], names)
+
+
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", postings: int | None = None) -> DataFrame:
-    """The inverted index as a table of parts and the shards they belong to,
-    written once."""
+    """The inverted index as a table of shards, a row each, written once.
+
+    Tasks write parts of half a shard at most; what is left of many small tasks
+    is read by fewer, which merge it.  Nothing is shuffled, and the parts go."""
     with_workers(docs.sparkSession)
     postings = postings or POSTINGS
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -192,7 +216,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pos
             made = Shard(np.array(ids, np.int64), np.array(lengths, np.int64), np.concatenate(terms), docs, np.concatenate(tfs))
             for x in (ids, lengths, terms, tfs):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 3 else pa.binary()) for i, v in enumerate(made.row())], PART_NAMES)
+            return _batch(made.row(), PART_NAMES)
 
         held = 0
         for batch in slices(batches):
@@ -210,12 +234,23 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pos
         if ids:
             yield part()
 
-    parts = save(rows.mapInArrow(tidy(run), PARTS).withColumn("part", F.monotonically_increasing_id()))
-    n, total = parts.agg(F.count(F.lit(1)), F.sum("n_postings")).first()
-    # So many parts make a shard; a part is half a shard at most.
-    per = max(1, round(postings * n / total)) if total else 1
-    numbered = global_row_number(parts.select("part"), ["part"], "no")
-    return parts.join(numbered.select("part", F.floor((F.col("no") - 1) / per).alias("shard")), "part")
+    def merge(batches):
+        parts, held = [], 0
+        for batch in slices(batches, 1):
+            part = batch.to_pylist()[0]
+            if parts and held + part["n_postings"] > postings:
+                yield _batch(Shard.merged(parts).row(), PART_NAMES)
+                parts, held = [], 0
+            parts.append(part)
+            held += part["n_postings"]
+        if parts:
+            yield _batch(Shard.merged(parts).row(), PART_NAMES)
+
+    with scratch():
+        parts = save(rows.mapInArrow(tidy(run), PARTS))
+        total = parts.agg(F.sum("n_postings")).first()[0] or 0
+        merged = parts.coalesce(max(1, round(total / postings))).mapInArrow(tidy(merge), PARTS)
+        return save(merged.withColumn("shard", F.monotonically_increasing_id()))
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
@@ -230,7 +265,7 @@ def document_frequencies(index: DataFrame) -> DataFrame:
 
 
 def _weighted(queries: DataFrame, index: DataFrame, n_docs: int, query_id: str, text: str) -> DataFrame:
-    """(query_id, terms, idfs) of every query, written once."""
+    """(query_id, query_terms, idfs) of every query."""
     rows = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(text).alias("text")).where("query_id IS NOT NULL AND text IS NOT NULL")
 
     def run(batches):
@@ -242,64 +277,83 @@ def _weighted(queries: DataFrame, index: DataFrame, n_docs: int, query_id: str,
     terms = rows.mapInArrow(tidy(run), "query_id bigint, terms array<bigint>").select("query_id", F.explode("terms").alias("term")).distinct()
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(document_frequencies(index), "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t"))
-    return save(weighted.select("query_id", F.col("t.term").alias("query_terms"), F.col("t.idf").alias("idfs")))
+    return weighted.select("query_id", F.col("t.term").alias("query_terms"), F.col("t.idf").alias("idfs"))
 
 
-def _answered(index: DataFrame, asked: DataFrame, shards: int, groups: int, average: float, k: int) -> DataFrame:
-    """(query_id, doc_id, score) of queries (query_id, group, query_terms,
-    idfs, floor, shard).  A task gets the parts of a shard, then its queries, some
-    at a time."""
-    to = (F.col("shard") * groups + F.col("group")).cast("int")
-    held = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(to.alias("to"), F.lit(0).alias("kind"), *PART_NAMES)
-    sent = asked.select(to.alias("to"), F.lit(1).alias("kind"), "query_id", "query_terms", "idfs", "floor")
-    rows = held.unionByName(sent, allowMissingColumns=True).repartitionById(shards * groups, F.col("to")).sortWithinPartitions("to", "kind")
+def _bundled(asked: DataFrame) -> tuple[DataFrame, int]:
+    """Queries in bundles of about ``BUNDLE`` words, a row each, written once in
+    groups of about ``GROUP`` words, and the number of groups."""
 
     def run(batches):
-        parts, shard, at = [], None, None
+        ids, terms, idfs, held = [], [], [], 0
+
+        def bundle():
+            counts = np.array([len(t) for t in terms], np.int64)
+            made = [np.array(ids, np.int64), counts, np.concatenate(terms), np.concatenate(idfs)]
+            for x in (ids, terms, idfs):
+                x.clear()
+            return _batch([x.tobytes() for x in made], BUNDLE_NAMES)
+
         for batch in slices(batches, AT_ONCE):
-            key, kind = batch.column("to").to_numpy(), batch.column("kind").to_numpy()
-            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(kind) != 0)) + 1
-            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-                part = batch.slice(a, z - a)
-                if key[a] != at:
-                    parts, shard, at = [], None, key[a]
-                if kind[a] == 0:
-                    parts += part.select(PART_NAMES).to_pylist()
-                    continue
-                if shard is None and parts:
-                    shard, parts = Shard.merged(parts), []
-                    shard.weigh(average)
-                if shard is None:
-                    continue
-                lists = (part.column(c) for c in ("query_terms", "idfs"))
-                queries = [(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(*lists, strict=True)]
-                found = shard.top(queries, k, part.column("floor").to_numpy())
-                ids = np.repeat(part.column("query_id").to_numpy(), [len(f) for f in found])
-                flat = [x for f in found for x in f]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.float64())], ["query_id", "doc_id", "score"])
+            for i, t, w in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                ids.append(i)
+                terms.append(t.values.to_numpy())
+                idfs.append(w.values.to_numpy())
+                held += len(terms[-1])
+                if held >= BUNDLE:
+                    yield bundle()
+                    held = 0
+        if ids:
+            yield bundle()
+
+    with scratch():
+        asked = save(asked)
+        words = asked.agg(F.sum(F.size("query_terms"))).first()[0] or 0
+        groups = max(1, -(-words // GROUP))
+        bundles = asked.repartition(groups, "query_id").mapInArrow(tidy(run), BUNDLES)
+        return save(bundles.withColumn("bundle", F.monotonically_increasing_id())), groups
+
+
+def _answered(index: DataFrame, bundles: DataFrame, groups: int, average: float, k: int) -> DataFrame:
+    """(query_id, doc_id, score): of every task its queries' k best.  A task
+    reads a group of bundles for each of its shards."""
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = index.select("shard", *PART_NAMES).coalesce(max(1, -(-tasks // groups)))
+    # A product of partitions, both sides read anew for each: a join by broadcast or shuffle would hold or write one of them.
+    rows = held.hint("shuffle_replicate_nl").crossJoin(bundles.coalesce(groups))
+
+    def run(batches):
+        shard, at, best = None, None, {}
+        for batch in slices(batches, 1):
+            number, bundle = batch.column("shard")[0].as_py(), batch.column("bundle")[0].as_py()
+            if number != at:
+                shard, at = Shard.read(batch.select(PART_NAMES).to_pylist()[0]), number
+                shard.weigh(average)
+            ids, counts, terms, idfs = (np.frombuffer(batch.column(c)[0].as_buffer(), t) for c, t in zip(BUNDLE_NAMES, "qqqd", strict=True))
+            ends = np.cumsum(counts)[:-1]
+            queries = list(zip(np.split(terms, ends), np.split(idfs, ends), strict=True))
+            if bundle not in best:
+                best[bundle] = ids.tolist(), [[] for _ in queries]
+            held = best[bundle][1]
+            for a in range(0, len(queries), AT_ONCE):
+                floor = np.array([h[-1][1] if len(h) == k else 0.0 for h in held[a : a + AT_ONCE]])
+                for q, found in enumerate(shard.top(queries[a : a + AT_ONCE], k, floor), a):
+                    if found:
+                        held[q] = sorted(held[q] + found, key=lambda x: (-x[1], x[0]))[:k]
+        for ids, held in best.values():
+            flat = [x for found in held for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(found) for found in held]), pa.int64()), pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.float64())], ["query_id", "doc_id", "score"])
 
     return rows.mapInArrow(tidy(run), "query_id bigint, doc_id bigint, score double")
 
 
 def search(index: DataFrame, queries: DataFrame, query_id: str = "doc_id", text: str = "text", k: int = 10) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k best documents of each query.
-
-    A query asks one shard first; its k-th score there goes to the others."""
-    n_docs, n_words, last = index.agg(F.sum("n_docs"), F.sum("n_words"), F.max("shard")).first()
-    shards, average = (last or 0) + 1, (n_words or 0) / max(n_docs or 0, 1)
-    asked = _weighted(queries, index, n_docs or 0, query_id, text)
-    groups = max(1, -(-asked.count() // QUERIES))
-    home = F.pmod(F.xxhash64("query_id"), F.lit(shards))
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(groups))).withColumn("home", home)
-    first = _answered(index, asked.select("*", F.col("home").alias("shard"), F.lit(0.0).alias("floor")), shards, groups, average, k)
-    if shards > 1:
-        first = save(first)
-        kth = first.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id", F.col("low").alias("floor"))
-        floored = asked.join(kth, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
-        others = floored.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where("shard <> home")
-        first = first.unionByName(_answered(index, others, shards, groups, average, k))
+    """(query_id, rank, doc_id, score): the k best documents of each query."""
+    n_docs, n_words = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
+    bundles, groups = _bundled(_weighted(queries, index, n_docs or 0, query_id, text))
+    found = _answered(index, bundles, groups, (n_words or 0) / max(n_docs or 0, 1), k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
-    return first.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 ORACLE = f"""

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from logweave.llm import bm25_search, graph_search
+from logweave.llm import bm25_search, common, graph_search
 from logweave.llm.common import WORD
 
 from .conftest import documents, prose
@@ -132,6 +132,30 @@ def test_bm25_equals_scoring_everything(spark, monkeypatch):
     assert found(df) == want
 
 
+def test_bm25_moves_neither_index_nor_queries(spark, monkeypatch):
+    """Many shards, bundles and groups: the best are the only rows that are
+    shuffled, queries are written once, and parts go when they are merged."""
+    rng = random.Random(4)
+    words = [f"t{int(rng.paretovariate(0.7))}" for _ in range(2000)]
+    rows = [(i, prose(rng, words, rng.randint(1, 120)), "en", "a") for i in range(0, 3000, 5)]
+    df = documents(spark, rows).repartition(6)
+    for name, value in (("POSTINGS", 1000), ("BUNDLE", 200), ("GROUP", 500)):
+        monkeypatch.setattr(bm25_search, name, value)
+    written = len(common._written)
+    index = bm25_search.build_index(df)
+    assert len(common._written) == written + 1
+    shards = index.select("shard", "n_postings").collect()
+    assert len(shards) > 6 and max(r.n_postings for r in shards) <= 1000
+    asked = df.where("doc_id % 100 = 0")
+    got = bm25_search.search(index, asked)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "CartesianProduct" in plan
+    bundles, groups = bm25_search._bundled(bm25_search._weighted(asked, index, len(rows), "doc_id", "text"))
+    assert groups > 1 and sum(len(r.query_ids) // 8 for r in bundles.collect()) == 30
+    assert bundles.count() > groups
+    assert found(df) == bm25([r[:2] for r in rows])
+
+
 def shard_of(n, rng):
     docs, terms = [], []
     for t, every in enumerate((1, 2, 3, 50, 400)):
