@@ -213,6 +213,56 @@ def test_approx_quality_without_moving_pairs(spark):
     assert tuple(approx_quality(df, wrong, "id", "v", 0.7).first()) == (len(exact), 3, 1)
 
 
+def test_approx_pairs_are_counted_in_their_groups(spark):
+    """The number is that of the pairs, with ids that come twice, buckets of
+    several blocks and several buckets in a group; only numbers leave a group."""
+    from logweave.operators import similarity
+    from logweave.operators.similarity import approx_quality
+
+    rng = np.random.default_rng(6)
+    vecs = (rng.normal(size=(20, 16))[rng.integers(0, 20, 900)] + 0.5 * rng.normal(size=(900, 16))).astype(np.float32)
+    vecs[7], vecs[8] = 0, vecs[9] * np.float32(1e30)
+    df = spark.createDataFrame([(i if i % 50 else i // 2, [float(x) for x in v]) for i, v in enumerate(vecs)], "id long, v array<float>").cache()
+    for bits, most in ((3, 64), (6, 1 << 15), (12, 1 << 15)):
+        similarity.MOST, kept = most, similarity.MOST
+        try:
+            pairs = similar_pairs_approx(df, "id", "v", 0.6, recall=0.9, bits=bits, block_size=64)
+            n = similar_pairs_approx(df, "id", "v", 0.6, recall=0.9, bits=bits, block_size=64, count=True)
+            assert [tuple(r) for r in n.collect()] == [(pairs.count(),)]
+        finally:
+            similarity.MOST = kept
+    exact = count_similar_pairs(df, "id", "v", 0.6, 64).first()["n"]
+    assert exact == similar_pairs(df, "id", "v", 0.6, 64).count() >= n.first()["n"] > 0
+    assert tuple(approx_quality(df, n, "id", "v", 0.6, 64).first()) == (exact, 0, n.first()["n"])
+    assert "cosine" not in n._jdf.queryExecution().executedPlan().toString()
+    none = similar_pairs_approx(df.limit(0), "id", "v", 0.6, count=True)
+    assert tuple(none.first()) == (0,)
+
+
+def test_tiles_count_what_the_exact_arithmetic_pairs(monkeypatch):
+    """Pairs at the threshold, odd lengths, equal ids, negative thresholds:
+    as many as the exact arithmetic has, tile by tile."""
+    from logweave.operators import similarity
+
+    rng = np.random.default_rng(11)
+    v = rng.integers(-2, 3, (180, 6)).astype(np.float32)
+    v[:4] = [[1e30] * 6, [1e-30] * 6, [np.nan] * 6, [0] * 6]
+    ids = rng.integers(0, 120, 180)
+    monkeypatch.setattr(similarity, "TILE", (16, 32))
+    monkeypatch.setattr(similarity, "CHUNK_PAIRS", 5)
+    keys = rng.integers(0, 4, (180, 3)).astype(np.uint8)
+    apart, upper = ~(keys[:, None] == keys[None]).any(axis=2), ids[:, None] < ids[None]
+    with np.errstate(all="ignore"):
+        for threshold in (0.5, 0.25, 1.0, 0.0, -0.2):
+            if threshold <= 0:
+                v[:4] = 1
+            near = np.stack([similarity._java_cos_rows(np.broadcast_to(x, v.shape), v) for x in v]) >= threshold
+            assert similarity._count(v, v, ids, ids, True, threshold) == np.count_nonzero(near & upper)
+            assert similarity._count(v, v, ids, ids, True, threshold, (keys, keys)) == np.count_nonzero(near & upper & apart)
+            assert similarity._count(v[:70], v[70:], ids[:70], ids[70:], False, threshold) == np.count_nonzero(near[:70, 70:])
+            assert similarity._count(v[:70], v[70:], ids[:70], ids[70:], False, threshold, (keys[:70], keys[70:])) == np.count_nonzero((near & apart)[:70, 70:])
+
+
 def test_counts_of_odd_lengths(spark):
     """Lengths beyond those of float products are counted as they are paired."""
     big = [[1e30, 1e30], [1e30, 2e30], [1e-30, 1e-30], [2e-30, 1e-30], [1.0, 1.0], [0.0, 0.0], [1.0, 1.1]]
